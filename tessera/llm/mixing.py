@@ -4,7 +4,7 @@ Each source's target is its share of all words by weight, stopped at cap times w
 again by weight. A document's copies are a whole part, certain, and a fraction, its inclusion probability p. Pareto
 sampling ranks documents by (u / (1 - u)) / (p / (1 - p)) with u uniform and fixed by the id, and takes them in rank
 order until the words that the certain copies leave open are filled: a sample of fixed size in words with unequal
-inclusion probabilities. One further document, the best fit for the gap that is left, completes each source.
+inclusion probabilities. One move per source, the best fit for the gap that is left, completes the sample.
 
 The order within a source is found without sorting it in one place: ranks are mapped to (0, 1) and counted in bins
 per source, the bin where the running total passes the target is found from the counts, and only rows of that bin
@@ -120,16 +120,25 @@ def mixed(
     by_rank = inside.groupBy("source", "v").agg(F.sum("size").alias("words"), F.max("open").alias("open"), F.max("before").alias("before"))
     run = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("v"))
     edge = by_rank.withColumn("run", run).where("run > open").groupBy("source").agg(
-        F.min_by(F.struct("v", (F.col("open") - F.col("run") + F.col("words")).alias("gap")), "v").alias("e")
+        F.min_by(F.struct("v", "words", (F.col("open") - F.col("run") + F.col("words")).alias("gap")), "v").alias("e")
     )
-    edge = written(edge.select("source", F.col("e.v").alias("cut_v"), F.col("e.gap").alias("gap")), "mix-edge")
-    # The one document outside whose size fits the gap best, if it brings the total nearer.
-    outside = joined(order.where("p > 0"), edge, ["source"], "inner").where("v >= cut_v")
-    outside = outside.groupBy("source", "v").agg(F.sum("size").alias("words"), F.max("gap").alias("gap"))
-    fit = outside.where("abs(words - gap) < gap").groupBy("source").agg(F.min_by("v", F.struct(F.abs(F.col("words") - F.col("gap")), F.col("v"))).alias("fill_v"))
-    plan = written(joined(joined(goals, edge.drop("gap"), ["source"]), written(fit, "mix-fit"), ["source"]), "mix-plan")
+    edge = written(edge.select("source", F.col("e.v").alias("cut_v"), F.col("e.words").alias("cut_words"), F.col("e.gap").alias("gap")), "mix-edge")
+    # One move that brings the total nearest: add a document from beyond the cut, or take the one at the cut and leave
+    # out one before it.
+    near = joined(order.where("p > 0"), edge, ["source"], "inner")
+    near = near.groupBy("source", "v").agg(F.sum("size").alias("words"), *[F.max(c).alias(c) for c in ("cut_v", "cut_words", "gap")])
+    miss = F.abs(F.col("gap") - F.when(F.col("v") >= F.col("cut_v"), F.col("words")).otherwise(F.col("cut_words") - F.col("words")))
+    fit = near.withColumn("miss", miss).where("miss < gap").groupBy("source").agg(F.min_by(F.struct("v", "cut_v"), F.struct("miss", "v")).alias("m"))
+    fit = fit.select(
+        "source",
+        F.greatest("m.v", "m.cut_v").alias("fill_v"),
+        F.when(F.col("m.v") < F.col("m.cut_v"), F.col("m.v")).alias("drop_v"),
+    )
+    plan = written(joined(joined(goals, edge.select("source", "cut_v"), ["source"]), written(fit, "mix-fit"), ["source"]), "mix-plan")
     done = ranked(base, plan)
-    extra = F.when(F.col("p") > 0, (F.col("cut_v").isNull() | (F.col("v") < F.col("cut_v")) | F.coalesce(F.col("v") == F.col("fill_v"), F.lit(False))).cast("long")).otherwise(0)
+    is_at = lambda c: F.coalesce(F.col("v") == F.col(c), F.lit(False))
+    inside = F.col("cut_v").isNull() | (F.col("v") < F.col("cut_v"))
+    extra = F.when(F.col("p") > 0, ((inside | is_at("fill_v")) & ~is_at("drop_v")).cast("long")).otherwise(0)
     done = done.withColumn("copies", F.coalesce(F.col("whole").cast("long") + extra, F.lit(0).cast("long")))
     return done.select("__row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
