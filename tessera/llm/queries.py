@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, quality
+from tessera.llm import chat, exact_dedup, mixing, near_dup, packing, quality, secrets, token_files
 from tessera.llm.common import read
 
 
@@ -12,6 +12,37 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    return chat.format_and_verify(turns.unionByName(fixed))
+
+
+def op4_token_files(spark, sf_dir):
+    return token_files.write_and_read(read(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark, sf_dir):
+    return near_dup.near_components(read(spark, sf_dir, "documents"), width=2)
+
+
+def op6_secret_scan(spark, sf_dir):
+    found = secrets.secrets(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    count = lambda k: F.expr(f"CAST(size(filter(base, b -> b.kind = {k})) AS BIGINT)")
+    return found.select(
+        "__row.doc_id",
+        *[count(k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
+        F.sha2(F.expr(secrets.joined_spans("base")).cast("binary"), 256).alias("base_sha256"),
+        F.expr(secrets.joined_spans("spans")).alias("spans"),
+    )
+
+
 def op8_quality_rules(spark, sf_dir):
     out = quality.judged(read(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -23,7 +54,7 @@ def op9_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op8_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_chat_formatting, op4_token_files, op5_near_dedup, op6_secret_scan, op8_quality_rules, op9_mixing)}
 
 
 def oracle_sql():

@@ -14,7 +14,7 @@ Positions: a pattern's matches and the pieces between them have lengths that add
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_or_empty, written
@@ -45,17 +45,22 @@ def _sql(text: str) -> str:
     return "r'" + text.replace("'", "\\x27") + "'"
 
 
-def _matches(text: str, pattern: str, group: int | None = None) -> str:
-    """SQL for the array of (s, e, g): a pattern's leftmost matches in code points, and the length of a group."""
+_NONE = "CAST(array() AS array<struct<s:int,e:int,n:int,h:string>>)"
+
+
+def _with_matches(rows: DataFrame, name: str, pattern: str, group: int = 0) -> DataFrame:
+    """Adds the array of (s, e, n, h): t's leftmost matches in code points, the length of a group, and the match."""
     p = _sql(pattern)
-    lens = f"regexp_extract_all({text}, {p}, {group})" if group else f"regexp_extract_all({text}, {p}, 0)"
-    return f"""CASE WHEN {text} RLIKE {p} THEN aggregate(
-        arrays_zip(split({text}, {p}, -1) AS g, regexp_extract_all({text}, {p}, 0) AS h, {lens} AS k),
-        struct(0 AS at, CAST(array() AS array<struct<s:int,e:int,n:int,h:string>>) AS found),
-        (a, x) -> CASE WHEN x.h IS NULL THEN a ELSE struct(
-            a.at + char_length(x.g) + char_length(x.h) AS at,
-            array_append(a.found, struct(a.at + char_length(x.g) AS s, a.at + char_length(x.g) + char_length(x.h) AS e, char_length(x.k) AS n, x.h AS h)) AS found) END,
-        a -> a.found) ELSE CAST(array() AS array<struct<s:int,e:int,n:int,h:string>>) END"""
+    pieces = {"g": f"split(t, {p}, -1)", "h": f"regexp_extract_all(t, {p}, 0)", "k": f"regexp_extract_all(t, {p}, {group})"}
+    rows = rows.withColumn("__hit", F.expr(f"t RLIKE {p}"))
+    rows = rows.withColumns({f"__{c}": F.expr(f"CASE WHEN __hit THEN {sql} END") for c, sql in pieces.items()})
+    found = f"""aggregate(arrays_zip(__g, __h, __k), struct(0 AS at, {_NONE} AS found),
+        (a, x) -> CASE WHEN x.__h IS NULL THEN a ELSE struct(
+            a.at + char_length(x.__g) + char_length(x.__h) AS at,
+            array_append(a.found, struct(a.at + char_length(x.__g) AS s, a.at + char_length(x.__g) + char_length(x.__h) AS e,
+                char_length(x.__k) AS n, x.__h AS h)) AS found) END,
+        a -> a.found)"""
+    return rows.withColumn(name, F.expr(f"coalesce({found}, {_NONE})")).drop("__hit", "__g", "__h", "__k")
 
 
 def _upper_tail(z: str) -> str:
@@ -66,31 +71,86 @@ def _upper_tail(z: str) -> str:
     return f"(CASE WHEN ({z}) >= 0 THEN {half} ELSE 1D - {half} END)"
 
 
-def tested(candidates: Column) -> Column:
-    """Adds p and stratum to each candidate (s, e, n, h)."""
-    rows = F.transform(
-        candidates,
-        lambda c: F.struct(
-            c["s"].alias("s"),
-            c["e"].alias("e"),
-            F.regexp_replace(c["h"], "=+$", "").alias("t"),
-            F.coalesce(*[F.when(c["h"].rlike(f"^{p}$"), F.lit(k)) for k, (_, p, _) in enumerate(ENCODINGS)], F.lit(-1)).alias("enc"),
-        ),
-    )
-    rows = F.filter(rows, lambda c: (c["enc"] >= 0) & (F.char_length(c["t"]) >= LENGTHS[0]))
-    alphabet = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
-    rows = F.transform(rows, lambda c: c.withField("alpha", F.get(alphabet, c["enc"])).withField("n", F.char_length(c["t"]).cast("double")))
-    rows = F.transform(
-        rows,
-        lambda c: c.withField("x", F.transform(F.split(c["t"], ""), lambda ch: F.locate_in(c["alpha"], ch)))
-        .withField("k", F.char_length(c["alpha"]).cast("double"))
-        .withField(
-            "squares",
-            F.aggregate(
-                F.split(c["alpha"], ""),
-                F.lit(0.0),
-                lambda a, ch: a + F.pow(c["n"] - F.char_length(F.replace(c["t"], ch, F.lit(""))), F.lit(2.0)),
-            ),
-        ),
-    )
-    return rows
+def _tested(candidates: str) -> str:
+    """SQL for the candidates (s, e, n, h) that have an encoding, with their stratum and p."""
+    encoding = "CASE " + " ".join(f"WHEN c.h RLIKE '^({p})$' THEN {k}" for k, (_, p, _) in enumerate(ENCODINGS)) + " ELSE -1 END"
+    alphabets = "array(" + ", ".join(f"'{a}'" for _, _, a in ENCODINGS) + ")"
+    named = f"""transform({candidates}, c -> struct(c.s AS s, c.e AS e, regexp_replace(c.h, '=+$', '') AS t, {encoding} AS enc))"""
+    named = f"filter({named}, c -> c.enc >= 0 AND char_length(c.t) >= {LENGTHS[0]})"
+    coded = f"""transform({named}, c -> struct(c.s AS s, c.e AS e, c.enc AS enc, c.t AS t, get({alphabets}, c.enc) AS alpha,
+        transform(filter(split(c.t, ''), y -> y != ''), y -> CAST(instr(get({alphabets}, c.enc), y) AS DOUBLE)) AS x))"""
+    summed = f"""transform({coded}, c -> struct(c.s AS s, c.e AS e, c.enc AS enc, c.x AS x,
+        CAST(size(c.x) AS DOUBLE) AS n, CAST(char_length(c.alpha) AS DOUBLE) AS k,
+        aggregate(c.x, 0D, (a, y) -> a + y) / size(c.x) AS m,
+        aggregate(split(c.alpha, ''), 0D, (a, y) -> a + pow(CASE WHEN y = '' THEN 0 ELSE size(c.x) - char_length(replace(c.t, y, '')) END, 2)) AS squares,
+        CAST(size(filter(c.x, y -> 2 * y > char_length(c.alpha))) AS DOUBLE) AS high))"""
+    paired = f"""transform({summed}, c -> struct(c.s AS s, c.e AS e, c.enc AS enc, c.n AS n, c.k AS k, c.high AS high, c.squares AS squares,
+        aggregate(c.x, 0D, (a, y) -> a + (y - c.m) * (y - c.m)) AS spread,
+        aggregate(sequence(0, size(c.x) - 2), 0D, (a, i) -> a + (c.x[i] - c.m) * (c.x[i + 1] - c.m)) AS lagged,
+        aggregate(sequence(0, size(c.x) - 2), 1D, (a, i) -> a + CASE WHEN (2 * c.x[i] > c.k) != (2 * c.x[i + 1] > c.k) THEN 1 ELSE 0 END) AS runs))"""
+    # Chi-squared by Wilson and Hilferty; runs and serial correlation by their normal limits. Extremes fail outright.
+    scored = f"""transform({paired}, c -> struct(c.s AS s, c.e AS e, c.enc AS enc, c.n AS n,
+        (pow(greatest(c.k / c.n * c.squares - c.n, 0D) / (c.k - 1), 1D / 3) - (1 - 2 / (9 * (c.k - 1)))) / sqrt(2 / (9 * (c.k - 1))) AS z_chi,
+        CASE WHEN c.high = 0 OR c.high = c.n THEN 40D ELSE
+            (c.runs - (2 * c.high * (c.n - c.high) / c.n + 1)) / sqrt(greatest(2 * c.high * (c.n - c.high) * (2 * c.high * (c.n - c.high) - c.n) / (c.n * c.n * (c.n - 1)), 1e-9)) END AS z_runs,
+        CASE WHEN c.spread = 0 THEN 40D ELSE (c.lagged / c.spread + 1 / c.n) * sqrt(c.n) END AS z_lag))"""
+    least = f"least({_upper_tail('c.z_chi')}, 2 * {_upper_tail('abs(c.z_runs)')}, 2 * {_upper_tail('abs(c.z_lag)')})"
+    length = "+".join(f"CAST(c.n >= {n} AS INT)" for n in LENGTHS)
+    return f"""transform({scored}, c -> struct(c.s AS s, c.e AS e, c.enc * 100 + {length} AS stratum,
+        1 - pow(1 - least({least}, 1D), 3) AS p))"""
+
+
+def scanned(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """__row (carry's columns), base array<struct<s, kind, e>> in order, and tested candidates that touch no base span."""
+    rows = docs.select(F.struct(*[F.col(c) for c in (carry or docs.columns)]).alias("__row"), text_or_empty(text_col).alias("t"))
+    for name, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("found", CANDIDATE, 0)):
+        rows = _with_matches(rows, name, pattern, group)
+    base = [f"transform(filter({name}, m -> m.n >= {least}), m -> struct(m.s AS s, {k} AS kind, m.e AS e))" for k, (name, least) in enumerate((("assign", 6), ("access", 20), ("hex", 24)))]
+    rows = rows.withColumn("base", F.expr(f"sort_array(concat({', '.join(base)}))"))
+    rows = rows.withColumn("found", F.expr("filter(found, m -> NOT exists(base, b -> b.s < m.e AND m.s < b.e))"))
+    tested = F.expr(f"CASE WHEN size(found) > 0 THEN {_tested('found')} ELSE CAST(array() AS array<struct<s:int,e:int,stratum:int,p:double>>) END")
+    return rows.select("__row", "base", tested.alias("tested"))
+
+
+def cuts(scan: DataFrame, limit: float, least_random: float) -> dict[int, float]:
+    """Stratum -> the lowest cut on p that holds the false-discovery rate under the limit. Reads counts of bounded size."""
+    bin_ = F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int")
+    counts: dict[int, list[int]] = {}
+    for stratum, b, n in (
+        scan.select(F.explode("tested").alias("c")).groupBy(F.col("c.stratum").alias("stratum"), bin_.alias("bin")).count().collect()
+    ):  # at most encodings x length classes x BINS rows
+        counts.setdefault(stratum, [0] * BINS)[b] = n
+    found = {}
+    for stratum, row in counts.items():
+        above = [sum(row[b:]) for b in range(BINS)]
+        # Uniform p: the share beyond 1/2 and beyond 3/4 both tell how many are random; words inflate the first more.
+        random = min(2 * above[BINS // 2], 4 * above[3 * BINS // 4])
+        if random < least_random:
+            continue
+        for b in range(1, BINS):
+            if above[b] and 1 - random * (1 - b / BINS) / above[b] <= limit:
+                found[stratum] = b / BINS
+                break
+    return found
+
+
+def secrets(docs: DataFrame, text_col: str = "text", limit: float = 0.1, least_random: float = 4.0, carry: list[str] | None = None) -> DataFrame:
+    """__row, spans array<struct<s, kind, e>> and base (the same without the method's own), code points, end exclusive.
+
+    kind indexes KINDS. Null and empty texts have no spans; equal rows get equal spans; an empty table gives an empty
+    result. A stratum with fewer than least_random random-looking candidates adds none, since nothing is known of it.
+    """
+    scan = written(scanned(docs, text_col, carry), "secret-scan")
+    at = cuts(scan, limit, least_random)
+    taken = F.expr("filter(tested, c -> false)")
+    if at:
+        table = "map(" + ", ".join(f"{k}, {v}D" for k, v in sorted(at.items())) + ")"
+        taken = F.expr(f"filter(tested, c -> coalesce(c.p >= try_element_at({table}, c.stratum), false))")
+    scan = scan.withColumn("taken", taken)
+    return scan.select("__row", "base", F.expr("sort_array(concat(base, transform(taken, c -> struct(c.s AS s, 3 AS kind, c.e AS e))))").alias("spans"))
+
+
+def joined_spans(spans: str) -> str:
+    """SQL for kind:start:end, comma-joined."""
+    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    return f"array_join(transform({spans}, x -> concat(get({names}, x.kind), ':', x.s, ':', x.e)), ',')"

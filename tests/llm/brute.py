@@ -55,3 +55,91 @@ def mix_targets(sizes):
         if not above:
             return {s: 3 * sizes[s] if s in stopped else left * weight[s] / open_ for s in order}
         stopped |= above
+
+
+def shingle_sets(rows, width):
+    """{doc_id: set of word shingles}"""
+    out = {}
+    for i, t in rows:
+        w = WORD.findall(low(t))
+        out[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    return out
+
+
+def near(rows, width, percent=80):
+    """{doc_id: (n_shingles, component_id)} by comparing every pair that shares a shingle."""
+    sets = shingle_sets(rows, width)
+    inverted = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            inverted[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        shared = Counter(j for x in s for j in inverted[x] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def secret_base(text):
+    """[(start, kind, end)]"""
+    t = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(map(int, reversed(digits))):
+        d = d * 2 if k % 2 else d
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def pii_base(text):
+    """[(start, kind, end)]"""
+    t = text or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(p[-400:]) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def digest(spans, kinds):
+    return hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
+def chat(rows):
+    """rows: (conv_id, turn, role, text) -> {conv_id: (n_turns, turns_sha256, loss_chars, loss_sha256)}"""
+    of = defaultdict(list)
+    for c, turn, role, text in rows:
+        of[c].append((turn, role or "", text or ""))
+    out = {}
+    for c, turns in of.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        told = "".join(f"{r}\n{t}\n" for _, r, t in turns)
+        out[c] = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
