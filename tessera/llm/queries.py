@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, mixing, near_dup, packing, quality, secrets, token_files
+from tessera.llm import chat, exact_dedup, mixing, near_dup, packing, pii, quality, secrets, token_files, toxicity
 from tessera.llm.common import read
 
 
@@ -43,6 +43,17 @@ def op6_secret_scan(spark, sf_dir):
     )
 
 
+def op7_personal_data(spark, sf_dir):
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+    count = lambda k: F.expr(f"CAST(size(filter(base, b -> b.kind = {k})) AS BIGINT)")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{pii.KINDS[k]}") for k in range(4)],
+        F.sha2(F.expr(pii.joined_spans("base")).cast("binary"), 256).alias("base_sha256"),
+        F.expr(pii.joined_spans("spans")).alias("spans"),
+    )
+
+
 def op8_quality_rules(spark, sf_dir):
     out = quality.judged(read(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,8 +64,22 @@ def op9_mixing(spark, sf_dir):
     return out.select("__row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_chat_formatting, op4_token_files, op5_near_dedup, op6_secret_scan, op8_quality_rules, op9_mixing)}
+    found = (
+        op1_exact_dedup, op2_packing, op3_chat_formatting, op4_token_files, op5_near_dedup,
+        op6_secret_scan, op7_personal_data, op8_quality_rules, op9_mixing, op10_toxicity, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
