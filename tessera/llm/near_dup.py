@@ -6,11 +6,11 @@ Two permutations so yield all coordinates. Bands of ROWS coordinates make bucket
 
 Documents with one set are one class from the start, so exact copies never meet each other again. In a bucket every
 class is compared with the bucket's smallest class (a star, not all pairs), links are confirmed on the full sets, and
-components are formed. Buckets that then still hold several components get further stars, from members of the largest
-component, and at last every class outside the largest component is compared, by signature and in blocks, with all
-members of other components; what may reach the threshold is confirmed on the full sets. So no link between two
-components that share a bucket is lost, nothing is capped, and a bucket with most of the corpus in it costs one pair a
-member as long as its members are linked.
+components are formed. In buckets that then still hold several components, every class outside the largest component
+is compared with all members of other components, block by block: the signatures leave out what is surely below the
+threshold, the full sets decide, and only links leave a block. So no link between two components that share a bucket
+is lost, nothing is capped, and a bucket with most of the corpus in it costs one pair a member as long as its members
+are linked.
 
 Only the documents that share a bucket have their sets built again and kept, in the shared folder.
 """
@@ -28,7 +28,7 @@ from tessera.llm.components import components
 BANDS, ROWS = 24, 4
 #: Elements that one numpy pass works on: fits a core's cache.
 BATCH = 1 << 16
-BLOCK = 512
+BLOCK = 256
 #: Six standard errors of the estimate below 0.8 at BANDS * ROWS coordinates.
 SURELY_BELOW = 0.24
 WORD_CACHE = 400_000
@@ -200,21 +200,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_confirmer(percent), f"u {kind}, v {kind}")
 
 
-def _blocks(n_coordinates: int, least: float):
-    """Pairs of one work unit (a block outside the largest component, a block of all) that may reach the threshold."""
+def _blocks(n_coordinates: int, least: float, percent: int):
+    """Links of one work unit between a block outside the largest component and a block of all, of other components.
 
-    def compare(key, left, right):
+    Signatures leave out pairs that are surely below the threshold; the others are counted on their full sets.
+    """
+
+    def compare(left, right):
         import numpy as np
         import pandas as pd
 
-        sig = lambda df: np.frombuffer(b"".join(df["sig"]), dtype=np.uint32).reshape(-1, n_coordinates)
         out = []
         if len(left) and len(right):
-            own, all_, labels, ids = sig(left), sig(right), right["label"].to_numpy(), right["cls"].to_numpy()
-            for k in range(len(left)):
-                near = ((all_ == own[k]).mean(axis=1) >= least) & (labels != left["label"].iat[k])
-                out += [(left["cls"].iat[k], x) for x in ids[near]]
-        return pd.DataFrame(out, columns=["a", "b"])
+            sig = lambda df: np.frombuffer(b"".join(df["sig"]), dtype=np.uint32).reshape(-1, n_coordinates)
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in right["set"]]
+            all_, labels, ids, sizes = sig(right), right["label"].to_numpy(), right["cls"].to_numpy(), np.array([len(s) for s in sets])
+            for own, label, cls, data in zip(sig(left), left["label"], left["cls"], left["set"]):
+                x = np.frombuffer(data, dtype=np.uint64)
+                near = (labels != label) & (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x)))
+                near = np.flatnonzero(near & ((all_ == own).mean(axis=1) >= least))
+                if len(near):
+                    other = np.concatenate([sets[k] for k in near])
+                    at = np.minimum(np.searchsorted(x, other), len(x) - 1)
+                    both = np.add.reduceat((x[at] == other).astype(np.int64), np.cumsum([0, *sizes[near][:-1]]))
+                    linked = 100 * both >= percent * (len(x) + sizes[near] - both)
+                    out += [(cls, v) for v in ids[near[linked]]]
+        return pd.DataFrame(out, columns=["u", "v"])
 
     return compare
 
@@ -247,15 +258,6 @@ def near_components(
     links = written(confirmed(pairs, sets, percent), "near-links")
     labels = written(components(links), "near-labels")
 
-    def labelled() -> tuple[DataFrame, DataFrame]:
-        """Classes of buckets that hold several components, and the largest component of each such bucket."""
-        rows_ = shared.select("bucket", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        rows_ = rows_.withColumn("label", F.coalesce("label", "cls"))
-        sizes = rows_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("m")).where("parts > 1")
-        rows_ = written(rows_.join(main.select("bucket", F.col("m.label").alias("main")), "bucket"), "near-open")
-        return rows_, rows_.where("label <> main")
-
     def extended(more: DataFrame) -> DataFrame:
         """Labels after further links: components of the components."""
         at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
@@ -266,33 +268,30 @@ def near_components(
         joined_ = joined_.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
         return written(joined_.select("node", F.coalesce("root", "label").alias("label")), "near-labels")
 
-    for turn in range(2):
-        open_, outside = labelled()
-        if outside.isEmpty():
-            break
-        picks = [F.min_by("cls", F.xxhash64("cls", F.lit(3 * turn + k))).alias(f"p{k}") for k in range(3)]
-        inner = open_.where("label = main").groupBy("bucket").agg(*picks)
-        pairs = outside.join(inner, "bucket").select(F.col("cls").alias("a"), F.explode(F.array("p0", "p1", "p2")).alias("b")).distinct()
-        more = written(confirmed(pairs, sets, percent), "near-links")
-        if not more.isEmpty():
-            labels = extended(more)
-
-    open_, outside = labelled()
-    if not outside.isEmpty():
-        sig = written(of_class.select("cls", "sig").join(fitted(open_.select("cls").distinct(), 1_000_000), "cls", "left_semi").dropDuplicates(["cls"]), "near-open-sigs")
-        # Blocks of about BLOCK classes, by hash: a bucket of any size becomes units of two blocks.
-        size = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        outer = outside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("own_parts"))
-        spread = size.join(outer, "bucket")
+    # What stars cannot tell: buckets that still hold several components. The documents of all such buckets with one
+    # largest component are compared, those outside it with all, in units of two blocks.
+    rows_ = shared.select("bucket", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rows_ = rows_.select("bucket", "cls", F.coalesce("label", "cls").alias("label"))
+    sizes = rows_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("m")).where("parts > 1")
+    open_ = written(rows_.join(main.select("bucket", F.col("m.label").alias("main")), "bucket").select("main", "cls", "label").distinct(), "near-open")
+    if not open_.isEmpty():
+        size = open_.groupBy("main").agg(
+            F.ceil(F.count("*") / BLOCK).alias("parts"), F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).alias("own_parts")
+        )
+        placed = open_.join(written(size, "near-blocks"), "main")
+        held = of_class.select("cls", "sig").join(sets, "cls")
+        up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
-        left = outside.join(spread, "bucket").withColumn("i", part("own_parts")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        right = open_.join(spread, "bucket").withColumn("j", part("parts")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_parts") - 1)))
-        cols = ["bucket", "i", "j", "cls", "label", "sig"]
-        left, right = (side.join(sig, "cls").select(cols).toDF(*cols) for side in (left, right))
-        maybe = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(
-            _blocks(bands * rows, max(0.0, percent / 100 - SURELY_BELOW)), f"a {kind}, b {kind}"
+        left = placed.where("label <> main").withColumn("i", part("own_parts")).withColumn("j", up_to("parts"))
+        right = placed.withColumn("j", part("parts")).withColumn("i", up_to("own_parts"))
+        cols = ["main", "i", "j", "cls", "label", "sig", "set"]
+        left, right = (side.join(held, "cls").select(cols).toDF(*cols) for side in (left, right))
+        unit = cols[:3]
+        more = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
+            _blocks(bands * rows, max(0.0, percent / 100 - SURELY_BELOW), percent), f"u {kind}, v {kind}"
         )
-        more = written(confirmed(maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, percent), "near-links")
+        more = written(more.distinct(), "near-links")
         if not more.isEmpty():
             labels = extended(more)
 
