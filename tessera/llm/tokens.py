@@ -1,15 +1,21 @@
 """Token ids of whole texts from a public tokenizer, with a bounded memory of chunks seen before.
 
 The tokenizer treats what stands between spaces or newlines on its own, so a text's ids are the ids of its chunks in
-order. A worker keeps chunk -> ids for up to CACHE_CHUNKS chunks and starts anew when they are used up; every miss goes
-to the tokenizer itself. Chunks are looked up with A-Z lower-cased, as the tokenizer's own normaliser has it.
+order. A worker keeps chunk -> ids in two generations of CACHE_CHUNKS chunks; every miss goes to the tokenizer. Chunks
+are looked up with A-Z lower-cased, as the tokenizer's own normaliser has it.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from array import array
+
 CACHE_CHUNKS = 300_000
-#: Above every letter of the Latin blocks, for which a trailing comma or stop is always a token of its own.
-_LATIN_END = "ɐ"
+#: Letters below this one (the Latin blocks) are lower-cased alike by Python and the tokenizer's normaliser.
+_LATIN_END = "\u0250"
+#: What may follow a word in its chunk as a pre-token of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_path() -> str:
@@ -19,30 +25,70 @@ def default_path() -> str:
 
 
 class Encoder(dict):
-    """encode(text) -> little-endian ids, 2 bytes each for vocabularies below 65,536, else 4."""
+    """encode(text) -> little-endian ids, 2 bytes each for vocabularies below 65,536, else 4.
+
+    A chunk that is one Latin word is one pre-token, so it goes straight to the tokenizer's merge model, normalised, and
+    punctuation after a word is a pre-token too; every other chunk takes the whole tokenizer. Chunks in use move on to the young
+    generation of the memory, the others leave with the old one.
+    """
 
     def __init__(self, path: str | None = None):
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65_536 else "<u4")
-        self._array = np.array
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._old: dict[bytes, bytes] = {}
+        # Bytes as the byte-level step spells them, learned from the tokenizer: printable bytes stand for themselves.
+        self._spelled = {}
+        for letter in map(chr, range(0x80, 0x250)):
+            for byte, sign in zip(letter.encode(), self._bytes_of(letter)):
+                self._spelled[byte] = sign
+        # Whether words may take the short way is asked of the tokenizer itself.
+        probe = ["thor", "l\u00e9gende", "stra\u00dfe", "ni\u00f1o"]
+        self._short = all(self._word(w) == self._direct(w) for w in probe)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array(self._code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _bytes_of(self, letter: str) -> str:
+        pre = self.tokenizer.pre_tokenizer
+        return "".join(part for part, _ in pre.pre_tokenize_str(letter)) if pre else letter
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            raw = unicodedata.normalize("NFC", word).lower().encode()
+            word = "".join(chr(c) if c < 0x80 else self._spelled.get(c, "") for c in raw)
+        return self._packed([x.id for x in self.model.tokenize(word)])
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self._old.get(chunk)
+        if ids is None:
+            ids = self._new(chunk)
         if len(self) >= CACHE_CHUNKS:
+            self._old = dict(self)
             self.clear()
-        stem, last = chunk[:-1], chunk[-1:]
-        if last in (b",", b".") and stem:
-            word = stem.decode()
-            if word.isalpha() and max(word) < _LATIN_END:
-                ids = self[chunk] = self[stem] + self[last]
-                return ids
-        ids = self[chunk] = self._direct(chunk.decode())
+        self[chunk] = ids
         return ids
 
+    def _new(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self._short:
+            stem = text.rstrip(_MARKS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END):
+                if len(stem) == len(text):
+                    return self._word(text)
+                cut = len(text) - len(stem)  # marks are one byte each
+                return self[chunk[:-cut]] + self[chunk[-cut:]]
+        return self._direct(text)
+
     def _direct(self, text: str) -> bytes:
-        return self._array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8")
