@@ -30,7 +30,10 @@ SELECTORS = {
     9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60),
 }
 ESCAPE = 0
-BLOCK_IDS = 1 << 16
+#: A block ends with the document that brings it to so many ids; readers hold thousands of blocks at a time.
+BLOCK_IDS = 1 << 12
+#: Ids that are coded, or words that are decoded, in one go.
+GROUP = 1 << 16
 END_ID = 1
 
 
@@ -47,9 +50,13 @@ def encode(ids, ends):
     for s in range(1, 14):
         count, bits = SELECTORS[s]
         small = ids < (1 << bits)
-        if n < count or not small.any():
+        if n < count:
             continue
-        over = np.concatenate(([0], np.cumsum(~small)))
+        large = np.flatnonzero(~small)
+        if len(large) and max(np.diff(large, prepend=-1).max() - 1, n - 1 - large[-1]) < count:
+            continue
+        over = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(~small, out=over[1:])
         fits = np.zeros(n, dtype=bool)
         fits[: n - count + 1] = over[count:] == over[: n - count + 1]
         fits &= (left >= count) & ~taken
@@ -121,20 +128,28 @@ def _coder(path: str | None, end_id: int, block_ids: int):
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         shard, number, before = TaskContext.get().partitionId(), 0, 0
 
-        def block(docs, texts, id_type):
+        def blocks(docs, texts, id_type):
+            """Codes a group of documents, and cuts it into blocks."""
             nonlocal number, before
             ids = np.frombuffer(b"".join(texts), dtype=enc.dtype).astype(np.uint64)
             lengths = np.array([len(t) // enc.dtype.itemsize for t in texts], dtype=np.int64)
-            words, offsets = encode(ids, np.cumsum(lengths))
-            row = {
-                "shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "shard_start": pa.array([before], pa.int64()),
-                "n_docs": pa.array([len(docs)], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "doc_ids": pa.array([docs], pa.list_(id_type)),
-                "lengths": pa.array([lengths.astype("<u4").tobytes()], pa.binary()), "offsets": pa.array([offsets.astype("<u4").tobytes()], pa.binary()),
-                "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
-            }
-            number += 1
-            before += len(ids)
-            return pa.RecordBatch.from_pydict(row)
+            ends = np.cumsum(lengths)
+            words, offsets = encode(ids, ends)
+            offsets = np.append(offsets, len(words))
+            cols: dict[str, list] = {c: [] for c in ("block", "shard_start", "n_docs", "n_ids", "doc_ids", "lengths", "offsets", "words")}
+            i = 0
+            while i < len(docs):
+                start = ends[i] - lengths[i]
+                j = min(len(docs), int(np.searchsorted(ends, start + block_ids)) + 1)
+                n = int(ends[j - 1] - start)
+                own = words[offsets[i] : offsets[j]].astype("<u8").tobytes()
+                row = (number, before, j - i, n, docs[i:j], lengths[i:j].astype("<u4").tobytes(), (offsets[i:j] - offsets[i]).astype("<u4").tobytes(), own)
+                for c, v in zip(cols, row):
+                    cols[c].append(v)
+                number, before, i = number + 1, before + n, j
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary()]
+            arrays = [pa.array([shard] * len(cols["block"]), pa.int32()), *[pa.array(v, k) for v, k in zip(cols.values(), kinds)]]
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", *cols])
 
         docs, texts, held = [], [], 0
         for batch in batches:
@@ -143,11 +158,11 @@ def _coder(path: str | None, end_id: int, block_ids: int):
                 docs.append(i.as_py())
                 texts.append(enc.encode(t.as_py()) + end)
                 held += len(texts[-1]) // enc.dtype.itemsize
-                if held >= block_ids:
-                    yield block(docs, texts, id_type)
+                if held >= GROUP:
+                    yield blocks(docs, texts, id_type)
                     docs, texts, held = [], [], 0
         if texts:
-            yield block(docs, texts, id_type)
+            yield blocks(docs, texts, id_type)
 
     return code
 
@@ -183,16 +198,25 @@ def _reader(id_field: str):
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in ("shard", "shard_start", "doc_ids", "lengths", "words")}
-                lengths = np.frombuffer(row["lengths"].as_py(), dtype="<u4").astype(np.int64)
-                ids = decode(np.frombuffer(row["words"].as_py(), dtype="<u8")).astype("<u4")
-                ends = np.cumsum(lengths)
-                data = memoryview(ids.tobytes())
-                crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                start = ends - lengths + row["shard_start"].as_py()
-                columns = [row["doc_ids"].values, pa.array(np.full(len(ends), row["shard"].as_py(), dtype=np.int32)), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())]
+            i = 0
+            while i < batch.num_rows:  # as many blocks as make up a group; their words follow on each other
+                j, held, lengths, words, starts = i, 0, [], [], []
+                while j < batch.num_rows and held < GROUP:
+                    own = np.frombuffer(batch.column("lengths")[j].as_buffer(), dtype="<u4").astype(np.int64)
+                    words.append(np.frombuffer(batch.column("words")[j].as_buffer(), dtype="<u8"))
+                    starts.append(np.cumsum(own) - own + batch.column("shard_start")[j].as_py())
+                    lengths.append(own)
+                    held += len(words[-1])
+                    j += 1
+                n = np.concatenate(lengths)
+                ends = np.cumsum(n)
+                data = memoryview(decode(np.concatenate(words)).astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
+                shard = np.repeat(batch.column("shard").slice(i, j - i).to_numpy(), [len(x) for x in lengths])
+                ids = batch.column("doc_ids").slice(i, j - i).flatten()
+                columns = [ids, pa.array(shard, pa.int32()), pa.array(np.concatenate(starts)), pa.array(n), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_field, "shard", "in_shard", "n_tokens", "ids_crc32"])
+                i = j
 
     return read_blocks
 
