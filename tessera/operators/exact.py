@@ -28,3 +28,21 @@ def exact_star_edges(rows: DataFrame, id_col: str, keys: list[str], group_col: s
             F.when(F.col(group_col).eqNullSafe(F.col("rep_group")), "intra_album").otherwise("cross_album").alias("scope"),
         )
     )
+
+
+def first_of_key(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """The row ids with the lowest id of each key, as (keys..., id_col): an aggregate, so a hot key is combined map-side."""
+    return rows.groupBy(*keys).agg(F.min(id_col).alias(id_col))
+
+
+def library_edges(images: DataFrame, library: DataFrame, id_col: str, file_keys: list[str], pixel_key: str) -> DataFrame:
+    """One edge per image and matching library image: file_exact where the file keys agree, else pixel_exact."""
+    held = library.select(F.col(id_col).alias("library_id"), F.col(pixel_key).alias("__p"), *[F.col(k).alias(f"__{k}") for k in file_keys])
+    same_file = F.lit(True)
+    for k in file_keys:
+        same_file = same_file & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    by_pixel = images.join(held, F.col(pixel_key) == F.col("__p")).select(id_col, "library_id", same_file.alias("file"))
+    # Files that agree without a pixel key of their own.
+    on = [F.col(k) == F.col(f"__{k}") for k in file_keys]
+    by_file = images.join(held, on).where(~F.coalesce(F.col(pixel_key) == F.col("__p"), F.lit(False))).select(id_col, "library_id", F.lit(True).alias("file"))
+    return by_pixel.unionByName(by_file).select(id_col, "library_id", F.when(F.col("file"), "file_exact").otherwise("pixel_exact").alias("match_type"))
