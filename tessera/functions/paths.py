@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_COMPONENT, MAX_PATH = 240, 512
 # Device names that a component's stem must not be.
@@ -37,7 +38,7 @@ def normal_path(path: Column) -> Column:
     return F.when(path_fault(path).isNull(), F.array_join(path_parts(path), "/"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     import unicodedata
 

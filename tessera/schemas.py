@@ -50,8 +50,15 @@ TRANSACTION_TRANSITIONS = [
 ]
 
 
+_TYPES = {
+    "string": T.StringType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(), "int": T.IntegerType(),
+    "long": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType(),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """'name type, ...' as a StructType; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (field.split() for field in text.split(","))])
 
 
 _IMAGE = "file_size long, width int, height int, format string, blake3 binary, pixel_hash binary, block_hash_16 binary, double_gradient_hash_32 binary, perceptual_eligible boolean, fingerprint_version string, quality_score double, state string"

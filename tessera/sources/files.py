@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.expr import extension
 
@@ -56,7 +57,7 @@ def links_and_specials(root: str) -> list[str]:
     return sorted(found)
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Width and height from PNG, JPEG and WebP headers, null where there is none; pixels are not decoded."""
     import struct
