@@ -27,5 +27,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
