@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import files, relational, similarity, workflow  # noqa: F401
+    from tessera.plans import files, more, relational, similarity, workflow  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
