@@ -30,18 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, log: dict[str, list[str]] | None = None) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     Lineage ends there: a lost executor costs a reread of files, never a recomputation of what came before,
-    and what follows sees one fixed set of rows even where it scans them twice.
+    and what follows sees one fixed set of rows even where it scans them twice. The folder may be emptied once a
+    query's result is stored; with log, an operator erases tables that nothing will read again itself.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if log is not None:
+        log.setdefault(name, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def erase(spark: SparkSession, log: dict[str, list[str]], *names: str) -> None:
+    """Deletes the logged tables of these names, on whatever file system they are."""
+    for path in [p for n in names for p in log.pop(n, [])]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fitted(small: DataFrame, most_rows: int) -> DataFrame:
     """small with a broadcast hint if it has at most most_rows rows, else as it is (a shuffle join follows).
 
@@ -57,6 +67,11 @@ def joined(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "l
     return rows.join(fitted(side, most_rows), on, how).drop(*[f"__{k}" for k in keys])
 
 
+def whole_row(docs: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The row's columns (default all) as one struct, so that none can clash with an operator's own; select("__row.*") undoes it."""
+    return F.struct(*[docs[f"`{c}`"].alias(c) for c in (columns or docs.columns)]).alias("__row")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. All-ASCII text takes the byte-wise path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -26,18 +26,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, log: dict[str, list[str]] | None = None) -> DataFrame:
     """(u, v) links -> (node, label): every node of the links with the smallest node of its component.
 
     Each round halves the depth of every tree and is written to the shared folder; the driver sees two numbers a round.
     Self-links and repeated links change nothing; no links give an empty result.
     """
-    held = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    held = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", log)
     mark = None
     while True:
         now = held.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark or now[0] == 0:
             break
         mark = now
-        held = written(_small_star(_large_star(held)), "links")
+        held = written(_small_star(_large_star(held)), "links", log)
     return held.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

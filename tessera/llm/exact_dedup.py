@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, text_or_empty, written
+from tessera.llm.common import ascii_lower, fitted, text_or_empty, whole_row, written
 
 ENTRY = ["digest", "verify", "n_bytes"]
 
@@ -81,27 +81,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 32) -> DataFrame:
     """The rows of docs that stay, with docs' own columns: one row per distinct text.
 
-    Dropped ids are the narrow side of an anti-join, so texts move only where that side is too large to broadcast.
-    Where a kept id stands on several rows (an id is repeated), rows of other texts are told apart by the text's
-    digest, and of repeated rows of one text one stays.
+    Dropped rows are known by id and digest, which tells rows of other texts apart where an id is repeated; of repeated
+    rows of one text one stays. Up to 1,000,000 dropped rows are broadcast, so texts stay where they are; beyond that
+    the anti-join shuffles.
     """
-    marks = exact_dedup(docs, id_col, text_col, keep, fan_in)
-    lost = written(
-        marks.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-        .agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
-        .where("NOT kept OR copies > 1"),
-        "dedup-lost",
-    )
-    key = F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256)
-    gone = lost.where("NOT kept").select("__id", "__sha")
-    again = lost.where("kept").select("__id", "__sha")
-    on = [F.col(id_col).eqNullSafe(F.col("__id"))]
-    if again.isEmpty():  # ids are unique within each text, as they should be
-        if gone.groupBy("__id").count().join(docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1"), "__id", "left_semi").isEmpty():
-            return docs.join(gone.select("__id"), on, "left_anti")
-        return docs.withColumn("__key", key).join(gone, [*on, F.col("__key") == F.col("__sha")], "left_anti").drop("__key")
-    keyed = docs.withColumn("__key", key)
-    on = [*on, F.col("__key") == F.col("__sha")]
-    single = keyed.join(lost.select("__id", "__sha"), on, "left_anti")
-    first = keyed.join(again, on, "left_semi").dropDuplicates(["__key"])
-    return single.unionByName(first).drop("__key")
+    marks = exact_dedup(docs, id_col, text_col, keep, fan_in).select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_sha"), "kept")
+    lost = written(marks.groupBy("lost_id", "lost_sha").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("NOT kept OR copies > 1"), "dedup-lost")
+    sha = F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256)
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), sha.alias("sha"))
+    same = [F.col("id").eqNullSafe(F.col("lost_id")), F.col("sha") == F.col("lost_sha")]
+    single = rows.join(fitted(lost.select("lost_id", "lost_sha"), 1_000_000), same, "left_anti")
+    again = lost.where("kept").select("lost_id", "lost_sha")
+    if not again.isEmpty():
+        first = rows.join(fitted(again, 1_000_000), same, "left_semi").dropDuplicates(["sha"])
+        single = single.unionByName(first)
+    return single.select("__row.*")

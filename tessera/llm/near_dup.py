@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fitted, text_or_empty, written
+from tessera.llm.common import erase, fitted, text_or_empty, whole_row, written
 from tessera.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -31,7 +31,7 @@ BATCH = 1 << 16
 BLOCK = 256
 #: Six standard errors of the estimate below 0.8 at BANDS * ROWS coordinates.
 SURELY_BELOW = 0.24
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 _M1, _M2, _STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
@@ -242,31 +242,33 @@ def near_components(
     """
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    signed = written(base.mapInArrow(_signer(width, bands, rows), f"id {kind}, n_shingles long, digest binary, sig binary"), "near-signed")
+    spark, log = docs.sparkSession, {}
+    signed = written(base.mapInArrow(_signer(width, bands, rows), f"id {kind}, n_shingles long, digest binary, sig binary"), "near-signed", log)
     of_class = signed.where("id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("id").alias("cls"), F.first("sig").alias("sig"))
-    of_class = written(of_class, "near-classes")
-    entries = written(of_class.select("cls", "sig").mapInArrow(_bander(bands, rows), f"bucket long, cls {kind}"), "near-entries")
+    of_class = written(of_class, "near-classes", log)
+    entries = written(of_class.select("cls", "sig").mapInArrow(_bander(bands, rows), f"bucket long, cls {kind}"), "near-entries", log)
     heads = entries.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    shared = written(entries.join(heads, "bucket"), "near-shared")
-    wanted = written(shared.select("cls").distinct(), "near-wanted")
+    shared = written(entries.join(heads, "bucket"), "near-shared", log)
+    erase(spark, log, "near-entries")
+    wanted = written(shared.select("cls").distinct(), "near-wanted", log)
     # One long per document that shares a bucket: a broadcast of at most 1,000,000 of them, else a shuffle join.
     again = base.join(fitted(wanted.withColumnRenamed("cls", "id"), 1_000_000), "id", "left_semi")
-    sets = written(again.mapInArrow(_keeper(width), f"cls {kind}, set binary"), "near-sets")
+    sets = written(again.mapInArrow(_keeper(width), f"cls {kind}, set binary"), "near-sets", log)
 
     # Stars from each bucket's smallest class.
     pairs = shared.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    links = written(confirmed(pairs, sets, percent), "near-links")
-    labels = written(components(links), "near-labels")
+    links = written(confirmed(pairs, sets, percent), "near-links", log)
+    labels = written(components(links, log), "near-labels", log)
 
     def extended(more: DataFrame) -> DataFrame:
         """Labels after further links: components of the components."""
         at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         moved = more.join(at("u"), "u", "left").join(at("v"), "v", "left")
         moved = moved.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-        merged = components(moved)
+        merged = components(moved, log)
         joined_ = labels.unionByName(merged.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
         joined_ = joined_.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
-        return written(joined_.select("node", F.coalesce("root", "label").alias("label")), "near-labels")
+        return written(joined_.select("node", F.coalesce("root", "label").alias("label")), "near-labels", log)
 
     # What stars cannot tell: buckets that still hold several components. The documents of all such buckets with one
     # largest component are compared, those outside it with all, in units of two blocks.
@@ -274,12 +276,12 @@ def near_components(
     rows_ = rows_.select("bucket", "cls", F.coalesce("label", "cls").alias("label"))
     sizes = rows_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("m")).where("parts > 1")
-    open_ = written(rows_.join(main.select("bucket", F.col("m.label").alias("main")), "bucket").select("main", "cls", "label").distinct(), "near-open")
+    open_ = written(rows_.join(main.select("bucket", F.col("m.label").alias("main")), "bucket").select("main", "cls", "label").distinct(), "near-open", log)
     if not open_.isEmpty():
         size = open_.groupBy("main").agg(
             F.ceil(F.count("*") / BLOCK).alias("parts"), F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).alias("own_parts")
         )
-        placed = open_.join(written(size, "near-blocks"), "main")
+        placed = open_.join(written(size, "near-blocks", log), "main")
         held = of_class.select("cls", "sig").join(sets, "cls")
         up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
@@ -291,14 +293,15 @@ def near_components(
         more = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
             _blocks(bands * rows, max(0.0, percent / 100 - SURELY_BELOW), percent), f"u {kind}, v {kind}"
         )
-        more = written(more.distinct(), "near-links")
+        more = written(more.distinct(), "near-links", log)
         if not more.isEmpty():
             labels = extended(more)
 
     # From classes to rows. A digest's class is narrow and unique; hot digests are many rows of one key, which
     # adaptive execution splits.
     named = of_class.select("digest", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    named = written(named.select("digest", F.coalesce("label", "cls").alias("label")), "near-named")
+    named = written(named.select("digest", F.coalesce("label", "cls").alias("label")), "near-named", log)
+    erase(spark, log, *[n for n in log if n not in ("near-signed", "near-named")])
     out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
     found = F.when(F.col("id").isNull(), F.col("id")).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("label"))
     return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
@@ -307,5 +310,6 @@ def near_components(
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that stay, with docs' own columns: the document with the smallest id of each component."""
     marks = near_components(docs, id_col, **options)
-    gone = written(marks.where("NOT kept").select(F.col(id_col).alias("__id")).distinct(), "near-gone")
-    return docs.join(fitted(gone, 1_000_000), F.col(id_col) == F.col("__id"), "left_anti")
+    gone = written(marks.where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct(), "near-gone")
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"))
+    return rows.join(fitted(gone, 1_000_000), F.col("id") == F.col("gone_id"), "left_anti").select("__row.*")
