@@ -11,8 +11,9 @@ import sys
 import unicodedata
 from array import array
 
-CACHE_CHUNKS = 300_000
-#: Letters below this one (the Latin blocks) are lower-cased alike by Python and the tokenizer's normaliser.
+CACHE_CHUNKS = 250_000
+#: Letters below this one (the Latin blocks) are lower-cased alike by Python and the tokenizer's normaliser, but for those
+#: that an encoder finds out when it starts.
 _LATIN_END = "\u0250"
 #: What may follow a word in its chunk as a pre-token of its own.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -49,6 +50,7 @@ class Encoder(dict):
         # Whether words may take the short way is asked of the tokenizer itself.
         probe = ["thor", "l\u00e9gende", "stra\u00dfe", "ni\u00f1o"]
         self._short = all(self._word(w) == self._direct(w) for w in probe)
+        self._long = {c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and self._word(f"a{c}a") != self._direct(f"a{c}a")}
 
     def _packed(self, ids: list[int]) -> bytes:
         out = array(self._code, ids)
@@ -80,7 +82,7 @@ class Encoder(dict):
         text = chunk.decode()
         if self._short:
             stem = text.rstrip(_MARKS)
-            if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END):
+            if stem.isalpha() and (stem.isascii() or (max(stem) < _LATIN_END and self._long.isdisjoint(stem))):
                 if len(stem) == len(text):
                     return self._word(text)
                 cut = len(text) - len(stem)  # marks are one byte each
