@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, joined, text_or_empty, uniform, written
+from tessera.llm.common import WORD, joined, text_or_empty, uniform, whole_row, written
 
 
 def n_words(text: Column) -> Column:
@@ -86,7 +86,7 @@ def mixed(
     """
     share = (importance if importance is not None else F.lit(1.0)).cast("double")
     base = docs.select(
-        F.struct(*[F.col(c) for c in (carry or docs.columns)]).alias("__row"),
+        whole_row(docs, carry),
         n_words(text_or_empty(text_col)).alias("size"),
         F.col(source_col).alias("source"),
         uniform(F.col(id_col), seed=seed).alias("u"),

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GAP, joined, text_or_empty, written
+from tessera.llm.common import GAP, joined, text_or_empty, whole_row, written
 
 ACCURACY = 0.02
 _GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -144,7 +144,7 @@ def judged(
     """
     # Carried columns travel in a struct: none can clash with the measures, whatever its name.
     rows = docs.select(
-        F.struct(*[F.col(c) for c in (carry or docs.columns)]).alias("__row"),
+        whole_row(docs, carry),
         F.col(text_col).alias("__text"),
         F.col(lang_col).alias("__lang"),
         F.col(source_col).alias("__source"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, mixing, near_dup, packing, pii, quality, secrets, token_files, toxicity
+from tessera.llm import chat, exact_dedup, mixing, near_dup, oracles, packing, pii, quality, secrets, token_files, toxicity
 from tessera.llm.common import read
 
 
@@ -83,4 +83,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracles.SQL)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty, written
+from tessera.llm.common import text_or_empty, whole_row, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -102,7 +102,7 @@ def _tested(candidates: str) -> str:
 
 def scanned(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """__row (carry's columns), base array<struct<s, kind, e>> in order, and tested candidates that touch no base span."""
-    rows = docs.select(F.struct(*[F.col(c) for c in (carry or docs.columns)]).alias("__row"), text_or_empty(text_col).alias("t"))
+    rows = docs.select(whole_row(docs, carry), text_or_empty(text_col).alias("t"))
     for name, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("found", CANDIDATE, 0)):
         rows = _with_matches(rows, name, pattern, group)
     base = [f"transform(filter({name}, m -> m.n >= {least}), m -> struct(m.s AS s, {k} AS kind, m.e AS e))" for k, (name, least) in enumerate((("assign", 6), ("access", 20), ("hex", 24)))]
