@@ -13,7 +13,6 @@ small matrix product and a few vector operations.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -28,20 +27,48 @@ PIECES = 24
 #: Documents that a word or piece has to stand in to have a vector of its own.
 LEAST_DOCS = 3
 #: Labelled documents that training reads at most: toxic and clean.
-MOST_TOXIC, MOST_CLEAN = 2000, 4000
+MOST_TOXIC, MOST_CLEAN = 1500, 3000
 ROUNDS = 6
 WORD_CACHE = 150_000
 EDGES = b".,;:!?\"'()[]{}<>#*$%&|"
 
 
-def word_parts(word: bytes) -> tuple[int, list[int]]:
-    """The word's row and its pieces' rows (PIECES of them, evenly spread over a longer word)."""
-    text = (word.strip(EDGES) or word).decode("utf-8", "replace").lower()
-    marked = f"^{text}$"
-    pieces = [marked[:n] for n in range(4, min(8, len(marked)))] + [marked[i : i + 3] for i in range(len(marked) - 2)]
-    if len(pieces) > PIECES:
-        pieces = [pieces[i * len(pieces) // PIECES] for i in range(PIECES)]
-    return zlib.crc32(text.encode()) % WORD_ROWS, [zlib.crc32(x.encode()) % CHAR_ROWS for x in pieces]
+def bare(word: bytes) -> str:
+    """The word without punctuation around it, in lower case; punctuation alone stays."""
+    return (word.strip(EDGES) or word).decode("utf-8", "replace").lower()
+
+
+def parts(words: list[str]):
+    """Rows of words (n) and of their pieces (n, PIECES), -1 where a word has fewer.
+
+    Pieces are the beginnings of three to six letters, with the word's start marked, and trigrams of the marked word, of
+    a long word PIECES - 4 evenly spread ones. All words are hashed at once, over their characters.
+    """
+    import numpy as np
+
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    letters = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    first = np.cumsum(n + 2) - (n + 2)  # where each marked word begins
+    mixed = (letters + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    # Hash of a whole word: its characters' sum, each by its place.
+    place = np.arange(len(letters)) - np.repeat(first, n + 2)
+    whole = np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * (2 * place.astype(np.uint64) + np.uint64(1)), first) if len(words) else np.zeros(0, np.uint64)
+    rows = (((whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) % np.uint64(WORD_ROWS)
+    last = len(letters) - 1
+
+    def spell(start, length):
+        h = np.full(start.shape, length, dtype=np.uint64)
+        for j in range(length):
+            h = (h ^ mixed[np.minimum(start + j, last)]) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        return (h % np.uint64(CHAR_ROWS)).astype(np.int32)
+
+    slots = PIECES - 4
+    i = np.arange(slots)[None, :]
+    at = np.where(n[:, None] > slots, i * n[:, None] // slots, i)
+    trigrams = np.where((i < n[:, None]) & (n[:, None] > 0), spell(first[:, None] + at, 3), -1)
+    starts = [np.where(n >= k, spell(first, k + 1), -1) for k in (3, 4, 5, 6)]
+    return rows.astype(np.int32), np.concatenate([trigrams, np.stack(starts, axis=1)], axis=1).astype(np.int32)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -89,7 +116,7 @@ class Network:
         import numpy as np
 
         vectors = np.where((grams >= 0)[:, :, None], self.p["char"][grams], -np.inf)
-        vectors[grams[:, 0] < 0, 0] = 0
+        vectors[(grams < 0).all(1), 0] = 0
         best = vectors.argmax(1)
         chars = np.take_along_axis(vectors, best[:, None, :], axis=1)[:, 0]
         x = np.concatenate([self.p["word"][rows], chars], axis=1).astype(np.float32)
@@ -100,6 +127,21 @@ class Network:
 
         return np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]], axis=1)
 
+    def table(self, rows, grams, part: int = 4096):
+        """Gate inputs of no word, in row 0, and of the words, per direction. Works in parts: pieces' vectors are far wider."""
+        import numpy as np
+
+        out = np.empty((2, len(rows) + 1, 3 * HIDDEN), np.float32)
+        self.fill(out, 0, np.zeros(1, np.int32), np.full((1, PIECES), -1, np.int32))
+        for i in range(0, len(rows), part):
+            self.fill(out, i + 1, rows[i : i + part], grams[i : i + part])
+        return out
+
+    def fill(self, table, at: int, rows, grams) -> None:
+        got = self.gates(self.inputs(rows, grams))
+        table[0, at : at + len(got)] = got[:, : 3 * HIDDEN]
+        table[1, at : at + len(got)] = got[:, 3 * HIDDEN :]
+
     def _run(self, gates, steps, mask, u, keep):
         """States of one direction, (steps, batch, hidden), and what the backward pass needs."""
         import numpy as np
@@ -203,15 +245,53 @@ class Network:
         return float(-(labels * np.log(q) + (1 - labels) * np.log(1 - q)).mean())
 
     def logits(self, ids, table, batch: int = 1024):
-        """Logits of windows ids (n, steps) by the table of gate inputs; row 0 stands for no word."""
+        """Logits of windows ids (n, steps) by the table of gate inputs; row 0 stands for no word.
+
+        The same sums as forward(), in place: a step's gates are fetched when they are due, and both directions use the
+        same buffers, which stay in the cache.
+        """
         import numpy as np
 
         out = np.empty(len(ids), np.float32)
         for i in range(0, len(ids), batch):
-            own = ids[i : i + batch].T
-            mask = own >= 0
-            mask[0] |= ~mask.any(0)
-            out[i : i + batch] = self.forward(table[own + 1], mask)[0]
+            own = np.ascontiguousarray(ids[i : i + batch].T) + 1
+            held = own > 0
+            held[0] |= ~held.any(0)
+            full = held.all(axis=1)
+            steps, n = own.shape
+            both = np.empty((steps, n, 2 * HIDDEN), np.float32)
+            g, hu, cell = np.empty((n, 3 * HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+            for side, u in enumerate((self.p["Uf"], self.p["Ub"])):
+                lanes = table[side]
+                h = np.zeros((n, HIDDEN), np.float32)
+                for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
+                    np.take(lanes, own[t], axis=0, out=g, mode="clip")
+                    np.matmul(h, u, out=hu)
+                    rz = g[:, : 2 * HIDDEN]
+                    rz += hu[:, : 2 * HIDDEN]
+                    np.negative(rz, out=rz)
+                    np.minimum(rz, 60.0, out=rz)
+                    np.exp(rz, out=rz)
+                    rz += 1
+                    np.reciprocal(rz, out=rz)
+                    np.multiply(rz[:, :HIDDEN], hu[:, 2 * HIDDEN :], out=cell)
+                    cell += g[:, 2 * HIDDEN :]
+                    np.tanh(cell, out=cell)
+                    if not full[t]:
+                        before = h.copy()
+                    h -= cell
+                    h *= rz[:, HIDDEN:]
+                    h += cell
+                    if not full[t]:
+                        h = np.where(held[t][:, None], h, before)
+                    both[t, :, side * HIDDEN : (side + 1) * HIDDEN] = h
+            a = both.reshape(-1, 2 * HIDDEN) @ self.p["A"]
+            np.tanh(a, out=a)
+            e = np.where(held, (a @ self.p["v"]).reshape(steps, n), np.float32(-1e9))
+            e -= e.max(0)
+            np.exp(e, out=e)
+            e /= e.sum(0)
+            out[i : i + batch] = (e * (both.reshape(-1, 2 * HIDDEN) @ self.p["o"]).reshape(steps, n)).sum(0) + self.p["c"][0]
         return out
 
     def document(self, best, n_windows):
@@ -246,13 +326,10 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, seed
     y = np.array(labels, dtype=np.float32)
     if len(y) == 0:
         return net.frozen()
-    number: dict[bytes, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in split(t)), np.int64) for t in texts]
-    rows = np.zeros(max(1, len(number)), np.int64)
-    grams = np.full((max(1, len(number)), PIECES), -1, np.int64)
-    for w, k in number.items():
-        rows[k], g = word_parts(w)
-        grams[k, : len(g)] = g
+    number: dict[str, int] = {}
+    docs = [np.fromiter((number.setdefault(bare(w), len(number)) for w in split(t)), np.int32) for t in texts]
+    rows, grams = parts(list(number) or [""])
+    number.clear()
     n_pos, n_neg = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     own, strength = [], []
     for size, of in ((WORD_ROWS, rows[:, None]), (CHAR_ROWS, grams)):
@@ -263,17 +340,17 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, seed
         own.append((seen.sum(0) >= LEAST_DOCS).astype(np.float32))
         strength.append(singled_out(seen, n_pos, n_neg) * own[-1])
     net.p["word"][:, 0], net.p["char"][:, 0] = strength
-    hints = np.maximum(strength[0][rows], np.where(grams >= 0, strength[1][grams], 0).max(1))
-    parts = [windows(ids) for ids in docs]
-    first = np.cumsum([0, *[len(p) for p in parts]])
-    all_ = np.concatenate(parts)
-    hint = np.where(all_ >= 0, hints[np.maximum(all_, 0)], 0).sum(axis=1)
+    strength = [x.astype(np.float32) for x in strength]
+    hints = np.maximum(strength[0][rows], np.where(grams >= 0, strength[1][grams], np.float32(0)).max(1))
+    framed = [windows(ids) for ids in docs]
+    first = np.cumsum([0, *[len(p) for p in framed]])
+    all_ = np.concatenate(framed)
+    hint = np.where(all_ >= 0, hints[np.maximum(all_, 0)], np.float32(0)).sum(axis=1)
     weight = np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg)
     take = min(3000, 4 * len(y))
     for turn in range(rounds):
         if turn:
-            table = np.concatenate([net.gates(net.inputs(rows[:1] * 0, grams[:1] * 0 - 1)), net.gates(net.inputs(rows, grams))])
-            hint = net.logits(all_, table)
+            hint = net.logits(all_, net.table(rows, grams))
         best = np.array([first[k] + int(np.argmax(hint[first[k] : first[k + 1]])) for k in range(len(y))])
         for _ in range(2):
             chosen = rng.choice(len(y), size=take, p=weight / weight.sum())
@@ -281,8 +358,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, seed
             pick = np.where((y[chosen] == 0) & (rng.random(take) < 0.5), first[chosen] + (rng.random(take) * (first[chosen + 1] - first[chosen])).astype(int), best[chosen])
             for i in range(0, take, 64):
                 net.learn(all_[pick[i : i + 64]], y[chosen[i : i + 64]], rows, grams, 0.01 if turn < rounds - 2 else 0.003, own, rng)
-    table = np.concatenate([net.gates(net.inputs(rows[:1] * 0, grams[:1] * 0 - 1)), net.gates(net.inputs(rows, grams))])
-    logit = net.logits(all_, table)
+    logit = net.logits(all_, net.table(rows, grams))
     top = np.array([logit[first[k] : first[k + 1]].max() for k in range(len(y))], dtype=np.float64)
     x = np.stack([top, np.log(np.diff(first)), np.ones(len(y))], axis=1)
     level = np.array([1.0, 0.0, 0.0])
@@ -297,40 +373,39 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, seed
 
 
 class _Table(dict):
-    """Distinct words' numbers, and the table of their gate inputs, for a bounded number of words at a time."""
+    """Words' numbers, and the table of the distinct words' gate inputs, for a bounded number of words at a time."""
 
     def __init__(self, net: Network):
         import numpy as np
 
-        self.net, self.room = net, np.empty((WORD_CACHE + 1, 6 * HIDDEN), np.float32)
-        self.rows, self.grams, self.done = [], [], 0
-        self.room[0] = net.gates(net.inputs(np.zeros(1, np.int64), np.full((1, PIECES), -1)))[0]
+        self.net, self.room = net, np.empty((2, WORD_CACHE + 1, 3 * HIDDEN), np.float32)
+        self.known: dict[str, int] = {}
+        self.fresh: list[str] = []
+        net.fill(self.room, 0, np.zeros(1, np.int32), np.full((1, PIECES), -1, np.int32))
 
     def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        row, grams = word_parts(word)
-        self.rows.append(row)
-        self.grams.append(grams + [-1] * (PIECES - len(grams)))
+        text = bare(word)
+        k = self.known.get(text)
+        if k is None:
+            k = self.known[text] = len(self.known)
+            self.fresh.append(text)
+        self[word] = k
         return k
 
     def ready(self):
         """The table, with the words met since the last call."""
         import numpy as np
 
-        if self.rows:
-            need = self.done + len(self.rows) + 1
-            if need > len(self.room):
-                self.room = np.concatenate([self.room[: self.done + 1], np.empty((need, 6 * HIDDEN), np.float32)])
-            for i in range(0, len(self.rows), 4096):
-                part = slice(i, i + 4096)
-                got = self.net.gates(self.net.inputs(np.array(self.rows[part]), np.array(self.grams[part])))
-                self.room[self.done + 1 : self.done + 1 + len(got)] = got
-                self.done += len(got)
-            self.rows, self.grams = [], []
+        done = len(self.known) - len(self.fresh)
+        if len(self.known) >= self.room.shape[1]:
+            self.room = np.concatenate([self.room[:, : done + 1], np.empty((2, len(self.fresh), 3 * HIDDEN), np.float32)], axis=1)
+        for i in range(0, len(self.fresh), 4096):
+            self.net.fill(self.room, done + 1 + i, *parts(self.fresh[i : i + 4096]))
+        self.fresh = []
         return self.room
 
     def renew(self):
-        if len(self) > WORD_CACHE:
+        if len(self.known) > WORD_CACHE or len(self) > 2 * WORD_CACHE:
             self.clear()
             self.__init__(self.net)
 
@@ -347,7 +422,7 @@ def _scorer(frozen: dict):
             parts, scores, held = [], [], 0
             for t in batch.column(1):
                 words = split(t.as_py())
-                parts.append(windows(np.fromiter(map(known.__getitem__, words), np.int64, count=len(words))))
+                parts.append(windows(np.fromiter(map(known.__getitem__, words), np.int32, count=len(words))))
                 held += len(parts[-1])
                 if held >= 2048:
                     scores += _of_parts(net, known, parts)
@@ -376,8 +451,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     order = [F.xxhash64("__id"), F.col("__id")]
     some = known.where("__label = 1").orderBy(*order).limit(most[0]).unionByName(known.where("__label = 0").orderBy(*order).limit(most[1]))
     # At most sum(most) rows by the limits above.
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id")).select("__id", "__label", text_or_empty(text_col).alias("text"))
-    found = sorted(rows.collect(), key=lambda r: (r["__id"], r["text"]))
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = texts.join(F.broadcast(some), F.col("id") == F.col("__id")).select("id", "__label", "text")
+    found = sorted(rows.collect(), key=lambda r: (r["id"], r["text"]))
     return [r["text"] for r in found], [int(r["__label"]) for r in found]
 
 
