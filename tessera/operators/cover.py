@@ -57,3 +57,24 @@ def covered_albums(edges: DataFrame, images: DataFrame, image_id: str, album: st
     a_goes = (F.col("matched") == F.col("n_a")) & (F.col("n_b") >= F.col("n_a")) & ~b_goes
     lost = F.when(b_goes, F.col("album_b")).when(a_goes, F.col("album_a"))
     return both.select(lost.alias(album)).where(F.col(album).isNotNull()).distinct()
+
+
+def covered_by_content(images: DataFrame, album: str, key: str) -> DataFrame:
+    """(album) of those whose images' keys another album has at least as often, where all equal keys count as matches.
+
+    The matching's size is then the sum over keys of the lesser count. Candidates come from each album's rarest key,
+    which any album that covers it has to hold, so albums that share a common key only are never paired.
+    """
+    counts = images.groupBy(album, key).agg(F.count("*").alias("n"))
+    spread = counts.groupBy(key).agg(F.count("*").alias("albums"))
+    known = counts.join(spread, key)
+    rarest = known.groupBy(album).agg(F.min_by(F.struct(F.col(key).alias("key"), F.col("n")), F.struct("albums", key)).alias("r"), F.sum("n").alias("size"))
+    rarest = rarest.select(F.col(album).alias("b"), F.col("r.key").alias("key"), F.col("r.n").alias("n_b"), F.col("size").alias("size_b"))
+    held = counts.select(F.col(album).alias("a"), F.col(key).alias("key"), F.col("n").alias("n_a"))
+    pairs = rarest.join(held, "key").where("a <> b AND n_a >= n_b").select("a", "b", "size_b")
+    of_b = counts.select(F.col(album).alias("b"), F.col(key).alias("key"), F.col("n").alias("n_b"))
+    matched = pairs.join(of_b, "b").join(held, ["a", "key"]).groupBy("a", "b").agg(F.sum(F.least("n_a", "n_b")).alias("m"), F.max("size_b").alias("size_b"))
+    covers = matched.where("m = size_b").select("a", "b")
+    back = covers.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(True).alias("mutual"))
+    lost = covers.join(back, ["a", "b"], "left").where("mutual IS NULL OR a < b")
+    return lost.select(F.col("b").alias(album)).distinct()

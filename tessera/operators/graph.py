@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.verify import merkle
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share; a local one only where the session names none."""
@@ -51,10 +53,10 @@ def initial_action(is_library: Column, manual_review: Column, group_has_library:
     return F.when(keep, "keep").otherwise("exclude")
 
 
-def member_signature(members: DataFrame, group: str, source: Column, id_col: str) -> DataFrame:
+def member_signature(members: DataFrame, group: str, source: Column, id_col: str, depth: int | None = None) -> DataFrame:
     """A digest of each group's exact member set, independent of order; equal signatures mean equal sets."""
-    listed = F.sort_array(F.collect_set(F.concat_ws(":", source, F.col(id_col).cast("string"))))
-    return members.groupBy(group).agg(F.md5(F.array_join(listed, "\n")).alias("signature"), F.count("*").alias("members"))
+    found = merkle(members.select(group, source.alias("__s"), id_col).distinct(), [group], F.concat_ws(":", "__s", F.col(id_col).cast("string")), depth)
+    return found.select(group, F.col("hash").alias("signature"), F.col("rows").alias("members"))
 
 
 def reconcile_groups(stored: DataFrame, fresh: DataFrame) -> DataFrame:

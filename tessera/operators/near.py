@@ -47,6 +47,16 @@ def radius_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, r
     return l.join(r, "block").where(distance <= radius).select("left_id", "right_id", distance.cast("long").alias("distance"))
 
 
+def without_exact(pairs: DataFrame, rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
+    """Pairs whose ends differ in every exact key; each end's keys are looked up, no pairs are made."""
+    for side in ("left", "right"):
+        pairs = pairs.join(rows.select(F.col(id_col).alias(f"{side}_id"), *[F.col(k).alias(f"{side}_{k}") for k in keys]), f"{side}_id")
+    same = F.lit(False)
+    for k in keys:
+        same = same | F.coalesce(F.col(f"left_{k}") == F.col(f"right_{k}"), F.lit(False))
+    return pairs.where(~same).drop(*[f"{s}_{k}" for s in ("left", "right") for k in keys])
+
+
 def tied_transforms(recalled: DataFrame, keys: list[str], distance: str, transform: str) -> DataFrame:
     """Per pair the least distance and all transforms tied at it, in order."""
     least = F.min(distance).over(Window.partitionBy(*keys))

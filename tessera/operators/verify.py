@@ -22,22 +22,35 @@ def length_prefixed(*fields: Column) -> Column:
     return F.concat(*[F.concat(F.length(f.cast("string")).cast("string"), F.lit(":"), f.cast("string")) for f in fields])
 
 
-def canonical_hash(rows: DataFrame, group: list[str], order: list[Column], fields: list[Column]) -> DataFrame:
-    """sha2 over the group's rows in order, length-prefixed: independent of the rows' physical order."""
-    listed = F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], length_prefixed(*fields).alias("text"))))
-    return rows.groupBy(*group).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["text"]), ""), 256).alias("hash"), F.count("*").alias("rows"))
+def merkle(rows: DataFrame, group: list[str], text: Column, depth: int | None = None) -> DataFrame:
+    """(group..., hash, rows): a digest of each group's multiset of texts, in no order.
 
-
-def table_fingerprint(df: DataFrame, columns: list[str], parts: int = 256) -> DataFrame:
-    """Row count and content fingerprint of a table, independent of order; repeated rows count.
-
-    Rows hash to md5 texts. Within each of `parts` classes of the hash's first byte the sorted hashes are joined and
-    hashed, then the classes' digests in order: sorting is spread over tasks, and the last step sees 256 rows.
+    Equal texts are counted first, with map-side combining, so a text that most rows share is one entry. Entries hash to
+    md5 and form the leaves of a tree by the first `depth` hex digits; every inner node hashes its at most 16 children.
+    By default the depth grows with the table, so that a leaf of the largest group holds about 256 entries: no task ever
+    sees a whole group.
     """
-    row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]))
-    hashed = df.select(row.alias("h"))
-    classes = hashed.groupBy(F.substring("h", 1, 2).alias("class")).agg(F.md5(F.array_join(F.sort_array(F.collect_list("h")), "\n")).alias("d"), F.count("*").alias("n"))
-    return classes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_count"),
-        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("class", "d"))), lambda x: x["d"]), "\n")).alias("fingerprint"),
-    )
+    counted = rows.select(*group, F.md5(text).alias("h")).groupBy(*group, "h").agg(F.count("*").alias("n"))
+    if depth is None:
+        n = rows.count()
+        depth = 0
+        while n > 256 * 16**depth:
+            depth += 1
+    joined = lambda parts: F.md5(F.array_join(F.sort_array(F.collect_list(parts)), "\n"))
+    level = counted.groupBy(*group, F.substring("h", 1, depth).alias("node")).agg(joined(F.concat("h", F.lit(":"), F.col("n").cast("string"))).alias("d"), F.sum("n").alias("rows"))
+    for k in range(depth - 1, -1, -1):
+        level = level.groupBy(*group, F.substring("node", 1, k).alias("node")).agg(joined(F.concat("node", F.lit(":"), "d")).alias("d"), F.sum("rows").alias("rows"))
+    return level.select(*group, F.col("d").alias("hash"), "rows")
+
+
+def canonical_hash(rows: DataFrame, group: list[str], fields: list[Column], depth: int | None = None) -> DataFrame:
+    """Digest of each group's records, of length-prefixed fields, whatever order they are stored in."""
+    return merkle(rows, group, length_prefixed(*fields), depth)
+
+
+def table_fingerprint(df: DataFrame, columns: list[str], depth: int | None = None) -> DataFrame:
+    """Row count and content fingerprint of a table, independent of order; repeated rows count."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    found = merkle(df, [], text, depth)
+    empty = F.md5(F.lit(""))
+    return found.agg(F.coalesce(F.max("rows"), F.lit(0).cast("long")).alias("row_count"), F.coalesce(F.max("hash"), empty).alias("fingerprint"))

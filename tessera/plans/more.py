@@ -150,10 +150,14 @@ def d07_score(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", long(F.round(X.similarity(F.col("l_discount"), F.col("l_tax")) * 1000000)).alias("confidence"))
 
 
-@query("d23_snapshot_hash", "SELECT conv_id, sha256(string_agg(length(role) || ':' || role || length(CAST(turn AS VARCHAR)) || ':' || turn || '32:' || md5(COALESCE(text, '')), '' ORDER BY turn, role)) AS hash, COUNT(*) AS rows FROM conversations GROUP BY conv_id")
+@query(
+    "d23_snapshot_hash",
+    """SELECT conv_id, md5(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS hash, CAST(SUM(n) AS BIGINT) AS rows FROM (SELECT conv_id,
+         md5(length(role) || ':' || role || length(CAST(turn AS VARCHAR)) || ':' || turn || '32:' || md5(COALESCE(text, ''))) AS h, COUNT(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY conv_id""",
+)
 def d23(spark, sf):
     turns = table(spark, sf, "conversations").withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
-    return verify.canonical_hash(turns, ["conv_id"], [F.col("turn"), F.col("role")], [F.col("role"), F.col("turn"), F.col("digest")])
+    return verify.canonical_hash(turns, ["conv_id"], [F.col("role"), F.col("turn"), F.col("digest")], depth=0)
 
 
 @query(
@@ -183,7 +187,7 @@ def v13(spark, sf):
 @query("v16_confirmed_hash", "SELECT source, COUNT(*) % 2 = 0 AS confirmed FROM documents GROUP BY source")
 def v16(spark, sf):
     docs = table(spark, sf, "documents")
-    plan = verify.canonical_hash(docs, ["source"], [F.col("doc_id")], [F.col("doc_id")])
+    plan = verify.canonical_hash(docs, ["source"], [F.col("doc_id")])
     told = plan.select("source", F.when(F.col("rows") % 2 == 0, F.col("hash")).otherwise("stale").alias("told"))
     return plan.join(told, "source").select("source", (F.col("hash") == F.col("told")).alias("confirmed"))
 

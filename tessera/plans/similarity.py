@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import expr as X
 from tessera.operators import cover, graph, merge, near, planning, verify
 from tessera.operators.exact import exact_star_edges, first_of_key, library_edges
 from tessera.plans.registry import query
@@ -101,9 +100,7 @@ def d08(spark, sf):
 
 @query("d09_skip_exact_pairs", f"WITH {SIGNS} SELECT a.vec_id AS left_id, b.vec_id AS right_id FROM signs a JOIN signs b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 20 WHERE a.label <> b.label")
 def d09(spark, sf):
-    rows = signed(spark, sf)
-    exact = rows.select("label", F.col("vec_id").alias("left_id")).join(rows.select("label", F.col("vec_id").alias("right_id")), "label").where("left_id < right_id")
-    return d05(spark, sf).join(exact, ["left_id", "right_id"], "left_anti").select("left_id", "right_id")
+    return near.without_exact(d05(spark, sf), signed(spark, sf), "vec_id", ["label"]).select("left_id", "right_id")
 
 
 @query(
@@ -168,10 +165,10 @@ def d14(spark, sf):
 
 @query(
     "d15_group_signatures",
-    f"WITH {GROUPS} SELECT grp, md5(string_agg('import:' || doc_id, chr(10) ORDER BY 'import:' || doc_id)) AS signature, COUNT(*) AS members FROM members GROUP BY grp",
+    f"WITH {GROUPS} SELECT grp, md5(string_agg(node || ':' || d, chr(10) ORDER BY node || ':' || d)) AS signature, CAST(SUM(n) AS BIGINT) AS members FROM (SELECT grp, substr(h, 1, 1) AS node, md5(string_agg(h || ':1', chr(10) ORDER BY h)) AS d, COUNT(*) AS n FROM (SELECT grp, md5('import:' || doc_id) AS h FROM members) GROUP BY 1, 2) GROUP BY grp",
 )
 def d15(spark, sf):
-    return graph.member_signature(members(spark, sf), "grp", F.lit("import"), "doc_id")
+    return graph.member_signature(members(spark, sf), "grp", F.lit("import"), "doc_id", depth=1)
 
 
 @query(
@@ -263,13 +260,15 @@ def d19(spark, sf):
     return planning.edge_exclusions(edges)
 
 
-@query("d20_covered_albums")
+@query(
+    "d20_covered_albums",
+    """WITH d AS (SELECT doc_id, source || '/' || (doc_id % 40) AS album, md5(text) AS h FROM documents), c AS (SELECT album, h, COUNT(*) AS n FROM d GROUP BY ALL), s AS (SELECT album, SUM(n) AS n FROM c GROUP BY album),
+       m AS (SELECT a.album AS a, b.album AS b, SUM(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.h = b.h AND a.album <> b.album GROUP BY 1, 2), v AS (SELECT m.a, m.b FROM m JOIN s ON s.album = m.b WHERE m.m = s.n)
+       SELECT DISTINCT b AS album FROM v WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.a = v.b AND w.b = v.a) OR a < b""",
+)
 def d20(spark, sf):
-    """Albums of one language and source whose every document has a copy of its own elsewhere; tested against a plain matching."""
-    docs = hashed(spark, sf).withColumn("album", F.concat_ws("/", "source", "lang"))
-    keys = docs.select("n_chars", "digest", F.col("doc_id").alias("a"))
-    edges = keys.join(keys.withColumnRenamed("a", "b"), ["n_chars", "digest"]).where("a < b")
-    return cover.covered_albums(edges, docs, "doc_id", "album")
+    docs = hashed(spark, sf).select(F.concat("source", F.lit("/"), (F.col("doc_id") % 40).cast("string")).alias("album"), "digest")
+    return cover.covered_by_content(docs, "album", "digest")
 
 
 @query("d21_invalidate_drafts", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'invalidated' ELSE o_orderstatus END AS state FROM orders")
@@ -278,9 +277,14 @@ def d21(spark, sf):
     return merge.guarded_update(rows, "state", F.col("state") == "P", F.lit("invalidated")).select("o_orderkey", "state")
 
 
-@query("d22_plan_hash", "SELECT source, sha256(string_agg(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(CAST(n_chars AS VARCHAR)) || ':' || n_chars || '32:' || md5(text), '' ORDER BY doc_id)) AS hash, COUNT(*) AS rows FROM documents GROUP BY source")
+@query(
+    "d22_plan_hash",
+    """SELECT source, md5(string_agg(node || ':' || d, chr(10) ORDER BY node || ':' || d)) AS hash, CAST(SUM(n) AS BIGINT) AS rows FROM (
+         SELECT source, substr(h, 1, 1) AS node, md5(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS d, SUM(n) AS n FROM (
+           SELECT source, md5(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(CAST(n_chars AS VARCHAR)) || ':' || n_chars || '32:' || md5(text)) AS h, COUNT(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY source""",
+)
 def d22(spark, sf):
-    return verify.canonical_hash(hashed(spark, sf), ["source"], [F.col("doc_id")], [F.col("doc_id"), F.col("n_chars"), F.col("digest")])
+    return verify.canonical_hash(hashed(spark, sf), ["source"], [F.col("doc_id"), F.col("n_chars"), F.col("digest")], depth=1)
 
 
 @query(

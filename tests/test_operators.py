@@ -114,6 +114,14 @@ def test_fingerprint_ignores_order_but_not_repetition(spark):
     assert f(df.where("false"))[0] == 0
 
 
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_merkle_digest_is_of_the_multiset(spark, depth):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("t")).repartition(7)
+    f = lambda d: {r.g: (r.hash, r.rows) for r in verify.merkle(d, ["g"], F.col("t"), depth).collect()}
+    assert f(df) == f(df.orderBy(F.desc("t"))) and len(set(f(df).values())) == 2
+    assert f(df)[0] != f(df.where("NOT (g = 0 AND t = '2')"))[0]
+
+
 def test_length_prefix_tells_fields_apart(spark):
     df = spark.createDataFrame([("ab", "c"), ("a", "bc")], "x string, y string")
     assert df.select(verify.length_prefixed(F.col("x"), F.col("y"))).distinct().count() == 2
@@ -141,6 +149,16 @@ def test_covered_albums(spark):
     assert rows(cover.covered_albums(edges, images, "id", "album")) == [("b",), ("d",)]
 
 
+def test_covered_by_content_equals_matching(spark):
+    rng = random.Random(4)
+    data = [(k, f"al{rng.randrange(25)}", rng.choice("aabcdefghij")) for k in range(70)]
+    images = spark.createDataFrame(data, "id int, album string, h string")
+    keys = images.select("h", F.col("id").alias("a"))
+    edges = keys.join(keys.withColumnRenamed("a", "b"), "h").where("a < b")
+    want = rows(cover.covered_albums(edges, images, "id", "album"))
+    assert rows(cover.covered_by_content(images, "album", "h")) == want and want
+
+
 def test_plan_edit_and_rollup(spark):
     images = spark.createDataFrame([(1, "a", 10), (2, "a", 20), (3, "b", 5), (4, "c", 1)], "id long, album string, size long")
     gone = spark.createDataFrame([(3,), (9,)], "id long")
