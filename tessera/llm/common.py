@@ -77,6 +77,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def utf8(column):
+    """The UTF-8 bytes of an Arrow text column, one by one, without making Python strings of them."""
+    import pyarrow as pa
+
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    return (x.as_py() for x in raw)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import erase, fitted, text_or_empty, whole_row, written
+from tessera.llm.common import erase, fitted, text_or_empty, utf8, whole_row, written
 from tessera.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -59,11 +59,11 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int):
-    """Sorted distinct hashes of the text's width-word shingles; of all its words as one if they are fewer; none of none."""
+def shingles(text: bytes | None, width: int):
+    """Sorted distinct hashes of the UTF-8 text's width-word shingles; of all its words as one if they are fewer; none of none."""
     import numpy as np
 
-    words = (text or "").encode("utf-8").lower().split()
+    words = (text or b"").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -117,9 +117,9 @@ def _signer(width: int, bands: int, rows: int):
 
         for batch in batches:
             ids, sets, held, id_type = [], [], 0, batch.schema.field(0).type
-            for i, t in zip(batch.column(0), batch.column(1)):
+            for i, t in zip(batch.column(0), utf8(batch.column(1))):
                 ids.append(i.as_py())
-                sets.append(shingles(t.as_py(), width))
+                sets.append(shingles(t, width))
                 held += len(sets[-1])
                 if held >= BATCH:
                     yield made(ids, sets, id_type)
@@ -155,9 +155,9 @@ def _keeper(width: int):
 
         for batch in batches:
             ids, data, held = [], [], 0
-            for i, t in zip(batch.column(0), batch.column(1)):
+            for i, t in zip(batch.column(0), utf8(batch.column(1))):
                 ids.append(i)
-                data.append(shingles(t.as_py(), width).tobytes())
+                data.append(shingles(t, width).tobytes())
                 held += len(data[-1])
                 if held > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(data, pa.binary())], names=["cls", "set"])

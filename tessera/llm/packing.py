@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import text_or_empty, utf8
 
 WINDOW = 4096
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -127,8 +127,8 @@ def _packer(id_field, path: str | None, end_id: int, tiers: tuple[int, ...], sha
         ids, texts, held, id_type = [], [], 0, None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for i, t in zip(batch.column(0), batch.column(1)):
-                tokens = enc.encode(t.as_py()) + end
+            for i, t in zip(batch.column(0), utf8(batch.column(1))):
+                tokens = enc.encode(t) + end
                 ids.append(i.as_py())
                 texts.append(tokens)
                 held += len(tokens) // width

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import text_or_empty, utf8
 
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 15
@@ -71,8 +71,8 @@ def parts(words: list[str]):
     return rows.astype(np.int32), np.concatenate([trigrams, np.stack(starts, axis=1)], axis=1).astype(np.int32)
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").lower().split()
+def split(text: str | bytes | None) -> list[bytes]:
+    return (text.encode("utf-8") if isinstance(text, str) else text or b"").lower().split()
 
 
 def windows(ids):
@@ -420,8 +420,8 @@ def _scorer(frozen: dict):
         known = _Table(net)
         for batch in batches:
             parts, scores, held = [], [], 0
-            for t in batch.column(1):
-                words = split(t.as_py())
+            for t in utf8(batch.column(1)):
+                words = split(t)
                 parts.append(windows(np.fromiter(map(known.__getitem__, words), np.int32, count=len(words))))
                 held += len(parts[-1])
                 if held >= 2048:

@@ -145,3 +145,28 @@ def test_op10(spark, docs):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+
+
+def test_pipeline(spark, docs, token_ids):
+    kept = {r.doc_id for r in Q.op8_quality_rules(spark, SF).collect() if r.kept}
+    alive = [(i, t) for i, t, *_ in docs if i in kept]
+    unique = {i for i, (_, _, k, _) in brute.exact(alive).items() if k}
+    final = {i for i, (_, c) in brute.near([(i, t) for i, t in alive if i in unique], 5).items() if i == c}
+    size = {i: brute.quality(t)[0] for i, t, *_ in docs}
+    source = {i: s for i, _, s, _ in docs}
+    pieces, copies = defaultdict(Counter), Counter()
+    for r in Q.pipeline(spark, SF).collect():
+        pieces[r.doc_id][(r.start, r.length, r.ids_crc32)] += 1
+        copies[r.doc_id] += r.start == 0
+    assert set(pieces) <= final
+    for i, own in pieces.items():
+        full = [*token_ids[i], 2]
+        assert sum(n * k for (_, n, _), k in own.items()) == copies[i] * len(full)
+        assert all(c == crc(full[s : s + n]) for s, n, c in own)
+    words, taken, largest = Counter(), Counter(), Counter()
+    for i in final:
+        words[source[i]] += size[i]
+        taken[source[i]] += copies[i] * size[i]
+        largest[source[i]] = max(largest[source[i]], size[i])
+    want = brute.mix_targets(words)
+    assert all(abs(taken[s] - want[s]) <= largest[s] and copies[i] <= 3 for s in want for i in final)
