@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fitted, shared_dir, text_or_empty
+from tessera.llm.common import fitted, shared_dir, small_batches, text_or_empty, utf8
 
 #: selector -> (ids in a word, bits of each). Fixed values of the format.
 SELECTORS = {
@@ -45,28 +45,35 @@ def encode(ids, ends):
     ends = np.asarray(ends, dtype=np.int64)
     lengths = np.diff(ends, prepend=0)
     left = np.repeat(ends, lengths) - np.arange(n)  # ids up to the document's end
+    # The first selector whose width holds each id: a byte each, so the passes below are cheap.
+    limits = np.array([1 << bits for _, bits in SELECTORS.values()], dtype=np.uint64)
+    need = np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)[np.minimum(ids, (1 << 16) - 1)] if n > 1 << 12 else None
+    if need is None or ids.max() >= 1 << 16:
+        need = np.searchsorted(limits, ids, side="right").astype(np.uint8)
     best = np.full(n, 14, dtype=np.uint8)
-    taken = np.zeros(n, dtype=bool)
+    free = np.ones(n, dtype=bool)
+    left = np.minimum(left, 255).astype(np.uint8)
     for s in range(1, 14):
-        count, bits = SELECTORS[s]
-        small = ids < (1 << bits)
+        count = SELECTORS[s][0]
         if n < count:
             continue
-        large = np.flatnonzero(~small)
-        if len(large) and max(np.diff(large, prepend=-1).max() - 1, n - 1 - large[-1]) < count:
-            continue
-        over = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(~small, out=over[1:])
-        fits = np.zeros(n, dtype=bool)
-        fits[: n - count + 1] = over[count:] == over[: n - count + 1]
-        fits &= (left >= count) & ~taken
-        best[fits] = s
-        taken |= fits
+        wide, size = need >= s, 1  # whether any of the next `size` ids is too wide, for sizes that double up to count
+        while 2 * size <= count:
+            wide = wide[:-size] | wide[size:]
+            size *= 2
+        if count > size:
+            wide = wide[: size - count] | wide[count - size :]
+        fits = ~wide
+        if fits.any():
+            fits &= free[: len(fits)] & (left[: len(fits)] >= count)
+            best[: len(fits)][fits] = s
+            free[: len(fits)] &= ~fits
     best[ids >= (1 << 60)] = ESCAPE
     step = np.array([1, *[SELECTORS[s][0] for s in range(1, 15)]])[best].tolist()
     at, i = [], 0
+    put = at.append
     while i < n:
-        at.append(i)
+        put(i)
         i += step[i]
     at = np.array(at, dtype=np.int64)
     chosen = best[at]
@@ -154,9 +161,9 @@ def _coder(path: str | None, end_id: int, block_ids: int):
         docs, texts, held = [], [], 0
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for i, t in zip(batch.column(0), batch.column(1)):
+            for i, t in zip(batch.column(0), utf8(batch.column(1))):
                 docs.append(i.as_py())
-                texts.append(enc.encode(t.as_py()) + end)
+                texts.append(enc.encode(t) + end)
                 held += len(texts[-1]) // enc.dtype.itemsize
                 if held >= GROUP:
                     yield blocks(docs, texts, id_type)
@@ -189,7 +196,8 @@ def write(
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"shard int, block int, shard_start long, n_docs int, n_ids long, doc_ids array<{kind}>, lengths binary, offsets binary, words binary"
     blocks = ranged.sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(_coder(tokenizer, end_id, block_ids), schema)
-    blocks.write.option("compression", "zstd").parquet(path)
+    with small_batches(docs.sparkSession):
+        blocks.write.option("compression", "zstd").parquet(path)
 
 
 def _reader(id_field: str):

@@ -8,10 +8,9 @@ are looked up with A-Z lower-cased, as the tokenizer's own normaliser has it.
 from __future__ import annotations
 
 import sys
-import unicodedata
 from array import array
 
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 450_000
 #: Letters below this one (the Latin blocks) are lower-cased alike by Python and the tokenizer's normaliser, but for those
 #: that an encoder finds out when it starts.
 _LATIN_END = "\u0250"
@@ -42,15 +41,12 @@ class Encoder(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65_536 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._old: dict[bytes, bytes] = {}
-        # Bytes as the byte-level step spells them, learned from the tokenizer: printable bytes stand for themselves.
-        self._spelled = {}
-        for letter in map(chr, range(0x80, 0x250)):
-            for byte, sign in zip(letter.encode(), self._bytes_of(letter)):
-                self._spelled[byte] = sign
+        # Latin letters, lower-cased, as the tokenizer's byte-level step spells them; they are stable under its NFC.
+        self._spelled = {ord(c): self._bytes_of(c.lower()) for c in map(chr, range(0x80, ord(_LATIN_END))) if c.isalpha()}
         # Whether words may take the short way is asked of the tokenizer itself.
         probe = ["thor", "l\u00e9gende", "stra\u00dfe", "ni\u00f1o"]
         self._short = all(self._word(w) == self._direct(w) for w in probe)
-        self._long = {c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and self._word(f"a{c}a") != self._direct(f"a{c}a")}
+        self._long = [c for c in map(chr, self._spelled) if self._word(f"a{c}a") != self._direct(f"a{c}a")]
 
     def _packed(self, ids: list[int]) -> bytes:
         out = array(self._code, ids)
@@ -63,9 +59,9 @@ class Encoder(dict):
         return "".join(part for part, _ in pre.pre_tokenize_str(letter)) if pre else letter
 
     def _word(self, word: str) -> bytes:
+        """Ids of a word of Latin letters, A-Z lower-cased already."""
         if not word.isascii():
-            raw = unicodedata.normalize("NFC", word).lower().encode()
-            word = "".join(chr(c) if c < 0x80 else self._spelled.get(c, "") for c in raw)
+            word = word.translate(self._spelled)
         return self._packed([x.id for x in self.model.tokenize(word)])
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -82,7 +78,7 @@ class Encoder(dict):
         text = chunk.decode()
         if self._short:
             stem = text.rstrip(_MARKS)
-            if stem.isalpha() and (stem.isascii() or (max(stem) < _LATIN_END and self._long.isdisjoint(stem))):
+            if stem.isalpha() and (stem.isascii() or (max(stem) < _LATIN_END and not any(map(stem.count, self._long)))):
                 if len(stem) == len(text):
                     return self._word(text)
                 cut = len(text) - len(stem)  # marks are one byte each
@@ -92,10 +88,10 @@ class Encoder(dict):
     def _direct(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8")
+    def encode(self, text: str | bytes | None) -> bytes:
+        raw = text.encode("utf-8") if isinstance(text, str) else text or b""
         if b"<|" in raw:  # may hold a special token, whose spelling is exact
-            return self._direct(text)
+            return self._direct(raw.decode())
         return b"".join(map(self.__getitem__, raw.lower().replace(b"\n", b" ").split(b" ")))
 
 
