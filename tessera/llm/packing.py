@@ -25,6 +25,8 @@ TIERS = (256, 512, 1024, 2048, 4096)
 SHARD_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 END_ID = 2
+#: Chunks that the encoder remembers here: workers outlive the stage, beside whatever else runs on their machine.
+CHUNKS = 250_000
 PIECES = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 )
@@ -98,7 +100,7 @@ def _packer(id_field, path: str | None, end_id: int, tiers: tuple[int, ...], sha
 
         from tessera.llm.tokens import encoder
 
-        enc = encoder(path)
+        enc = encoder(path, CHUNKS)
         width, end = enc.dtype.itemsize, np.array([end_id], dtype=enc.dtype).tobytes()
         # Fixed by the partition, which a retried task shares: sequence and group numbers survive lost executors.
         first = TaskContext.get().partitionId() << 36

@@ -32,7 +32,7 @@ class Encoder(dict):
     generation of the memory, the others leave with the old one.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, most: int = CACHE_CHUNKS):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -40,7 +40,7 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65_536 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
-        self._old: dict[bytes, bytes] = {}
+        self.most, self._old = most, {}
         # Latin letters, lower-cased, as the tokenizer's byte-level step spells them; they are stable under its NFC.
         self._spelled = {ord(c): self._bytes_of(c.lower()) for c in map(chr, range(0x80, ord(_LATIN_END))) if c.isalpha()}
         # Whether words may take the short way is asked of the tokenizer itself.
@@ -68,7 +68,7 @@ class Encoder(dict):
         ids = self._old.get(chunk)
         if ids is None:
             ids = self._new(chunk)
-        if len(self) >= CACHE_CHUNKS:
+        if len(self) >= self.most:
             self._old = dict(self)
             self.clear()
         self[chunk] = ids
@@ -95,14 +95,14 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, raw.lower().replace(b"\n", b" ").split(b" ")))
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+_ENCODERS: dict[tuple[str | None, int], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
+def encoder(path: str | None = None, most: int = CACHE_CHUNKS) -> Encoder:
+    """One encoder per worker process, vocabulary and memory of chunks (two generations of `most`)."""
+    if (path, most) not in _ENCODERS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
