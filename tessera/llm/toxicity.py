@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is its own vector (by hash) beside the elementwise largest of the vectors of its character pieces:
-trigrams, and beginnings of three to six letters. Two GRUs read a window of words in both directions, attention pools their states, and a logistic unit scores the window. Windows overlap and
+trigrams, and beginnings of three to six letters. Runs of more than 20 characters enter as overlapping pieces. Two GRUs read a window of words in both directions, attention pools their states, and a logistic unit scores the window. Windows overlap and
 cover the whole text; a text's score is its highest window's, with the number of windows accounted for. The network
 learns from documents' labels: each round trains on the windows that it then finds most toxic in each document, first
 chosen by the words and pieces that labels single out beyond chance. Rare words and pieces keep the zero vector, as unseen
@@ -24,6 +24,8 @@ WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 8, 12, 8
 PIECES = 24
+#: Characters of the longest word that is one word to the network, and of the pieces that longer runs are cut into.
+LONGEST, PIECE = PIECES - 4, PIECES - 6
 #: Documents that a word or piece has to stand in to have a vector of its own.
 LEAST_DOCS = 3
 #: Labelled documents that training reads at most: toxic and clean.
@@ -33,20 +35,24 @@ WORD_CACHE = 150_000
 EDGES = b".,;:!?\"'()[]{}<>#*$%&|"
 
 
-def bare(word: bytes) -> str:
-    """The word without punctuation around it, in lower case; punctuation alone stays."""
+def bare(word: bytes | str) -> str:
+    """The word without punctuation around it, in lower case; punctuation alone and pieces of a run stay."""
+    if isinstance(word, str):
+        return word
     return (word.strip(EDGES) or word).decode("utf-8", "replace").lower()
 
 
 def parts(words: list[str]):
     """Rows of words (n) and of their pieces (n, PIECES), -1 where a word has fewer.
 
-    Pieces are the beginnings of three to six letters, with the word's start marked, and trigrams of the marked word, of
-    a long word PIECES - 4 evenly spread ones. All words are hashed at once, over their characters.
+    Pieces are the beginnings of three to six letters, with the word's start marked, and all trigrams of the marked word.
+    Words have LONGEST characters at most, as split() gives them. All words are hashed at once, over their characters.
     """
     import numpy as np
 
     n = np.array([len(w) for w in words], dtype=np.int64)
+    if n.max(initial=0) > LONGEST:
+        raise ValueError(f"a word of {n.max()} characters has to be cut first")
     letters = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     first = np.cumsum(n + 2) - (n + 2)  # where each marked word begins
     mixed = (letters + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -63,16 +69,34 @@ def parts(words: list[str]):
             h ^= h >> np.uint64(32)
         return (h % np.uint64(CHAR_ROWS)).astype(np.int32)
 
-    slots = PIECES - 4
-    i = np.arange(slots)[None, :]
-    at = np.where(n[:, None] > slots, i * n[:, None] // slots, i)
-    trigrams = np.where((i < n[:, None]) & (n[:, None] > 0), spell(first[:, None] + at, 3), -1)
+    i = np.arange(LONGEST)[None, :]
+    trigrams = np.where(i < n[:, None], spell(first[:, None] + i, 3), -1)
     starts = [np.where(n >= k, spell(first, k + 1), -1) for k in (3, 4, 5, 6)]
     return rows.astype(np.int32), np.concatenate([trigrams, np.stack(starts, axis=1)], axis=1).astype(np.int32)
 
 
-def split(text: str | bytes | None) -> list[bytes]:
-    return (text.encode("utf-8") if isinstance(text, str) else text or b"").lower().split()
+def pieces(run: str) -> list[str]:
+    """Pieces of PIECE characters that cover a run of more than LONGEST, each half over the next.
+
+    So every trigram stands in a piece, and whatever has up to half a piece's characters stands in one whole. NUL marks
+    the ends that are none of the run's, lest they pass for a word's beginning or end.
+    """
+    last = len(run) - PIECE
+    return ["\0" * (s > 0) + run[s : s + PIECE] + "\0" * (s < last) for s in [*range(0, last, PIECE // 2), last]]
+
+
+def split(text: str | bytes | None) -> list[bytes | str]:
+    """Words between white space; of runs longer than LONGEST (unspaced scripts, joined words) the pieces, as str."""
+    words = (text.encode("utf-8") if isinstance(text, str) else text or b"").lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[bytes | str] = []
+    for w in words:
+        if len(w) > LONGEST and len(run := bare(w)) > LONGEST:
+            out += pieces(run)
+        else:
+            out.append(w)
+    return out
 
 
 def windows(ids):
@@ -383,7 +407,7 @@ class _Table(dict):
         self.fresh: list[str] = []
         net.fill(self.room, 0, np.zeros(1, np.int32), np.full((1, PIECES), -1, np.int32))
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         text = bare(word)
         k = self.known.get(text)
         if k is None:

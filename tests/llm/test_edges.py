@@ -300,6 +300,38 @@ def test_toxicity(odd, spark):
     assert toxicity.scores(odd.where("false"), known).count() == 0
 
 
+def test_toxicity_reads_long_runs_whole():
+    import random
+
+    rng = random.Random(4)
+    for letters in ("abcdefghij.(", "中文字符毒性检测的长文本", "กขคงจฉชซ"):
+        for n in (21, 22, 29, 45, 5000):
+            run = "x" + "".join(rng.choice(letters) for _ in range(n - 2)) + "y"
+            words = toxicity.split(f"so {run} ends")
+            assert words[0] == b"so" and words[-1] == b"ends" and all(len(toxicity.bare(w)) <= 20 for w in words)
+            seen = set(toxicity.parts([toxicity.bare(w) for w in words])[1].ravel().tolist())
+            inner = toxicity.parts([run[i : i + 3] for i in range(n - 2)])[1][:, 1]  # of three letters: ^ab abc bc$
+            assert set(inner.tolist()) <= seen
+    assert toxicity.split("a" * 20 + " (" + "é" * 20 + ")") == [b"a" * 20, ("(" + "é" * 20 + ")").encode()]
+
+
+def test_toxicity_finds_a_passage_in_unspaced_text():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    text = lambda n: [rng.choice(["the", "house", "stands", "by", "a", "river", "in", "old", "town"]) for _ in range(n)]
+    bad = lambda ws: [*ws[: len(ws) // 2], "vile" + rng.choice(["ness", "ly", "ton", "mark"]), *ws[len(ws) // 2 :]]
+    docs = [(bad(text(rng.randrange(20, 200))), 1) if k % 4 == 0 else (text(rng.randrange(20, 200)), 0) for k in range(400)]
+    frozen = toxicity.train(["_".join(w) for w, _ in docs], [y for _, y in docs])
+    fresh = ["_".join(bad(text(300)) if k % 2 else text(300)) for k in range(60)]
+    out = next(toxicity._scorer(frozen)(iter([pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(fresh)], names=["id", "text"])])))
+    got = np.array(out.column(1).to_pylist())
+    assert (got[1::2][:, None] > got[::2][None, :]).mean() >= 0.9, got  # chance is one half
+
+
 def test_network_gradients():
     import numpy as np
 
