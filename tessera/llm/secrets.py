@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Base spans come from three patterns. Beyond them every run of 20 or more key characters is a candidate. Its encoding
+Base spans come from three patterns. Beyond them every run of 20 or more key characters is a candidate; a run that no
+encoding holds is cut at inner '=', and where '+' or '/' meet '_' or '-' at either pair, into candidates. Its encoding
 is inferred (the smallest alphabet that holds it), its symbols become codes, and three tests ask whether they look
 drawn at random: chi-squared uniformity over the alphabet, Wald-Wolfowitz runs of codes in the upper half, and lag-1
 serial correlation. The smallest of the three p-values, corrected for taking the smallest, is the candidate's p.
@@ -63,6 +64,32 @@ def _with_matches(rows: DataFrame, name: str, pattern: str, group: int = 0) -> D
     return rows.withColumn(name, F.expr(f"coalesce({found}, {_NONE})")).drop("__hit", "__g", "__h", "__k")
 
 
+def _pieces(candidate: str, token: str) -> str:
+    """SQL for the tokens of 20 or more characters of a candidate (s, e, n, h), which the pattern covers without gaps."""
+    return f"""aggregate(regexp_extract_all({candidate}.h, {_sql(token)}, 0), struct({candidate}.s AS at, {_NONE} AS found),
+        (a, x) -> struct(a.at + char_length(x) AS at,
+            CASE WHEN char_length(x) >= {LENGTHS[0]} AND x RLIKE '[A-Za-z0-9]' THEN
+                array_append(a.found, struct(a.at AS s, a.at + char_length(x) AS e, char_length(x) AS n, x AS h)) ELSE a.found END AS found),
+        a -> a.found)"""
+
+
+def _fitting(rows: DataFrame, name: str) -> DataFrame:
+    """Cuts candidates that no encoding holds: at inner '=', then at '_' and '-' as well as at '+' and '/', whichever is the key's."""
+    inner = _pieces("c", "[^=]+=+$|[^=]+|=+")
+    rows = rows.withColumn(name, F.expr(f"CASE WHEN exists({name}, c -> c.h RLIKE '=[^=]') THEN flatten(transform({name}, c -> CASE WHEN c.h RLIKE '=[^=]' THEN {inner} ELSE array(c) END)) ELSE {name} END"))
+    mixed = "(c.h RLIKE '[+/]' AND c.h RLIKE '[_-]')"
+    both = f"array_distinct(concat({_pieces('c', '[^_-]+|[_-]+')}, {_pieces('c', '[^+/]+|[+/]+')}))"
+    return rows.withColumn(name, F.expr(f"CASE WHEN exists({name}, c -> {mixed}) THEN flatten(transform({name}, c -> CASE WHEN {mixed} THEN {both} ELSE array(c) END)) ELSE {name} END"))
+
+
+def _merged(spans: str) -> str:
+    """SQL for the sorted spans (s, e) with those that overlap made one: a cut at either separators can give such."""
+    return f"""aggregate(array_sort({spans}), CAST(array() AS array<struct<s:int,e:int>>),
+        (a, x) -> CASE WHEN size(a) > 0 AND x.s < try_element_at(a, -1).e
+            THEN array_append(slice(a, 1, size(a) - 1), struct(try_element_at(a, -1).s AS s, greatest(try_element_at(a, -1).e, x.e) AS e))
+            ELSE array_append(a, struct(x.s AS s, x.e AS e)) END)"""
+
+
 def _upper_tail(z: str) -> str:
     """SQL for the chance that a normal variable exceeds z (Abramowitz and Stegun 26.2.17)."""
     poly = "u * (0.319381530D + u * (-0.356563782D + u * (1.781477937D + u * (-1.821255978D + u * 1.330274429D))))"
@@ -105,6 +132,7 @@ def scanned(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
     rows = docs.select(whole_row(docs, carry), text_or_empty(text_col).alias("t"))
     for name, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("found", CANDIDATE, 0)):
         rows = _with_matches(rows, name, pattern, group)
+    rows = _fitting(rows, "found")
     base = [f"transform(filter({name}, m -> m.n >= {least}), m -> struct(m.s AS s, {k} AS kind, m.e AS e))" for k, (name, least) in enumerate((("assign", 6), ("access", 20), ("hex", 24)))]
     rows = rows.withColumn("base", F.expr(f"sort_array(concat({', '.join(base)}))"))
     rows = rows.withColumn("found", F.expr("filter(found, m -> NOT exists(base, b -> b.s < m.e AND m.s < b.e))"))
@@ -147,7 +175,7 @@ def secrets(docs: DataFrame, text_col: str = "text", limit: float = 0.1, least_r
         table = "map(" + ", ".join(f"{k}, {v}D" for k, v in sorted(at.items())) + ")"
         taken = F.expr(f"filter(tested, c -> coalesce(c.p >= try_element_at({table}, c.stratum), false))")
     scan = scan.withColumn("taken", taken)
-    return scan.select("__row", "base", F.expr("sort_array(concat(base, transform(taken, c -> struct(c.s AS s, 3 AS kind, c.e AS e))))").alias("spans"))
+    return scan.select("__row", "base", F.expr("sort_array(concat(base, transform(" + _merged("taken") + ", c -> struct(c.s AS s, 3 AS kind, c.e AS e))))").alias("spans"))
 
 
 def joined_spans(spans: str) -> str:

@@ -249,6 +249,27 @@ def test_secrets_found_by_their_randomness(spark):
     assert len(got & planted) >= 0.8 * len(planted) and len(got - planted) <= 0.1 * len(got)
 
 
+def test_secrets_joined_to_names(spark):
+    import base64
+    import random
+
+    rng = random.Random(5)
+    shapes = ["export AWS_SECRET_ACCESS_KEY={} now", "auth_key={}", "see http://a.b/c?sig={}", "deploy_to-{} there", "{}=first_second-third"]
+    texts, want = [], []
+    for k in range(400):
+        key = base64.b64encode(rng.randbytes(36)).decode()
+        if "/" not in key and "+" not in key:
+            key = key[:20] + "/" + key[21:]
+        before, after = shapes[k % 5].split("{}")
+        texts.append(before + key + after)
+        want.append((len(before), len(before) + len(key)))
+    got = {r["__row"].doc_id: r.spans for r in secrets.secrets(spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], SCHEMA)).collect()}
+    for shape in range(5):
+        found = [any(x.s <= want[k][0] and want[k][1] <= x.e for x in got[k]) for k in range(shape, 400, 5)]
+        assert sum(found) >= 0.8 * len(found), (shapes[shape], sum(found))
+    assert all(a.e <= b.s for spans in got.values() for a, b in zip(spans, spans[1:]))
+
+
 def test_secret_base_cases(spark):
     import brute
 
