@@ -8,7 +8,7 @@ serial correlation. The smallest of the three p-values, corrected for taking the
 Random keys have p uniform on (0, 1); words pile up near 0. Within a stratum (encoding, length class) the share of
 random candidates follows from how many have large p, hence the false-discovery rate of taking all above a cut; the
 cut is the lowest that keeps it under the limit. Short strata, where words pass the tests by chance, so get a high
-cut or none. Counts per stratum and p-bin are all that leaves the rows: a table of bounded size.
+cut or none. A stratum too thin to tell takes its cut from a coarser one. Counts per stratum and p-bin are all that leaves the rows: a table of bounded size.
 
 Positions: a pattern's matches and the pieces between them have lengths that add up to the matches' places.
 """
@@ -140,6 +140,31 @@ def scanned(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
     return rows.select("__row", "base", tested.alias("tested"))
 
 
+#: Families of encodings by the letters of their keys: lower case, upper case, both.
+_FAMILY = [0, 1, 0, 1, 0, 2, 2, 2]
+#: Which strata a thin one is pooled with: ever coarser, from neighbouring length classes to all.
+_NEIGHBOURS = [
+    lambda a, b: a // 100 == b // 100 and abs(a - b) <= 1,
+    lambda a, b: a // 100 == b // 100,
+    lambda a, b: _FAMILY[a // 100] == _FAMILY[b // 100],
+    lambda a, b: True,
+]
+
+
+def _above(row: list[int]) -> list[int]:
+    return [sum(row[b:]) for b in range(BINS)]
+
+
+def _random(above: list[int]) -> int:
+    """How many are random, p being uniform then: by the share beyond 1/2 and beyond 3/4; words inflate the first more."""
+    return min(2 * above[BINS // 2], 4 * above[3 * BINS // 4])
+
+
+def _lowest(above: list[int], limit: float) -> int | None:
+    random = _random(above)
+    return next((b for b in range(1, BINS) if above[b] and 1 - random * (1 - b / BINS) / above[b] <= limit), None)
+
+
 def cuts(scan: DataFrame, limit: float, least_random: float) -> dict[int, float]:
     """Stratum -> the lowest cut on p that holds the false-discovery rate under the limit. Reads counts of bounded size."""
     bin_ = F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int")
@@ -150,15 +175,17 @@ def cuts(scan: DataFrame, limit: float, least_random: float) -> dict[int, float]
         counts.setdefault(stratum, [0] * BINS)[b] = n
     found = {}
     for stratum, row in counts.items():
-        above = [sum(row[b:]) for b in range(BINS)]
-        # Uniform p: the share beyond 1/2 and beyond 3/4 both tell how many are random; words inflate the first more.
-        random = min(2 * above[BINS // 2], 4 * above[3 * BINS // 4])
-        if random < least_random:
-            continue
-        for b in range(1, BINS):
-            if above[b] and 1 - random * (1 - b / BINS) / above[b] <= limit:
-                found[stratum] = b / BINS
-                break
+        own = _above(row)
+        if _random(own) >= least_random:
+            cut = _lowest(own, limit)
+        else:
+            pools = (_above([sum(bins) for bins in zip(*(r for k, r in counts.items() if near(k, stratum)))]) for near in _NEIGHBOURS)
+            cut = _lowest(next((p for p in pools if _random(p) >= least_random), own), limit)
+            # It holds fewer random ones than least_random: where more lie above the pool's cut, they are words.
+            while cut is not None and cut < BINS and own[cut] * (1 - limit) > least_random * (1 - cut / BINS):
+                cut += 1
+        if cut is not None and cut < BINS:
+            found[stratum] = cut / BINS
     return found
 
 
@@ -166,7 +193,8 @@ def secrets(docs: DataFrame, text_col: str = "text", limit: float = 0.1, least_r
     """__row, spans array<struct<s, kind, e>> and base (the same without the method's own), code points, end exclusive.
 
     kind indexes KINDS. Null and empty texts have no spans; equal rows get equal spans; an empty table gives an empty
-    result. A stratum with fewer than least_random random-looking candidates adds none, since nothing is known of it.
+    result. A stratum with fewer than least_random random-looking candidates takes its cut from coarser ones, and if all
+    together have fewer, from what it holds itself.
     """
     scan = written(scanned(docs, text_col, carry), "secret-scan")
     at = cuts(scan, limit, least_random)

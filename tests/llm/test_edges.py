@@ -270,6 +270,34 @@ def test_secrets_joined_to_names(spark):
     assert all(a.e <= b.s for spans in got.values() for a, b in zip(spans, spans[1:]))
 
 
+def test_secrets_of_thin_strata(spark):
+    import base64
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["the", "ing", "tion", "er", "and"]) for _ in range(8))
+    kinds = [lambda: base64.b32encode(rng.randbytes(32)).decode().rstrip("="), lambda: rng.randbytes(32).hex().upper()]
+
+    def found(texts):
+        df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], SCHEMA)
+        return {r["__row"].doc_id for r in secrets.secrets(df).where("size(spans) > size(base)").collect()}
+
+    def sample(n_keys):
+        keys = [f"see {base64.b64encode(rng.randbytes(36)).decode()} there" for _ in range(n_keys)]
+        return [f"{kinds[0]()} it is", f"{kinds[0]()} it is", f"{kinds[1]()} it is", *keys, *(f"see {word()} and" for _ in range(60))]
+
+    hits = [found(sample(100)) for _ in range(3)]
+    assert sum(len(h & {0, 1, 2}) for h in hits) >= 7, hits  # of 9
+    assert all(len(h - set(range(103))) <= 4 for h in hits)
+    assert set(secrets.cuts(_candidates(spark, [(304, 0.9)] + [(203, 0.001)] * 30), 0.1, 4.0)) == {304}
+    words = _candidates(spark, [(604, k / 200) for k in range(200)] + [(203, 0.03 + k / 500) for k in range(100)])
+    assert secrets.cuts(words, 0.1, 4.0).get(203, 1.0) > 0.2
+
+
+def _candidates(spark, tested):
+    return spark.createDataFrame([([(0, 1, stratum, p)],) for stratum, p in tested], "tested array<struct<s:int,e:int,stratum:int,p:double>>")
+
+
 def test_secret_base_cases(spark):
     import brute
 
