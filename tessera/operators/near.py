@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import hamming64
+from tessera.functions.expr import binary_lanes, hamming, hamming64, recall_radius
 
 
 def lane_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64) -> DataFrame:
@@ -47,6 +47,40 @@ def radius_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, r
     return l.join(r, "block").where(distance <= radius).select("left_id", "right_id", distance.cast("long").alias("distance"))
 
 
+def binary_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, bits: int, carry: list[str] | None = None) -> DataFrame:
+    """Pairs (left_id, right_id, left's carried columns, distance) within radius of binary hashes of `bits` bits.
+
+    Joined on (lane, byte): with more bytes than the radius has bits, two hashes within it agree on a whole byte. A pair
+    counts at the first such byte, which needs no distinct. Null hashes and hashes of another length have no pairs.
+    """
+    n_bytes = bits // 8
+    if bits % 8 or radius >= n_bytes:
+        raise ValueError(f"bytes of {bits} bits do not settle a radius of {radius}")
+    byte = lambda column, k: F.substring(column, k + 1, 1)
+
+    def exploded(df: DataFrame, side: str, carried: list[str]) -> DataFrame:
+        own = df.where(F.octet_length(hash_col) == n_bytes)
+        own = own.select(F.col(id_col).alias(f"{side}_id"), *carried, F.col(hash_col).alias(f"{side}_hash"), binary_lanes(F.col(hash_col), n_bytes).alias(f"{side}_lanes"))
+        return own.select("*", F.posexplode(F.array(*[byte(F.col(f"{side}_hash"), k) for k in range(n_bytes)])).alias("lane", "value"))
+
+    pairs = exploded(left, "left", carry or []).join(exploded(right, "right", []), ["lane", "value"])
+    first = F.coalesce(*[F.when(byte(F.col("left_hash"), k) == byte(F.col("right_hash"), k), F.lit(k)) for k in range(n_bytes)])
+    distance = hamming(F.col("left_lanes"), F.col("right_lanes"))
+    return pairs.where((F.col("lane") == first) & (distance <= radius)).select("left_id", "right_id", *(carry or []), distance.cast("long").alias("distance"))
+
+
+def recalled_images(probes: DataFrame, stored: DataFrame, bits: int = 256) -> DataFrame:
+    """(left_id, right_id, least, transforms): stored images whose block hash any variant of a probe comes near.
+
+    Both are rows of fingerprint.fingerprints(); ineligible images take no part, nor does an image against itself. The
+    distance is the least over the eight variants of the probe, with all transforms tied at it.
+    """
+    variants = probes.where("eligible").select("id", F.inline("variants"))
+    held = stored.where("eligible").select("id", F.col("block_hash").alias("hash"))
+    pairs = binary_join(variants, held, "id", "hash", recall_radius(bits), bits, ["transform"])
+    return tied_transforms(pairs.where("left_id <> right_id"), ["left_id", "right_id"], "distance", "transform")
+
+
 def without_exact(pairs: DataFrame, rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """Pairs whose ends differ in every exact key; each end's keys are looked up, no pairs are made."""
     for side in ("left", "right"):

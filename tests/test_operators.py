@@ -288,5 +288,32 @@ def test_fingerprints(spark):
     assert (got[1].eligible, got[2].eligible) == (True, False)
 
 
+def test_rotated_copies_are_recalled(spark):
+    rng = np.random.default_rng(6)
+    images = [rng.integers(0, 255, (16, 16), dtype=np.uint8) for _ in range(6)]
+    images += [np.ascontiguousarray(fingerprint.transformed(images[k % 6], t)) for k, t in enumerate(schemas.TRANSFORMS)]
+    images.append(np.ascontiguousarray(np.tile(images[0][:8], (2, 1))[:, ::-1] // 2 + images[0] // 2))
+    df = spark.createDataFrame([(k, 16, 16, bytearray(g.tobytes())) for k, g in enumerate(images)], "id int, width int, height int, pixels binary")
+    prints = fingerprint.fingerprints(df).localCheckpoint()
+    held, want = {r.id: r for r in prints.where("eligible").collect()}, {}
+    for a, b in itertools.permutations(held, 2):
+        by = {v.transform: sum((x ^ y).bit_count() for x, y in zip(v.hash, held[b].block_hash)) for v in held[a].variants}
+        if (least := min(by.values())) <= 31:
+            want[a, b] = (least, sorted(t for t, d in by.items() if d == least))
+    assert all((k % 6, 6 + k) in want and t in want[k % 6, 6 + k][1] for k, t in enumerate(schemas.TRANSFORMS))
+    assert {(r.left_id, r.right_id): (r.least, r.transforms) for r in near.recalled_images(prints, prints).collect()} == want
+
+
+@pytest.mark.parametrize(("bits", "radius"), [(256, 31), (544, 66)])
+def test_binary_join_is_exact(spark, bits, radius):
+    rng = random.Random(bits)
+    base = [rng.getrandbits(bits) for _ in range(8)]
+    hashes = [h ^ sum(1 << k for k in rng.sample(range(bits), n)) for h in base for n in (0, 5, radius // 2, radius, radius + 1)]
+    df = spark.createDataFrame([(k, bytearray(h.to_bytes(bits // 8, "big"))) for k, h in enumerate(hashes)] + [(99, None)], "id int, hash binary")
+    got = [(r.left_id, r.right_id, r.distance) for r in near.binary_join(df, df, "id", "hash", radius, bits).collect()]
+    want = [(a, b, d) for a, x in enumerate(hashes) for b, y in enumerate(hashes) if (d := (x ^ y).bit_count()) <= radius]
+    assert sorted(got) == want
+
+
 def test_schemas_cover_all_relations():
     assert len(schemas.RELATIONS) == 22
