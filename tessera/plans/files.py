@@ -49,6 +49,11 @@ def s15(spark, sf):
     return table(spark, sf, "events").where("event_id < 50").select("event_id", (F.from_json("props", "k string")["k"] == "69").alias("hit"))
 
 
+@query("s15_key_value_whole", "SELECT event_id, json_extract_string(props, '$.k') = '69' AS hit FROM events")
+def s15_whole(spark, sf):
+    return table(spark, sf, "events").select("event_id", (F.from_json("props", "k string")["k"] == "69").alias("hit"))
+
+
 @query("k07_insert_select", "SELECT l_orderkey, l_linenumber, 'skipped' AS decision FROM lineitem WHERE l_quantity > 45 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 5)")
 def k07(spark, sf):
     small = table(spark, sf, "part").where("p_size < 5").select(F.col("p_partkey").alias("l_partkey"))

@@ -39,11 +39,16 @@ def o07(spark, sf):
 
 @query("o08_cursor_text", """SELECT o_orderkey, '{"kind":"albums","version":1,"bound":null,"key":{"k":' || o_orderkey || '}}' AS cursor FROM orders WHERE o_orderkey < 50""")
 def o08(spark, sf):
+    return o08_whole(spark, sf).where("o_orderkey < 50")
+
+
+@query("o08_cursor_text_whole", """SELECT o_orderkey, '{"kind":"albums","version":1,"bound":null,"key":{"k":' || o_orderkey || '}}' AS cursor FROM orders""")
+def o08_whole(spark, sf):
     """Cursors as the database would build them: JSON, base64url without padding, and back."""
     text = F.format_string('{"kind":"albums","version":1,"bound":null,"key":{"k":%d}}', F.col("o_orderkey"))
     packed = F.regexp_replace(F.translate(F.base64(text.cast("binary")), "+/", "-_"), "=+$|\\s", "")
     padded = F.rpad(F.translate(packed, "-_", "+/"), F.ceil(F.length(packed) / 4).cast("int") * 4, F.lit("="))
-    return table(spark, sf, "orders").where("o_orderkey < 50").select("o_orderkey", F.unbase64(padded).cast("string").alias("cursor"))
+    return table(spark, sf, "orders").select("o_orderkey", F.unbase64(padded).cast("string").alias("cursor"))
 
 
 @query("o10_first_offender", "SELECT o_orderkey FROM orders WHERE o_totalprice > 499000 ORDER BY o_orderkey LIMIT 1")
@@ -73,6 +78,11 @@ def f03(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.hex_lower(F.substring("url", 1, 12).cast("binary")).alias("hex"))
 
 
+@query("f03_hex_whole", "SELECT page_id, lower(hex(encode(url))) AS hex FROM pages")
+def f03_whole(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.hex_lower(F.col("url").cast("binary")).alias("hex"))
+
+
 @query("f07_quoted_identifier", """SELECT n_nationkey, '"' || replace(n_name, '"', '""') || '"' AS quoted FROM nation""")
 def f07(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit('"'), F.replace("n_name", F.lit('"'), F.lit('""')), F.lit('"')).alias("quoted"))
@@ -105,6 +115,11 @@ def f20(spark, sf):
     return table(spark, sf, "documents").select("doc_id", long(F.octet_length(F.substring("text", 1, 100))).alias("n"))
 
 
+@query("f20_octet_length_whole", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents")
+def f20_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", long(F.octet_length("text")).alias("n"))
+
+
 @query("f21_arrays", "SELECT vec_id, list_contains(list_sort([label, 3, 1]), 3) AS three, list_min([label, 3, 1]) AS least, len(list_filter([label, 3, 1], lambda x: x > 2)) AS large FROM embeddings")
 def f21(spark, sf):
     a = F.array("label", F.lit(3), F.lit(1))

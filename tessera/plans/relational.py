@@ -554,6 +554,11 @@ def f06(spark, sf):
     return table(spark, sf, "documents").select("doc_id", paths.conflict_key(F.substring("text", 1, 40)).alias("key"))
 
 
+@query("f06_conflict_key_whole", "SELECT doc_id, lower(nfc_normalize(text)) AS key FROM documents")
+def f06_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", paths.conflict_key(F.col("text")).alias("key"))
+
+
 @query("f11_intervals", "SELECT event_id, strftime(ts + INTERVAL 300 SECOND, '%Y-%m-%dT%H:%M:%S.%fZ') AS expires FROM events")
 def f11(spark, sf):
     return table(spark, sf, "events").select("event_id", X.rfc3339(F.col("ts") + F.expr("INTERVAL '300' SECOND")).alias("expires"))

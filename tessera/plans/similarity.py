@@ -137,6 +137,13 @@ def d12_chains(spark, sf):
     return graph.connected_components(lines.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") % 97 * 2 + 1).alias("b")))
 
 
+@query("d12_chained_components_whole")
+def d12_chains_whole(spark, sf):
+    """All of lineitem, where recursive SQL is too slow: tested against plain Python."""
+    lines = table(spark, sf, "lineitem")
+    return graph.connected_components(lines.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") % 97 * 2 + 1).alias("b")))
+
+
 def members(spark, sf):
     return d12(spark, sf).withColumnsRenamed({"node": "doc_id", "component": "grp"})
 

@@ -315,5 +315,20 @@ def test_binary_join_is_exact(spark, bits, radius):
     assert sorted(got) == want
 
 
+def test_chained_components_of_all_lines(spark, tmp_path):
+    from tessera.plans import registry
+
+    rng = random.Random(9)
+    lines = [(rng.randrange(60), rng.randrange(200), k % 50 + 1, 0.02) for k in range(45)]  # none has tax 0.01
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity int, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = [(s * 2, p % 97 * 2 + 1) for s, p, _, _ in lines]
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = dict(map(tuple, registry.queries()["d12_chained_components_whole"](spark, str(tmp_path)).select("node", "component").collect()))
+    assert got == least and len(set(least.values())) > 1
+
+
 def test_schemas_cover_all_relations():
     assert len(schemas.RELATIONS) == 22
