@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from tessera.llm import quality
 from tessera.llm.common import LOWER, UPPER
 
@@ -36,20 +38,20 @@ WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWERED)} AS w FROM documents)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-_RATIOS = {
-    "symbol_ratio": "n_symbols / greatest(n_words, 1)", "mark_ratio": "n_marks / greatest(n_words, 1)",
-    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
-}
-
-
-def _quality(reach: float = 3.0, min_group: int = 100) -> str:
+def _quality() -> str:
     gamma = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
-    metrics = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {v} AS v, {quality.SLACK[m]!r} AS slack FROM m WHERE NOT base_failed" for m, v in _RATIOS.items())
-    quartile = lambda keys: f"""(SELECT {keys} metric, max(total) AS n, min(CASE WHEN upto >= total * 0.25 THEN x END) AS q25, min(CASE WHEN upto >= total * 0.75 THEN x END) AS q75
-      FROM (SELECT *, sum(k) OVER (PARTITION BY {keys} metric) AS total, sum(k) OVER (PARTITION BY {keys} metric ORDER BY b) AS upto,
-        CASE WHEN b = -1000000 THEN 0 ELSE pow({gamma!r}, b) * 2 / ({gamma + 1!r}) END AS x
-        FROM (SELECT {keys} metric, b, count(*) AS k FROM buckets GROUP BY ALL)) GROUP BY ALL)"""
-    over = " OR ".join(f"coalesce({v} > (SELECT max(cut) FROM cuts WHERE cuts.metric = '{m}' AND cuts.lang IS NOT DISTINCT FROM m.lang AND cuts.source IS NOT DISTINCT FROM m.source), false)" for m, v in _RATIOS.items())
+    bucket = lambda v: f"CAST(ceil(ln({v}) / {math.log(gamma)!r}::DOUBLE) AS INTEGER)"
+    values = {
+        "word_length": "word_chars / n_words", "other_share": f"(n_other + {quality.EVENTS}) / (word_chars + {quality.EVENTS})",
+        "repetition": f"greatest(1 - ln(n_distinct) / ln(n_words), {quality.LEAST_REPETITION!r}::DOUBLE)",
+    }
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {bucket(v)} AS b FROM m WHERE NOT base_failed" for m, v in values.items())
+    quartile = lambda keys: f"""(SELECT {keys} metric, max(total) AS n, min(CASE WHEN upto >= total * 0.25 THEN b END) AS q25, min(CASE WHEN upto >= total * 0.75 THEN b END) AS q75
+      FROM (SELECT *, sum(k) OVER (PARTITION BY {keys} metric) AS total, sum(k) OVER (PARTITION BY {keys} metric ORDER BY b) AS upto
+        FROM (SELECT {keys} metric, b, count(*) AS k FROM long GROUP BY ALL)) GROUP BY ALL)"""
+    drawn = lambda q: f"(o.n::DOUBLE * o.{q} + {quality.PULL} * ((l.n::DOUBLE * l.{q} + {quality.PULL} * w.{q}) / (l.n + {quality.PULL}))) / (o.n + {quality.PULL}) AS {q}"
+    far = "CASE metric " + " ".join(f"WHEN '{m}' THEN {r!r}::DOUBLE" for m, r in quality.REACH.items()) + " END"
+    sides = ", ".join(f"max(q25 - far * (q75 - q25 + 1)) FILTER (WHERE metric = '{m}') AS low_{m}, max(q75 + far * (q75 - q25 + 1)) FILTER (WHERE metric = '{m}') AS high_{m}" for m in values)
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -57,16 +59,15 @@ WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS.format("
   r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g), (VALUES (0), (1), (2)) x(j) WHERE k > 1 GROUP BY doc_id),
   m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
-    CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_marks, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    len(list_distinct(w)) AS n_distinct, length(regexp_replace(t, '[\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]+', '', 'g')) AS n_other, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
     FROM d LEFT JOIN r ON d.doc_id = r.doc_id)),
-  long AS ({metrics}),
-  buckets AS (SELECT *, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln({gamma!r})) AS INTEGER) ELSE -1000000 END AS b FROM long),
-  own AS {quartile("lang, source,")}, by_lang AS {quartile("lang,")}, whole AS {quartile("")},
-  cuts AS (SELECT o.lang, o.source, o.metric, q75 + {reach!r} * greatest(q75 - q25, slack) AS cut FROM
-    (SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= {min_group} THEN o.q75 WHEN l.n >= {min_group} THEN l.q75 ELSE w.q75 END AS q75, CASE WHEN o.n >= {min_group} THEN o.q25 WHEN l.n >= {min_group} THEN l.q25 ELSE w.q25 END AS q25
-     FROM own o JOIN by_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric JOIN whole w ON w.metric = o.metric) o
-    JOIN (SELECT DISTINCT metric, slack FROM long) s ON s.metric = o.metric)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM m
+  long AS ({long}), own AS {quartile("lang, source,")}, by_lang AS {quartile("lang,")}, whole AS {quartile("")},
+  cuts AS (SELECT lang, source, {sides} FROM (SELECT *, {far} AS far FROM (SELECT o.lang, o.source, o.metric, {drawn("q25")}, {drawn("q75")}
+    FROM own o JOIN by_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric JOIN whole w ON w.metric = o.metric)) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE NOT coalesce(
+    {bucket(values["word_length"])} < low_word_length OR {bucket(values["word_length"])} > high_word_length
+    OR CASE WHEN n_symbols > 0 THEN {bucket("n_symbols / word_chars")} > high_other_share ELSE false END OR {bucket(values["repetition"])} > high_repetition, false) END AS kept
+FROM m LEFT JOIN cuts ON cuts.lang IS NOT DISTINCT FROM m.lang AND cuts.source IS NOT DISTINCT FROM m.source
 """
 
 

@@ -116,6 +116,19 @@ def test_quality_limits_follow_the_group(spark):
     assert 5000 not in got and len(got) == 600
 
 
+def test_quality_limits_differ_between_sources(spark):
+    """On the tables themselves: the fences of the sources of one language differ, and no labelled-good document is lost."""
+    path = "/root/testdata/sf0.01"
+    rows = quality.judged(spark.read.parquet(f"{path}/documents.parquet"), carry=["doc_id", "lang", "source"])
+    rows = rows.join(spark.read.parquet(f"{path}/labels.parquet"), F.col("__row.doc_id") == F.col("doc_id"), "left").cache()
+    for limit in ("low_word_length", "high_word_length", "high_other_share", "high_repetition"):
+        per_lang = rows.where(f"{limit} IS NOT NULL").groupBy("__row.lang").agg(F.countDistinct(limit).alias("n"), F.countDistinct("__row.source").alias("sources")).collect()
+        assert all(r.n > r.sources / 2 for r in per_lang)
+    judged = {(r.quality, r.kept): r["count"] for r in rows.where("NOT base_failed AND quality IS NOT NULL").groupBy("quality", "kept").count().collect()}
+    assert judged.get((1, False), 0) == 0 and judged.get((0, True), 0) <= 0.1 * judged[0, False]
+    rows.unpersist()
+
+
 def test_mixing(odd, spark):
     rows = mixing.mixed(odd).collect()
     assert {r.size for r in rows if r["__row"].doc_id in (1, 2, 7)} == {0} and all(r.taken <= 3 * r.size for r in rows)
