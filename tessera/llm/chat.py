@@ -1,10 +1,11 @@
 """Chat formatting with a grammar round trip.
 
 A turn renders as  <s>[INST] role [/INST]text</s>  and a conversation as its turns in order. Nothing is escaped at
-first: the rendered text is parsed again by the deterministic grammar below, and where the recovered turns differ from
-the source, the texts that hold control strings are escaped and the conversation is parsed again. Escaping puts one
-backslash more behind the bracket of a control string, and the parser takes one away, so any text survives, texts that
-look escaped included. A conversation that still differs raises an error instead of being written wrong.
+first: the rendered text is parsed again by the deterministic grammar below, which allows no control string inside a
+role or a text, so that nobody can plant turn marks. Where the recovered turns differ from the source, the texts that
+hold control strings are escaped and the conversation is parsed again. Escaping puts one backslash more behind the
+bracket of a control string, and the parser takes one away, so any text survives, texts that look escaped included. A
+conversation that still differs raises an error instead of being written wrong.
 
 Turns are rendered before they are gathered, and gathered in chunks of CHUNK turns first, so the task that completes a
 very long conversation receives a few long strings. Its formatted text is one value and has to fit one row (2 GB).
@@ -37,7 +38,9 @@ def render(role: Column, text: Column) -> Column:
 def parse(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted conversation; null where it does not follow the grammar."""
     pieces = F.split(formatted, "</s>", -1)
-    head = r"(?s)^<s>\[INST\] (.*?) \[/INST\](.*)$"
+    # One control string each where the template has one, and none elsewhere.
+    free = r"(?:(?![<\[](?:/?s>|/?INST\])).)*+"
+    head = rf"(?s)^<s>\[INST\] ({free.replace('*+', '*?')}) \[/INST\]({free})$"
     turns = F.transform(
         F.slice(pieces, 1, F.size(pieces) - 1),
         lambda p: F.struct(unescape(F.regexp_extract(p, head, 1)).alias("role"), unescape(F.regexp_extract(p, head, 2)).alias("text")),

@@ -18,12 +18,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 CHAT = r"""
 WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-  marked AS (SELECT *, contains(role || text, '</s>') OR contains(role, ' [/INST]') OR regexp_matches(role || chr(10) || text, '[<\[]\\+(/?s>|/?INST\])') AS conflict,
+  marked AS (SELECT *,
     len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?INST\])')) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\])')) AS escapes FROM rows_)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(22 + length(role) + length(text)) + CASE WHEN bool_or(conflict) THEN sum(escapes) ELSE 0 END AS BIGINT) AS formatted_chars
+  CAST(sum(22 + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
 
