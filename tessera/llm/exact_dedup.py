@@ -1,11 +1,16 @@
 """Exact dedup by a tree-merge of digest runs.
 
-Every input partition is a run of (digest, best id, count), sorted by digest. Rounds merge fan_in neighbouring
-runs into one: run r of a round goes to run r // fan_in of the next, as in a binomial tree with fan_in children.
-A merged entry keeps the smallest (or largest) id of those that agree on the digest and on a second, unrelated
-digest and the byte length, so no id ever stands for a text that it was not verified against. Each round is one
-shuffle of narrow rows with map-side combining, spread over (run, digest), and a digest that a third of all rows
-share reaches any task at most fan_in times per merged run. Texts are read once and never shuffled.
+Every input partition is a run of (digest, best id, count), sorted by digest. Rounds merge fan_in neighbouring runs
+into one: run r of a round goes to run r // fan_in of the next, as in a binomial tree with fan_in children. A round
+is one exchange, over (run, digest), and a walk through what arrives in the order of (run, digest): the runs merge in
+that order, and neighbours that agree on the digest, on a second, unrelated digest and on the byte length become one
+entry with the smallest (or largest) id, so no id ever stands for a text that it was not verified against. The same
+walk combines a run's own entries before the exchange, so a digest that a third of all rows share reaches any task at
+most fan_in times per merged run. Entries are narrow (about 60 bytes), and texts are read once and never shuffled.
+
+A round costs what one aggregate over all entries costs, and there are log(partitions) / log(fan_in) of them: one
+plain aggregate would be cheaper wherever the digests fit its one exchange, as here; the tree bounds how many sources any
+task hears from.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ascii_lower, fitted, text_or_empty, whole_row, written
 
 ENTRY = ["digest", "verify", "n_bytes"]
+FAN_IN = 8
 
 
 def digest_runs(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -23,32 +29,42 @@ def digest_runs(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     norm = docs.select(F.col(id_col).alias("id"), text.alias("norm"))
     return norm.select(
         "id",
-        F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
+        F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"),
         F.xxhash64("norm").alias("verify"),
         F.octet_length("norm").alias("n_bytes"),
         F.spark_partition_id().alias("run"),
-    ).sortWithinPartitions(*ENTRY)
+    ).sortWithinPartitions("run", *ENTRY)
+
+
+def merge_round(runs: DataFrame, best, fan_in: int) -> DataFrame:
+    """Every fan_in neighbouring runs as one.
+
+    The extreme of a struct is found by sort aggregation, which walks rows in key order: the order of the runs before
+    the exchange, the merged order behind it.
+    """
+    to = F.floor(F.col("run") / fan_in).cast("int").alias("run")
+    held = runs.select(to, *ENTRY, F.struct("keep_id").alias("best"), "group_size")
+    merged = held.groupBy("run", *ENTRY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
+    return merged.select("run", *ENTRY, F.col("best.keep_id").alias("keep_id"), "group_size")
 
 
 def merge_runs(runs: DataFrame, keep: str, fan_in: int) -> DataFrame:
-    """One entry per verified digest: keep_id and group_size."""
-    best = F.max if keep == "max" else F.min
+    """One entry per verified digest: keep_id and group_size, after rounds of merging until one run is left."""
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more")
     last = runs.agg(F.max("run")).first()[0]
     n_runs = 0 if last is None else last + 1
+    # Null ids lose to any other: a struct of null is the least of all, so it is left out where the smallest wins.
     merged = runs.select("run", *ENTRY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    while n_runs > 1:
+    best = F.max if keep == "max" else lambda c: F.min(F.when(F.col(c)["keep_id"].isNotNull(), F.col(c)))
+    while True:
+        merged = merge_round(merged, best, fan_in)
         n_runs = -(-n_runs // fan_in)
-        to = [F.floor(F.col("run") / fan_in).cast("int").alias("run")] if n_runs > 1 else []
-        held = merged.select(*to, *ENTRY, "keep_id", "group_size")
-        merged = held.groupBy(*[c for c in held.columns if c not in ("keep_id", "group_size")]).agg(
-            best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-        )
-    if "run" in merged.columns:  # a single run, or none
-        merged = merged.groupBy(*ENTRY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return merged
+        if n_runs <= 1:
+            return merged.drop("run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 32) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of rows with the same text
@@ -74,11 +90,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 32) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN) -> DataFrame:
     """The rows of docs that stay, with docs' own columns: one row per distinct text.
 
     Dropped rows are known by id and digest, which tells rows of other texts apart where an id is repeated; of repeated

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty, utf8
+from tessera.llm.common import text_or_empty, utf8, written
 
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 15
@@ -28,8 +28,9 @@ PIECES = 24
 LONGEST, PIECE = PIECES - 4, PIECES - 6
 #: Documents that a word or piece has to stand in to have a vector of its own.
 LEAST_DOCS = 3
-#: Labelled documents that training reads at most: toxic and clean.
+#: Labelled documents that training reads at most, toxic and clean, and the bytes of their texts.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+MOST_BYTES = 64 << 20
 ROUNDS = 6
 WORD_CACHE = 150_000
 EDGES = b".,;:!?\"'()[]{}<>#*$%&|"
@@ -468,17 +469,27 @@ def _of_parts(net: Network, known: _Table, parts: list) -> list[float]:
     return net.document(np.maximum.reduceat(logit, first[:-1]), np.diff(first)).tolist()
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: tuple[int, int]) -> tuple[list, list]:
-    """At most most[0] toxic and most[1] clean labelled texts, chosen by a hash of the id; ids held out are left out."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: tuple[int, int], most_bytes: int = MOST_BYTES) -> tuple[list, list]:
+    """At most most[0] toxic and most[1] clean labelled texts of at most most_bytes in all, chosen by a hash of the id.
+
+    Ids held out are left out. An id has one text, the least of its rows, so repeated rows add nothing. Texts are taken
+    whole, toxic and clean ones by turns, as long as they fit.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     order = [F.xxhash64("__id"), F.col("__id")]
     some = known.where("__label = 1").orderBy(*order).limit(most[0]).unionByName(known.where("__label = 0").orderBy(*order).limit(most[1]))
-    # At most sum(most) rows by the limits above.
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(some), F.col("id") == F.col("__id")).select("id", "__label", "text")
-    found = sorted(rows.collect(), key=lambda r: (r["id"], r["text"]))
-    return [r["text"] for r in found], [int(r["__label"]) for r in found]
+    some = written(some, "toxic-sample")  # at most sum(most) narrow rows
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("__id"))
+    texts = written(texts.groupBy("id").agg(F.first("__label").alias("label"), F.min("text").alias("text")), "toxic-texts")
+    # Both windows order at most sum(most) rows of lengths.
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    lengths = texts.select("id", "label", F.octet_length("text").alias("n")).withColumn("turn", turn)
+    spent = F.sum("n").over(Window.orderBy("turn", F.desc("label"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fit = written(lengths.withColumn("spent", spent).where(F.col("spent") <= most_bytes).select(F.col("id").alias("__id")), "toxic-fit")
+    rows = texts.join(F.broadcast(fit), F.col("id") == F.col("__id")).select("id", "label", "text")
+    found = sorted(rows.collect(), key=lambda r: r["id"])  # at most sum(most) rows and most_bytes bytes of text
+    return [r["text"] for r in found], [int(r["label"]) for r in found]
 
 
 def held_out(id_):
@@ -486,7 +497,7 @@ def held_out(id_):
 
 
 def scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: tuple[int, int] = (MOST_TOXIC, MOST_CLEAN), threshold: float = 0.7
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: tuple[int, int] = (MOST_TOXIC, MOST_CLEAN), threshold: float = 0.7, most_bytes: int = MOST_BYTES
 ) -> DataFrame:
     """id_col, held_out, score, predicted for every row of docs.
 
@@ -494,7 +505,7 @@ def scores(
     labels are ignored, and an id labelled twice counts as toxic if either label says so. Without labels every score
     comes from an untrained network. Repeated rows get equal scores; an empty table gives an empty result.
     """
-    frozen = train(*sample(docs, labels, id_col, text_col, label_col, most))
+    frozen = train(*sample(docs, labels, id_col, text_col, label_col, most, most_bytes))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(_scorer(frozen), f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return out.select(

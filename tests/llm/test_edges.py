@@ -66,6 +66,18 @@ def test_tree_merge_over_many_runs(spark, fan_in):
     assert got.join(want, F.sha2("text", 256) == F.col("text_sha256")).where("keep_id <> k OR group_size <> n").count() == 0
 
 
+@pytest.mark.parametrize(("parts", "fan_in", "rounds"), [(32, 8, 2), (32, 2, 5), (8, 8, 1), (9, 8, 2)])
+def test_tree_merge_has_its_rounds(spark, parts, fan_in, rounds):
+    """Each round is one exchange by (run, digest) between two walks in key order; no hash table takes part."""
+    docs = spark.range(0, 640, 1, parts).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("text"))
+    runs = exact_dedup.digest_runs(docs, "doc_id", F.col("text"))
+    merged = exact_dedup.merge_runs(runs, "max", fan_in)
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 2 * rounds and "HashAggregate" not in plan.replace("SortAggregate", "")
+    got = sorted((r.keep_id, r.group_size) for r in merged.collect())
+    assert got == sorted((max(range(k, 640, 7)), len(range(k, 640, 7))) for k in range(7))
+
+
 def test_near(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_components(odd, width=2).collect()}
     assert (1, 0, 1, True) in got and (2, 0, 2, True) in got and (7, 0, 7, True) in got  # nothing to compare, linked with nothing
@@ -383,6 +395,29 @@ def test_toxicity(odd, spark):
     assert toxicity.scores(odd.where("false"), known).count() == 0
 
 
+def test_toxicity_sample_is_bounded(spark):
+    """An id repeated 5,000 times is one training text, and texts stop at the bytes allowed."""
+    rows = spark.range(5000).select((F.col("id") * 0 + 8).alias("doc_id"), F.concat(F.lit("same id "), (F.col("id") % 7).cast("string")).alias("text"))
+    rows = rows.unionByName(spark.range(9, 60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text")))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).unionByName(spark.createDataFrame([(8, 1), (8, 1)], "doc_id long, toxic int"))
+    args = (rows, labels, "doc_id", "text", "toxic")
+    for most in ((1, 1), (5, 9), (100, 100)):
+        texts, y = toxicity.sample(*args, most)
+        assert len(texts) == len(y) <= sum(most) and sum(y) <= most[0] and len(y) - sum(y) <= most[1]
+    assert texts.count("same id 0") == 1 and not any(t.startswith("same id") and t != "same id 0" for t in texts)
+    texts, y = toxicity.sample(*args, (100, 100), most_bytes=2100)
+    assert sum(map(len, texts)) <= 2100 and len(texts) >= 4 and 0 < sum(y) < len(y)
+
+
+def test_toxicity_held_out_quality(spark):
+    """Precision and recall on the rows that training never saw, against the tables' own labels."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    got = toxicity.scores(docs.repartition(4), labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("predicted", "toxic").collect()
+    hit, told, true = sum(r.predicted * r.toxic for r in got), sum(r.predicted for r in got), sum(r.toxic for r in got)
+    assert true >= 50 and hit >= 0.95 * told and hit >= 0.9 * true
+
+
 def test_toxicity_reads_long_runs_whole():
     import random
 
