@@ -27,7 +27,10 @@ PIECES = 24
 #: Characters of the longest word that is one word to the network, and of the pieces that longer runs are cut into.
 LONGEST, PIECE = PIECES - 4, PIECES - 6
 #: Documents that a word or piece has to stand in to have a vector of its own.
-LEAST_DOCS = 3
+LEAST_DOCS = 6
+#: Vectors of words and pieces learn at this part of the network's rate, and what no gradient renews fades by FADE a step:
+#: with few labelled documents the network would know them by heart otherwise. The first place, what labels single out, stays.
+VECTOR_RATE, FADE = 0.1, 0.98
 #: Labelled documents that training reads at most, toxic and clean, and the bytes of their texts.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 MOST_BYTES = 64 << 20
@@ -265,7 +268,9 @@ class Network:
             m, s = self._m[k]
             m += 0.1 * (d - m)
             s += 0.001 * (d * d - s)
-            self.p[k] -= rate * (m / (1 - 0.9**self._t)) / (np.sqrt(s / (1 - 0.999**self._t)) + 1e-8)
+            if k in ("word", "char"):
+                self.p[k][:, 1:] *= FADE
+            self.p[k] -= rate * (VECTOR_RATE if k in ("word", "char") else 1) * (m / (1 - 0.9**self._t)) / (np.sqrt(s / (1 - 0.999**self._t)) + 1e-8)
         q = np.clip(p, 1e-6, 1 - 1e-6)
         return float(-(labels * np.log(q) + (1 - labels) * np.log(1 - q)).mean())
 
