@@ -1,10 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source's target is its share of all words by weight, stopped at cap times what it has, with the excess dealt
-again by weight. A document's copies are a whole part, certain, and a fraction, its inclusion probability p. Pareto
+again by weight. Every document of a source has the same whole copies, certain, as many as fit the target; the words
+left open are sampled. A document's inclusion probability p is in proportion to its importance, where that gives 1 or
+more it has one more certain copy, and the scale is set so that the expected words are those left open. Pareto
 sampling ranks documents by (u / (1 - u)) / (p / (1 - p)) with u uniform and fixed by the id, and takes them in rank
-order until the words that the certain copies leave open are filled: a sample of fixed size in words with unequal
-inclusion probabilities. One move per source, the best fit for the gap that is left, completes the sample.
+order until the open words are filled: a sample of fixed size in words with unequal inclusion probabilities. One
+move per source, the best fit for the gap that is left, completes the sample.
+
+Importance is by default that of the length class: 1 below 256 words, doubling with every factor of 4, so that long
+documents, which fill long contexts, are likelier to be taken. Importances are rounded to powers of two, so a source
+has a fixed number of classes, and their totals are all that the scale needs.
 
 The order within a source is found without sorting it in one place: ranks are mapped to (0, 1) and counted in bins
 per source, the bin where the running total passes the target is found from the counts, and only rows of that bin
@@ -23,6 +29,32 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def length_class(size: Column) -> Column:
+    """Importance by length: 1, 2, 4 or 8, from 0, 256, 1,024 and 4,096 words on."""
+    return F.when(size < 256, 1.0).when(size < 1024, 2.0).when(size < 4096, 4.0).otherwise(8.0)
+
+
+def power_of_two(importance: Column) -> Column:
+    """The nearest power of two from 2^-20 to 2^20; 0 for none and below."""
+    nearest = F.pow(F.lit(2.0), F.least(F.lit(20.0), F.greatest(F.lit(-20.0), F.floor(F.log2(importance) + 0.5).cast("double"))))
+    return F.when(importance > 0, nearest).otherwise(0.0)
+
+
+def scales(classes: DataFrame) -> DataFrame:
+    """(source, importance, words, open) -> per source scale: p is least(1, scale * importance), and the expected words are open.
+
+    From the highest importance down, a class is certain if the words that the classes above it leave would give it a
+    probability of 1 or more; the first class that is not sets the scale for the rest. Sources without open words, or
+    all of whose classes are certain, have none.
+    """
+    w = Window.partitionBy("source").orderBy(F.desc("importance"))
+    above = F.sum("words").over(w) - F.col("words")
+    rest = F.sum(F.col("words") * F.col("importance")).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    scale = F.when(rest > 0, (F.col("open") - above) / rest)
+    rows = classes.withColumn("scale", scale).where("scale * importance < 1")
+    return rows.groupBy("source").agg(F.max_by("scale", "importance").alias("scale"))
+
+
 def ordinal(names: DataFrame, col: str) -> DataFrame:
     """names (one row per value) with its place from 0 in code-point order, null last, without one task seeing all.
 
@@ -71,7 +103,7 @@ def mixed(
     text_col: str = "text",
     source_col: str = "source",
     weights: tuple[float, ...] = (1, 2, 3),
-    cap: float = 3.0,
+    cap: int = 3,
     importance: Column | None = None,
     seed: int = 17,
     bins: int = 4096,
@@ -80,27 +112,39 @@ def mixed(
     """carry's columns of docs (default all) in __row, with size, source_size, target, copies and taken.
 
     Size: words of the text, 0 for null. copies: how often the mix repeats the document whole; taken: copies * size,
-    never above cap times the size. importance (default 1) makes inclusion within a source unequal. Rows that repeat
-    one id have one rank and are taken or left together; null ids count as one id. Null source is a source, last in
-    order. An empty table gives an empty result. Reruns agree, since the random numbers are fixed by id and seed.
+    never above cap (a whole number) times the size. importance, a column of docs (default: the length class), makes
+    inclusion within a source unequal; null, zero and negative importance leave a document to the certain copies, and
+    a source that has nothing else falls short of its target. Rows that repeat one id have one rank and, at one
+    length, are taken or left together; null ids count as one id. Null source is a source, last in order. An empty
+    table gives an empty result. Reruns agree, since the random numbers are fixed by id and seed. Columns named in
+    carry are written to the shared folder with the sizes, and texts are then read once; without carry, twice.
     """
-    share = (importance if importance is not None else F.lit(1.0)).cast("double")
+    if cap != int(cap):
+        raise ValueError("cap counts whole copies")
+    size = n_words(text_or_empty(text_col))
     base = docs.select(
         whole_row(docs, carry),
-        n_words(text_or_empty(text_col)).alias("size"),
+        size.alias("size"),
         F.col(source_col).alias("source"),
         uniform(F.col(id_col), seed=seed).alias("u"),
-        F.greatest(share, F.lit(0.0)).alias("importance"),
+        power_of_two(F.coalesce(importance.cast("double"), F.lit(0.0)) if importance is not None else length_class(size)).alias("importance"),
     )
-    narrow = written(base.select("size", "source", "u", "importance"), "mix-sizes")
-    totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("pull"))
-    goals = written(joined(targets(totals.select("source", "source_size"), weights, cap), written(totals.select("source", "pull"), "mix-pull"), ["source"]), "mix-targets")
+    narrow = written(base if carry else base.drop("__row"), "mix-sizes")
+    if carry:
+        base = narrow
+    classes = written(narrow.groupBy("source", "importance").agg(F.sum("size").alias("words")), "mix-classes")
+    totals = written(classes.groupBy("source").agg(F.sum("words").alias("source_size")), "mix-totals")
+    goals = targets(totals, weights, cap).withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    goals = written(goals.withColumn("open", F.col("target") - F.col("certain") * F.col("source_size")), "mix-goals")
+    scale = written(scales(joined(classes, goals.select("source", "open"), ["source"])), "mix-scales")
+    goals = written(joined(goals, scale, ["source"]), "mix-targets")
 
     def ranked(rows: DataFrame, sources: DataFrame) -> DataFrame:
         """Adds whole (certain copies), p (inclusion probability) and v, the Pareto rank mapped to (0, 1)."""
-        wished = F.when(F.col("pull") > 0, F.least(F.lit(float(cap)), F.col("target") * F.col("importance") / F.col("pull"))).otherwise(0.0)
-        out = joined(rows, sources, ["source"]).withColumn("wished", wished)
-        out = out.withColumn("whole", F.floor("wished")).withColumn("p", F.col("wished") - F.col("whole"))
+        out = joined(rows, sources, ["source"]).withColumn(
+            "p", F.when((F.col("open") > 0) & (F.col("importance") > 0), F.coalesce(F.col("scale") * F.col("importance"), F.lit(1.0))).otherwise(0.0)
+        )
+        out = out.withColumns({"whole": F.col("certain") + (F.col("p") >= 1).cast("long"), "p": F.when(F.col("p") < 1, F.col("p")).otherwise(0.0)})
         odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
         return out.withColumn("v", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
 

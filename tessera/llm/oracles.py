@@ -71,21 +71,26 @@ FROM m LEFT JOIN cuts ON cuts.lang IS NOT DISTINCT FROM m.lang AND cuts.source I
 """
 
 
-def _mixing(weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> str:
+def _mixing(weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, seed: int = 17) -> str:
     listed = ", ".join(repr(float(w)) for w in weights)
     return rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
-    (CAST(('0x' || substr(md5('{seed}' || chr(31) || coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+WITH d AS (SELECT *, CASE WHEN size < 256 THEN 1 WHEN size < 1024 THEN 2 WHEN size < 4096 THEN 4 ELSE 8 END::DOUBLE AS imp FROM (SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
+    (CAST(('0x' || substr(md5('{seed}' || chr(31) || coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents)),
   s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
   ranked AS (SELECT *, list_extract([{listed}], CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(weights)} AS INTEGER) + 1)::DOUBLE AS weight, source_size * {float(cap)!r}::DOUBLE AS cap FROM s),
   filled AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM ranked),
   level AS (SELECT coalesce(arg_min(share, cap / weight) FILTER (WHERE cap > weight * share), 1e300) AS share FROM filled),
   t AS (SELECT r.source, source_size, CASE WHEN source_size = 0 THEN 0 WHEN cap <= weight * level.share THEN cap ELSE weight * level.share END AS target FROM ranked r, level),
-  w AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least({float(cap)!r}, target / source_size) ELSE 0 END AS wished FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
-  p AS (SELECT *, CAST(floor(wished) AS BIGINT) AS whole, wished - floor(wished) AS p FROM w),
+  g AS (SELECT *, target - certain * source_size AS open_ FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS certain FROM t)),
+  c AS (SELECT source, imp, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+  sc AS (SELECT source, arg_max(scale, imp) AS scale FROM (SELECT c.source, imp, (open_ - (sum(words) OVER (PARTITION BY c.source ORDER BY imp DESC) - words))
+      / nullif(sum(words * imp) OVER (PARTITION BY c.source ORDER BY imp DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale FROM c JOIN g ON g.source IS NOT DISTINCT FROM c.source) WHERE scale * imp < 1 GROUP BY source),
+  w AS (SELECT d.*, source_size, target, certain, CASE WHEN open_ > 0 THEN coalesce(scale * imp, 1) ELSE 0 END AS chance FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN sc ON sc.source IS NOT DISTINCT FROM d.source),
+  p AS (SELECT *, certain + CASE WHEN chance >= 1 THEN 1 ELSE 0 END AS whole, CASE WHEN chance < 1 THEN chance ELSE 0 END AS p FROM w),
+  left_ AS (SELECT source, any_value(target) - CAST(sum(whole * size) AS BIGINT) AS open_ FROM p GROUP BY source),
   o AS (SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) ELSE 1 END AS v FROM p),
-  runs AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY v) AS run FROM (SELECT source, v, sum(size) AS words, any_value(target) - any_value(source_size * whole) AS open_ FROM o WHERE p > 0 GROUP BY source, v)),
+  runs AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY v) AS run FROM (SELECT o.source, v, sum(size) AS words, any_value(open_) AS open_ FROM o JOIN left_ ON left_.source IS NOT DISTINCT FROM o.source WHERE p > 0 GROUP BY o.source, v)),
   edge AS (SELECT source, min(v) AS cut_v, arg_min(words, v) AS cut_words, arg_min(open_ - run + words, v) AS gap FROM runs WHERE run > open_ GROUP BY source),
   fit AS (SELECT source, v, cut_v FROM (SELECT r.source, r.v, cut_v, gap, abs(gap - CASE WHEN r.v >= cut_v THEN words ELSE cut_words - words END) AS miss FROM runs r JOIN edge e ON e.source IS NOT DISTINCT FROM r.source)
     WHERE miss < gap QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, v) = 1)

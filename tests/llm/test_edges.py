@@ -148,6 +148,14 @@ def test_mixing(odd, spark):
     uneven = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"))
     got = mixing.mixed(uneven, weights=(1, 5)).groupBy("__row.source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 2 for r in got)
+    # By default the length class counts: documents of 256 words or more are taken more often than shorter ones.
+    lengths = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 4 == 0, 300).otherwise(100)).alias("text"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"))
+    by_length = {r.long: r.c for r in mixing.mixed(lengths, weights=(1, 9)).where("__row.source = 'a'").groupBy((F.col("size") == 300).alias("long")).agg(F.avg("copies").alias("c")).collect()}
+    assert by_length[True] > 1.7 * by_length[False] > 0
+    # Certain classes: where importance would give more than one copy, the rest share what is left, and targets hold.
+    steep = mixing.mixed(lengths, weights=(1, 1), importance=F.when(F.col("doc_id") % 4 == 0, 64.0).otherwise(1.0))
+    got = steep.groupBy("__row.source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.min(F.when(F.col("size") == 300, F.col("copies"))).alias("least"), F.max("copies").alias("most")).collect()
+    assert all(abs(r.t - r.g) <= 100 and r.least >= 1 and r.most <= 3 for r in got)
     # Unequal importance makes inclusion unequal within a source.
     heavy = mixing.mixed(uneven, weights=(1, 5), importance=F.when(F.col("doc_id") < 2000, 3.0).otherwise(1.0))
     share = {r.first: r.c for r in heavy.where("__row.source = 'a'").groupBy((F.col("__row.doc_id") < 2000).alias("first")).agg(F.avg("copies").alias("c")).collect()}
