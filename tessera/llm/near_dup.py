@@ -4,13 +4,14 @@ A document's set is its distinct word shingles, as 64-bit hashes. One permutatio
 of 2^32 places; a second one, pi, shifted by k places, gives coordinate k of the signature: the least pi(sigma(x) - k).
 Two permutations so yield all coordinates. Bands of ROWS coordinates make buckets.
 
-Documents with one set are one class from the start, so exact copies never meet each other again. In a bucket every
-class is compared with the bucket's smallest class (a star, not all pairs), links are confirmed on the full sets, and
-components are formed. In buckets that then still hold several components, every class outside the largest component
-is compared with all members of other components, block by block: the signatures leave out what is surely below the
-threshold, the full sets decide, and only links leave a block. So no link between two components that share a bucket
-is lost, nothing is capped, and a bucket with most of the corpus in it costs one pair a member as long as its members
-are linked.
+Documents with one set are one class from the start, so exact copies never meet each other again, and the sets of one
+id are linked. In a bucket every class is compared with the bucket's smallest class, its head (a star, not all pairs),
+links are confirmed on the full sets, and components are formed. In buckets whose other members then still belong to
+several components, every one outside the largest component is compared with all members of other components, block
+by block, on signatures alone; pairs that are not surely below the threshold are kept by the first bucket they share,
+and their full sets, sent once to each block that needs them, decide. So no link between two components that share a
+bucket is lost, nothing is capped, and a bucket with most of the corpus in it costs one pair a member as long as its
+members are linked.
 
 Only the documents that share a bucket have their sets built again and kept, in the shared folder.
 """
@@ -144,7 +145,8 @@ def _bander(bands: int, rows: int):
             for j in range(rows):
                 key = _mix((key ^ sig[:, :, j]) * np.uint64(_STEP) + np.uint64(j + 1))
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), ids], names=["bucket", "cls"])
+            band_ = np.tile(np.arange(bands, dtype=np.int16), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), ids, pa.array(band_)], names=["bucket", "cls", "band"])
 
     return band
 
@@ -200,36 +202,108 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_confirmer(percent), f"u {kind}, v {kind}")
 
 
-def _blocks(n_coordinates: int, least: float, percent: int):
-    """Links of one work unit between a block outside the largest component and a block of all, of other components.
-
-    Signatures leave out pairs that are surely below the threshold; the others are counted on their full sets.
+def _units(batches: Iterator, keys: list[str]) -> Iterator:
+    """Tables of the rows that agree on keys, from batches in the order of keys; a unit may cross batches."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            col = batch.column(k)
+            cuts[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(cuts).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[0] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(starts[:-1], starts[1:]):
+            held.append(batch.slice(i, j - i))
+            if j < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(bands: int, rows: int, least: float):
+    """Pairs of one unit, a block of a bucket against a block of it, that are not surely below the threshold.
+
+    A pair is told by the first bucket that it shares, so once in all.
     """
 
-    def compare(left, right):
+    def compare(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        out = []
-        if len(left) and len(right):
-            sig = lambda df: np.frombuffer(b"".join(df["sig"]), dtype=np.uint32).reshape(-1, n_coordinates)
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in right["set"]]
-            all_, labels, ids, sizes = sig(right), right["label"].to_numpy(), right["cls"].to_numpy(), np.array([len(s) for s in sets])
-            for own, label, cls, data in zip(sig(left), left["label"], left["cls"], left["set"]):
-                x = np.frombuffer(data, dtype=np.uint64)
-                near = (labels != label) & (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x)))
-                near = np.flatnonzero(near & ((all_ == own).mean(axis=1) >= least))
+        import pyarrow as pa
+
+        for unit in _units(batches, ["bucket", "i", "j"]):
+            own = unit.column("own").to_numpy()
+            if not own.any() or own.all() and len(own) < 2:
+                continue
+            sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), dtype=np.uint32).reshape(len(own), bands * rows)
+            label = np.unique(unit.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            band = int(unit.column("band")[0].as_py())
+            # own: 1 outside the largest component, in block i; 2 in block j; 3 both.
+            left, right = np.flatnonzero(own & 1), np.flatnonzero(own & 2)
+            out_a, out_b = [], []
+            for k in left.tolist():
+                same = sig[right] == sig[k]
+                near = np.flatnonzero((label[right] != label[k]) & (same.mean(axis=1) >= least))
                 if len(near):
-                    other = np.concatenate([sets[k] for k in near])
-                    at = np.minimum(np.searchsorted(x, other), len(x) - 1)
-                    both = np.add.reduceat((x[at] == other).astype(np.int64), np.cumsum([0, *sizes[near][:-1]]))
-                    linked = 100 * both >= percent * (len(x) + sizes[near] - both)
-                    out += [(cls, v) for v in ids[near[linked]]]
-        return pd.DataFrame(out, columns=["u", "v"])
+                    first = same[near].reshape(len(near), bands, rows).all(axis=2).argmax(axis=1)
+                    hit = right[near[first == band]]
+                    out_a += [k] * len(hit)
+                    out_b += hit.tolist()
+            if out_a:
+                cls = unit.column("cls").combine_chunks()
+                at = unit.slice(0, 1)
+                key = [pa.array([at.column(c)[0].as_py()] * len(out_a), pa.int64()) for c in ("bucket", "i", "j")]
+                yield pa.RecordBatch.from_arrays([*key, cls.take(pa.array(out_a)), cls.take(pa.array(out_b))], names=["bucket", "i", "j", "a", "b"])
 
     return compare
 
 
+def _deciders(percent: int):
+    """Links of one unit: its pairs (no set) and, before them, the sets of the classes in them."""
+
+    def decide(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for unit in _units(batches, ["bucket", "i", "j"]):
+            sets, linked = {}, []
+            for a, b, data in zip(unit.column("a").to_pylist(), unit.column("b").to_pylist(), unit.column("set")):
+                if data.is_valid:
+                    sets[a] = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                    continue
+                x, y = sorted((sets[a], sets[b]), key=len)
+                if 100 * len(x) >= percent * len(y):
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int((y[at] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        linked.append((a, b))
+            kind = unit.schema.field("a").type
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], kind) for k in (0, 1)], names=["u", "v"])
+
+    return decide
+
+
+def spread(rows: DataFrame, side: DataFrame, hot_from: int) -> DataFrame:
+    """rows joined with side, one row a bucket with its number of rows n: large buckets by broadcast, the others by a shuffle.
+
+    There are at most len(rows) / hot_from large buckets; callers choose hot_from so that these are few.
+    """
+    hot = side.where(F.col("n") >= hot_from)
+    if hot.isEmpty():
+        return rows.join(side, "bucket")
+    large = rows.join(F.broadcast(hot), "bucket")
+    rest = rows.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(side.where(F.col("n") < hot_from), "bucket")
+    return large.unionByName(rest)
+
+
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -246,10 +320,13 @@ def near_components(
     signed = written(base.mapInArrow(_signer(width, bands, rows), f"id {kind}, n_shingles long, digest binary, sig binary"), "near-signed", log)
     of_class = signed.where("id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("id").alias("cls"), F.first("sig").alias("sig"))
     of_class = written(of_class, "near-classes", log)
-    entries = written(of_class.select("cls", "sig").mapInArrow(_bander(bands, rows), f"bucket long, cls {kind}"), "near-entries", log)
-    heads = entries.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    shared = written(entries.join(heads, "bucket"), "near-shared", log)
-    erase(spark, log, "near-entries")
+    entries = written(of_class.select("cls", "sig").mapInArrow(_bander(bands, rows), f"bucket long, cls {kind}, band short"), "near-entries", log)
+    heads = entries.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = written(heads, "near-heads", log)
+    # At most 20,000 buckets can hold so large a part of the entries.
+    hot_from = max(1000, entries.count() // 20_000)
+    shared = written(spread(entries, heads, hot_from).select("bucket", "band", "cls", "head"), "near-shared", log)
+    erase(spark, log, "near-entries", "near-heads")
     wanted = written(shared.select("cls").distinct(), "near-wanted", log)
     # One long per document that shares a bucket: a broadcast of at most 1,000,000 of them, else a shuffle join.
     again = base.join(fitted(wanted.withColumnRenamed("cls", "id"), 1_000_000), "id", "left_semi")
@@ -257,7 +334,15 @@ def near_components(
 
     # Stars from each bucket's smallest class.
     pairs = shared.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    links = written(confirmed(pairs, sets, percent), "near-links", log)
+    # Ids with several sets: these are one document's.
+    several = signed.where("id IS NOT NULL AND n_shingles > 0").groupBy("id").agg(F.min(F.xxhash64("digest")).alias("d"), F.max(F.xxhash64("digest")).alias("e")).where("d <> e").select("id")
+    several = written(several, "near-several", log)
+    found = confirmed(pairs, sets, percent)
+    if not several.isEmpty():
+        own = signed.where("n_shingles > 0").join(fitted(several, 1_000_000), "id").select("id", "digest").distinct()
+        own = own.join(of_class.select("digest", "cls"), "digest").select("id", "cls")
+        found = found.unionByName(own.join(own.groupBy("id").agg(F.min("cls").alias("v")), "id").where("cls <> v").select(F.col("cls").alias("u"), "v"))
+    links = written(found, "near-links", log)
     labels = written(components(links, log), "near-labels", log)
 
     def extended(more: DataFrame) -> DataFrame:
@@ -270,30 +355,38 @@ def near_components(
         joined_ = joined_.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
         return written(joined_.select("node", F.coalesce("root", "label").alias("label")), "near-labels", log)
 
-    # What stars cannot tell: buckets that still hold several components. The documents of all such buckets with one
-    # largest component are compared, those outside it with all, in units of two blocks.
-    rows_ = shared.select("bucket", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    rows_ = rows_.select("bucket", "cls", F.coalesce("label", "cls").alias("label"))
-    sizes = rows_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("m")).where("parts > 1")
-    open_ = written(rows_.join(main.select("bucket", F.col("m.label").alias("main")), "bucket").select("main", "cls", "label").distinct(), "near-open", log)
-    if not open_.isEmpty():
-        size = open_.groupBy("main").agg(
-            F.ceil(F.count("*") / BLOCK).alias("parts"), F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).alias("own_parts")
-        )
-        placed = open_.join(written(size, "near-blocks", log), "main")
-        held = of_class.select("cls", "sig").join(sets, "cls")
-        up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
-        left = placed.where("label <> main").withColumn("i", part("own_parts")).withColumn("j", up_to("parts"))
-        right = placed.withColumn("j", part("parts")).withColumn("i", up_to("own_parts"))
-        cols = ["main", "i", "j", "cls", "label", "sig", "set"]
-        left, right = (side.join(held, "cls").select(cols).toDF(*cols) for side in (left, right))
-        unit = cols[:3]
-        more = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
-            _blocks(bands * rows, max(0.0, percent / 100 - SURELY_BELOW), percent), f"u {kind}, v {kind}"
+    # What stars cannot tell: buckets whose members beside the head, which has met them all, are of several components.
+    # Those outside a bucket's largest component are compared with all, in units of two blocks.
+    rows_ = shared.where("cls <> head").select("bucket", "band", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rows_ = written(rows_.select("bucket", "band", "cls", F.coalesce("label", "cls").alias("label")), "near-rows", log)
+    sizes = rows_.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("m")).where("labels > 1")
+    main = main.select(
+        "bucket", "n", F.col("m.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil((F.col("n") - F.col("m.k")) / BLOCK).alias("own_parts")
+    )
+    main = written(main, "near-open", log)
+    if not main.isEmpty():
+        placed = spread(rows_, main, hot_from).join(of_class.select("cls", "sig"), "cls")
+        up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        # A row goes to the units of its block i, if it is outside the largest component, and of its block j.
+        outside = F.col("label") != F.col("main")
+        placed = placed.withColumns({"pi": F.pmod(F.xxhash64("cls"), "own_parts"), "pj": F.pmod(F.xxhash64("cls"), "parts")})
+        right = F.transform(up_to("own_parts"), lambda i: F.struct(i.alias("i"), F.col("pj").alias("j")))
+        left = F.when(outside, F.transform(up_to("parts"), lambda j: F.struct(F.col("pi").alias("i"), j.alias("j")))).otherwise(F.slice(right, 1, 0))
+        units = placed.withColumn("unit", F.explode(F.array_union(left, right)))
+        own = F.when(outside & (F.col("unit.i") == F.col("pi")), 1).otherwise(0) + F.when(F.col("unit.j") == F.col("pj"), 2).otherwise(0)
+        units = units.select("bucket", "unit.i", "unit.j", "band", own.alias("own"), "cls", "label", "sig")
+        key = ["bucket", "i", "j"]
+        likely = units.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+            _blocks(bands, rows, max(0.0, percent / 100 - SURELY_BELOW)), f"bucket long, i long, j long, a {kind}, b {kind}"
         )
-        more = written(more.distinct(), "near-links", log)
+        likely = written(likely, "near-likely", log)
+        # Sets go once to each unit that has a pair with them, however many pairs that are.
+        named_ = likely.select(*key, F.explode(F.array("a", "b")).alias("a")).distinct()
+        full = named_.join(sets.select(F.col("cls").alias("a"), "set"), "a").select(*key, "a", F.lit(None).cast(kind).alias("b"), "set")
+        decided = full.unionByName(likely.withColumn("set", F.lit(None).cast("binary")))
+        decided = decided.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first())
+        more = written(decided.mapInArrow(_deciders(percent), f"u {kind}, v {kind}").distinct(), "near-links", log)
         if not more.isEmpty():
             labels = extended(more)
 
@@ -308,7 +401,10 @@ def near_components(
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns: the document with the smallest id of each component."""
+    """The rows of docs that stay, with docs' own columns: the document with the smallest id of each component.
+
+    All rows of that id stay, repeated ones too; rows with null id or without words stay.
+    """
     marks = near_components(docs, id_col, **options)
     gone = written(marks.where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct(), "near-gone")
     rows = docs.select(whole_row(docs), F.col(id_col).alias("id"))

@@ -106,6 +106,37 @@ def test_near_group_beyond_one_block(spark):
     assert got == brute.near(rows, 2)
 
 
+def test_near_links_the_rows_of_one_id(spark):
+    """Rows that repeat an id are one document: what links one of its texts links all."""
+    a, b = "one two three four five six", "red green blue white black grey"
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (11, "something else"), (12, None), (12, "twelve")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 12, True)}
+    named = spark.createDataFrame([(f"k{i:02}", t) for i, t in rows], "doc_id string, text string")
+    assert {r.component_id for r in near_dup.near_components(named, width=2).collect()} == {"k03", "k11", "k12"}
+
+
+def test_near_large_buckets_of_look_alikes(spark, monkeypatch):
+    """Many groups in common buckets, in blocks of a few rows and with buckets large enough for the broadcast side."""
+    import random
+
+    import brute
+
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(6)
+    rows = []
+    for k in range(1200):
+        words = [f"w{j}" for j in range(60)]
+        group = random.Random(k % 40)  # a third of each group's words are its own, one more is the row's
+        for _ in range(16):
+            words[group.randrange(60)] = f"g{k % 40}x{group.randrange(9)}"
+        words[rng.randrange(60)] = f"r{k}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_components(df, width=1, percent=90).collect()}
+    assert got == brute.near(rows, 1, 90)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.label for r in components.components(links).collect()}
