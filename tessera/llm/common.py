@@ -14,8 +14,10 @@ LOWER = UPPER.lower()
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: Used only where the session names no spark.checkpoint.dir (tests, a laptop).
+#: Used only where a local session names no spark.checkpoint.dir (tests, a laptop).
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
+#: What Python workers get at a time, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,24 +25,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it; only a local session may leave it out."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = LOCAL_SHARED_DIR
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it holds, Python workers get 1,000 rows at a time: texts are long, and a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1000")
+    """While it holds, Python workers get BATCH_ROWS rows and BATCH_BYTES bytes at a time: texts are long, and a batch is held several times over."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, log: dict[str, list[str]] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty, utf8
+from tessera.llm.common import text_or_empty, utf8, written
 
 WINDOW = 4096
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -162,4 +162,4 @@ def pack(
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     packed = rows.mapInArrow(_packer("id", tokenizer, end_id, tuple(tiers), shard_tokens, step_tokens), f"id {kind}, {PIECES}")
-    return packed.withColumnRenamed("id", id_col)
+    return written(packed, "packed").withColumnRenamed("id", id_col)

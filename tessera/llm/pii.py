@@ -24,9 +24,10 @@ KINDS = ["email", "ip", "card", "phone", "other"]
 FAMILIES = ["email", "ip", "card", "phone", "number", "iban", "spelled"]
 LABELERS = ["strict", "gazetteer", "context", "shape", "surroundings"]
 
-#: P(no vote, yes, no) of false and of true spans before any data, and the prior's weight as a multiple of the data's.
-#: A failed checksum or length all but rules a span out, whatever else speaks for it.
-PRIOR = {"strict": ((0.3, 0.02, 0.68), (0.3, 0.697, 0.003), 5.0), "others": ((0.4, 0.2, 0.4), (0.4, 0.45, 0.15), 0.2)}
+#: P(no vote, yes, no) of false and of true spans before any data. A failed checksum or length starts out as a strong no.
+PRIOR = {"strict": ((0.3, 0.02, 0.68), (0.3, 0.697, 0.003)), "others": ((0.4, 0.2, 0.4), (0.4, 0.45, 0.15))}
+#: The prior's weight as a part of the data's: candidates decide, the prior breaks ties and names the classes.
+PRIOR_WEIGHT = 0.2
 
 # Gazetteers.
 MAIL_ENDINGS = {"com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "it", "eu", "us", "co", "at", "ch", "example", "test"}
@@ -128,7 +129,7 @@ def votes(t: str, start: int, family: int, end: int, passed: bool | None) -> tup
     elif family in (3, 4):
         shape = 1 if groups in ([3, 2, 4], [3, 3, 4], [1, 3, 3, 4]) or (span[0] == "+" and len(groups) >= 3) else 2 if len(groups) == 1 or min(groups) == 1 else 0
     else:
-        shape = 1 if len(set(groups)) == 1 or groups in ([4, 6, 5],) else 0
+        shape = 1 if len(groups) > 1 and (len(set(groups)) == 1 or groups == [4, 6, 5]) else 0  # one run of digits says nothing
     left, right = t[start - 1 : start] if start else "", t[end : end + 1]
     surroundings = 2 if left.isalnum() or left in ("_", "-", ".", "/") or right.isalnum() or right in ("_", "/") else 1
     return strict, gazetteer, context, shape, surroundings
@@ -192,18 +193,17 @@ def reliabilities(counts: dict[int, int], rounds: int = 100):
     family, vote = np.array([parts(c)[0] for c in codes]), np.array([parts(c)[1] for c in codes])
     lean = (vote == 1).sum(1) - (vote == 2).sum(1) + 2.0 * (vote[:, 0] == 1) - 2.0 * (vote[:, 0] == 2)
     q = 1 / (1 + np.exp(-lean))
-    weight = np.minimum(n, 0.05 * n.sum() + 1)  # no single pattern fixes a labeler's name for all
     table = np.zeros((2, vote.shape[1], 3))
     for _ in range(rounds):
         for y, share in ((1, q), (0, 1 - q)):
             for j in range(vote.shape[1]):
                 prior = PRIOR["strict" if j == 0 else "others"]
-                got = np.array([(weight * share)[vote[:, j] == v].sum() for v in range(3)]) + (prior[2] * weight.sum() + 1) * np.array(prior[y])
+                got = np.array([(n * share)[vote[:, j] == v].sum() for v in range(3)]) + (PRIOR_WEIGHT * n.sum() + 1) * np.array(prior[y])
                 table[y, j] = got / got.sum()
         logit = np.zeros(len(codes))
         for f in np.unique(family):
             mine = family == f
-            prior = ((weight * q)[mine].sum() + 1) / (weight[mine].sum() + 2)
+            prior = ((n * q)[mine].sum() + 1) / (n[mine].sum() + 2)
             logit[mine] = np.log(prior / (1 - prior))
         for j in range(vote.shape[1]):
             logit += np.log(table[1, j, vote[:, j]]) - np.log(table[0, j, vote[:, j]])

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fitted, shared_dir, small_batches, text_or_empty, utf8
+from tessera.llm.common import fitted, shared_dir, small_batches, text_or_empty, utf8, written
 
 #: selector -> (ids in a word, bits of each). Fixed values of the format.
 SELECTORS = {
@@ -239,6 +239,7 @@ def read_documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     docs = blocks.select("shard", "shard_start", "doc_ids", "lengths", "words").mapInArrow(
         _reader("id"), f"id {kind}, shard int, in_shard long, n_tokens long, ids_crc32 long"
     )
+    docs = written(docs, "token-documents")
     placed = docs.join(fitted(shards, 20_000), F.col("shard") == F.col("of"))
     return placed.select(F.col("id").alias(id_col), (F.col("in_shard") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

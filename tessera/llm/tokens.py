@@ -1,8 +1,9 @@
 """Token ids of whole texts from a public tokenizer, with a bounded memory of chunks seen before.
 
-The tokenizer treats what stands between spaces or newlines on its own, so a text's ids are the ids of its chunks in
-order. A worker keeps chunk -> ids in two generations of CACHE_CHUNKS chunks; every miss goes to the tokenizer. Chunks
-are looked up with A-Z lower-cased, as the tokenizer's own normaliser has it.
+A tokenizer that lower-cases and drops blanks treats what stands between spaces or newlines on its own, so a text's ids
+are the ids of its chunks in order. A worker keeps chunk -> ids in two generations of CACHE_CHUNKS chunks; every miss
+goes to the tokenizer. Chunks are looked up with A-Z lower-cased, as the tokenizer's own normaliser has it. Whether a
+vocabulary is of that kind is asked of its tokenizer by PROBES; texts of any other go to it whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,13 @@ _LATIN_END = "\u0250"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Texts whose ids differ from their lower-cased chunks' ids wherever case, blanks or neighbours count.
+PROBES = [
+    "The Quick  Brown FOX", "two  blanks", " leading and trailing ", "one\ntwo\n\nthree", "tab\there", "a,b; c! (d) e's", "x", "", " ", "Stra\u00dfe L\u00c9GENDE ni\u00f1o",
+    "numbers 12 1234567 3.14", "the the", "A B C", "caf\u00e9 \U0001f600 \u4e2d\u6587 text",
+]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -43,10 +51,14 @@ class Encoder(dict):
         self.most, self._old = most, {}
         # Latin letters, lower-cased, as the tokenizer's byte-level step spells them; they are stable under its NFC.
         self._spelled = {ord(c): self._bytes_of(c.lower()) for c in map(chr, range(0x80, ord(_LATIN_END))) if c.isalpha()}
-        # Whether words may take the short way is asked of the tokenizer itself.
+        # Whether texts fall into chunks, and whether words may take the short way, is asked of the tokenizer itself.
+        self._short, self._long = False, []
+        self._chunked = True
+        self._chunked = all(self.encode(t) == self._direct(t) for t in PROBES)
+        self.clear()
         probe = ["thor", "l\u00e9gende", "stra\u00dfe", "ni\u00f1o"]
-        self._short = all(self._word(w) == self._direct(w) for w in probe)
-        self._long = [c for c in map(chr, self._spelled) if self._word(f"a{c}a") != self._direct(f"a{c}a")]
+        self._short = self._chunked and all(self._word(w) == self._direct(w) for w in probe)
+        self._long = [c for c in map(chr, self._spelled) if self._short and self._word(f"a{c}a") != self._direct(f"a{c}a")]
 
     def _packed(self, ids: list[int]) -> bytes:
         out = array(self._code, ids)
@@ -90,7 +102,7 @@ class Encoder(dict):
 
     def encode(self, text: str | bytes | None) -> bytes:
         raw = text.encode("utf-8") if isinstance(text, str) else text or b""
-        if b"<|" in raw:  # may hold a special token, whose spelling is exact
+        if not self._chunked or b"<|" in raw:  # "<|" may begin a special token, whose spelling is exact
             return self._direct(raw.decode())
         return b"".join(map(self.__getitem__, raw.lower().replace(b"\n", b" ").split(b" ")))
 

@@ -512,7 +512,7 @@ def scores(
     """
     frozen = train(*sample(docs, labels, id_col, text_col, label_col, most, most_bytes))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    out = rows.mapInArrow(_scorer(frozen), f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    out = written(rows.mapInArrow(_scorer(frozen), f"id {rows.schema['id'].dataType.simpleString()}, score double"), "toxic-scores")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"),

@@ -241,6 +241,30 @@ def test_tokens_equal_the_tokenizer():
     same()
 
 
+def test_tokens_of_every_vocabulary():
+    """Whatever a vocabulary does with case and blanks, ids are its tokenizer's."""
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    from tessera.llm import tokens
+
+    texts = [*tokens.PROBES, "Mixed CASE  and\n\nlines\tof 12,345 words.  Don't! <|endoftext|> caf\u00c9"]
+    checked = 0
+    for path in sorted(glob.glob(os.path.join(os.path.dirname(tokens.default_path()), "*.json"))):
+        try:
+            tok = Tokenizer.from_file(path)
+        except Exception:  # another kind of vocabulary file
+            continue
+        enc = tokens.Encoder(path, 1000)
+        checked += 1
+        for t in texts:
+            got = __import__("numpy").frombuffer(enc.encode(t), dtype=enc.dtype).tolist()
+            assert got == tok.encode(t, add_special_tokens=False).ids, (path, t)
+    assert checked >= 2
+
+
 def test_simple8b_round_trip():
     import numpy as np
     from hypothesis import given, settings
@@ -404,6 +428,36 @@ def test_pii_base_cases(spark):
         assert [tuple(x) for x in r.base] == brute.pii_base(texts[r.doc_id]), texts[r.doc_id][:60]
 
 
+def test_pii_reliabilities_follow_the_data():
+    """What EM estimates of the main labeler moves with its votes, in a table where the others tell true from false."""
+    good, bad = (1, 1, 1, 1), (2, 2, 2, 2)
+
+    def strict_hits(right):
+        counts = {pii.pattern(2, (1, *good), 16): right, pii.pattern(2, (2, *good), 16): 1000 - right, pii.pattern(2, (2, *bad), 16): right, pii.pattern(2, (1, *bad), 16): 1000 - right}
+        posterior, table = pii.reliabilities(counts)
+        assert min(posterior[c] for c in counts if pii.parts(c)[1][1:] == list(good)) > max(posterior[c] for c in counts if pii.parts(c)[1][1:] == list(bad))
+        return table[1, 0, 1]
+
+    sure, fair = strict_hits(990), strict_hits(700)
+    assert sure > 0.9 and sure - fair > 0.2
+
+
+def test_pii_batches_are_bounded(spark):
+    """Python gets no more bytes at a time than BATCH_BYTES allows, whatever the rows."""
+    from tessera.llm import common
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["b", "n"])
+
+    rows = spark.range(0, 120, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    got = common.written(rows.mapInArrow(count, "b long, n long"), "batches").collect()
+    assert sum(r.n for r in got) == 120 and max(r.b for r in got) < 1.5 * common.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_pii_labelers_agree_on_looser_shapes(spark):
     rows = [(k, f"please write to bob{k} (at) example (dot) com or call +49 30 {1000000 + k}, and again", "en", "a", 0) for k in range(60)]
     rows += [(100 + k, f"version 1.{k} of page 12345678{k} was printed", "en", "a", 0) for k in range(60)]
