@@ -11,8 +11,11 @@ from tessera.operators.verify import merkle
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The checkpoint folder that driver and executors share; a local session may do without, a cluster's may not."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -8,14 +8,57 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import binary_lanes, hamming, hamming64, recall_radius
 
 
-def lane_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64) -> DataFrame:
+#: Comparing two 64-bit hashes costs about this part of carrying one more row through a shuffle.
+COMPARISON = 1 / 64
+#: Hashes of a block where blocks are compared, and masks that a probe may try on one lane.
+BLOCK, MOST_MASKS = 4096, 4096
+
+
+def _edges(lanes: int, bits: int) -> list[int]:
+    return [bits * k // lanes for k in range(lanes + 1)]
+
+
+def _masks(width: int, flips: int) -> list[int]:
+    """All masks of a lane with at most so many bits set, fewest first."""
+    from itertools import combinations
+
+    return [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(width), n)]
+
+
+def _tried(width: int, flips: int) -> int:
+    from math import comb
+
+    return sum(comb(width, k) for k in range(flips + 1))
+
+
+def lane_plan(n_left: int, n_right: int, radius: int, bits: int) -> int | None:
+    """The number of lanes that makes the join cheapest, None where comparing all pairs is cheaper than any.
+
+    Of m lanes, one differs in at most radius // m bits, so each left hash is looked up with that many bits flipped. More
+    lanes mean fewer flips but narrower lanes, which agree by chance more often.
+    """
+    all_pairs = n_left * n_right * COMPARISON
+    best, least = None, all_pairs
+    for m in range(1, min(radius + 1, bits) + 1):
+        flips, widths = radius // m, [b - a for a, b in zip(_edges(m, bits), _edges(m, bits)[1:])]
+        tried = [_tried(w, flips) for w in widths]
+        if max(tried) > MOST_MASKS:
+            continue
+        cost = n_left * sum(tried) + n_right * m + n_left * n_right * COMPARISON * sum(t / 2**w for t, w in zip(tried, widths))
+        if cost < least:
+            best, least = m, cost
+    return best
+
+
+def lane_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64, lanes: int | None = None) -> DataFrame:
     """Pairs (left_id, right_id, distance) within radius of 64-bit hashes, without comparing all pairs.
 
-    Cut into radius + 1 lanes, two hashes within radius agree on one whole lane, so the join is on (lane, value). A pair
-    that agrees on several lanes is kept at the first of them only, which needs no distinct.
+    Cut into lanes (default: radius + 1), two hashes within radius differ on one of them in at most radius // lanes bits,
+    so the join is on (lane, value), with the left side's values tried with that many bits flipped. A pair that comes
+    near on several lanes is kept at the first of them only, which needs no distinct.
     """
-    lanes = min(radius + 1, bits)
-    edges = [bits * k // lanes for k in range(lanes + 1)]
+    lanes = lanes or min(radius + 1, bits)
+    edges, flips = _edges(lanes, bits), radius // lanes
 
     def cut(column: Column, k: int) -> Column:
         width = edges[k + 1] - edges[k]
@@ -25,26 +68,41 @@ def lane_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, rad
         own = df.select(F.col(id_col).alias(f"{side}_id"), F.col(hash_col).alias(f"{side}_hash"))
         return own.select("*", F.posexplode(F.array(*[cut(F.col(f"{side}_hash"), k) for k in range(lanes)])).alias("lane", "value"))
 
-    pairs = exploded(left, "left").join(exploded(right, "right"), ["lane", "value"])
+    probes = exploded(left, "left")
+    if flips:
+        by_width = {w: F.array(*[F.lit(x).cast("long") for x in _masks(w, flips)]) for w in {b - a for a, b in zip(edges, edges[1:])}}
+        wide = max(by_width)
+        masks = by_width[wide] if len(by_width) == 1 else F.when(F.col("lane").isin([k for k in range(lanes) if edges[k + 1] - edges[k] == wide]), by_width[wide]).otherwise(by_width[min(by_width)])
+        probes = probes.withColumn("mask", F.explode(masks)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    pairs = probes.join(exploded(right, "right"), ["lane", "value"])
     first = F.coalesce(
-        *[F.when(cut(F.col("left_hash"), k) == cut(F.col("right_hash"), k), F.lit(k)) for k in range(lanes)]
+        *[F.when(F.bit_count(cut(F.col("left_hash").bitwiseXOR(F.col("right_hash")), k)) <= flips, F.lit(k)) for k in range(lanes)]
     )
     distance = hamming64(F.col("left_hash"), F.col("right_hash"))
     return pairs.where((F.col("lane") == first) & (distance <= radius)).select("left_id", "right_id", distance.cast("long").alias("distance"))
 
 
+def block_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, n_left: int) -> DataFrame:
+    """lane_join's pairs by comparing every block of BLOCK left hashes with all right ones: there are as many tasks' worth of
+    blocks as the left side has, and only (id, hash) is carried."""
+    blocks = max(1, -(-n_left // BLOCK))
+    l = left.select(F.col(id_col).alias("left_id"), F.col(hash_col).alias("left_hash"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))  # noqa: E741
+    all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    r = right.select(F.col(id_col).alias("right_id"), F.col(hash_col).alias("right_hash")).withColumn("block", all_blocks)
+    distance = hamming64(F.col("left_hash"), F.col("right_hash"))
+    return l.join(r, "block").where(distance <= radius).select("left_id", "right_id", distance.cast("long").alias("distance"))
+
+
 def radius_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64) -> DataFrame:
-    """lane_join where lanes are selective (8 bits or more), else a comparison in blocks of the smaller side.
+    """Pairs within radius, by the lanes that lane_plan finds cheapest for the sides' sizes, or in blocks as the last resort.
 
-    Narrow lanes agree for most pairs, and lanes then cost more than they save. The blocks carry (id, hash) only.
+    A wide radius (a third of the bits) takes in so large a part of all pairs that no lanes tell them apart.
     """
-    if bits // (radius + 1) >= 8:
-        return lane_join(left, right, id_col, hash_col, radius, bits)
-    block = F.pmod(F.xxhash64(id_col), F.lit(16))
-    l = left.select(F.col(id_col).alias("left_id"), F.col(hash_col).alias("left_hash"), block.alias("block"))  # noqa: E741
-    r = right.select(F.col(id_col).alias("right_id"), F.col(hash_col).alias("right_hash")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    distance = hamming64(F.col("left_hash"), F.col("right_hash"))
-    return l.join(r, "block").where(distance <= radius).select("left_id", "right_id", distance.cast("long").alias("distance"))
+    n_left, n_right = left.count(), right.count()
+    lanes = lane_plan(n_left, n_right, radius, bits)
+    if lanes is None:
+        return block_join(left, right, id_col, hash_col, radius, n_left)
+    return lane_join(left, right, id_col, hash_col, radius, bits, lanes)
 
 
 def binary_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, bits: int, carry: list[str] | None = None) -> DataFrame:

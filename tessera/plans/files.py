@@ -114,5 +114,5 @@ def streaming(spark, sf):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs.repartition(3, F.pmod("doc_id", F.lit(3))).write.parquet(f"{folder}/in")
     index = detect_stream(spark, f"{folder}/in", docs.schema, "doc_id", {"n_chars": "n_chars", "digest": "md5(text)"}, f"{folder}/checkpoint")
-    found = connected_components(index.edges, "doc_id", "rep")
+    found = connected_components(index.edges(), "doc_id", "rep")
     return found.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("rep"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import expr as X
 from tessera.operators import evidence, merge, near, validate, verify
-from tessera.plans.registry import query
+from tessera.plans.registry import merkle_sql, query
 from tessera.sources.tables import table
 
 long = lambda c: c.cast("long")
@@ -167,12 +167,11 @@ def d07_score(spark, sf):
 
 @query(
     "d23_snapshot_hash",
-    """SELECT conv_id, md5(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS hash, CAST(SUM(n) AS BIGINT) AS rows FROM (SELECT conv_id,
-         md5(length(role) || ':' || role || length(CAST(turn AS VARCHAR)) || ':' || turn || '32:' || md5(COALESCE(text, ''))) AS h, COUNT(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY conv_id""",
+    merkle_sql("SELECT conv_id, length(role) || ':' || role || length(CAST(turn AS VARCHAR)) || ':' || turn || '32:' || md5(COALESCE(text, '')) AS t FROM conversations", ["conv_id"]),
 )
 def d23(spark, sf):
     turns = table(spark, sf, "conversations").withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
-    return verify.canonical_hash(turns, ["conv_id"], [F.col("role"), F.col("turn"), F.col("digest")], depth=0)
+    return verify.canonical_hash(turns, ["conv_id"], [F.col("role"), F.col("turn"), F.col("digest")])
 
 
 @query(

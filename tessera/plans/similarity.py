@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import cover, graph, merge, near, planning, verify
-from tessera.operators.exact import exact_star_edges, first_of_key, library_edges
-from tessera.plans.registry import query
+from tessera.operators.exact import content_classes, exact_star_edges, first_of_key, library_class_edges, library_edges
+from tessera.plans.registry import merkle_sql, query
 from tessera.sources.tables import table
 
 STARS = """stars AS (SELECT doc_id, source, rep, rep_source FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY n_chars, md5(text)) AS rep,
@@ -50,6 +50,13 @@ def d05(spark, sf):
     return near.radius_join(rows, rows, "vec_id", "hash", 20, 63).where("left_id < right_id")
 
 
+@query("d05_ratio_recall", f"WITH {SIGNS} SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS distance FROM signs a JOIN signs b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 8")
+def d05_ratio(spark, sf):
+    """Recall at the workflow's own ratio of 0.12 of the bits."""
+    rows = signed(spark, sf)
+    return near.radius_join(rows, rows, "vec_id", "hash", near.recall_radius(63), 63).where("left_id < right_id")
+
+
 @query("d05_lane_recall", f"WITH {SIGNS} SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS distance FROM signs a JOIN signs b ON bit_count(xor(a.hash, b.hash)) <= 6")
 def d05_lanes(spark, sf):
     rows = signed(spark, sf)
@@ -114,6 +121,22 @@ def d10(spark, sf):
     return library_edges(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"), "doc_id", ["n_chars", "digest"], "pixel")
 
 
+D10_CLASSES = """WITH d AS (SELECT doc_id, n_chars, md5(text) AS h, md5(lower(text)) AS p FROM documents), i AS (SELECT n_chars, h, p, min(doc_id) AS rep FROM d WHERE doc_id % 2 = 1 GROUP BY ALL),
+       l AS (SELECT n_chars, h, p, min(doc_id) AS rep FROM d WHERE doc_id % 2 = 0 GROUP BY ALL)"""
+
+
+@query("d10_class_edges", f"{D10_CLASSES} SELECT i.rep AS image, l.rep AS library, CASE WHEN i.n_chars = l.n_chars AND i.h = l.h THEN 'file_exact' ELSE 'pixel_exact' END AS match_type FROM i JOIN l ON i.p = l.p")
+def d10_classes(spark, sf):
+    rows = hashed(spark, sf).withColumn("pixel", F.md5(F.lower("text")))
+    return library_class_edges(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"), "doc_id", ["n_chars", "digest"], "pixel")
+
+
+@query("d10_class_membership", f"{D10_CLASSES} SELECT doc_id, rep AS representative FROM d JOIN l USING (n_chars, h, p) WHERE doc_id % 2 = 0")
+def d10_members(spark, sf):
+    rows = hashed(spark, sf).withColumn("pixel", F.md5(F.lower("text")))
+    return content_classes(rows.where("doc_id % 2 = 0"), "doc_id", ["n_chars", "digest"], "pixel")[1]
+
+
 @query("d11_top_recall", f"WITH {SIGNS}, p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS distance FROM signs a JOIN signs b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 22) SELECT left_id, right_id, distance, place, found > 4 AS truncated FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY left_id ORDER BY distance, right_id) place, COUNT(*) OVER (PARTITION BY left_id) found FROM p) WHERE place <= 4")
 def d11(spark, sf):
     rows = signed(spark, sf)
@@ -172,10 +195,10 @@ def d14(spark, sf):
 
 @query(
     "d15_group_signatures",
-    f"WITH {GROUPS} SELECT grp, md5(string_agg(node || ':' || d, chr(10) ORDER BY node || ':' || d)) AS signature, CAST(SUM(n) AS BIGINT) AS members FROM (SELECT grp, substr(h, 1, 1) AS node, md5(string_agg(h || ':1', chr(10) ORDER BY h)) AS d, COUNT(*) AS n FROM (SELECT grp, md5('import:' || doc_id) AS h FROM members) GROUP BY 1, 2) GROUP BY grp",
+    "SELECT grp, hash AS signature, rows AS members FROM (" + merkle_sql(f"WITH {GROUPS} SELECT grp, 'import:' || doc_id AS t FROM members", ["grp"]) + ")",
 )
 def d15(spark, sf):
-    return graph.member_signature(members(spark, sf), "grp", F.lit("import"), "doc_id", depth=1)
+    return graph.member_signature(members(spark, sf), "grp", F.lit("import"), "doc_id")
 
 
 @query(
@@ -286,12 +309,10 @@ def d21(spark, sf):
 
 @query(
     "d22_plan_hash",
-    """SELECT source, md5(string_agg(node || ':' || d, chr(10) ORDER BY node || ':' || d)) AS hash, CAST(SUM(n) AS BIGINT) AS rows FROM (
-         SELECT source, substr(h, 1, 1) AS node, md5(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS d, SUM(n) AS n FROM (
-           SELECT source, md5(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(CAST(n_chars AS VARCHAR)) || ':' || n_chars || '32:' || md5(text)) AS h, COUNT(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY source""",
+    merkle_sql("SELECT source, length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(CAST(n_chars AS VARCHAR)) || ':' || n_chars || '32:' || md5(text) AS t FROM documents", ["source"]),
 )
 def d22(spark, sf):
-    return verify.canonical_hash(hashed(spark, sf), ["source"], [F.col("doc_id"), F.col("n_chars"), F.col("digest")], depth=1)
+    return verify.canonical_hash(hashed(spark, sf), ["source"], [F.col("doc_id"), F.col("n_chars"), F.col("digest")])
 
 
 @query(

@@ -4,46 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
-from tessera.operators.graph import saved
+#: Batches after which the representatives of all batches so far are written as one table.
+COMPACT_EVERY = 16
 
 
 class ExactIndex:
     """Representatives of content keys over all batches so far, and the star edges that they gave.
 
-    State lives in the shared folder and is replaced as a whole after each batch; a batch that was merged already is
-    recognised by its id, so a restarted stream repeats nothing. Edges of later batches may point to another
-    representative than one batch over everything would choose, but the components are the same.
+    State lives in folder, as what each batch added: edges/batch=N, representatives/batch=N, and now and then all
+    representatives so far as whole/batch=N. A batch sees what earlier ones left and replaces its own part, so one that is
+    tried or told again changes nothing, and a restarted stream goes on where the last one ended: nothing is held by the
+    driver. Edges of later batches may point to another representative than one batch over everything would choose, but
+    the components are the same.
     """
 
-    def __init__(self, spark: SparkSession, id_col: str, keys: list[str], schema: StructType):
-        self.id_col, self.keys = id_col, keys
-        self.representatives = spark.createDataFrame([], StructType([schema[k] for k in keys] + [schema[id_col]]))
-        self.edges = spark.createDataFrame([], StructType([schema[id_col]])).withColumn("rep", F.col(id_col))
-        self.last_batch = -1
+    def __init__(self, spark: SparkSession, id_col: str, keys: list[str], schema: StructType, folder: str):
+        self.spark, self.id_col, self.keys, self.folder = spark, id_col, keys, folder.rstrip("/")
+        number = StructType().add("batch", IntegerType())
+        self._of_keys = StructType([*[schema[k] for k in keys], schema[id_col], *number])
+        self._of_edges = StructType([schema[id_col]]).add("rep", schema[id_col].dataType).add("batch", IntegerType())
+
+    def _part(self, name: str, schema: StructType) -> DataFrame:
+        """A part of the state, with the batch that wrote each row; empty before any did."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+
+    def representatives(self, before: int | None = None) -> DataFrame:
+        """(keys..., id): the smallest id of each key, over the batches before a number or over all."""
+        parts, whole = self._part("representatives", self._of_keys), self._part("whole", self._of_keys)
+        if before is not None:
+            parts, whole = parts.where(F.col("batch") < before), whole.where(F.col("batch") < before)
+        last = whole.agg(F.max("batch")).first()[0]  # from the folders' names
+        if last is not None:
+            parts = parts.where(F.col("batch") > last).unionByName(whole.where(F.col("batch") == last))
+        return parts.groupBy(*self.keys).agg(F.min(self.id_col).alias(self.id_col))
+
+    def edges(self) -> DataFrame:
+        """(id, rep) of all batches."""
+        return self._part("edges", self._of_edges).select(self.id_col, "rep").distinct()
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.last_batch:
-            return
+        """Adds a batch; rows with a null key have no duplicates."""
         rows = batch.select(self.id_col, *self.keys).where(" AND ".join(f"{k} IS NOT NULL" for k in self.keys))
-        known = self.representatives.withColumnRenamed(self.id_col, "known")
+        known = self.representatives(batch_id).withColumnRenamed(self.id_col, "known")
         least = rows.groupBy(*self.keys).agg(F.min(self.id_col).alias("first"))
         now = least.join(known, self.keys, "left").withColumn("rep", F.least("first", "known"))
-        now = saved(now, "index-step")
+        self._write(now.select(*self.keys, F.col("rep").alias(self.id_col), "known"), "representatives", batch_id)
+        now = self.spark.read.parquet(f"{self.folder}/representatives/batch={batch_id}").withColumnRenamed(self.id_col, "rep")
         fresh = rows.join(now.select(*self.keys, "rep"), self.keys).where(F.col(self.id_col) != F.col("rep")).select(self.id_col, "rep")
         moved = now.where("known <> rep").select(F.col("known").alias(self.id_col), "rep")
-        self.edges = saved(self.edges.unionByName(fresh).unionByName(moved).distinct(), "index-edges")
-        kept = self.representatives.join(now.select(*self.keys), self.keys, "left_anti")
-        self.representatives = saved(kept.unionByName(now.select(*self.keys, F.col("rep").alias(self.id_col))), "index-representatives")
-        self.last_batch = batch_id
+        self._write(fresh.unionByName(moved).distinct(), "edges", batch_id)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            self._write(self.representatives(batch_id + 1), "whole", batch_id)
 
 
 def detect_stream(spark: SparkSession, folder: str, schema: StructType, id_col: str, keys: dict[str, str], checkpoint: str, files_per_batch: int = 1) -> ExactIndex:
-    """Runs a file stream to its end through an ExactIndex. keys: name -> SQL of each content key."""
+    """Runs a file stream to its end through an ExactIndex beside its checkpoint. keys: name -> SQL of each content key.
+
+    Stopped at any point and started again with the same checkpoint, it gives what one run would have.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     shaped = stream.select(id_col, *[F.expr(sql).alias(k) for k, sql in keys.items()])
-    index = ExactIndex(spark, id_col, list(keys), shaped.schema)
+    index = ExactIndex(spark, id_col, list(keys), shaped.schema, f"{checkpoint.rstrip('/')}-index")
     query = shaped.writeStream.foreachBatch(index.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return index

@@ -77,6 +77,81 @@ def test_radius_join_in_blocks_is_exact(spark):
     assert got == {(i, j) for i, a in enumerate(base) for j, b in enumerate(base) if (a ^ b).bit_count() <= 12}
 
 
+@pytest.mark.parametrize("radius", [6, 20, 22])
+@pytest.mark.parametrize("lanes", [None, 2, 3, 5, 9])
+def test_probed_lanes_are_exact(spark, radius, lanes):
+    """However many lanes: what lanes miss by their value, flipped bits find."""
+    rng = random.Random(radius)
+    base = [rng.getrandbits(24) for _ in range(40)]
+    base += [h ^ sum(1 << b for b in rng.sample(range(24), k % 12)) for k, h in enumerate(base)]
+    df = spark.createDataFrame(list(enumerate(base)), "id long, hash long")
+    radius = radius // 3  # of 24 bits here
+    rows = near.radius_join(df, df, "id", "hash", radius, 24) if lanes is None else near.lane_join(df, df, "id", "hash", radius, 24, lanes)
+    got = [(r.left_id, r.right_id, r.distance) for r in rows.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j, (a ^ b).bit_count()) for i, a in enumerate(base) for j, b in enumerate(base) if (a ^ b).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("radius", [6, 20, 22])
+def test_radius_join_of_63_bits_is_exact(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    base += [h ^ sum(1 << b for b in rng.sample(range(63), k % 30)) for k, h in enumerate(base)]
+    df = spark.createDataFrame(list(enumerate(base)), "id long, hash long")
+    got = sorted((r.left_id, r.right_id) for r in near.radius_join(df, df, "id", "hash", radius, 63).collect())
+    assert got == sorted((i, j) for i, a in enumerate(base) for j, b in enumerate(base) if (a ^ b).bit_count() <= radius)
+
+
+def test_lane_plan_follows_sizes():
+    """Few rows are compared; many go by lanes with flipped bits; a wide radius stays with blocks of its own number."""
+    assert near.lane_plan(50, 50, 8, 63) is None
+    many = near.lane_plan(10**7, 10**7, 8, 63)
+    assert many is not None and many < 9
+    assert near.lane_plan(10**5, 10**5, 6, 63) is not None
+
+
+def test_library_classes_tell_every_pair(spark):
+    """Hot content: n x m pairs are one edge between classes and n + m memberships."""
+    from tessera.operators.exact import content_classes, library_class_edges, library_edges
+
+    rows = [(k, "same", 4, "p") for k in range(60)] + [(100, "other", 5, "p"), (101, None, None, "p"), (102, "x", 1, None), (103, "x", 1, None), (104, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, h string, n long, p string")
+    left, right = df.where("id % 2 = 1"), df.where("id % 2 = 0")
+    edges = library_class_edges(left, right, "id", ["n", "h"], "p")
+    assert {(r.image, r.library, r.match_type) for r in edges.collect()} == {(1, 0, "file_exact"), (1, 100, "pixel_exact"), (101, 0, "pixel_exact"), (101, 100, "pixel_exact"), (103, 102, "file_exact")}
+    assert library_edges(left, right, "id", ["n", "h"], "p").count() == 30 * 30 + 30 + 30 + 1 + 1
+    assert content_classes(right, "id", ["n", "h"], "p")[1].count() == right.count()
+
+
+def test_stream_resumes_where_it_stopped(spark, tmp_path):
+    """Stopped after a batch and started by a new index on the same checkpoint: the same components as one batch."""
+    from tessera.streaming.incremental import COMPACT_EVERY, ExactIndex, detect_stream
+
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    schema = spark.createDataFrame([], "id long, key string").schema
+    add = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: detect_stream(spark, source, schema, "id", {"content": "key"}, checkpoint)
+    add((5, "a"), (2, "a"), (9, "b"), (7, None))
+    assert {tuple(r) for r in run().edges().collect()} == {(5, 2)}
+    add((3, "a"), (8, "b"))
+    index = run()
+    assert {tuple(r) for r in index.edges().collect()} == {(5, 2), (3, 2), (9, 8)}
+    assert {(r.content, r.id) for r in index.representatives().collect()} == {("a", 2), ("b", 8)}
+    add((1, "a"))
+    index = run()
+    found = {r.node: r.component for r in graph.connected_components(index.edges(), "id", "rep").collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 5: 1, 8: 8, 9: 8}
+    # A batch that is told twice changes nothing, and compaction neither.
+    keyed = spark.createDataFrame([(1, "a")], "id long, content string")
+    before = sorted(map(tuple, index.edges().collect()))
+    index.merge(keyed, 2)
+    assert sorted(map(tuple, index.edges().collect())) == before
+    for k in range(3, COMPACT_EVERY + 2):
+        index.merge(spark.createDataFrame([(100 + k, f"k{k % 3}")], "id long, content string"), k)
+    again = ExactIndex(spark, "id", ["content"], keyed.schema, index.folder)
+    assert {(r.content, r.id) for r in again.representatives().collect()} == {("a", 1), ("b", 8), ("k0", 103), ("k1", 104), ("k2", 105)}
+
+
 def test_classification_bounds_are_inclusive(spark):
     data = [(True, 0.04, 0.04, "near"), (True, 0.0401, 0.04, "similar"), (True, 0.12, 0.08, "similar"), (True, 0.12, 0.0801, None), (True, 0.1201, 0.01, None), (False, 0.0, 0.0, None)]
     df = spark.createDataFrame(data, "ok boolean, b double, f double, want string")
