@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,17 +119,68 @@ def keyset_after(columns: list[tuple[Column, object, bool]]) -> Column:
 
 # Redaction. Each rule is one regular expression, applied in this order.
 _ASSIGNED = "password|pass|pwd|pgpassword|secret|token|client_key_path"
+_CREDENTIALS = r"(?i)(postgres(?:ql)?://)(?!<redacted>@)[^@]*@"
+_VALUES = rf"(?i)((?:{_ASSIGNED})[^=:]*[=:])[^\s,;\"]*"
+_IMAGE = r"\.(png|jpg|jpeg|webp)$"
+# Keys of JSON objects whose values are hidden: secrets, and paths.
+SECRET_KEYS = "password|secret|token|key_path"
+PATH_KEYS = "_path$|^path$|^root$"
 
 
 def redacted(text: Column) -> Column:
     """Hides database credentials, assigned secrets and path-like words; runs of blanks become one."""
-    out = F.regexp_replace(text, r"(?i)(postgres(?:ql)?://)(?!<redacted>@)[^@]*@", "$1<redacted>@")
-    out = F.regexp_replace(out, rf"(?i)((?:{_ASSIGNED})[^=:]*[=:])[^\s,;\"]*", "$1<redacted>")
+    out = F.regexp_replace(text, _CREDENTIALS, "$1<redacted>@")
+    out = F.regexp_replace(out, _VALUES, "$1<redacted>")
 
     def word(token: Column) -> Column:
         bare = F.regexp_replace(token, r"^[\"',;]+|[\"',;]+$", "")
         drive = (F.length(bare) > 3) & (F.substring(bare, 2, 1) == ":") & bare.rlike(r"[\\/]")
-        image = F.lower(bare).rlike(r"\.(png|jpg|jpeg|webp)$")
+        image = F.lower(bare).rlike(_IMAGE)
         return F.when(drive | F.startswith(bare, F.lit("\\\\")) | image, F.replace(token, bare, F.lit("<redacted-path>"))).otherwise(token)
 
     return F.array_join(F.transform(F.filter(F.split(out, r"\s+"), lambda t: t != ""), word), " ")
+
+
+def redacted_text(text: str) -> str:
+    """redacted() for one Python string, by the same rules: for texts inside nested JSON."""
+    import re
+
+    out = re.sub(_VALUES, r"\1<redacted>", re.sub(_CREDENTIALS, r"\1<redacted>@", text))
+    words = []
+    for token in out.split():
+        bare = token.strip("\"',;")
+        drive = len(bare) > 3 and bare[1] == ":" and ("/" in bare or "\\" in bare)
+        words.append(token.replace(bare, "<redacted-path>") if drive or bare.startswith("\\\\") or re.search(_IMAGE, bare.lower()) else token)
+    return " ".join(words)
+
+
+def sanitized_json(text: Column) -> Column:
+    """JSON of any depth with the values of secret and path keys hidden and other texts redacted; null where unsound.
+
+    The depth is unknown, so a Pandas UDF walks each text; columns and rows stay with Spark.
+    """
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        import json
+        import re
+
+        def walk(value):
+            if isinstance(value, str):
+                return redacted_text(value)
+            if isinstance(value, list):
+                return [walk(v) for v in value]
+            if isinstance(value, dict):
+                hide = lambda k: "<redacted>" if re.search(SECRET_KEYS, k) else "<redacted-path>" if re.search(PATH_KEYS, k) else None
+                return {k: hide(k.lower()) or walk(v) for k, v in value.items()}
+            return value
+
+        def one(t):
+            try:
+                return None if t is None else json.dumps(walk(json.loads(t)), separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return clean(text)

@@ -33,3 +33,24 @@ def contained(path, root):
 def derived_paths(root, transaction, album):
     """(staging, target) paths that a transaction has to have stored."""
     return F.concat_ws("/", root, F.lit(".staging"), transaction, album), F.concat_ws("/", root, album)
+
+
+def marker_faults(stored: DataFrame, expected: DataFrame, album: str, fields: list[str], file_key: str, file_fields: list[str]) -> DataFrame:
+    """(album, fault): where a stored commit marker is not the one rebuilt from the plan.
+
+    Both sides are (album, marker). A fault is missing, extra, a header field's name with _mismatch, or files, where the
+    file sets differ in any entry, told by keyed comparison and not by whole arrays.
+    """
+    header = lambda df: df.select(album, *[F.col("marker")[f].alias(f) for f in fields])
+    listed = lambda df: df.select(album, F.explode("marker.files").alias("f")).select(album, F.struct(album, F.col("f")[file_key]).alias("key"), *[F.col("f")[f].alias(f) for f in file_fields])
+    faults = reconcile(header(expected), header(stored), album, fields).withColumnRenamed("error", "fault")
+    both = expected.select(album).join(stored.where("marker IS NOT NULL").select(album), album)
+    files = reconcile(listed(expected), listed(stored), "key", file_fields).select(F.col("key")[album].alias(album)).distinct().join(both, album, "left_semi")
+    return faults.unionByName(files.withColumn("fault", F.lit("files")))
+
+
+def copy_verdict(expected_size, expected_hash, size, digest):
+    """What a finished copy is: verified, absent, or differing in size or content."""
+    return (
+        F.when(digest.isNull() & size.isNull(), "absent").when(~size.eqNullSafe(expected_size), "size_mismatch").when(~digest.eqNullSafe(expected_hash), "hash_mismatch").otherwise("verified")
+    )

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.plans.registry import query
+from tessera.plans.registry import merkle_sql, query
 from tessera.sources import files, sinks
 from tessera.sources.tables import table
 
@@ -68,11 +68,26 @@ def k14(spark, sf):
     return sinks.published(once, docs, ["doc_id"])
 
 
-@query("k16_dump_restore", "SELECT * FROM customer")
+DUMPED = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"]}
+
+
+@query(
+    "k16_dump_restore",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, rows AS row_count, hash AS fingerprint FROM (" + merkle_sql(f"SELECT concat_ws(chr(31), {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}) AS t FROM {name}", []) + ")" for name, cols in DUMPED.items()
+    ),
+)
 def k16(spark, sf):
+    """Row counts and fingerprints of restored copies, against those of the source tables."""
     from tessera.operators.graph import saved
+    from tessera.operators.verify import table_fingerprint
 
-    return saved(table(spark, sf, "customer"), "dump")
+    out = None
+    for name, cols in DUMPED.items():
+        restored = saved(table(spark, sf, name), "dump")
+        found = table_fingerprint(restored, cols).select(F.lit(name).alias("table_name"), "row_count", "fingerprint")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(
@@ -97,10 +112,15 @@ def k13(spark, sf):
     return sinks.manifest_json(docs, "source", "path", "n_chars", "digest", {"version": F.lit(1)})
 
 
-@query("k15_diagnostics")
+@query(
+    "k15_diagnostics",
+    """SELECT '{' || string_agg(json, ',' ORDER BY k) || '}' AS json FROM (SELECT n_name AS k, '"' || n_name || '":"token=<redacted> ' || n_name || '"' AS json FROM nation
+       UNION ALL SELECT * FROM (VALUES ('db_password', '"db_password":"<redacted>"'), ('library_root_path', '"library_root_path":"<redacted-path>"'), ('root', '"root":"<redacted-path>"')) t(k, json))""",
+)
 def k15(spark, sf):
-    """Settings and counts as one sanitized JSON text; tested against fixed examples."""
+    """Settings and counts as one sanitized JSON text."""
     facts = table(spark, sf, "nation").select(F.col("n_name").alias("k"), F.concat(F.lit("token=abc "), "n_name").alias("v"))
+    facts = facts.unionByName(spark.createDataFrame([("db_password", "x"), ("library_root_path", "/srv/lib"), ("root", "/srv")], "k string, v string"))
     return sinks.diagnostics(facts, "k", "v")
 
 

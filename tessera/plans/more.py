@@ -224,10 +224,18 @@ def v03(spark, sf):
     return table(spark, sf, "events").where(F.col("event_type").isin("click", "view") & ~(F.col("value").isNotNull() & F.length("props").between(9, 9))).select("event_id")
 
 
-@query("v18_cleanup_matches_plan", "SELECT doc_id, 'extra' AS error FROM documents WHERE doc_id % 6 = 2")
+@query(
+    "v18_cleanup_matches_plan",
+    """SELECT doc_id, 'extra' AS error FROM documents WHERE doc_id % 6 = 2 UNION ALL SELECT doc_id, 'missing' FROM documents WHERE doc_id % 6 = 3
+       UNION ALL SELECT doc_id, 'n_chars_mismatch' FROM documents WHERE doc_id % 6 NOT IN (2, 3) AND doc_id % 7 = 1
+       UNION ALL SELECT doc_id, 'digest_mismatch' FROM documents WHERE doc_id % 6 NOT IN (2, 3) AND doc_id % 5 = 1 AND md5(text) <> md5(text || 'x')""",
+)
 def v18(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.md5("text").alias("digest"))
-    return verify.reconcile(docs.where("doc_id % 6 <> 2"), docs, "doc_id", ["n_chars", "digest"])
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "text", F.md5("text").alias("digest"))
+    size = F.when(F.col("doc_id") % 7 == 1, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    digest = F.when(F.col("doc_id") % 5 == 1, F.md5(F.concat("text", F.lit("x")))).otherwise(F.col("digest"))
+    cleanup = docs.where("doc_id % 6 <> 3").select("doc_id", size.alias("n_chars"), digest.alias("digest"))
+    return verify.reconcile(docs.where("doc_id % 6 <> 2"), cleanup, "doc_id", ["n_chars", "digest"])
 
 
 @query("v05_repeated_plans", "SELECT o_custkey, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 HAVING COUNT(*) > 1")

@@ -41,7 +41,7 @@ def merkle_sql(rows: str, group: list[str]) -> str:
 
 
 def _load() -> None:
-    from tessera.plans import files, more, relational, similarity, workflow  # noqa: F401
+    from tessera.plans import files, filesystem, more, relational, similarity, workflow  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

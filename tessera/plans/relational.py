@@ -391,16 +391,32 @@ def a19(spark, sf):
     return table_fingerprint(table(spark, sf, "nation"), ["n_nationkey", "n_name", "n_regionkey"]).select(F.lit("nation").alias("table_name"), "row_count", "fingerprint")
 
 
-@query("a20_fingerprint_compare", "SELECT * FROM (VALUES ('nation', TRUE), ('region', TRUE)) t(table_name, equal)")
+EQUAL_SQL = "NOT EXISTS ({a} EXCEPT ALL {b}) AND NOT EXISTS ({b} EXCEPT ALL {a})"
+COMPARED = {
+    "nation": ("SELECT n_nationkey, n_name FROM nation", "SELECT n_nationkey, n_name FROM nation ORDER BY n_name"),
+    "customer": ("SELECT c_custkey, c_nationkey FROM customer", "SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey FROM customer"),
+    "part": ("SELECT p_partkey, p_name FROM part", "SELECT p_partkey, p_name FROM part UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey = 3"),
+    "supplier": ("SELECT s_suppkey FROM supplier", "SELECT s_suppkey FROM supplier WHERE s_suppkey > 1"),
+}
+
+
+@query("a20_fingerprint_compare", " UNION ALL ".join(f"SELECT '{name}' AS table_name, {EQUAL_SQL.format(a=f'({a})', b=f'({b})')} AS equal" for name, (a, b) in COMPARED.items()))
 def a20(spark, sf):
+    """Tables against reordered, changed, repeated and shortened copies, by row count and fingerprint."""
     from tessera.operators.verify import table_fingerprint
 
-    def both(name):
-        df = table(spark, sf, name)
-        a, b = table_fingerprint(df, df.columns), table_fingerprint(df.orderBy(F.rand(1)), df.columns).toDF("n2", "f2")
-        return a.join(F.broadcast(b)).select(F.lit(name).alias("table_name"), ((F.col("row_count") == F.col("n2")) & (F.col("fingerprint") == F.col("f2"))).alias("equal"))  # one row each
-
-    return both("nation").unionByName(both("region"))
+    change = F.when(F.col("c_custkey") % 100 == 7, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("c_nationkey")
+    nation, customer, part, supplier = (table(spark, sf, t).select(*c) for t, c in (("nation", ["n_nationkey", "n_name"]), ("customer", ["c_custkey", "c_nationkey"]), ("part", ["p_partkey", "p_name"]), ("supplier", ["s_suppkey"])))
+    pairs = {
+        "nation": (nation, nation.orderBy("n_name")), "customer": (customer, customer.select("c_custkey", change)),
+        "part": (part, part.unionByName(part.where("p_partkey = 3"))), "supplier": (supplier, supplier.where("s_suppkey > 1")),
+    }
+    out = None
+    for name, (a, b) in pairs.items():
+        both = table_fingerprint(a, a.columns).join(F.broadcast(table_fingerprint(b, b.columns).toDF("n2", "f2")))  # one row each
+        found = both.select(F.lit(name).alias("table_name"), ((F.col("row_count") == F.col("n2")) & (F.col("fingerprint") == F.col("f2"))).alias("equal"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("a21_metric_counts", "SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER (WHERE value > 25) AS high, COUNT(*) FILTER (WHERE value <= 25) AS low FROM events GROUP BY event_type")

@@ -14,6 +14,10 @@ MANIFEST = (
     "version int, transaction_id string, plan_hash string, album string, source_file_mode string,"
     " files array<struct<path:string,size:long,hash:string,width:int,height:int,format:string>>"
 )
+MARKER = (
+    "schema_version string, transaction_id string, plan_hash string, manifest_hash string, publish_strategy_version string,"
+    " album_relative_path string, image_count long, files array<struct<relative_path:string,size:long,hash:string>>"
+)
 
 
 def tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
@@ -96,6 +100,21 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("raw_hash"), F.from_json(F.col("content").cast("string"), MANIFEST).alias("manifest"))
 
 
+def markers(spark: SparkSession, path: str) -> DataFrame:
+    """Commit markers with all their header fields: path and marker, null where JSON is unsound."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.from_json(F.col("content").cast("string"), MARKER).alias("marker"))
+
+
+def source_summary(spark: SparkSession, root: str) -> DataFrame:
+    """One row: how many albums, images and bytes of images a source folder has, and its albums' names in order."""
+    per_album = images(spark, root).where(F.contains("relative_path", F.lit("/"))).groupBy("album").agg(F.count("*").alias("n"), F.sum("file_size").alias("b"))
+    names = albums(spark, root).select("album").join(per_album, "album", "left")
+    return names.agg(
+        F.count("*").alias("albums"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("images"), F.coalesce(F.sum("b"), F.lit(0).cast("long")).alias("bytes"), F.array_join(F.sort_array(F.collect_list("album")), ",").alias("names")
+    )
+
+
 def log_tail(spark: SparkSession, path: str, most_files: int = 3, most_lines: int = 200) -> DataFrame:
     """The last lines of the newest log files, in order: file_rank (0 the newest), line_number, line. A report's limits."""
     files = spark.read.format("binaryFile").load(path).orderBy(F.desc("modificationTime"), "path").limit(most_files)
