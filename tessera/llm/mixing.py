@@ -188,5 +188,9 @@ def mixed(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' own columns, each document once per copy."""
+    """The mix itself: docs' own columns, each document once per copy.
+
+    Texts without words have size 0 and fill nothing: they come as often as the certain copies say, or not at all. Nulls
+    and repeated rows are as in mixed(); an empty table gives an empty mix.
+    """
     return mixed(docs, **options).where("copies > 0").select("__row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")

@@ -137,6 +137,17 @@ def test_near_large_buckets_of_look_alikes(spark, monkeypatch):
     assert got == brute.near(rows, 1, 90)
 
 
+def test_large_buckets_join_by_broadcast(spark):
+    """Both ways of the join give the same rows, one each."""
+    rows = spark.range(400).select((F.col("id") % 7 * F.when(F.col("id") < 200, 0).otherwise(1)).alias("bucket"), F.col("id").alias("cls"))
+    side = rows.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(side, "bucket").collect()))
+    for hot_from in (1, 100, 10_000):
+        assert sorted(map(tuple, near_dup.spread(rows, side, hot_from).collect())) == want
+    plan = near_dup.spread(rows, side.where("true"), 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "broadcast" in plan
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.label for r in components.components(links).collect()}
