@@ -136,3 +136,17 @@ def streaming(spark, sf):
     index = detect_stream(spark, f"{folder}/in", docs.schema, "doc_id", {"n_chars": "n_chars", "digest": "md5(text)"}, f"{folder}/checkpoint")
     found = connected_components(index.edges(), "doc_id", "rep")
     return found.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("rep"))
+
+
+@query("streaming_progress", "SELECT 3 AS batches, COUNT(*) AS rows, TRUE AS finished FROM events")
+def streaming_progress(spark, sf):
+    """Batches and rows that the listener was told of a stream over three files."""
+    from tessera.operators.graph import shared_folder
+    from tessera.streaming import progress
+
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", "ts")
+    events.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    return progress.as_rows(spark, progress.watched(writer, spark, f"progress-{uuid.uuid4().hex}"))

@@ -337,6 +337,16 @@ def d30(spark, sf):
     return merge.delta(old, docs, "doc_id", F.sha2(F.concat_ws(":", "n_chars", "digest"), 256))
 
 
+@query("d30_delta_bound", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'unchanged' ELSE 'insert' END AS change FROM events WHERE ts >= (SELECT MAX(ts) FROM events) - INTERVAL 3600 SECOND")
+def d30_bound(spark, sf):
+    """Only what was committed since a clock value, a parameter, is held against the index."""
+    events = table(spark, sf, "events")
+    since = events.agg(F.max("ts")).first()[0]
+    late = F.col("ts") >= F.lit(since) - F.expr("INTERVAL 3600 SECONDS")
+    signature = F.sha2(F.concat_ws(":", "event_type", "user_id"), 256)
+    return merge.delta(events.where(~late | (F.col("event_id") % 10 == 0)), events.where(late), "event_id", signature)
+
+
 @query("d32_representatives_of_keys", "SELECT MIN(doc_id) AS doc_id FROM documents GROUP BY n_chars, md5(text) UNION SELECT MIN(doc_id) FROM documents GROUP BY md5(lower(text))")
 def d32(spark, sf):
     rows = hashed(spark, sf).withColumn("pixel", F.md5(F.lower("text")))
