@@ -8,8 +8,9 @@ Documents with one set are one class from the start, so exact copies never meet
 id are linked. In a bucket every class is compared with the bucket's smallest class, its head (a star, not all pairs),
 links are confirmed on the full sets, and components are formed. In buckets whose other members then still belong to
 several components, every one outside the largest component is compared with all members of other components, block
-by block, on signatures alone; pairs that are not surely below the threshold are kept by the first bucket they share,
-and their full sets, sent once to each block that needs them, decide. So no link between two components that share a
+by block, on signatures alone; of pairs that are not surely below the threshold, each told by the first bucket it shares,
+the ends' full sets are sent once to each block that needs them, and decide. Rows leave a block, and links that join
+components, never all pairs. So no link between two components that share a
 bucket is lost, nothing is capped, and a bucket with most of the corpus in it costs one pair a member as long as its
 members are linked.
 
@@ -229,64 +230,72 @@ def _units(batches: Iterator, keys: list[str]) -> Iterator:
         yield pa.Table.from_batches(held)
 
 
-def _blocks(bands: int, rows: int, least: float):
-    """Pairs of one unit, a block of a bucket against a block of it, that are not surely below the threshold.
+def _likely(unit, bands: int, rows: int, least: float):
+    """(left row, right rows) of one unit, a block of a bucket against a block of it, that are not surely below the threshold.
 
-    A pair is told by the first bucket that it shares, so once in all.
+    A pair is told by the first bucket that it shares, so once in all. own: 1 outside the largest component, in block i; 2 in
+    block j; 3 both.
     """
+    import numpy as np
+
+    own = unit.column("own").to_numpy()
+    sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), dtype=np.uint32).reshape(len(own), bands * rows)
+    label = np.unique(unit.column("label").to_numpy(), return_inverse=True)[1]
+    band = int(unit.column("band")[0].as_py())
+    left, right = np.flatnonzero(own & 1), np.flatnonzero(own & 2)
+    for k in left.tolist():
+        same = sig[right] == sig[k]
+        near = np.flatnonzero((label[right] != label[k]) & (same.mean(axis=1) >= least))
+        if len(near):
+            first = same[near].reshape(len(near), bands, rows).all(axis=2).argmax(axis=1)
+            near = right[near[first == band]]
+        if len(near):
+            yield k, near
+
+
+def _blocks(bands: int, rows: int, least: float):
+    """The rows of each unit that have a likely pair in it: rows leave, never pairs."""
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for unit in _units(batches, ["bucket", "i", "j"]):
-            own = unit.column("own").to_numpy()
-            if not own.any() or own.all() and len(own) < 2:
-                continue
-            sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), dtype=np.uint32).reshape(len(own), bands * rows)
-            label = np.unique(unit.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            band = int(unit.column("band")[0].as_py())
-            # own: 1 outside the largest component, in block i; 2 in block j; 3 both.
-            left, right = np.flatnonzero(own & 1), np.flatnonzero(own & 2)
-            out_a, out_b = [], []
-            for k in left.tolist():
-                same = sig[right] == sig[k]
-                near = np.flatnonzero((label[right] != label[k]) & (same.mean(axis=1) >= least))
-                if len(near):
-                    first = same[near].reshape(len(near), bands, rows).all(axis=2).argmax(axis=1)
-                    hit = right[near[first == band]]
-                    out_a += [k] * len(hit)
-                    out_b += hit.tolist()
-            if out_a:
-                cls = unit.column("cls").combine_chunks()
-                at = unit.slice(0, 1)
-                key = [pa.array([at.column(c)[0].as_py()] * len(out_a), pa.int64()) for c in ("bucket", "i", "j")]
-                yield pa.RecordBatch.from_arrays([*key, cls.take(pa.array(out_a)), cls.take(pa.array(out_b))], names=["bucket", "i", "j", "a", "b"])
+            keep = np.zeros(unit.num_rows, dtype=bool)
+            for k, near in _likely(unit, bands, rows, least):
+                keep[k] = keep[near] = True
+            if keep.any():
+                yield from unit.filter(pa.array(keep)).combine_chunks().to_batches()
 
     return compare
 
 
-def _deciders(percent: int):
-    """Links of one unit: its pairs (no set) and, before them, the sets of the classes in them."""
+def _deciders(bands: int, rows: int, least: float, percent: int):
+    """Links of each unit, by the full sets of its rows. Of links that join what others joined already, none is told."""
 
     def decide(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for unit in _units(batches, ["bucket", "i", "j"]):
-            sets, linked = {}, []
-            for a, b, data in zip(unit.column("a").to_pylist(), unit.column("b").to_pylist(), unit.column("set")):
-                if data.is_valid:
-                    sets[a] = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in unit.column("set")]
+            sizes = np.array([len(x) for x in sets])
+            cls, kind = unit.column("cls").to_pylist(), unit.schema.field("cls").type
+            of = np.unique(unit.column("label").to_numpy(), return_inverse=True)[1]  # component of each row, so far
+            linked = []
+            for k, near in _likely(unit, bands, rows, least):
+                x = sets[k]
+                near = near[(of[near] != of[k]) & (100 * np.minimum(sizes[near], len(x)) >= percent * np.maximum(sizes[near], len(x)))]
+                if not len(near):
                     continue
-                x, y = sorted((sets[a], sets[b]), key=len)
-                if 100 * len(x) >= percent * len(y):
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int((y[at] == x).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        linked.append((a, b))
-            kind = unit.schema.field("a").type
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], kind) for k in (0, 1)], names=["u", "v"])
+                other = np.concatenate([sets[h] for h in near])
+                at = np.minimum(np.searchsorted(x, other), len(x) - 1)
+                both = np.add.reduceat((x[at] == other).astype(np.int64), np.cumsum([0, *sizes[near][:-1]]))
+                for h in near[100 * both >= percent * (len(x) + sizes[near] - both)].tolist():
+                    if of[h] != of[k]:
+                        linked.append((cls[k], cls[h]))
+                        of[of == of[h]] = of[k]
+            yield pa.RecordBatch.from_arrays([pa.array([p[side] for p in linked], kind) for side in (0, 1)], names=["u", "v"])
 
     return decide
 
@@ -377,16 +386,12 @@ def near_components(
         own = F.when(outside & (F.col("unit.i") == F.col("pi")), 1).otherwise(0) + F.when(F.col("unit.j") == F.col("pj"), 2).otherwise(0)
         units = units.select("bucket", "unit.i", "unit.j", "band", own.alias("own"), "cls", "label", "sig")
         key = ["bucket", "i", "j"]
-        likely = units.repartition(*key).sortWithinPartitions(*key).mapInArrow(
-            _blocks(bands, rows, max(0.0, percent / 100 - SURELY_BELOW)), f"bucket long, i long, j long, a {kind}, b {kind}"
-        )
-        likely = written(likely, "near-likely", log)
-        # Sets go once to each unit that has a pair with them, however many pairs that are.
-        named_ = likely.select(*key, F.explode(F.array("a", "b")).alias("a")).distinct()
-        full = named_.join(sets.select(F.col("cls").alias("a"), "set"), "a").select(*key, "a", F.lit(None).cast(kind).alias("b"), "set")
-        decided = full.unionByName(likely.withColumn("set", F.lit(None).cast("binary")))
-        decided = decided.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first())
-        more = written(decided.mapInArrow(_deciders(percent), f"u {kind}, v {kind}").distinct(), "near-links", log)
+        least = max(0.0, percent / 100 - SURELY_BELOW)
+        fields = f"bucket long, i long, j long, band short, own int, cls {kind}, label {kind}, sig binary"
+        likely = written(units.repartition(*key).sortWithinPartitions(*key).mapInArrow(_blocks(bands, rows, least), fields), "near-likely", log)
+        # Sets go once to each unit that has a likely pair with them, however many pairs that are.
+        full = likely.join(sets, "cls").select(*likely.columns, "set").repartition(*key).sortWithinPartitions(*key)
+        more = written(full.mapInArrow(_deciders(bands, rows, least, percent), f"u {kind}, v {kind}").distinct(), "near-links", log)
         if not more.isEmpty():
             labels = extended(more)
 
