@@ -11,7 +11,9 @@ from tessera.functions.expr import binary_lanes, hamming, hamming64, recall_radi
 #: Comparing two 64-bit hashes costs about this part of carrying one more row through a shuffle.
 COMPARISON = 1 / 64
 #: Hashes of a block where blocks are compared, and masks that a probe may try on one lane.
-BLOCK, MOST_MASKS = 4096, 4096
+BLOCK, MOST_MASKS = 1024, 4096
+#: Tasks of one comparison in blocks.
+MOST_TASKS = 2000
 
 
 def _edges(lanes: int, bits: int) -> list[int]:
@@ -83,12 +85,17 @@ def lane_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, rad
 
 
 def block_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, n_left: int) -> DataFrame:
-    """lane_join's pairs by comparing every block of BLOCK left hashes with all right ones: there are as many tasks' worth of
-    blocks as the left side has, and only (id, hash) is carried."""
+    """lane_join's pairs by comparing every block of BLOCK left hashes with all right ones; only (id, hash) is carried.
+
+    Blocks are dealt to as many tasks as there are blocks, up to MOST_TASKS: they are heavy for their bytes, so their number is
+    fixed here and not left to the size of the shuffle.
+    """
     blocks = max(1, -(-n_left // BLOCK))
     l = left.select(F.col(id_col).alias("left_id"), F.col(hash_col).alias("left_hash"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))  # noqa: E741
     all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     r = right.select(F.col(id_col).alias("right_id"), F.col(hash_col).alias("right_hash")).withColumn("block", all_blocks)
+    tasks = min(blocks, MOST_TASKS)
+    l, r = l.repartition(tasks, "block"), r.repartition(tasks, "block")  # noqa: E741
     distance = hamming64(F.col("left_hash"), F.col("right_hash"))
     return l.join(r, "block").where(distance <= radius).select("left_id", "right_id", distance.cast("long").alias("distance"))
 
