@@ -77,7 +77,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumns(
         {
             "n_words": F.size("__w").cast("long"),
-            "word_chars": F.char_length(F.regexp_replace("__t", GAP, "")).cast("long"),
+            "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
             "n_symbols": (F.char_length("__t") - F.char_length(F.regexp_replace("__t", r"[#*$%&|<>]+", ""))).cast("long"),
             "n_distinct": F.size(F.array_distinct("__w")).cast("long"),
             "n_other": F.char_length(F.regexp_replace("__t", r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")).cast("long"),
