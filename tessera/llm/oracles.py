@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tessera.llm import quality
+from tessera.llm import merkle, quality
 from tessera.llm.common import LOWER, UPPER
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -99,6 +99,61 @@ FROM o LEFT JOIN edge e ON e.source IS NOT DISTINCT FROM o.source LEFT JOIN fit
 """
 
 
+def _merkle() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda n: "sha256(" + " || ".join(field(n if c == "n_chars" else c) for c in merkle.FIELDS) + ")"
+    # CRC-32 bit by bit, least significant first.
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: CAST((ascii(c) >> CAST(k AS INTEGER)) & 1 AS BIGINT))))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+    climb = lambda name, base: f"""{name}(tree, level, pos, n, h) AS ({base} UNION ALL
+        SELECT tree, level + 1, pos >> 1, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, n, pos >> 1)"""
+    fold = lambda name, nodes, base: f"""{name}(id, tree, level, pos, n, h, around) AS ({base} UNION ALL
+        SELECT f.id, f.tree, f.level + 1, f.pos >> 1, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.around || coalesce(s.h, '')
+        FROM {name} f LEFT JOIN {nodes} s ON s.tree IS NOT DISTINCT FROM f.tree AND s.level = f.level AND s.pos = xor(f.pos, CAST(1 AS BIGINT)) WHERE f.n > 1)"""
+    return f"""
+WITH RECURSIVE l AS (SELECT row_number() OVER () AS id, doc_id, lang AS tree, {leaf("n_chars")} AS leaf, {leaf("(CAST(n_chars AS HUGEINT) + 1)")} AS changed, coalesce({crc} % 7 = 0, false) AS chosen FROM documents),
+  p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+  {climb("nodes", "SELECT tree, 0, pos, n, leaf FROM p")},
+  subs AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+  {climb("tops", "SELECT '', 0, pos, n, h FROM subs")},
+  {fold("f", "nodes", "SELECT id, tree, 0, pos, n, CASE WHEN chosen THEN changed ELSE leaf END, '' FROM p")},
+  {fold("g", "tops", "SELECT id, '', 0, subs.pos, subs.n, f.h, around FROM f JOIN subs ON subs.tree IS NOT DISTINCT FROM f.tree WHERE f.n = 1")}
+SELECT doc_id, leaf, subs.h AS subroot, r.h AS root, sha256(around) AS proof_sha256, g.h AS folded_root, g.h = r.h AS verified
+FROM p JOIN g ON g.id = p.id AND g.n = 1 JOIN subs ON subs.tree IS NOT DISTINCT FROM p.tree JOIN (SELECT h FROM tops WHERE n = 1) r ON true
+"""
+
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  windows AS (SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+  grams AS (SELECT id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+  found AS (SELECT id, i, k, item FROM grams JOIN windows USING (k, g)),
+  hit AS (SELECT id, count(DISTINCT spot) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS spot FROM (SELECT DISTINCT id, i, k FROM found)) GROUP BY id),
+  items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS listed FROM (SELECT DISTINCT id, item FROM found) GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (id) LEFT JOIN items USING (id)
+"""
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS whole FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+  own AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+  size AS (SELECT lang, count(*) AS v, sum(whole) AS whole_total FROM kept GROUP BY lang),
+  groups AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL) USING (lang, source)),
+  p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(o.n, 0) + 2) // (CAST(g.total AS HUGEINT) + 2 * v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (whole + 2) // (CAST(whole_total AS HUGEINT) + 2 * v) AS q
+    FROM groups g JOIN kept k ON k.lang = g.lang JOIN size ON size.lang = g.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  out AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM out) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 SQL = {
     "op1_exact_dedup": EXACT_DEDUP, "op3_chat_formatting": CHAT, "op5_near_dedup": NEAR_DEDUP, "op8_quality_rules": _quality(), "op9_mixing": _mixing(),
+    "op11_merkle_manifest": _merkle(), "op12_decontamination": DECONTAMINATION, "op13_source_divergence": DIVERGENCE,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, mixing, near_dup, oracles, packing, pii, quality, secrets, token_files, toxicity
+from tessera.llm import chat, contamination, divergence, exact_dedup, merkle, mixing, near_dup, oracles, packing, pii, quality, secrets, token_files, toxicity
 from tessera.llm.common import read
 
 
@@ -68,6 +68,31 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).alias("n_chars")
+    out = merkle.manifest(read(spark, sf_dir, "documents"), changes={"n_chars": more}, where=chosen)
+    folded = F.element_at("copied", -1)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("siblings")).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def op12_decontamination(spark, sf_dir):
+    found = contamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["last"] - h["first"] + 1)
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.divergences(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -77,7 +102,8 @@ def pipeline(spark, sf_dir):
 def queries():
     found = (
         op1_exact_dedup, op2_packing, op3_chat_formatting, op4_token_files, op5_near_dedup,
-        op6_secret_scan, op7_personal_data, op8_quality_rules, op9_mixing, op10_toxicity, pipeline,
+        op6_secret_scan, op7_personal_data, op8_quality_rules, op9_mixing, op10_toxicity, op11_merkle_manifest,
+        op12_decontamination, op13_source_divergence, pipeline,
     )
     return {f.__name__: f for f in found}
 
