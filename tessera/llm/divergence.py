@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import erase, joined, utf8, written
 
 #: Source entries and bytes of terms that a task's table holds before it spills, and rows of a batch that it gives out.
-MOST_ENTRIES, MOST_BYTES, OUT_ROWS = 400_000, 32 << 20, 20_000
+MOST_ENTRIES, MOST_BYTES, OUT_ROWS = 800_000, 64 << 20, 20_000
 #: Terms of a bin.
 BIN = 20_000
 #: Below this, (count + 2) * SCALE fits 64 bits.
@@ -32,54 +32,65 @@ _TERM = re.compile(rb"[a-z\x80-\xff]+")
 STRIPE = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 
-def _rows(stripes: list[tuple]):
-    import pyarrow as pa
-
-    kinds = {"lang": pa.string(), "term": pa.binary(), "docs": pa.int64(), "sources": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
-    columns = zip(*stripes) if stripes else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values())], names=list(kinds))
-
-
 class _Table:
-    """Stripes by language and term. The empty term stands for all documents of a language."""
+    """Stripes by language and term, held as one counter of documents a language and one of occurrences a source.
+
+    The empty term stands for all documents of a language.
+    """
 
     def __init__(self):
-        self.held: dict[str, dict[bytes, dict]] = {}
+        self.docs: dict[str, Counter] = {}
+        self.counts: dict[str, dict[str, Counter]] = {}
         self.entries = self.bytes = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        table = self.held.setdefault(lang, {})
-        seen = Counter(_TERM.findall(text.lower()))
-        seen[b""] = 1
-        for term, n in seen.items():
-            stripe = table.get(term)
-            if stripe is None:
-                table[term] = {None: 1, source: n}
-                self.entries += 1
-                self.bytes += len(term)
-            else:
-                stripe[None] += 1
-                if source in stripe:
-                    stripe[source] += n
-                else:
-                    stripe[source] = n
-                    self.entries += 1
+        if lang not in self.docs:
+            self.docs[lang], self.counts[lang] = Counter(), {}
+        docs, counts = self.docs[lang], self.counts[lang].setdefault(source, Counter())
+        terms = _TERM.findall(text.lower())
+        terms.append(b"")
+        before = len(docs), len(counts)
+        counts.update(terms)
+        docs.update(set(terms))
+        self.entries += len(counts) - before[1]
+        if len(docs) > before[0]:
+            self.bytes += (len(docs) - before[0]) * len(text) // len(terms)  # as if new terms had the text's mean length, at most
 
     def spill(self) -> Iterator:
-        out, size = [], 0
-        for lang, table in self.held.items():
-            for term, stripe in table.items():
-                docs = stripe.pop(None)
-                out.append((lang, term, docs, list(stripe), list(stripe.values())))
-                size += len(term) + 16 * len(stripe)
-                if len(out) >= OUT_ROWS or size >= MOST_BYTES // 4:
-                    yield _rows(out)
-                    out, size = [], 0
-        if out:
-            yield _rows(out)
+        """The stripes as rows; the table is empty afterwards."""
+        import numpy as np
+        import pyarrow as pa
+
+        for lang, docs in self.docs.items():
+            place = {term: k for k, term in enumerate(docs)}
+            names, rows, codes, values = list(self.counts[lang]), [], [], []
+            for code, counts in enumerate(self.counts[lang].values()):
+                rows.append(np.fromiter(map(place.__getitem__, counts), np.int64, count=len(counts)))
+                codes.append(np.full(len(counts), code, np.int32))
+                values.append(np.fromiter(counts.values(), np.int64, count=len(counts)))
+            row = np.concatenate(rows)
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(len(docs) + 1)).astype(np.int32)
+            sources = pa.array(names, pa.string()).take(pa.array(np.concatenate(codes)[order]))
+            columns = {
+                "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(docs), np.int32))),
+                "term": pa.array(list(docs), pa.large_binary()),
+                "docs": pa.array(np.fromiter(docs.values(), np.int64, count=len(docs))),
+                "sources": pa.ListArray.from_arrays(ends, sources),
+                "counts": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values)[order])),
+            }
+            whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            for at in range(0, len(whole), OUT_ROWS):
+                yield _small_terms(whole.slice(at, OUT_ROWS))
         self.__init__()
 
 
+def _small_terms(batch):
+    import pyarrow as pa
+
+    return batch.set_column(1, "term", batch.column("term").cast(pa.binary()))
+
+
 def _fold(most_entries: int):
     def fold(batches: Iterator) -> Iterator:
         table = _Table()
@@ -150,8 +161,9 @@ def stripes(docs: DataFrame, lang: str = "lang", source: str = "source", text: s
     """
     whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(whole(lang).alias("lang"), whole(source).alias("source"), whole(text).alias("text"))
-    spilled = rows.mapInArrow(_fold(most_entries), STRIPE)
-    return spilled.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge, STRIPE)
+    spilled = rows.mapInArrow(_fold(most_entries), STRIPE).withColumn("key", F.xxhash64("lang", "term"))
+    # The hash sorts faster than the names do; what shares one is told apart by them.
+    return spilled.repartition("key").sortWithinPartitions("key", "lang", "term").drop("key").mapInArrow(_merge, STRIPE)
 
 
 def _chances(counts, total: int, kept: int):
