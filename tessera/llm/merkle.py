@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import erase, joined, written
 
-#: Levels of a tier: a block has at most 2^BITS leaves.
+#: Levels of a tier, unless the caller says otherwise: a block has at most 2^BITS leaves.
 BITS = 10
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -71,53 +71,57 @@ def placed(nodes: DataFrame, order: Sequence[str], log: dict) -> DataFrame:
     return joined(local, starts, ["part", "tree"]).withColumn("pos", F.col("start") + F.col("at")).drop("part", "at", "start")
 
 
-def _block(table):
-    """One block's rows with their siblings within it, its root, and their copied path, which starts at their changed leaf if they have one."""
-    import pyarrow as pa
-
-    table = table.sort_by("pos")
-    leaves, changed = table["digest"].to_pylist(), table["changed"].to_pylist()
-    height = min(BITS, (table["n"][0].as_py() - 1).bit_length())
-    levels = [leaves]
-    for _ in range(height):
-        below = levels[-1]
-        levels.append([digest(*below[k : k + 2]) for k in range(0, len(below), 2)])
-    siblings, copied = [], []
-    for k, leaf in enumerate(leaves):
-        around, path = [], [changed[k] or leaf]
-        for level, nodes in enumerate(levels[:height]):
-            own = k >> level
-            other = nodes[own ^ 1] if own ^ 1 < len(nodes) else ""
-            around.append((("L" if own & 1 else "R") + other) if other else "")
-            path.append(digest(other, path[-1]) if own & 1 else digest(path[-1], other))
-        siblings.append(around)
-        copied.append(path)
-    added = {"siblings": pa.array(siblings, pa.list_(pa.string())), "copied": pa.array(copied, pa.list_(pa.string())), "block_root": pa.array([levels[-1][0]] * len(leaves), pa.string())}
-    for name, values in added.items():
-        table = table.append_column(name, values)
-    return table
-
-
-def _tier(nodes: DataFrame, name: str, log: dict) -> DataFrame:
+def _blocks(bits: int):
+    def block(table):
+        """One block's rows with their siblings within it, its root, and their copied path, which starts at their changed leaf if they have one."""
+        import pyarrow as pa
+
+        table = table.sort_by("pos")
+        leaves, changed = table["digest"].to_pylist(), table["changed"].to_pylist()
+        height = min(bits, (table["n"][0].as_py() - 1).bit_length())
+        levels = [leaves]
+        for _ in range(height):
+            below = levels[-1]
+            levels.append([digest(*below[k : k + 2]) for k in range(0, len(below), 2)])
+        siblings, copied = [], []
+        for k, leaf in enumerate(leaves):
+            around, path = [], [changed[k] or leaf]
+            for level, nodes in enumerate(levels[:height]):
+                own = k >> level
+                other = nodes[own ^ 1] if own ^ 1 < len(nodes) else ""
+                around.append((("L" if own & 1 else "R") + other) if other else "")
+                path.append(digest(other, path[-1]) if own & 1 else digest(path[-1], other))
+            siblings.append(around)
+            copied.append(path)
+        texts = pa.list_(pa.string())
+        added = {"siblings": pa.array(siblings, texts), "copied": pa.array(copied, texts), "block_root": pa.array([levels[-1][0]] * len(leaves), pa.string())}
+        for name, values in added.items():
+            table = table.append_column(name, values)
+        return table
+
+    return block
+
+
+def _tier(nodes: DataFrame, name: str, log: dict, bits: int) -> DataFrame:
     """nodes (tree, pos, n, digest, changed, others) with siblings, copied and block_root of their block, as a table."""
-    nodes = nodes.withColumn("block", F.shiftright("pos", BITS))
+    nodes = nodes.withColumn("block", F.shiftright("pos", bits))
     held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return written(nodes.groupBy("tree", "block").applyInArrow(_block, f"{held}, siblings array<string>, copied array<string>, block_root string"), name, log)
+    return written(nodes.groupBy("tree", "block").applyInArrow(_blocks(bits), f"{held}, siblings array<string>, copied array<string>, block_root string"), name, log)
 
 
-def paths(nodes: DataFrame, log: dict) -> DataFrame:
+def paths(nodes: DataFrame, log: dict, bits: int = BITS) -> DataFrame:
     """(tree, pos, siblings, root): each node's siblings from its own level to the root of its tree, tier by tier."""
-    tier = _tier(nodes.select("tree", "pos", "n", "digest", F.lit(None).cast("string").alias("changed")), "merkle-upper", log)
-    if tier.where(f"n > {1 << BITS}").isEmpty():
+    tier = _tier(nodes.select("tree", "pos", "n", "digest", F.lit(None).cast("string").alias("changed")), "merkle-upper", log, bits)
+    if tier.where(f"n > {1 << bits}").isEmpty():
         return tier.select("tree", "pos", "siblings", F.col("block_root").alias("root"))
-    above = paths(_roots(tier), log).select("tree", F.col("pos").alias("block"), F.col("siblings").alias("more"), "root")
+    above = paths(_roots(tier, bits), log, bits).select("tree", F.col("pos").alias("block"), F.col("siblings").alias("more"), "root")
     return joined(tier, above, ["tree", "block"]).select("tree", "pos", F.concat("siblings", "more").alias("siblings"), "root")
 
 
-def _roots(tier: DataFrame) -> DataFrame:
+def _roots(tier: DataFrame, bits: int) -> DataFrame:
     """The roots of a tier's blocks as the leaves of the next."""
-    size = F.shiftright(F.col("n") + ((1 << BITS) - 1), BITS)
-    return tier.where(F.col("pos") == F.shiftleft("block", BITS)).select("tree", F.col("block").alias("pos"), size.alias("n"), F.col("block_root").alias("digest"))
+    size = F.shiftright(F.col("n") + ((1 << bits) - 1), bits)
+    return tier.where(F.col("pos") == F.shiftleft("block", bits)).select("tree", F.col("block").alias("pos"), size.alias("n"), F.col("block_root").alias("digest"))
 
 
 def _copied_above(copied: Column, siblings: Column) -> Column:
@@ -128,7 +132,7 @@ def _copied_above(copied: Column, siblings: Column) -> Column:
 
 
 def manifest(
-    docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "lang", order: str = "doc_id", changes: Mapping[str, Column] | None = None, where: Column | None = None
+    docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "lang", order: str = "doc_id", changes: Mapping[str, Column] | None = None, where: Column | None = None, bits: int = BITS
 ) -> DataFrame:
     """One row per row of docs: order and group column, pos, n, leaf, siblings, subroot, root, changed, copied.
 
@@ -147,12 +151,12 @@ def manifest(
         changed = F.when(where, leaf_of([changes.get(f, F.col(f)) for f in fields]))
     leaves = docs.select(F.col(group).alias("tree"), F.col(order).alias("id"), leaf_of([F.col(f) for f in fields]).alias("digest"), changed.alias("changed"))
     leaves = written(leaves, "merkle-leaves", log)
-    tier = _tier(placed(leaves, ["id", "digest"], log), "merkle-blocks", log)
+    tier = _tier(placed(leaves, ["id", "digest"], log), "merkle-blocks", log, bits)
     erase(spark, log, "merkle-leaves", "merkle-placed", "merkle-starts")
-    above = written(paths(_roots(tier), log).select("tree", F.col("pos").alias("block"), "siblings", F.col("root").alias("subroot")), "merkle-paths", log)
+    above = written(paths(_roots(tier, bits), log, bits).select("tree", F.col("pos").alias("block"), "siblings", F.col("root").alias("subroot")), "merkle-paths", log)
     subroots = above.where("block = 0").select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("subroot").alias("digest"))
     tops = placed(subroots, ["name"], log)
-    tops = tops.join(paths(tops, log).select("pos", F.col("siblings").alias("last"), "root"), "pos").select(F.col("name").alias("tree"), "last", "root")
+    tops = tops.join(paths(tops, log, bits).select("pos", F.col("siblings").alias("last"), "root"), "pos").select(F.col("name").alias("tree"), "last", "root")
     above = joined(above, tops, ["tree"]).select("tree", "block", F.concat("siblings", "last").alias("more"), "subroot", "root")
     above = written(above, "merkle-above", log)
     erase(spark, log, "merkle-paths", "merkle-upper", "merkle-placed", "merkle-starts")
