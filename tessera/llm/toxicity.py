@@ -34,6 +34,8 @@ VECTOR_RATE, FADE = 0.1, 0.98
 #: Labelled documents that training reads at most, toxic and clean, and the bytes of their texts.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 MOST_BYTES = 64 << 20
+#: Bytes of one training text at most; where fewer bytes are allowed in all, a quarter of them.
+MOST_OF_ONE = 2 << 20
 ROUNDS = 6
 WORD_CACHE = 150_000
 EDGES = b".,;:!?\"'()[]{}<>#*$%&|"
@@ -478,7 +480,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """At most most[0] toxic and most[1] clean labelled texts of at most most_bytes in all, chosen by a hash of the id.
 
     Ids held out are left out. An id has one text, the least of its rows, so repeated rows add nothing. Texts are taken
-    whole, toxic and clean ones by turns, as long as they fit.
+    whole, toxic and clean ones by turns, as long as they fit; one of more than MOST_OF_ONE bytes, or a quarter of
+    most_bytes, is not trained on and counts for nothing, so no text takes the room of others.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
@@ -489,7 +492,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     texts = written(texts.groupBy("id").agg(F.first("__label").alias("label"), F.min("text").alias("text")), "toxic-texts")
     # Both windows order at most sum(most) rows of lengths.
     turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    lengths = texts.select("id", "label", F.octet_length("text").alias("n")).withColumn("turn", turn)
+    lengths = texts.select("id", "label", F.octet_length("text").cast("long").alias("n")).where(F.col("n") <= min(MOST_OF_ONE, most_bytes // 4)).withColumn("turn", turn)
     spent = F.sum("n").over(Window.orderBy("turn", F.desc("label"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fit = written(lengths.withColumn("spent", spent).where(F.col("spent") <= most_bytes).select(F.col("id").alias("__id")), "toxic-fit")
     rows = texts.join(F.broadcast(fit), F.col("id") == F.col("__id")).select("id", "label", "text")

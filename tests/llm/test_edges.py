@@ -513,6 +513,21 @@ def test_toxicity_sample_is_bounded(spark):
     assert sum(map(len, texts)) <= 2100 and len(texts) >= 4 and 0 < sum(y) < len(y)
 
 
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_toxicity_sample_without_a_giant(spark, toxic):
+    """One giant text, the first in the order of the sample and of either label, takes no room of others."""
+    ids = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    texts = ids.select("doc_id", F.concat(F.lit("text "), F.repeat(F.lit("word "), 20), F.col("doc_id").cast("string")).alias("text"))
+    labels = ids
+    first = spark.range(60, 4000).select("id").where(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id")).first()[0]
+    giant = spark.createDataFrame([(first, "word " * 2400)], "doc_id long, text string")
+    more = labels.unionByName(spark.createDataFrame([(first, toxic)], "doc_id long, toxic int"))
+    args = ("doc_id", "text", "toxic", (100, 100), 10_000)
+    want = toxicity.sample(texts, labels, *args)
+    assert len(want[0]) >= 30 and 0 < sum(want[1]) < len(want[1])
+    assert toxicity.sample(texts.unionByName(giant), more, *args) == want
+
+
 def test_toxicity_held_out_quality(spark):
     """Precision and recall on the rows that training never saw, against the tables' own labels."""
     path = "/root/testdata/sf0.1"
