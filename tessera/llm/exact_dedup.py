@@ -2,11 +2,13 @@
 
 Every input partition is a run of (digest, best id, count), sorted by digest. Rounds merge fan_in neighbouring runs
 into one: run r of a round goes to run r // fan_in of the next, as in a binomial tree with fan_in children. A round
-is one exchange, over (run, digest), and a walk through what arrives in the order of (run, digest): the runs merge in
-that order, and neighbours that agree on the digest, on a second, unrelated digest and on the byte length become one
-entry with the smallest (or largest) id, so no id ever stands for a text that it was not verified against. The same
-walk combines a run's own entries before the exchange, so a digest that a third of all rows share reaches any task at
-most fan_in times per merged run. Entries are narrow (about 60 bytes), and texts are read once and never shuffled.
+is one exchange, over (digest, run), and one merge behind it. Every task sends its run on in the run's order, so what
+arrives is a row of sorted pieces; Spark's sort there is a natural merge sort, which finds these pieces and merges them in
+passes, and nothing sorts a run again before it is sent. A walk through the merged order then makes neighbours that
+agree on the digest, on a second, unrelated digest and on the byte length one entry with the smallest (or largest) id, so
+no id ever stands for a text that it was not verified against. A digest that a third of all rows share is combined
+in each merged run by a task of its own, from fan_in runs of a partition's rows. Entries are narrow (about 60 bytes), and
+texts are read once and never shuffled.
 
 A round costs what one aggregate over all entries costs, and there are log(partitions) / log(fan_in) of them: one
 plain aggregate would be cheaper wherever the digests fit its one exchange, as here; the tree bounds how many sources any
@@ -33,19 +35,19 @@ def digest_runs(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
         F.xxhash64("norm").alias("verify"),
         F.octet_length("norm").alias("n_bytes"),
         F.spark_partition_id().alias("run"),
-    ).sortWithinPartitions("run", *ENTRY)
+    ).sortWithinPartitions(*ENTRY)
 
 
 def merge_round(runs: DataFrame, best, fan_in: int) -> DataFrame:
-    """Every fan_in neighbouring runs as one.
+    """Every fan_in neighbouring runs as one: entries in the order of ENTRY, one each.
 
-    The extreme of a struct is found by sort aggregation, which walks rows in key order: the order of the runs before
-    the exchange, the merged order behind it.
+    The extreme of a struct is found by sort aggregation, which walks rows in key order. Dealing the rows out by the
+    grouping's own keys puts both of its steps behind the exchange.
     """
     to = F.floor(F.col("run") / fan_in).cast("int").alias("run")
-    held = runs.select(to, *ENTRY, F.struct("keep_id").alias("best"), "group_size")
-    merged = held.groupBy("run", *ENTRY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
-    return merged.select("run", *ENTRY, F.col("best.keep_id").alias("keep_id"), "group_size")
+    held = runs.select(*ENTRY, to, F.struct("keep_id").alias("best"), "group_size")
+    merged = held.repartition(*ENTRY, "run").sortWithinPartitions(*ENTRY, "run").groupBy(*ENTRY, "run").agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
+    return merged.select(*ENTRY, "run", F.col("best.keep_id").alias("keep_id"), "group_size")
 
 
 def merge_runs(runs: DataFrame, keep: str, fan_in: int) -> DataFrame:
