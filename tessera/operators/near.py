@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,10 @@ from tessera.functions.expr import binary_lanes, hamming, hamming64, recall_radi
 
 #: Comparing two 64-bit hashes costs about this part of carrying one more row through a shuffle.
 COMPARISON = 1 / 64
-#: Hashes of a block where blocks are compared, and masks that a probe may try on one lane.
-BLOCK, MOST_MASKS = 1024, 4096
-#: Tasks of one comparison in blocks.
-MOST_TASKS = 2000
+#: Hashes of a block where blocks are compared, balls of one comparison, and masks that a probe may try on one lane.
+BLOCK, MOST_BALLS, MOST_MASKS = 4096, 64, 4096
+#: Pairs that a task holds before it keeps the nearest of each image.
+HELD_PAIRS = 1 << 20
 
 
 def _edges(lanes: int, bits: int) -> list[int]:
@@ -84,31 +86,69 @@ def lane_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, rad
     return pairs.where((F.col("lane") == first) & (distance <= radius)).select("left_id", "right_id", distance.cast("long").alias("distance"))
 
 
-def block_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, n_left: int) -> DataFrame:
-    """lane_join's pairs by comparing every block of BLOCK left hashes with all right ones; only (id, hash) is carried.
+def _compared(radius: int):
+    def compare(left, right):
+        """Pairs of one cell: at most BLOCK hashes or so a side, in strips."""
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = (t.column(f"{side}_hash").to_numpy().view(np.uint64) for t, side in ((left, "left"), (right, "right")))
+        found = []
+        for at in range(0, len(a), 256):
+            apart = np.bitwise_count(a[at : at + 256, None] ^ b[None, :])
+            i, j = np.nonzero(apart <= radius)
+            found.append((i + at, j, apart[i, j].astype(np.int64)))
+        i, j, d = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+        return pa.table({"left_id": left.column("left_id").take(pa.array(i)), "right_id": right.column("right_id").take(pa.array(j)), "distance": pa.array(d)})
+
+    return compare
+
 
-    Blocks are dealt to as many tasks as there are blocks, up to MOST_TASKS: they are heavy for their bytes, so their number is
-    fixed here and not left to the size of the shuffle.
+def ball_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, block: int = BLOCK, most_balls: int = MOST_BALLS) -> DataFrame:
+    """lane_join's pairs for wide radii: right hashes lie in balls around pivots, and left ones go to the balls they can reach.
+
+    Each right hash belongs to its nearest pivot. By the triangle inequality, a left hash at distance d of a pivot has no
+    partner in its ball unless d is within radius of the distances that the ball holds. What a ball and its callers
+    hold is cut into squares of about `block` hashes a side, one task each, so neither side is whole in a task; each
+    pair is compared in one square. Pivots are fixed by a hash of the values; they and the balls' sizes are all that the
+    driver gets. Null hashes have no pairs.
     """
-    blocks = max(1, -(-n_left // BLOCK))
-    l = left.select(F.col(id_col).alias("left_id"), F.col(hash_col).alias("left_hash"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))  # noqa: E741
-    all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    r = right.select(F.col(id_col).alias("right_id"), F.col(hash_col).alias("right_hash")).withColumn("block", all_blocks)
-    tasks = min(blocks, MOST_TASKS)
-    l, r = l.repartition(tasks, "block"), r.repartition(tasks, "block")  # noqa: E741
-    distance = hamming64(F.col("left_hash"), F.col("right_hash"))
-    return l.join(r, "block").where(distance <= radius).select("left_id", "right_id", distance.cast("long").alias("distance"))
+    from tessera.operators.graph import saved
+
+    side = lambda df, name: saved(df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias(f"{name}_id"), F.col(hash_col).alias(f"{name}_hash")), f"{name}-hashes")
+    l, r = side(left, "left"), side(right, "right")  # noqa: E741
+    balls = max(1, min(most_balls, -(-r.count() // block)))
+    pivots = [p[0] for p in r.select("right_hash").distinct().orderBy(F.xxhash64("right_hash"), "right_hash").limit(balls).collect()]
+    if not pivots:
+        return l.join(r, F.lit(False)).select("left_id", "right_id", F.lit(0).cast("long").alias("distance"))
+    away = lambda c: F.array(*[hamming64(F.col(c), F.lit(p).cast("long")) for p in pivots])
+    r = r.withColumn("away", away("right_hash")).withColumn("far", F.array_min("away"))
+    r = r.withColumn("ball", F.array_position("away", F.col("far")).cast("int") - 1).drop("away")
+    held = {x.ball: x for x in r.groupBy("ball").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.count("*").alias("n")).collect()}  # at most most_balls rows
+    reach = [(k, held[k].near - radius, held[k].far + radius) for k in held]
+    wanted = F.filter(F.array(*[F.when(F.col("away")[k].between(least, most), F.lit(k)) for k, least, most in reach]), lambda k: k.isNotNull())
+    l = l.withColumn("away", away("left_hash")).select("left_id", "left_hash", F.explode(wanted).alias("ball"))  # noqa: E741
+    asking = {x.ball: x["count"] for x in l.groupBy("ball").count().collect()}  # as many
+    per_ball = lambda n: F.element_at(F.create_map(*[F.lit(v) for k in held for v in (k, max(1, -(-n.get(k, 0) // block)))]), F.col("ball"))
+    rows, columns = per_ball(asking), per_ball({k: x.n for k, x in held.items()})
+    own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    l = l.select("left_id", "left_hash", "ball", own("left_id", rows).alias("i"), all_of(columns).alias("j"))  # noqa: E741
+    r = r.select("right_id", "right_hash", "ball", all_of(rows).alias("i"), own("right_id", columns).alias("j"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    cells = l.groupBy("ball", "i", "j").cogroup(r.groupBy("ball", "i", "j"))
+    return cells.applyInArrow(_compared(radius), f"left_id {kind(l, 'left_id')}, right_id {kind(r, 'right_id')}, distance bigint")
 
 
 def radius_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64) -> DataFrame:
-    """Pairs within radius, by the lanes that lane_plan finds cheapest for the sides' sizes, or in blocks as the last resort.
+    """Pairs within radius, by the lanes that lane_plan finds cheapest for the sides' sizes, or by balls as the last resort.
 
     A wide radius (a third of the bits) takes in so large a part of all pairs that no lanes tell them apart.
     """
     n_left, n_right = left.count(), right.count()
     lanes = lane_plan(n_left, n_right, radius, bits)
     if lanes is None:
-        return block_join(left, right, id_col, hash_col, radius, n_left)
+        return ball_join(left, right, id_col, hash_col, radius)
     return lane_join(left, right, id_col, hash_col, radius, bits, lanes)
 
 
@@ -157,9 +197,9 @@ def without_exact(pairs: DataFrame, rows: DataFrame, id_col: str, keys: list[str
 
 
 def tied_transforms(recalled: DataFrame, keys: list[str], distance: str, transform: str) -> DataFrame:
-    """Per pair the least distance and all transforms tied at it, in order."""
-    least = F.min(distance).over(Window.partitionBy(*keys))
-    return recalled.withColumn("least", least).where(F.col(distance) == F.col("least")).groupBy(*keys, "least").agg(F.sort_array(F.collect_set(transform)).alias("transforms"))
+    """Per pair the least distance and all transforms tied at it, in order. Both aggregates combine before they shuffle."""
+    tied = recalled.groupBy(*keys, F.col(distance).alias("least")).agg(F.sort_array(F.collect_set(transform)).alias("transforms"))
+    return tied.groupBy(*keys).agg(F.min(F.struct("least", "transforms")).alias("m")).select(*keys, "m.*")
 
 
 def best_fine(tied: DataFrame, keys: list[str], fine: str, block: str, transform: str) -> DataFrame:
@@ -176,11 +216,47 @@ def classify(eligible: Column, block_ratio: Column, fine_ratio: Column) -> Colum
     )
 
 
-def top_recall(pairs: DataFrame, image: str, other: str, distance: str, most: int = 256) -> DataFrame:
-    """The nearest `most` of each image, and whether there were more. This is the operator's own report limit."""
+def _nearest(image: str, other: str, distance: str, most: int, held_rows: int):
+    def nearest(batches: Iterator) -> Iterator:
+        """Of the pairs held, each image's nearest; the first of them tells how many there were."""
+        import numpy as np
+        import pyarrow as pa
+
+        def kept(held):
+            rows = pa.Table.from_batches(held).sort_by([(image, "ascending"), (distance, "ascending"), (other, "ascending")])
+            code = rows.column(image).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            sizes = np.diff(np.r_[heads, len(rows)])
+            place = np.arange(len(rows)) - np.repeat(heads, sizes)
+            found = np.where(place == 0, np.repeat(sizes, sizes), 0)
+            few = np.flatnonzero(place < most)
+            return rows.take(pa.array(few)).append_column("__found", pa.array(found[few], pa.int64())).to_batches()
+
+        held, n = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= held_rows:
+                yield from kept(held)
+                held, n = [], 0
+        if held:
+            yield from kept(held)
+
+    return nearest
+
+
+def top_recall(pairs: DataFrame, image: str, other: str, distance: str, most: int = 256, held_rows: int = HELD_PAIRS) -> DataFrame:
+    """The nearest `most` of each image, and whether there were more. This is the operator's own report limit.
+
+    Every task first keeps its own nearest of each image, with their number, so an image that a third of all pairs have
+    reaches the ranking with `most` rows for every held_rows pairs. Images and distances are not null.
+    """
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    near = pairs.mapInArrow(_nearest(image, other, distance, most, held_rows), f"{held}, __found bigint")
     w = Window.partitionBy(image)
-    ranked = pairs.withColumns({"place": F.row_number().over(w.orderBy(distance, other)), "found": F.count("*").over(w)})
-    return ranked.where(F.col("place") <= most).withColumn("truncated", F.col("found") > most).drop("found")
+    ranked = near.withColumns({"place": F.row_number().over(w.orderBy(distance, other)), "__all": F.sum("__found").over(w)})
+    return ranked.where(F.col("place") <= most).withColumn("truncated", F.col("__all") > most).drop("__found", "__all")
 
 
 def best_per_pair(edges: DataFrame, keys: list[str], priority: Column, order: list[Column]) -> DataFrame:

@@ -4,65 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
-#: Batches after which the representatives of all batches so far are written as one table.
-COMPACT_EVERY = 16
+from tessera.operators.graph import saved
+from tessera.sources.store import BucketStore
+
+#: Appended parts of a bucket of edges after which it is rewritten, and versions that stay for readers of older ones.
+MOST_PARTS, VERSIONS = 8, 4
 
 
 class ExactIndex:
     """Representatives of content keys over all batches so far, and the star edges that they gave.
 
-    State lives in folder, as what each batch added: edges/batch=N, representatives/batch=N, and now and then all
-    representatives so far as whole/batch=N. A batch sees what earlier ones left and replaces its own part, so one that is
-    tried or told again changes nothing, and a restarted stream goes on where the last one ended: nothing is held by the
-    driver. Edges of later batches may point to another representative than one batch over everything would choose, but
-    the components are the same.
+    State lives in folder, as two stores: the smallest id of each key, by key, and edges, by id. A batch reads and replaces
+    the buckets of its own keys only, so its cost follows its own size and not the history's, and adds its edges. Both
+    stores name the last batch that they have: one that is told again changes nothing, and one that failed between them
+    finds its edges there. A restarted stream goes on where the last one ended; nothing is held by the driver. Edges
+    of later batches may point to another representative than one batch over everything would choose, but the
+    components are the same. Replaced parts are deleted VERSIONS batches later.
     """
 
-    def __init__(self, spark: SparkSession, id_col: str, keys: list[str], schema: StructType, folder: str):
-        self.spark, self.id_col, self.keys, self.folder = spark, id_col, keys, folder.rstrip("/")
-        number = StructType().add("batch", IntegerType())
-        self._of_keys = StructType([*[schema[k] for k in keys], schema[id_col], *number])
-        self._of_edges = StructType([schema[id_col]]).add("rep", schema[id_col].dataType).add("batch", IntegerType())
-
-    def _part(self, name: str, schema: StructType) -> DataFrame:
-        """A part of the state, with the batch that wrote each row; empty before any did."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+    def __init__(self, spark: SparkSession, id_col: str, keys: list[str], schema: StructType, folder: str, buckets: int = 64):
+        self.spark, self.id_col, self.keys = spark, id_col, keys
+        kind = schema[id_col]
+        self._known = BucketStore(spark, f"{folder.rstrip('/')}/representatives", StructType([*[schema[k] for k in keys], kind]), keys, buckets)
+        self._edges = BucketStore(spark, f"{folder.rstrip('/')}/edges", StructType([kind]).add("rep", kind.dataType), [id_col], buckets)
 
-    def representatives(self, before: int | None = None) -> DataFrame:
-        """(keys..., id): the smallest id of each key, over the batches before a number or over all."""
-        parts, whole = self._part("representatives", self._of_keys), self._part("whole", self._of_keys)
-        if before is not None:
-            parts, whole = parts.where(F.col("batch") < before), whole.where(F.col("batch") < before)
-        last = whole.agg(F.max("batch")).first()[0]  # from the folders' names
-        if last is not None:
-            parts = parts.where(F.col("batch") > last).unionByName(whole.where(F.col("batch") == last))
-        return parts.groupBy(*self.keys).agg(F.min(self.id_col).alias(self.id_col))
+    def representatives(self) -> DataFrame:
+        """(keys..., id): the smallest id of each key."""
+        return self._known.read()
 
     def edges(self) -> DataFrame:
         """(id, rep) of all batches."""
-        return self._part("edges", self._of_edges).select(self.id_col, "rep").distinct()
+        return self._edges.read().distinct()
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """Adds a batch; rows with a null key have no duplicates."""
+        done = self._known.version()
+        if done.marks.get("batch", -1) >= batch_id:
+            return
         rows = batch.select(self.id_col, *self.keys).where(" AND ".join(f"{k} IS NOT NULL" for k in self.keys))
-        known = self.representatives(batch_id).withColumnRenamed(self.id_col, "known")
-        least = rows.groupBy(*self.keys).agg(F.min(self.id_col).alias("first"))
-        now = least.join(known, self.keys, "left").withColumn("rep", F.least("first", "known"))
-        self._write(now.select(*self.keys, F.col("rep").alias(self.id_col), "known"), "representatives", batch_id)
-        now = self.spark.read.parquet(f"{self.folder}/representatives/batch={batch_id}").withColumnRenamed(self.id_col, "rep")
-        fresh = rows.join(now.select(*self.keys, "rep"), self.keys).where(F.col(self.id_col) != F.col("rep")).select(self.id_col, "rep")
-        moved = now.where("known <> rep").select(F.col("known").alias(self.id_col), "rep")
-        self._write(fresh.unionByName(moved).distinct(), "edges", batch_id)
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            self._write(self.representatives(batch_id + 1), "whole", batch_id)
+        least = saved(rows.groupBy(*self.keys).agg(F.min(self.id_col).alias("first")), "batch-keys")
+        known = self._known.read(self._known.touched(least), done).withColumnRenamed(self.id_col, "known")
+        now = saved(least.join(known, self.keys, "left").withColumn("rep", F.least("first", "known")), "batch-representatives")
+        if self._edges.version().marks.get("batch", -1) < batch_id:
+            fresh = rows.join(now.select(*self.keys, "rep"), self.keys).where(F.col(self.id_col) != F.col("rep")).select(self.id_col, "rep")
+            moved = now.where("known <> rep").select(F.col("known").alias(self.id_col), "rep")
+            self._edges.append(fresh.unionByName(moved).distinct(), {"batch": batch_id})
+            self._edges.compact(MOST_PARTS, DataFrame.distinct)
+        fresh = now.select(*self.keys, F.col("rep").alias(self.id_col))
+        self._known.change(least, lambda old: old.join(least, self.keys, "left_anti").unionByName(fresh), marks={"batch": batch_id})
+        self._known.vacuum(VERSIONS)
+        self._edges.vacuum(VERSIONS)
 
 
 def detect_stream(spark: SparkSession, folder: str, schema: StructType, id_col: str, keys: dict[str, str], checkpoint: str, files_per_batch: int = 1) -> ExactIndex:

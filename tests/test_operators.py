@@ -69,6 +69,42 @@ def test_lane_join_is_exact(spark, radius):
     assert got == want
 
 
+@pytest.mark.parametrize("radius", [8, 20, 22])
+@pytest.mark.parametrize(("block", "balls"), [(4096, 64), (7, 5), (16, 64)])
+def test_ball_join_is_exact(spark, radius, block, balls):
+    """Any cut into balls and squares gives all pairs once, and no square has many more rows than its block."""
+    rng = random.Random(radius)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    base += [h ^ sum(1 << b for b in rng.sample(range(63), k % 30)) for k, h in enumerate(base)] + base[:3]
+    df = spark.createDataFrame([*enumerate(base), (999, None)], "id long, hash long")
+    got = sorted((r.left_id, r.right_id, r.distance) for r in near.ball_join(df.where("id % 3 > 0 OR id = 999"), df, "id", "hash", radius, block, balls).collect())
+    assert got == sorted((i, j, d) for i, a in enumerate(base) if i % 3 for j, b in enumerate(base) if (d := (a ^ b).bit_count()) <= radius)
+    assert near.ball_join(df.where("false"), df, "id", "hash", radius).count() == near.ball_join(df, df.where("false"), "id", "hash", radius).count() == 0
+
+
+def test_balls_tell_far_clusters_apart(spark):
+    """Where hashes lie in clusters, a left hash meets its own cluster's squares only."""
+    rng = random.Random(2)
+    centres = [0, (1 << 62) - 1, int("10" * 31, 2)]
+    near_ = lambda c: c ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(4)))
+    df = spark.createDataFrame([(k, near_(centres[k % 3])) for k in range(300)], "id long, hash long")
+    joined = near.ball_join(df, df, "id", "hash", 8, block=100, most_balls=3)
+    assert joined.count() == 3 * 100 * 100
+
+
+@pytest.mark.parametrize("held", [1, 10, 1000])
+def test_top_recall_keeps_the_nearest(spark, held):
+    rng = random.Random(held)
+    pairs = [(rng.choice([1, 1, 1, 2, 3]), k, rng.randrange(5)) for k in range(400)]
+    df = spark.createDataFrame(pairs, "image int, other int, distance int").repartition(3)
+    got = sorted((r.image, r.other, r.place, r.truncated) for r in near.top_recall(df, "image", "other", "distance", 7, held).collect())
+    want = []
+    for image in (1, 2, 3):
+        own = sorted((d, o) for i, o, d in pairs if i == image)
+        want += [(image, o, k + 1, len(own) > 7) for k, (_, o) in enumerate(own[:7])]
+    assert got == sorted(want)
+
+
 def test_radius_join_in_blocks_is_exact(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(20) for _ in range(60)]
@@ -125,7 +161,7 @@ def test_library_classes_tell_every_pair(spark):
 
 def test_stream_resumes_where_it_stopped(spark, tmp_path):
     """Stopped after a batch and started by a new index on the same checkpoint: the same components as one batch."""
-    from tessera.streaming.incremental import COMPACT_EVERY, ExactIndex, detect_stream
+    from tessera.streaming.incremental import ExactIndex, detect_stream
 
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
     schema = spark.createDataFrame([], "id long, key string").schema
@@ -146,10 +182,15 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     before = sorted(map(tuple, index.edges().collect()))
     index.merge(keyed, 2)
     assert sorted(map(tuple, index.edges().collect())) == before
-    for k in range(3, COMPACT_EVERY + 2):
+    for k in range(3, 9):
         index.merge(spark.createDataFrame([(100 + k, f"k{k % 3}")], "id long, content string"), k)
-    again = ExactIndex(spark, "id", ["content"], keyed.schema, index.folder)
+    again = ExactIndex(spark, "id", ["content"], keyed.schema, f"{checkpoint}-index")
     assert {(r.content, r.id) for r in again.representatives().collect()} == {("a", 1), ("b", 8), ("k0", 103), ("k1", 104), ("k2", 105)}
+    # A batch touches the buckets of its own keys; others keep their files, and old parts go.
+    held = dict(again._known.version().buckets)
+    again.merge(spark.createDataFrame([(500, "k1")], "id long, content string"), 9)
+    changed = {b for b, f in again._known.version().buckets.items() if held.get(b) != f}
+    assert len(changed) == 1 and len(again._known.folder.names("data")) <= 9
 
 
 def test_classification_bounds_are_inclusive(spark):
