@@ -52,6 +52,11 @@ def recall_radius(bits: int, ratio: float = RECALL_RATIO) -> int:
     return math.ceil(bits * ratio)
 
 
+def radius_of(bits: Column, ratio: float = RECALL_RATIO) -> Column:
+    """recall_radius() for hashes of each row's own number of bits."""
+    return F.ceil(bits * F.lit(ratio)).cast("long")
+
+
 def similarity(block_ratio: Column, fine_ratio: Column) -> Column:
     """1 less the weighted distance, held in [0, 1]."""
     return F.greatest(F.least(1 - (0.4 * block_ratio + 0.6 * fine_ratio), F.lit(1.0)), F.lit(0.0))

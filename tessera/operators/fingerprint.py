@@ -17,45 +17,64 @@ MIN_STDDEV, MIN_BINS, MIN_EDGE = 8.0, 4, 2.0
 
 
 def transformed(gray, transform: str):
-    """The eight dihedral transforms of a (height, width) array."""
+    """The eight dihedral transforms of (..., height, width) arrays."""
     import numpy as np
 
+    turned = lambda g, k: np.rot90(g, k, axes=(-2, -1))
     return {
-        "identity": lambda g: g, "rot90": lambda g: np.rot90(g, -1), "rot180": lambda g: np.rot90(g, 2), "rot270": lambda g: np.rot90(g, 1),
-        "flip_h": np.fliplr, "flip_v": np.flipud, "transpose": np.transpose, "transverse": lambda g: np.rot90(g, 2).T,
+        "identity": lambda g: g, "rot90": lambda g: turned(g, -1), "rot180": lambda g: turned(g, 2), "rot270": lambda g: turned(g, 1),
+        "flip_h": lambda g: g[..., ::-1], "flip_v": lambda g: g[..., ::-1, :], "transpose": lambda g: np.swapaxes(g, -2, -1), "transverse": lambda g: np.swapaxes(turned(g, 2), -2, -1),
     }[transform](gray)
 
 
+def _overlaps(n: int, side: int):
+    """How far each of side cells covers each of n pixels, in units of 1 / (n side): integers."""
+    import numpy as np
+
+    at, k = np.arange(side + 1) * n, np.arange(n) * side
+    return np.clip(np.minimum(at[1:, None], k + side) - np.maximum(at[:-1, None], k), 0, None)
+
+
 def resized(gray, side: int):
-    """Area-weighted resampling to side x side."""
+    """Area-weighted resampling of (..., height, width) arrays to side x side."""
     import numpy as np
 
     def weights(n):
-        at = np.linspace(0, n, side + 1)
-        k = np.arange(n)
-        over = np.clip(np.minimum(at[1:, None], k + 1) - np.maximum(at[:-1, None], k), 0, None)
+        over = _overlaps(n, side)
         return over / over.sum(1, keepdims=True)
 
     g = np.asarray(gray, dtype=np.float64)
-    return weights(g.shape[0]) @ g @ weights(g.shape[1]).T
+    return weights(g.shape[-2]) @ g @ weights(g.shape[-1]).T
 
 
-def block_hash(gray16) -> bytes:
-    """256 bits: each cell of a 16 x 16 thumbnail against the median of its quarter of rows."""
+def block_hash(gray16):
+    """256 bits: each cell of a 16 x 16 thumbnail against the median of its quarter of rows. A list for a stack."""
     import numpy as np
 
     g = np.asarray(gray16, dtype=np.float64)
-    bits = np.concatenate([(band > np.median(band)).reshape(-1) for band in np.split(g, 4)])
-    return np.packbits(bits).tobytes()
+    bands = g.reshape(*g.shape[:-2], 4, -1)
+    return _packed((bands > np.median(bands, axis=-1, keepdims=True)).reshape(*g.shape[:-2], -1))
+
+
+def double_gradient_hash(gray32):
+    """544 bits: signs of horizontal, then vertical, differences over a 17 x 17 reduction (17 x 16 each). A list for a stack.
+
+    The reduction of whole gray levels is computed in integers, so equal cells are equal.
+    """
+    import numpy as np
+
+    g = np.asarray(gray32, dtype=np.int64)
+    over = _overlaps(g.shape[-1], 17)
+    g = over @ g @ over.T
+    flat = lambda d: (d > 0).reshape(*g.shape[:-2], -1)
+    return _packed(np.concatenate([flat(np.diff(g, axis=-1)), flat(np.diff(g, axis=-2))], axis=-1))
 
 
-def double_gradient_hash(gray32) -> bytes:
-    """544 bits: signs of horizontal, then vertical, differences over a 17 x 17 reduction (17 x 16 each)."""
+def _packed(bits):
     import numpy as np
 
-    g = resized(gray32, 17)
-    bits = np.concatenate([(np.diff(g, axis=1) > 0).reshape(-1), (np.diff(g, axis=0) > 0).reshape(-1)])
-    return np.packbits(bits).tobytes()
+    found = np.packbits(bits, axis=-1)
+    return found.tobytes() if found.ndim == 1 else [row.tobytes() for row in found]
 
 
 def information(hash_: bytes) -> int:
@@ -88,20 +107,22 @@ def _fingerprints(batches: Iterator) -> Iterator:
     from tessera.schemas import TRANSFORMS
 
     for batch in batches:
-        rows = []
-        for id_, width, height, pixels in zip(batch["id"], batch["width"], batch["height"], batch["pixels"]):
-            g = np.frombuffer(pixels, dtype=np.uint8).reshape(height, width)
+        # Images of one size go through the kernels as one array.
+        for (height, width), own in batch.groupby(["height", "width"], sort=False):
+            g = np.stack([np.frombuffer(p, dtype=np.uint8) for p in own["pixels"]]).reshape(-1, height, width)
             small, large = resized(g, 16), np.rint(resized(g, 32)).astype(np.uint8)
-            block, fine = block_hash(small), double_gradient_hash(large)
-            variants = [{"transform": t, "hash": block_hash(transformed(small, t))} for t in TRANSFORMS]
-            rows.append((id_, block, fine, variants, eligible(large, block, fine)))
-        yield pd.DataFrame(rows, columns=["id", "block_hash", "fine_hash", "variants", "eligible"])
+            blocks = {t: block_hash(transformed(small, t)) for t in TRANSFORMS}
+            fines = {t: double_gradient_hash(transformed(large, t)) for t in TRANSFORMS}
+            variants = [[{"transform": t, "hash": blocks[t][k], "fine_hash": fines[t][k]} for t in TRANSFORMS] for k in range(len(own))]
+            block, fine = blocks["identity"], fines["identity"]
+            fit = [eligible(large[k], block[k], fine[k]) for k in range(len(own))]
+            yield pd.DataFrame({"id": own["id"].array, "block_hash": block, "fine_hash": fine, "variants": variants, "eligible": fit})
 
 
 def fingerprints(images: DataFrame) -> DataFrame:
-    """images (id, width, height, pixels binary) -> hashes, the eight block-hash variants, eligibility, pixel digest."""
+    """images (id, width, height, pixels binary) -> hashes, the eight variants of both, eligibility, pixel digest."""
     kind = images.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, block_hash binary, fine_hash binary, variants array<struct<transform:string,hash:binary>>, eligible boolean"
+    schema = f"id {kind}, block_hash binary, fine_hash binary, variants array<struct<transform:string,hash:binary,fine_hash:binary>>, eligible boolean"
     found = images.select("id", "width", "height", "pixels").mapInPandas(_fingerprints, schema)
     digest = images.select("id", F.sha2(F.concat(F.to_binary(F.lpad(F.hex("width"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("height"), 16, "0"), F.lit("hex")), "pixels"), 256).alias("pixel_hash"))
     return found.join(digest, "id")

@@ -186,6 +186,22 @@ def recalled_images(probes: DataFrame, stored: DataFrame, bits: int = 256) -> Da
     return tied_transforms(pairs.where("left_id <> right_id"), ["left_id", "right_id"], "distance", "transform")
 
 
+def verified_images(probes: DataFrame, stored: DataFrame, tied: DataFrame, bits: int = 256, fine_bits: int = 544) -> DataFrame:
+    """(left_id, right_id, fine, block, transform, match_type): the best tied transform of each recalled pair, and its class.
+
+    tied has (left_id, right_id, least, transforms); of the transforms the one with the least fine distance counts, then
+    the least block distance, then the first name. Pairs that are neither near nor similar have a null match_type.
+    """
+    left = probes.select(F.col("id").alias("left_id"), F.inline("variants")).select("left_id", "transform", F.col("fine_hash").alias("left_fine"))
+    right = stored.select(F.col("id").alias("right_id"), F.col("fine_hash").alias("right_fine"), F.col("eligible").alias("right_eligible"))
+    tried = tied.select("left_id", "right_id", F.col("least").alias("block"), F.explode("transforms").alias("transform"))
+    tried = tried.join(left, ["left_id", "transform"]).join(right, "right_id")
+    apart = hamming(binary_lanes(F.col("left_fine"), fine_bits // 8), binary_lanes(F.col("right_fine"), fine_bits // 8)).cast("long")
+    best = best_fine(tried.withColumn("fine", apart), ["left_id", "right_id"], "fine", "block", "transform")
+    # Recall took eligible images only, so both sides are.
+    return best.withColumn("match_type", classify(F.lit(True), F.col("block") / bits, F.col("fine") / fine_bits))
+
+
 def without_exact(pairs: DataFrame, rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """Pairs whose ends differ in every exact key; each end's keys are looked up, no pairs are made."""
     for side in ("left", "right"):

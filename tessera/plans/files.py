@@ -44,11 +44,6 @@ def s11(spark, sf):
     return spark.createDataFrame([(f.name,) for f in table(spark, sf, "region").schema], "column_name string")
 
 
-@query("s15_key_value", "SELECT event_id, json_extract_string(props, '$.k') = '69' AS hit FROM events WHERE event_id < 50")
-def s15(spark, sf):
-    return table(spark, sf, "events").where("event_id < 50").select("event_id", (F.from_json("props", "k string")["k"] == "69").alias("hit"))
-
-
 @query("s15_key_value_whole", "SELECT event_id, json_extract_string(props, '$.k') = '69' AS hit FROM events")
 def s15_whole(spark, sf):
     return table(spark, sf, "events").select("event_id", (F.from_json("props", "k string")["k"] == "69").alias("hit"))

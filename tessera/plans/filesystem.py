@@ -9,8 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as X
-from tessera.operators import evidence, fingerprint
+from tessera.operators import evidence, fingerprint, near
 from tessera.operators.graph import saved, shared_folder
+from tessera.operators.lane_index import LaneIndex
 from tessera.plans.registry import merkle_sql, query
 from tessera.schemas import TRANSFORMS
 from tessera.sources import files, fixtures, sinks
@@ -196,11 +197,20 @@ def k17(spark, sf):
 PIXELS = "pixels AS (SELECT vec_id, i, CAST(greatest(0, least(255, floor(CAST(embedding[i + 1] AS DOUBLE) * 64) + 128)) AS INTEGER) AS v FROM (SELECT vec_id, embedding, UNNEST(range(0, 64)) AS i FROM embeddings))"
 
 
-def gray_images(spark, sf):
-    """The first 64 values of each embedding as an 8 x 8 gray image."""
+def gray_levels():
+    """The first 64 values of an embedding as gray levels."""
     level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 64).cast("int") + 128))
-    hexed = F.array_join(F.transform(F.slice("embedding", 1, 64), lambda v: F.lpad(F.hex(level(v)), 2, "0")), "")
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.to_binary(hexed, F.lit("hex")).alias("pixels"))
+    return F.transform(F.slice("embedding", 1, 64), level)
+
+
+def as_images(rows):
+    """(id, levels) as 8 x 8 gray images."""
+    hexed = F.array_join(F.transform("levels", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    return rows.select("id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.to_binary(hexed, F.lit("hex")).alias("pixels"))
+
+
+def gray_images(spark, sf):
+    return as_images(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), gray_levels().alias("levels")))
 
 
 # The 16 x 16 reduction repeats every pixel twice each way; a quarter of its rows is two rows of pixels.
@@ -218,9 +228,22 @@ def d01(spark, sf):
     return fingerprint.fingerprints(gray_images(spark, sf)).select(F.col("id").alias("vec_id"), X.hex_lower(F.col("block_hash")).alias("block_hash"), "pixel_hash")
 
 
-@query("d02_eligibility")
+# A 17 x 17 reduction of the 8 x 8 pixels, in whole units: cell j covers [32 j, 32 j + 32), pixel p [68 p, 68 p + 68).
+FINE_BITS = """SELECT {keys}, string_agg(CASE WHEN after > g THEN '1' ELSE '0' END, '' ORDER BY way, j, k) AS bits FROM (SELECT {keys}, 0 AS way, j, k, g, lead(g) OVER (PARTITION BY {keys}, j ORDER BY k) AS after FROM fine
+    UNION ALL SELECT {keys}, 1, j, k, g, lead(g) OVER (PARTITION BY {keys}, k ORDER BY j) FROM fine) WHERE after IS NOT NULL GROUP BY {keys}"""
+FINE = """SELECT {keys}, a.j, b.j AS k, SUM(v * a.w * b.w) AS g FROM cells JOIN covers a ON a.p = r JOIN covers b ON b.p = c GROUP BY {keys}, a.j, b.j"""
+COVERS = "covers AS (SELECT j, p, w FROM (SELECT j, p, least(32 * j + 32, 68 * p + 68) - greatest(32 * j, 68 * p) AS w FROM range(0, 17) a(j), range(0, 8) b(p)) WHERE w > 0)"
+ELIGIBLE = """SELECT {keys}, stddev_pop(v) >= 8 AND COUNT(DISTINCT v // 16) >= 4 AND 4 * (SUM(abs(v - right_)) + SUM(abs(v - below))) / 1984.0 >= 2
+    AND SUM(CASE WHEN v > m THEN 4 ELSE 0 END) BETWEEN 4 AND 252 AS fit FROM (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY {keys}, r // 2) AS m, coalesce(lead(v) OVER (PARTITION BY {keys}, r ORDER BY c), v) AS right_,
+    coalesce(lead(v) OVER (PARTITION BY {keys}, c ORDER BY r), v) AS below FROM cells) GROUP BY {keys}"""
+
+
+@query(
+    "d02_eligibility",
+    f"""WITH {PIXELS}, cells AS (SELECT vec_id, v, i // 8 AS r, i % 8 AS c FROM pixels), {COVERS}, fine AS ({FINE.format(keys="vec_id")}), f AS ({FINE_BITS.format(keys="vec_id")}), e AS ({ELIGIBLE.format(keys="vec_id")})
+        SELECT vec_id, fit AND bit_count(CAST(bits AS BIT)) BETWEEN 8 AND 536 AS eligible FROM e JOIN f USING (vec_id)""",
+)
 def d02(spark, sf):
-    """Eligibility of the same images; tested against plain numpy."""
     return fingerprint.fingerprints(gray_images(spark, sf)).select(F.col("id").alias("vec_id"), "eligible")
 
 
@@ -285,3 +308,58 @@ def o12(spark, sf):
     # Spark cuts each partition's rows of an album to 24 before it shuffles them.
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return docs.join(F.broadcast(first), "source").withColumn("place", place).where("place <= 24").select("source", "doc_id")
+
+
+# A library of the same images, each turned by one of the eight transforms, some with a changed corner.
+LIBRARY = f"""{PIXELS}, moves AS (SELECT *, row_number() OVER () - 1 AS turn FROM {MOVES.replace("('identity', 1, 0, 0, 1, 0, 0)", "('identity', 1, 0, 0, 0, 1, 0)")} t(transform, rr, rc, r0, cr, cc, c0)),
+    grid AS (SELECT r, c FROM range(0, 8) a(r), range(0, 8) b(c)),
+    shown AS (SELECT vec_id AS id, transform, r, c, v FROM moves, grid, pixels WHERE i = 8 * (rr * r + rc * c + r0) + (cr * r + cc * c + c0)),
+    stored AS (SELECT s.id + 1000000 AS id, r, c, CASE WHEN s.id % 3 = 0 AND r = 0 AND c = 0 THEN 255 - v ELSE v END AS v FROM shown s JOIN moves USING (transform) WHERE s.id % 8 = turn),
+    cells AS (SELECT id, transform, r, c, v FROM shown UNION ALL SELECT id, 'stored', r, c, v FROM stored), {COVERS},
+    blocks AS (SELECT id, transform, CAST(from_hex(hash) AS BIT) AS hash FROM ({BLOCK_HASH.format(keys="id, transform")})),
+    fine AS ({FINE.format(keys="id, transform")}), fines AS ({FINE_BITS.format(keys="id, transform")}), looks AS ({ELIGIBLE.format(keys="id, transform")}),
+    fit AS (SELECT id FROM looks JOIN fines USING (id, transform) WHERE transform IN ('identity', 'stored') AND fit AND bit_count(CAST(bits AS BIT)) BETWEEN 8 AND 536)"""
+RECALLED = """recalled AS (SELECT a.id AS left_id, b.id AS right_id, a.transform, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS block FROM blocks a JOIN blocks b ON a.transform <> 'stored' AND b.transform = 'stored'
+    WHERE a.id IN (FROM fit) AND b.id IN (FROM fit) AND bit_count(xor(a.hash, b.hash)) <= 31)"""
+
+
+def library_images(spark, sf):
+    """The turned copies: cell (r, c) comes from the cell that the image's transform takes it from."""
+    moves = {"identity": (1, 0, 0, 0, 1, 0), "rot90": (0, -1, 7, 1, 0, 0), "rot180": (-1, 0, 7, 0, -1, 7), "rot270": (0, 1, 0, -1, 0, 7), "flip_h": (1, 0, 0, 0, -1, 7), "flip_v": (-1, 0, 7, 0, 1, 0), "transpose": (0, 1, 0, 1, 0, 0), "transverse": (0, -1, 7, -1, 0, 7)}
+    turns = F.array(*[F.array(*[F.lit(8 * (rr * r + rc * c + r0) + (cr * r + cc * c + c0) + 1) for r in range(8) for c in range(8)]) for rr, rc, r0, cr, cc, c0 in (moves[t] for t in TRANSFORMS)])
+    rows = table(spark, sf, "embeddings").select("vec_id", gray_levels().alias("was"), F.element_at(turns, (F.col("vec_id") % 8 + 1).cast("int")).alias("turn"))
+    rows = rows.select("vec_id", F.transform("turn", lambda k: F.element_at("was", k)).alias("levels"))
+    changed = F.when(F.col("vec_id") % 3 == 0, F.concat(F.array(255 - F.element_at("levels", 1)), F.slice("levels", 2, 63))).otherwise(F.col("levels"))
+    return as_images(rows.select((F.col("vec_id") + 1000000).alias("id"), changed.alias("levels")))
+
+
+@query(
+    "d06_image_recall",
+    f"""WITH {LIBRARY}, {RECALLED}, tied AS (SELECT * FROM recalled QUALIFY block = MIN(block) OVER (PARTITION BY left_id, right_id)),
+        tried AS (SELECT t.left_id, t.right_id, t.transform, block, CAST(bit_count(xor(CAST(f.bits AS BIT), CAST(g.bits AS BIT))) AS BIGINT) AS fine FROM tied t JOIN fines f ON f.id = left_id AND f.transform = t.transform JOIN fines g ON g.id = right_id)
+        SELECT left_id, right_id, fine, block, transform, CASE WHEN block / 256 <= 0.04 AND fine / 544 <= 0.04 THEN 'near' WHEN block / 256 <= 0.12 AND fine / 544 <= 0.08 THEN 'similar' END AS match_type
+        FROM tried QUALIFY ROW_NUMBER() OVER (PARTITION BY left_id, right_id ORDER BY fine, block, transform) = 1""",
+)
+def d06_images(spark, sf):
+    """Recall over 256-bit hashes with all eight variants, tied transforms verified by 544-bit hashes, and classes."""
+    probes = saved(fingerprint.fingerprints(gray_images(spark, sf)), "probes")
+    stored = saved(fingerprint.fingerprints(library_images(spark, sf)), "library")
+    return near.verified_images(probes, stored, near.recalled_images(probes, stored))
+
+
+@query(
+    "d30_perceptual_index",
+    f"""WITH {LIBRARY}, {RECALLED}, tied AS (SELECT * FROM recalled WHERE right_id % 7 <> 0 QUALIFY block = MIN(block) OVER (PARTITION BY left_id, right_id))
+        SELECT left_id, right_id, block AS least, list_sort(list(transform)) AS transforms FROM tied GROUP BY ALL""",
+)
+def d30_images(spark, sf):
+    """The library kept as an index: some images came with another's hash and are updated, one in seven is removed, most are skipped."""
+    folder = f"{shared_folder(spark)}/lane-index-{uuid.uuid4().hex}"
+    stored = saved(fingerprint.fingerprints(library_images(spark, sf)), "library").select("id", F.when(F.col("eligible"), F.col("block_hash")).alias("hash"))
+    index = LaneIndex(spark, folder, 32)
+    first = F.when(F.col("id") % 5 == 0, F.unhex(F.sha2(F.col("id").cast("string"), 256))).otherwise(F.col("hash"))
+    index.upsert(stored.where("id % 2 = 0").withColumn("hash", first))
+    index.upsert(stored)
+    index.remove(stored.where("id % 7 = 0"))
+    probes = fingerprint.fingerprints(gray_images(spark, sf)).where("eligible").select("id", F.inline("variants"))
+    return near.tied_transforms(index.near(probes, near.recall_radius(256), ["transform"]), ["left_id", "right_id"], "distance", "transform")

@@ -37,11 +37,6 @@ def o07(spark, sf):
     return page(lines, [("l_linenumber", False), ("l_partkey", False)], 5, (2, 0))
 
 
-@query("o08_cursor_text", """SELECT o_orderkey, '{"kind":"albums","version":1,"bound":null,"key":{"k":' || o_orderkey || '}}' AS cursor FROM orders WHERE o_orderkey < 50""")
-def o08(spark, sf):
-    return o08_whole(spark, sf).where("o_orderkey < 50")
-
-
 @query("o08_cursor_text_whole", """SELECT o_orderkey, '{"kind":"albums","version":1,"bound":null,"key":{"k":' || o_orderkey || '}}' AS cursor FROM orders""")
 def o08_whole(spark, sf):
     """Cursors as the database would build them: JSON, base64url without padding, and back."""
@@ -73,11 +68,6 @@ def f02(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.concat("o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string")).alias("label"))
 
 
-@query("f03_hex", "SELECT page_id, lower(hex(encode(substr(url, 1, 12)))) AS hex FROM pages")
-def f03(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.hex_lower(F.substring("url", 1, 12).cast("binary")).alias("hex"))
-
-
 @query("f03_hex_whole", "SELECT page_id, lower(hex(encode(url))) AS hex FROM pages")
 def f03_whole(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.hex_lower(F.col("url").cast("binary")).alias("hex"))
@@ -93,9 +83,11 @@ def f09(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.version_major(F.col("p_brand")).alias("major"))
 
 
-@query("f14_recall_radius", "SELECT * FROM (VALUES (256, 31), (64, 8), (544, 66)) t(bits, radius)")
+@query("f14_recall_radius", "SELECT vec_id, CAST(len(embedding) * (1 + label) AS BIGINT) AS bits, CAST(ceil(len(embedding) * (1 + label) * 0.12::DOUBLE) AS BIGINT) AS radius FROM embeddings")
 def f14(spark, sf):
-    return spark.createDataFrame([(b, X.recall_radius(b)) for b in (256, 64, 544)], "bits int, radius int")
+    """The recall radius of hashes of as many bits as an embedding has values, some times over."""
+    rows = table(spark, sf, "embeddings").select("vec_id", (F.size("embedding") * (1 + F.col("label"))).cast("long").alias("bits"))
+    return rows.withColumn("radius", X.radius_of(F.col("bits")))
 
 
 @query("f16_information_bits", "SELECT event_id, CAST(least(bit_count(user_id * 2654435761), 64 - bit_count(user_id * 2654435761)) AS BIGINT) AS bits FROM events")
@@ -110,11 +102,6 @@ def f17(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.try_multiply(F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 2).otherwise(0), factor).alias("product"))
 
 
-@query("f20_octet_length", "SELECT doc_id, CAST(octet_length(encode(substr(text, 1, 100))) AS BIGINT) AS n FROM documents")
-def f20(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", long(F.octet_length(F.substring("text", 1, 100))).alias("n"))
-
-
 @query("f20_octet_length_whole", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents")
 def f20_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", long(F.octet_length("text")).alias("n"))

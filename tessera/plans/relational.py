@@ -565,11 +565,6 @@ def f05(spark, sf):
     return table(spark, sf, "pages").where(~bare.rlike("//|/[.]|/$|[.]$")).select("page_id", paths.normal_path(bare).alias("path"))
 
 
-@query("f06_conflict_key", "SELECT doc_id, lower(nfc_normalize(substr(text, 1, 40))) AS key FROM documents")
-def f06(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", paths.conflict_key(F.substring("text", 1, 40)).alias("key"))
-
-
 @query("f06_conflict_key_whole", "SELECT doc_id, lower(nfc_normalize(text)) AS key FROM documents")
 def f06_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", paths.conflict_key(F.col("text")).alias("key"))

@@ -6,11 +6,15 @@ sign bits of an embedding its perceptual hash.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import cover, graph, merge, near, planning, verify
+from tessera.operators.component_index import ComponentIndex
 from tessera.operators.exact import content_classes, exact_star_edges, first_of_key, library_class_edges, library_edges
 from tessera.plans.registry import merkle_sql, query
+from tessera.sources import store
 from tessera.sources.tables import table
 
 STARS = """stars AS (SELECT doc_id, source, rep, rep_source FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY n_chars, md5(text)) AS rep,
@@ -137,6 +141,12 @@ def d10_members(spark, sf):
     return content_classes(rows.where("doc_id % 2 = 0"), "doc_id", ["n_chars", "digest"], "pixel")[1]
 
 
+@query("d10_image_membership", f"{D10_CLASSES} SELECT doc_id, rep AS representative FROM d JOIN i USING (n_chars, h, p) WHERE doc_id % 2 = 1")
+def d10_image_members(spark, sf):
+    rows = hashed(spark, sf).withColumn("pixel", F.md5(F.lower("text")))
+    return content_classes(rows.where("doc_id % 2 = 1"), "doc_id", ["n_chars", "digest"], "pixel")[1]
+
+
 @query("d11_top_recall", f"WITH {SIGNS}, p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS distance FROM signs a JOIN signs b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 22) SELECT left_id, right_id, distance, place, found > 4 AS truncated FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY left_id ORDER BY distance, right_id) place, COUNT(*) OVER (PARTITION BY left_id) found FROM p) WHERE place <= 4")
 def d11(spark, sf):
     rows = signed(spark, sf)
@@ -150,23 +160,27 @@ def d12(spark, sf):
 
 
 @query(
-    "d12_chained_components",
-    """WITH RECURSIVE e AS (SELECT l_suppkey * 2 AS a, (l_partkey % 97) * 2 + 1 AS b FROM lineitem WHERE l_quantity = 50 AND l_tax = 0.01),
-       both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, b.b FROM reach r JOIN both_ b ON r.seen = b.a)
+    "d12_chained_components_whole",
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey * 2 AS a, (l_partkey % 97) * 2 + 1 AS b FROM lineitem),
+       both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS node, a AS seen FROM both_ UNION SELECT r.node, b.b FROM reach r JOIN both_ b ON r.seen = b.a)
        SELECT node, MIN(seen) AS component FROM reach GROUP BY node""",
 )
-def d12_chains(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_quantity = 50 AND l_tax = 0.01")
-    return graph.connected_components(lines.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") % 97 * 2 + 1).alias("b")))
-
-
-@query("d12_chained_components_whole")
 def d12_chains_whole(spark, sf):
-    """All of lineitem, where recursive SQL is too slow: tested against plain Python."""
     lines = table(spark, sf, "lineitem")
     return graph.connected_components(lines.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") % 97 * 2 + 1).alias("b")))
 
 
+@query("d12_changed_components", f"WITH {STARS} SELECT doc_id AS node, rep AS component FROM stars WHERE doc_id % 5 <> 0 UNION SELECT rep, rep FROM stars WHERE doc_id % 5 <> 0")
+def d12_changed(spark, sf):
+    """Components after edges came in two changes and some went: each change reads the components that it touches."""
+    index = ComponentIndex(spark, f"{graph.shared_folder(spark)}/components-{uuid.uuid4().hex}")
+    edges = stars(spark, sf).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    index.change(edges.where("a % 3 > 0"))
+    index.change(edges.where("a % 3 = 0"), edges.where("a % 3 > 0 AND a % 5 = 0"))
+    index.change(edges.where("false"), edges.where("a % 5 = 0"))
+    return index.components()
+
+
 def members(spark, sf):
     return d12(spark, sf).withColumnsRenamed({"node": "doc_id", "component": "grp"})
 
@@ -267,6 +281,46 @@ def k10(spark, sf):
     return first_of_key(hashed(spark, sf), ["n_chars", "digest"], "doc_id").select("doc_id")
 
 
+def kept_table(spark, rows, key):
+    """rows as a stored table."""
+    made = store.BucketStore(spark, f"{graph.shared_folder(spark)}/table-{uuid.uuid4().hex}", rows.schema, key, buckets=16)
+    made.append(rows)
+    return made
+
+
+@query("k04_stored_upsert", f"WITH o AS ({MERGE_OLD}), n AS ({MERGE_NEW}) SELECT * FROM n WHERE a % 50 = 0 UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE o.a = n.a AND o.b = n.b AND n.a % 50 = 0)")
+def k04_stored(spark, sf):
+    """A keyed upsert in place: buckets that the batch does not touch keep their files."""
+    old, new = merge_sides(spark, sf)
+    kept = kept_table(spark, old, ["a", "b"])
+    store.upsert(kept, new.where("a % 50 = 0"))
+    return kept.read()
+
+
+@query("d17_stored_upgrade", f"WITH o AS ({MERGE_OLD}), n AS ({MERGE_NEW}) SELECT a, b, v, p FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b ORDER BY p, src) rn FROM (SELECT *, 0 AS src FROM o UNION ALL SELECT *, 1 FROM n)) WHERE rn = 1")
+def d17_stored(spark, sf):
+    old, new = merge_sides(spark, sf)
+    kept = kept_table(spark, old, ["a", "b"])
+    store.upgrade(kept, new, F.col("p"))
+    return kept.read()
+
+
+@query(
+    "k09_guarded_write",
+    """WITH u AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderstatus IN ('O', 'P') AND o_totalprice > 200000 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_orderstatus IN ('O', 'P') AND o_totalprice > 200000 AS hit FROM orders)
+       SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, (SELECT COUNT(*) FROM u WHERE hit) AS affected, (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'P') AS refused FROM u""",
+)
+def k09_write(spark, sf):
+    """Two staged writes: one breaks a rule on its rows and leaves the table as it was, the other is published. Counts come from the writing pass."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    kept = kept_table(spark, rows, ["o_orderkey"])
+    open_ = F.col("o_orderstatus").isin("O", "P")
+    refused = store.guarded_update(kept, rows, "o_orderstatus", F.col("o_orderstatus") == "P", F.lit("X"), {"unknown": ~F.col("o_orderstatus").isin("O", "P", "F")})
+    done = store.guarded_update(kept, rows, "o_orderstatus", open_ & (F.col("o_totalprice") > 200000), F.lit("F"), {"unknown": ~F.col("o_orderstatus").isin("O", "P", "F")})
+    told = refused.counts["unknown"] if not refused.published else -1
+    return kept.read().withColumns({"affected": F.lit(done.counts["affected"]).cast("long"), "refused": F.lit(told).cast("long")})
+
+
 @query("d31_cascade_delete", f"WITH {STARS} SELECT doc_id, rep FROM stars WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3') AND rep NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')")
 def d31(spark, sf):
     gone = table(spark, sf, "documents").where("source = 'src3'")

@@ -26,8 +26,9 @@ TX_SQL = f"txs AS (SELECT l_orderkey AS run_id, CAST(l_partkey AS BIGINT) AS alb
 PLAN_SQL = "plans AS (SELECT l_orderkey AS run_id, CAST(l_partkey AS BIGINT) AS album_id FROM lineitem WHERE l_returnflag <> 'N')"
 
 
-def _state(values: list[str], key: str):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+def _state(values: list[str], key):
+    at = F.col(key) if isinstance(key, str) else key
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
 
 
 def runs(spark, sf) -> DataFrame:
@@ -115,29 +116,34 @@ def machine_sql(transitions: list[tuple[str, str, str]], states: list[str]) -> s
     full = {(s, a): n for _, a, n in transitions if _ == "*" for s in states} | own
     rows = ", ".join(f"('{s}', '{a}', '{n}')" for (s, a), n in full.items())
     actions = sorted({a for _, a, _ in transitions})
-    return f"SELECT s.state, a.action, t.n AS next_state FROM (SELECT UNNEST({listed(states)}) AS state) s, (SELECT UNNEST({listed(actions)}) AS action) a LEFT JOIN (VALUES {rows}) t(s, a, n) ON t.s = s.state AND t.a = a.action"
+    asked = f"SELECT event_id, {listed(states)}[CAST(event_id % {len(states)} AS INTEGER) + 1] AS state, {listed(actions)}[CAST((event_id // {len(states)}) % {len(actions)} AS INTEGER) + 1] AS action FROM events"
+    return f"SELECT event_id, state, action, t.n AS next_state FROM ({asked}) LEFT JOIN (VALUES {rows}) t(s, a, n) ON t.s = state AND t.a = action"
 
 
-def machine(spark, transitions, states) -> DataFrame:
-    """Every state with every action: the table is the product of two fixed lists."""
+def asked(spark, sf, transitions, states) -> DataFrame:
+    """Each event as an action on something in a state; over enough events every state meets every action."""
     actions = sorted({a for _, a, _ in transitions})
-    rows = spark.createDataFrame([(s, a) for s in states for a in actions], "state string, action string")
-    return rows.withColumn("next_state", S.next_state(F.col("state"), F.col("action"), transitions))
+    turn = F.floor(F.col("event_id") / len(states))
+    return table(spark, sf, "events").select("event_id", _state(states, "event_id").alias("state"), _state(actions, turn).alias("action"))
+
+
+def machine(spark, sf, transitions, states) -> DataFrame:
+    return asked(spark, sf, transitions, states).withColumn("next_state", S.next_state(F.col("state"), F.col("action"), transitions))
 
 
 @query("d33_run_machine", machine_sql(schemas.RUN_TRANSITIONS, schemas.RUN_STATES))
 def d33_runs(spark, sf):
-    return machine(spark, schemas.RUN_TRANSITIONS, schemas.RUN_STATES)
+    return machine(spark, sf, schemas.RUN_TRANSITIONS, schemas.RUN_STATES)
 
 
 @query("d33_file_machine", machine_sql(schemas.FILE_TRANSITIONS, schemas.FILE_STATES))
 def d33_files(spark, sf):
-    return machine(spark, schemas.FILE_TRANSITIONS, schemas.FILE_STATES)
+    return machine(spark, sf, schemas.FILE_TRANSITIONS, schemas.FILE_STATES)
 
 
 @query("d33_transaction_machine", machine_sql(schemas.TRANSACTION_TRANSITIONS, schemas.TRANSACTION_STATES))
 def d33_transactions(spark, sf):
-    rows = machine(spark, schemas.TRANSACTION_TRANSITIONS, schemas.TRANSACTION_STATES).drop("next_state")
+    rows = asked(spark, sf, schemas.TRANSACTION_TRANSITIONS, schemas.TRANSACTION_STATES)
     steps = S.transition_table(spark, schemas.TRANSACTION_TRANSITIONS, schemas.TRANSACTION_STATES)
     return rows.join(F.broadcast(steps), ["state", "action"], "left")  # a fixed table
 
