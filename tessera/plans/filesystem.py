@@ -5,73 +5,110 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PythonException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as X
-from tessera.operators import evidence, fingerprint, near
+from tessera.operators import evidence, fingerprint, near, verify
 from tessera.operators.graph import saved, shared_folder
 from tessera.operators.lane_index import LaneIndex
 from tessera.plans.registry import merkle_sql, query
 from tessera.schemas import TRANSFORMS
 from tessera.sources import files, fixtures, sinks
 from tessera.sources.tables import table
+from tessera.sources.tree_source import place, write_tree
 
 
 def fresh(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# One image per nation, in its region's album, of three formats; a note per region, and one image outside all albums.
-NATIONS = """nations AS (SELECT r_name AS album, n_name, n_nationkey AS k, 10 + 7 * n_nationkey AS w, 20 + 3 * n_nationkey AS h, ['png', 'jpg', 'webp'][CAST(n_nationkey % 3 AS INTEGER) + 1] AS kind
-  FROM nation JOIN region ON n_regionkey = r_regionkey),
-  shots AS (SELECT *, album || '/' || CASE WHEN k % 4 = 0 THEN 'deep/' ELSE '' END || n_name || '.' || CASE WHEN k % 5 = 0 THEN upper(kind) ELSE kind END AS path, unhex(CASE kind
+# One image per part, in its brand's album, of three formats; notes and a link per brand, an empty album, and an image outside all albums.
+PARTS = """parts AS (SELECT replace(p_brand, '#', '-') AS album, p_name, p_partkey AS k, 10 + p_partkey % 200 AS w, 20 + p_partkey % 100 AS h, ['png', 'jpg', 'webp'][CAST(p_partkey % 3 AS INTEGER) + 1] AS kind FROM part),
+  shots AS (SELECT *, album || '/' || CASE WHEN k % 4 = 0 THEN 'deep/' ELSE '' END || k || '.' || CASE WHEN k % 5 = 0 THEN upper(kind) ELSE kind END AS path, unhex(CASE kind
     WHEN 'png' THEN '89504E470D0A1A0A0000000D49484452' || format('{:08X}', w) || format('{:08X}', h) WHEN 'jpg' THEN 'FFD8FFC0001108' || format('{:04X}', h) || format('{:04X}', w)
-    ELSE '524946460000000057454250565038580A00000000000000' || format('{:02X}', w - 1) || '0000' || format('{:02X}', h - 1) || '0000' END) || encode(n_name) AS content FROM nations),
-  tree AS (SELECT path, content FROM shots UNION ALL SELECT r_name || '/notes.txt', encode('notes of ' || r_name) FROM region UNION ALL SELECT 'loose.png', encode('no album'))"""
+    ELSE '524946460000000057454250565038580A00000000000000' || format('{:02X}', w - 1) || '0000' || format('{:02X}', h - 1) || '0000' END) || encode(p_name) AS content FROM parts),
+  brands AS (SELECT DISTINCT album FROM parts), tree AS (SELECT path, content FROM shots UNION ALL SELECT album || '/notes.txt', encode('notes of ' || album) FROM brands UNION ALL SELECT 'loose.png', encode('no album'))"""
+
+
+def sample_files(spark, sf):
+    """(relative_path, content) of the sample tree; a row without content is a folder."""
+    album, k = F.replace("p_brand", F.lit("#"), F.lit("-")), F.col("p_partkey")
+    kind = F.element_at(F.array(F.lit("png"), F.lit("jpg"), F.lit("webp")), (k % 3 + 1).cast("int"))
+    path = F.concat(album, F.lit("/"), F.when(k % 4 == 0, "deep/").otherwise(""), k.cast("string"), F.lit("."), F.when(k % 5 == 0, F.upper(kind)).otherwise(kind))
+    shots = table(spark, sf, "part").select(path.alias("relative_path"), F.concat(fixtures.image_header(kind, 10 + k % 200, 20 + k % 100), F.col("p_name").cast("binary")).alias("content"))
+    brands = table(spark, sf, "part").select(album.alias("album")).distinct()
+    notes = brands.select(F.concat("album", F.lit("/notes.txt")).alias("relative_path"), F.concat(F.lit("notes of "), "album").cast("binary").alias("content"))
+    others = spark.createDataFrame([("loose.png", bytearray(b"no album")), ("Empty", None)], "relative_path string, content binary")
+    return shots.unionByName(notes).unionByName(others)
 
 
 def sample_tree(spark, sf):
-    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    root, shots = fresh(spark, "tree"), []
-    for r in rows.select("r_name", "n_name", "n_nationkey").collect():  # 25 nations at every scale
-        k, kind = r.n_nationkey, ["png", "jpg", "webp"][r.n_nationkey % 3]
-        path = f"{r.r_name}/{'deep/' if k % 4 == 0 else ''}{r.n_name}.{kind.upper() if k % 5 == 0 else kind}"
-        shots.append((path, kind, 10 + 7 * k, 20 + 3 * k, r.n_name.encode()))
-    fixtures.sample_images(spark, root, shots)
-    notes = {f"{r.r_name}/notes.txt": f"notes of {r.r_name}".encode() for r in table(spark, sf, "region").collect()}
-    fixtures.write_files(spark, root, notes | {"loose.png": b"no album"})
+    """The tree written by tasks, with links added afterwards."""
+    root = fresh(spark, "tree")
+    write_tree(sample_files(spark, sf), root)
+    for r in table(spark, sf, "part").select(F.replace("p_brand", F.lit("#"), F.lit("-")).alias("album")).distinct().collect():  # one row a brand
+        fixtures.link(root, f"{r.album}/linked.png", "../loose.png")
     return root
 
 
-@query("s01_albums", f"WITH {NATIONS} SELECT split_part(path, '/', 1) AS album, COUNT(*) AS files, CAST(SUM(octet_length(content)) AS BIGINT) AS bytes FROM tree WHERE contains(path, '/') GROUP BY 1")
+@query("s01_albums", f"WITH {PARTS} SELECT split_part(path, '/', 1) AS album, COUNT(*) AS files, CAST(SUM(octet_length(content)) AS BIGINT) AS bytes FROM tree WHERE contains(path, '/') GROUP BY 1 UNION ALL SELECT 'Empty', 0, 0")
 def s01(spark, sf):
     return files.albums(spark, sample_tree(spark, sf))
 
 
-@query("s02_images", f"WITH {NATIONS} SELECT path AS relative_path, octet_length(content) AS file_size, split_part(path, '/', 1) AS album FROM tree WHERE NOT ends_with(path, '.txt')")
+@query("s02_images", f"WITH {PARTS} SELECT path AS relative_path, octet_length(content) AS file_size, split_part(path, '/', 1) AS album FROM tree WHERE NOT ends_with(path, '.txt')")
 def s02(spark, sf):
     return files.images(spark, sample_tree(spark, sf)).select("relative_path", "file_size", "album")
 
 
 @query(
     "s03_source_summary",
-    f"""WITH {NATIONS} SELECT (SELECT COUNT(*) FROM region) AS albums, COUNT(*) AS images, CAST(SUM(octet_length(content)) AS BIGINT) AS bytes,
-        (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS names FROM shots""",
+    f"""WITH {PARTS} SELECT (SELECT COUNT(*) + 1 FROM brands) AS albums, COUNT(*) AS images, CAST(SUM(octet_length(content)) AS BIGINT) AS bytes,
+        (SELECT string_agg(album, ',' ORDER BY album) FROM (SELECT album FROM brands UNION ALL SELECT 'Empty')) AS names FROM shots""",
 )
 def s03(spark, sf):
     return files.source_summary(spark, sample_tree(spark, sf))
 
 
-@query("s04_snapshot", f"WITH {NATIONS} SELECT path AS relative_path, 'file' AS file_type, octet_length(content) AS file_size, sha256(content) AS hash FROM tree")
+@query("s04_snapshot", f"WITH {PARTS} SELECT path AS relative_path, 'file' AS file_type, octet_length(content) AS file_size, sha256(content) AS hash FROM tree UNION ALL SELECT album || '/linked.png', 'link', 0, NULL FROM brands")
 def s04(spark, sf):
     return files.snapshot(spark, sample_tree(spark, sf))
 
 
-@query("s05_dimensions", f"WITH {NATIONS} SELECT path AS relative_path, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height FROM shots UNION ALL SELECT 'loose.png', NULL, NULL")
+@query("d37_rejected_entries", f"WITH {PARTS} SELECT album || '/linked.png' AS relative_path, 'link' AS kind FROM brands")
+def d37(spark, sf):
+    return files.rejected(spark, sample_tree(spark, sf))
+
+
+@query("s05_dimensions", f"WITH {PARTS} SELECT path AS relative_path, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height FROM shots UNION ALL SELECT 'loose.png', NULL, NULL")
 def s05(spark, sf):
-    rows = files.tree(spark, sample_tree(spark, sf), content=True).where(X.extension(F.col("relative_path")).isin(files.IMAGE_EXTENSIONS))
-    return rows.select("relative_path", files.image_size("content").alias("size")).select("relative_path", "size.width", "size.height")
+    return files.dimensions(spark, sample_tree(spark, sf)).select("relative_path", "width", "height")
+
+
+@query(
+    "k12_copy_tree",
+    f"""WITH {PARTS}, kept AS (SELECT path, content FROM tree WHERE path <> (SELECT MIN(path) FROM tree))
+        SELECT path AS relative_path, octet_length(content) AS file_size, sha256(content) AS hash, NULL AS error, true AS refused_first FROM kept
+        UNION ALL SELECT MIN(path), NULL, NULL, 'missing', true FROM tree""",
+)
+def k12_tree(spark, sf):
+    """A tree copied file by file with digests taken in passing: a copy that meets another digest than planned leaves nothing, the next one is
+    published whole, and is then held against the tree with one file more than was planned."""
+    root, target = sample_tree(spark, sf), fresh(spark, "copy")
+    stored = saved(files.snapshot(spark, root).where("file_type = 'file'").select("relative_path", "file_size", "hash"), "copy-plan")
+    first = stored.agg(F.min("relative_path")).first()[0]
+    plan = stored.where(F.col("relative_path") != first).select("relative_path", F.concat(F.lit(f"{root}/"), "relative_path").alias("source"), F.col("file_size").alias("size"), "hash")
+    try:
+        write_tree(plan.withColumn("hash", F.when(F.xxhash64("relative_path") % 7 == 0, "another").otherwise(F.col("hash"))), target)
+        refused = False
+    except PythonException:
+        refused = not place(target).exists("")
+    write_tree(plan, target)
+    actual = files.snapshot(spark, target).select("relative_path", "file_size", "hash")
+    errors = verify.reconcile(stored, actual, "relative_path", ["file_size", "hash"])
+    return actual.join(errors, "relative_path", "full_outer").withColumn("refused_first", F.lit(refused))
 
 
 MANIFESTS = """plan AS (SELECT source, CAST(doc_id AS VARCHAR) AS path, n_chars, md5(text) AS h FROM documents),
@@ -154,10 +191,7 @@ def s14(spark, sf):
     lines = {r.n_regionkey: [x.n_name for x in rows if x.n_regionkey == r.n_regionkey] for r in rows}
     names = {k: f"run{k}.log" for k in lines}
     fixtures.write_files(spark, root, {names[k]: ("\n".join(v) + "\n").encode() for k, v in lines.items()}, {names[k]: 1_700_000_000 - 60 * k for k in lines})
-    # Twelve lines in all: four of each file.
-    tails = [files.log_tail(spark, f"{root}/{names[k]}", 1, 4).withColumn("file_rank", F.lit(k).cast("long")) for k in range(3)]
-    newest = files.log_tail(spark, f"{root}/*.log", 3, 200).select("file_rank").distinct()
-    return tails[0].unionByName(tails[1]).unionByName(tails[2]).join(newest, "file_rank", "left_semi").select("file_rank", "line")
+    return files.log_tail(spark, root, 3, 200, 4).select("file_rank", "line")
 
 
 @query("k01_append", "SELECT o_orderkey, o_custkey FROM orders")

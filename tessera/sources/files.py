@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.expr import extension
+from tessera.sources.tree_source import FILE, FOLDER, LINK, SPECIAL, entries
 
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp"]
 MANIFEST = (
@@ -20,20 +19,16 @@ MARKER = (
 )
 
 
-def tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Every regular file under root: relative_path (with '/'), file_size, modified_at, and content if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
-    path = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    relative = F.expr("substring_index(p, concat(b, '/'), -1)")
-    out = files.withColumns({"p": path, "b": base}).withColumn("relative_path", relative)
-    return out.select("relative_path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"), *(["content"] if content else []))
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every regular file under root: relative_path (with '/'), file_size, modified_at."""
+    return entries(spark, root).where(F.col("kind") == FILE).select("relative_path", "file_size", "modified_at")
 
 
 def albums(spark: SparkSession, root: str) -> DataFrame:
-    """First-level folders that hold a file at any depth, by name. Folders without files have no rows to tell of them."""
+    """First-level folders by name, with the number and bytes of their files at any depth; empty ones too."""
+    rows = entries(spark, root).where((F.col("kind") == FOLDER) | F.contains("relative_path", F.lit("/")))
     name = F.split_part("relative_path", F.lit("/"), F.lit(1))
-    return tree(spark, root).where(F.contains("relative_path", F.lit("/"))).groupBy(name.alias("album")).agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes")).orderBy("album")
+    return rows.groupBy(name.alias("album")).agg(F.count_if(F.col("kind") == FILE).alias("files"), F.sum("file_size").alias("bytes")).orderBy("album")
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:
@@ -43,55 +38,20 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Path, type, size and content digest of every file. Whole files are read, 2 GB each at most."""
-    rows = tree(spark, root, content=True)
-    return rows.select("relative_path", F.lit("file").alias("file_type"), "file_size", F.sha2("content", 256).alias("hash"))
-
-
-def links_and_specials(root: str) -> list[str]:
-    """Entries of a local tree that are neither folders nor regular files, links included. Runs on the driver."""
-    import os
-
-    found = []
-    for folder, folders, files in os.walk(root):
-        for name in [*folders, *files]:
-            path = os.path.join(folder, name)
-            if os.path.islink(path) or not (os.path.isdir(path) or os.path.isfile(path)):
-                found.append(os.path.relpath(path, root))
-    return sorted(found)
-
-
-@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
-def image_size(content: pd.Series) -> pd.DataFrame:
-    """Width and height from PNG, JPEG and WebP headers, null where there is none; pixels are not decoded."""
-    import struct
-
-    def probe(data):
-        if data is None:
-            return None, None
-        if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-            return struct.unpack(">II", data[16:24])
-        if data[:2] == b"\xff\xd8":
-            at = 2
-            while at + 9 <= len(data) and data[at] == 0xFF:
-                kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-                if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                    height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                    return width, height
-                at += 2 + size
-        if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
-            if data[12:16] == b"VP8X":
-                return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
-            if data[12:16] == b"VP8 ":
-                width, height = struct.unpack("<HH", data[26:30])
-                return width & 0x3FFF, height & 0x3FFF
-            if data[12:16] == b"VP8L":
-                bits = int.from_bytes(data[21:25], "little")
-                return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
-        return None, None
-
-    sizes = [probe(x) for x in content]
-    return pd.DataFrame({"width": pd.array([w for w, _ in sizes], dtype="Int32"), "height": pd.array([h for _, h in sizes], dtype="Int32")})
+    """Path, type, size and content digest of every entry but folders. Links and special files have no digest: they are not followed."""
+    rows = entries(spark, root, "sha256").where(F.col("kind") != FOLDER)
+    return rows.select("relative_path", F.col("kind").alias("file_type"), "file_size", "hash")
+
+
+def rejected(spark: SparkSession, root: str) -> DataFrame:
+    """Entries that no snapshot may hold: links, whose targets may lie elsewhere, and special files."""
+    return entries(spark, root).where(F.col("kind").isin(LINK, SPECIAL)).select("relative_path", "kind")
+
+
+def dimensions(spark: SparkSession, root: str) -> DataFrame:
+    """Width and height of image files from their headers, null where there is none, and the bytes read for that."""
+    rows = entries(spark, root, "size").where((F.col("kind") == FILE) & extension(F.col("relative_path")).isin(IMAGE_EXTENSIONS))
+    return rows.select("relative_path", "width", "height", "bytes_read")
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -115,19 +75,18 @@ def source_summary(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def log_tail(spark: SparkSession, path: str, most_files: int = 3, most_lines: int = 200) -> DataFrame:
-    """The last lines of the newest log files, in order: file_rank (0 the newest), line_number, line. A report's limits."""
-    files = spark.read.format("binaryFile").load(path).orderBy(F.desc("modificationTime"), "path").limit(most_files)
-    numbered = files.select((F.row_number().over(_newest()) - 1).alias("file_rank"), F.split(F.regexp_replace(F.col("content").cast("string"), r"\n$", ""), r"\r?\n").alias("lines"))
-    before = F.col("file_rank").cast("long")
-    tail = numbered.select(before.alias("file_rank"), F.posexplode("lines").alias("line_number", "line"), F.size("lines").alias("n"))
-    return tail.where(F.col("line_number") >= F.col("n") - most_lines).drop("n").orderBy("file_rank", "line_number").limit(most_lines)
-
-
-def _newest():
-    from pyspark.sql import Window
+def log_tail(spark: SparkSession, root: str, most_files: int = 3, most_lines: int = 200, of_each: int | None = None) -> DataFrame:
+    """The last lines of the newest log files of a folder, in order: file_rank (0 the newest), line_number, line. A report's limits.
 
-    return Window.orderBy(F.desc("modificationTime"), "path")  # over at most most_files rows
+    Files are read backwards from their ends, as far as of_each (default: all) of the lines need.
+    """
+    logs = entries(spark, root).where((F.col("kind") == FILE) & F.col("relative_path").endswith(".log"))
+    newest = [r[0] for r in logs.orderBy(F.desc("modified_at"), "relative_path").limit(most_files).select("relative_path").collect()]
+    if not newest:
+        return spark.createDataFrame([], "file_rank long, line_number int, line string")
+    rank = F.array_position(F.array(*[F.lit(n) for n in newest]), F.col("relative_path")) - 1
+    rows = entries(spark, root, "tail", lines=min(of_each or most_lines, most_lines), only=newest).where(rank >= 0)
+    return rows.select(rank.alias("file_rank"), F.posexplode("lines").alias("line_number", "line")).orderBy("file_rank", "line_number").limit(most_lines)
 
 
 def arrays_as_rows(df: DataFrame, arrays: list[str]) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Sample trees: small generated image files, logs and manifests, on any file system that Spark reads."""
+"""What sample trees are made of: image headers, links, and a few small files with set times."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.sources.tree_source import place
 
 
 def write_files(spark: SparkSession, root: str, files: dict[str, bytes], modified: dict[str, int] | None = None) -> None:
@@ -18,15 +21,17 @@ def write_files(spark: SparkSession, root: str, files: dict[str, bytes], modifie
             fs.setTimes(place, modified[path] * 1000, -1)
 
 
-def image_header(kind: str, width: int, height: int) -> bytes:
-    """The first bytes of a PNG, JPEG or WebP file of that size, without pixels."""
-    if kind == "png":
-        return b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + width.to_bytes(4, "big") + height.to_bytes(4, "big")
-    if kind in ("jpg", "jpeg"):
-        return b"\xff\xd8\xff\xc0" + (17).to_bytes(2, "big") + b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big")
-    return b"RIFF\0\0\0\0WEBPVP8X" + (10).to_bytes(4, "little") + bytes(4) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
+def image_header(kind: Column, width: Column, height: Column) -> Column:
+    """The first bytes of a PNG, JPEG or WebP file of that size, without pixels. WebP sizes fit a byte here."""
+    big = lambda n, digits: F.lpad(F.hex(n), digits, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(width, 8), big(height, 8))
+    jpg = F.concat(F.lit("FFD8FFC0001108"), big(height, 4), big(width, 4))
+    webp = F.concat(F.lit("524946460000000057454250565038580A00000000000000"), big(width - 1, 2), F.lit("0000"), big(height - 1, 2), F.lit("0000"))
+    return F.unhex(F.when(kind == "png", png).when(kind == "jpg", jpg).otherwise(webp))
+
 
+def link(root: str, path: str, target: str) -> None:
+    """A symbolic link at path; only local file systems have them."""
+    import os
 
-def sample_images(spark: SparkSession, root: str, images: list[tuple[str, str, int, int, bytes]]) -> None:
-    """Writes (path, kind, width, height, payload) as files: header, then payload."""
-    write_files(spark, root, {path: image_header(kind, w, h) + data for path, kind, w, h, data in images})
+    os.symlink(target, place(root).at(path))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -16,7 +18,7 @@ from tessera.functions import expr as X
 from tessera.functions import paths
 from tessera.functions import states as S
 from tessera.operators import cover, fingerprint, graph, merge, near, paging, planning, verify
-from tessera.sources import files, sinks
+from tessera.sources import files, sinks, tree_source
 
 
 def rows(df):
@@ -357,19 +359,86 @@ def test_tree_images_snapshot_and_manifest(spark, tmp_path):
     assert rows(files.albums(spark, root).select("album", "files")) == [("a", 1), ("b", 2)]
     assert [r.relative_path for r in files.images(spark, root).collect()] == ["a/x.PNG", "b/deep/y.jpeg"]
     assert files.snapshot(spark, root).where("length(hash) = 64").count() == 3
-    sized = files.tree(spark, root, content=True).select("relative_path", files.image_size("content").alias("s")).select("relative_path", "s.width", "s.height")
-    assert rows(sized) == sorted([("a/x.PNG", 7, 9), ("b/deep/y.jpeg", 6, 5), ("b/n.txt", None, None)], key=repr)
+    assert rows(files.dimensions(spark, root).select("relative_path", "width", "height")) == [("a/x.PNG", 7, 9), ("b/deep/y.jpeg", 6, 5)]
     (tmp_path / "link").symlink_to(tmp_path / "a")
-    assert files.links_and_specials(root) == ["link"]
+    (tmp_path / "none" / "deeper").mkdir(parents=True)
+    os.mkfifo(tmp_path / "b" / "pipe")
+    assert rows(files.rejected(spark, root)) == [("b/pipe", "special"), ("link", "link")]
+    assert rows(files.albums(spark, root).select("album", "files")) == [("a", 1), ("b", 2), ("none", 0)]
+    assert files.snapshot(spark, root).where("hash IS NULL").count() == 2
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "manifest.json").write_text('{"version":1,"album":"a","files":[{"path":"x","size":3,"hash":"h"}]}')
     got = files.manifests(spark, str(tmp_path / "m")).first()
     assert got.manifest.files[0].size == 3 and len(got.raw_hash) == 64
 
 
-def test_log_tail(spark, tmp_path):
-    import os
+@pytest.mark.parametrize("levels", [0, 1, 2, 3])
+def test_trees_are_walked_once_at_any_cut(spark, tmp_path, levels):
+    want = []
+    for k in range(12):
+        path = tmp_path / f"a{k % 2}" / f"b{k % 3}" / f"c{k}.txt"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(str(k))
+        want.append(str(path.relative_to(tmp_path)))
+    (tmp_path / "top.txt").write_text("t")
+    found = tree_source.entries(spark, str(tmp_path), levels=levels)
+    assert sorted(r.relative_path for r in found.where("kind = 'file'").collect()) == sorted([*want, "top.txt"])
+    assert found.where("kind = 'folder'").count() == 2 + 6
+
+
+def test_reads_do_not_grow_with_files(spark, tmp_path):
+    """Sizes and last lines cost the same of short and long files; a digest reads all."""
+    head = b"\xff\xd8" + b"\xff\xe1\xff\xfe" + bytes(65532) + b"\xff\xe2\xff\xfe" + bytes(65532) + b"\xff\xc0\x00\x11\x08\x00\x05\x00\x06"
+    (tmp_path / "short.jpg").write_bytes(head)
+    (tmp_path / "long.jpg").write_bytes(head + bytes(3_000_000))
+    read = {r.relative_path: (r.width, r.height, r.bytes_read) for r in files.dimensions(spark, str(tmp_path)).collect()}
+    assert read["long.jpg"] == read["short.jpg"] == (6, 5, 57)
+    text = "".join(f"line {k}\r\n" for k in range(200_000))
+    (tmp_path / "long.txt").write_text(text)
+    (tmp_path / "cut.txt").write_text("é" * 50_000 + "\nend")
+    (tmp_path / "none.txt").write_text("")
+    tails = {r.relative_path: r for r in tree_source.entries(spark, str(tmp_path), "tail", lines=3).collect()}
+    assert tails["long.txt"].lines == ["line 199997", "line 199998", "line 199999"] and tails["long.txt"].bytes_read <= 1 << 15
+    assert tails["cut.txt"].lines == ["é" * 50_000, "end"] and tails["none.txt"].lines == []
+    assert {r.relative_path: r.bytes_read for r in tree_source.entries(spark, str(tmp_path), "sha256").collect()}["long.txt"] == len(text)
+
+
+def test_copies_are_whole_or_nothing(spark, tmp_path):
+    rows = spark.range(40).select(F.format_string("d%s/f%s", F.col("id") % 4, "id").alias("relative_path"), F.repeat(F.col("id").cast("string"), 1000).cast("binary").alias("content")).repartition(4)
+    tree_source.write_tree(rows, str(tmp_path / "tree"))
+    plan = tree_source.entries(spark, str(tmp_path / "tree"), "sha256").where("kind = 'file'").select("relative_path", F.concat(F.lit(f"{tmp_path}/tree/"), "relative_path").alias("source"), F.col("file_size").alias("size"), "hash")
+    for column, wrong in (("hash", "x"), ("size", 5), ("source", f"{tmp_path}/nowhere/f"), ("relative_path", "../out")):
+        with pytest.raises(PythonException):
+            tree_source.write_tree(plan.withColumn(column, F.when(F.col("relative_path") == "d3/f7", F.lit(wrong)).otherwise(F.col(column))), str(tmp_path / "copy"))
+        assert not (tmp_path / "copy").exists() and not (tmp_path / "out").exists()
+    tree_source.write_tree(plan, str(tmp_path / "copy"))
+    read = lambda name: {(r.relative_path, r.hash) for r in tree_source.entries(spark, str(tmp_path / name), "sha256").where("kind = 'file'").collect()}
+    assert read("copy") == read("tree") and len(read("copy")) == 40
+    with pytest.raises(Exception, match="already"):
+        tree_source.write_tree(plan.where("false"), str(tmp_path / "copy"))
+    assert read("copy") == read("tree")
+
+
+def test_tasks_that_are_tried_again_write_the_same(tmp_path):
+    """An attempt that dies half way leaves its own part file; the next one's files are whole and the commit takes them."""
+    from pyspark.sql.types import StructType
+
+    writer = tree_source.TreeWriter({"path": str(tmp_path / "out")}, StructType.fromDDL("relative_path string, content binary"))
+
+    def dies():
+        yield ("a/1", b"one")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(dies())
+    assert writer.write(iter([("a/1", b"one"), ("a/2", b"two"), ("b", None)])).files == 2
+    assert not (tmp_path / "out").exists()
+    writer.commit([])
+    assert (tmp_path / "out" / "a" / "1").read_bytes() == b"one" and (tmp_path / "out" / "b").is_dir()
+    assert sorted(p.name for p in (tmp_path / "out" / "a").iterdir()) == ["1", "2"]
 
+
+def test_log_tail(spark, tmp_path):
     for k in range(4):
         (tmp_path / f"{k}.log").write_text("".join(f"{k}-{i}\n" for i in range(5)))
         os.utime(tmp_path / f"{k}.log", (1000 + k, 1000 + k))
