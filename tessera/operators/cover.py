@@ -2,61 +2,42 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _matching(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Size of a maximum bipartite matching of one album pair, by augmenting paths (without recursion)."""
-    around: dict = {}
-    for a, b in zip(pairs["image_a"], pairs["image_b"]):
-        around.setdefault(a, []).append(b)
-    of_left: dict = {}
-    of_right: dict = {}
-    for start in around:
-        came, queue, free = {}, [start], None
-        while queue and free is None:
-            a = queue.pop()
-            for b in around[a]:
-                if b not in came:
-                    came[b] = a
-                    if b not in of_right:
-                        free = b
-                        break
-                    queue.append(of_right[b])
-        while free is not None:  # turn the path around
-            a = came[free]
-            of_right[free] = a
-            of_left[a], free = free, of_left.get(a)
-    size = len(of_right)
-    return pd.DataFrame({"album_a": [pairs["album_a"].iat[0]], "album_b": [pairs["album_b"].iat[0]], "matched": [size]})
+from tessera.operators.graph import saved
+from tessera.operators.matching import maximum_matching
 
 
 def covered_albums(edges: DataFrame, images: DataFrame, image_id: str, album: str) -> DataFrame:
     """(album) of those covered by another: byte-identical cross edges (a, b) over images (image_id, album).
 
-    Of two albums that cover each other the one with the lower name stays.
+    An album covers another of at most its size if a matching of their edges reaches every image of the other. Only pairs
+    in which every image of the smaller has an edge are matched, all in one run. Of two albums that cover each other the
+    one with the lower name stays.
     """
-    kind = images.schema[album].dataType.simpleString()
     a = images.select(F.col(image_id).alias("a"), F.col(album).alias("in_a"))
     b = images.select(F.col(image_id).alias("b"), F.col(album).alias("in_b"))
     pairs = edges.select("a", "b").join(a, "a").join(b, "b").where("in_a <> in_b")
     low = F.col("in_a") < F.col("in_b")
     pairs = pairs.select(
-        F.least("in_a", "in_b").alias("album_a"),
-        F.greatest("in_a", "in_b").alias("album_b"),
-        F.when(low, F.col("a")).otherwise(F.col("b")).alias("image_a"),
-        F.when(low, F.col("b")).otherwise(F.col("a")).alias("image_b"),
+        F.struct(F.least("in_a", "in_b").alias("a"), F.greatest("in_a", "in_b").alias("b")).alias("graph"),
+        F.when(low, F.col("a")).otherwise(F.col("b")).alias("left"),
+        F.when(low, F.col("b")).otherwise(F.col("a")).alias("right"),
     ).distinct()
-    matched = pairs.groupBy("album_a", "album_b").applyInPandas(_matching, f"album_a {kind}, album_b {kind}, matched long")
+    pairs = saved(pairs, "album-edges")
     sizes = images.groupBy(album).agg(F.count("*").alias("n"))
-    size = lambda side: sizes.select(F.col(album).alias(f"album_{side}"), F.col("n").alias(f"n_{side}"))
-    both = matched.join(size("a"), "album_a").join(size("b"), "album_b")
+    size = lambda side: sizes.select(F.col(album).alias(f"name_{side}"), F.col("n").alias(f"n_{side}"))
+    sized = lambda df: df.join(size("a"), F.col("graph.a") == F.col("name_a")).join(size("b"), F.col("graph.b") == F.col("name_b"))
+    # Images with edges are counted exactly, in two steps that combine before they shuffle.
+    with_edges = lambda side: pairs.select("graph", side).distinct().groupBy("graph").agg(F.count("*").alias(f"of_{side}"))
+    likely = sized(with_edges("left").join(with_edges("right"), "graph"))
+    likely = likely.where("(of_right = n_b AND n_a >= n_b AND of_left >= n_b) OR (of_left = n_a AND n_b >= n_a AND of_right >= n_a)").select("graph")
+    matched = maximum_matching(pairs.join(likely, "graph", "left_semi")).groupBy("graph").agg(F.count("*").alias("matched"))
     b_goes = (F.col("matched") == F.col("n_b")) & (F.col("n_a") >= F.col("n_b"))
     a_goes = (F.col("matched") == F.col("n_a")) & (F.col("n_b") >= F.col("n_a")) & ~b_goes
-    lost = F.when(b_goes, F.col("album_b")).when(a_goes, F.col("album_a"))
-    return both.select(lost.alias(album)).where(F.col(album).isNotNull()).distinct()
+    lost = F.when(b_goes, F.col("name_b")).when(a_goes, F.col("name_a"))
+    return sized(matched).select(lost.alias(album)).where(F.col(album).isNotNull()).distinct()
 
 
 def covered_by_content(images: DataFrame, album: str, key: str) -> DataFrame:

@@ -70,5 +70,37 @@ def reconcile_groups(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return s.join(f, "signature", "full_outer").select("signature", "stored_id", "fresh_id", action.alias("action"))
 
 
+def reconciled_review(stored: DataFrame, stored_members: DataFrame, fresh: DataFrame, fresh_members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) after groups were found anew: what was submitted and what a user decided is kept.
+
+    stored (group_id, state, manual) and stored_members (group_id, source, image, action, decided_by: user or automatic);
+    fresh (group_id, manual, representative) and fresh_members (group_id, source, image, initial). All ids are text.
+
+    A fresh group with exactly a stored one's members takes its id, and its state: resolved if it needs no manual review,
+    pending if only now it does, else as it was; its automatic actions are renewed. Other stored groups go. A new group is
+    pending or resolved; members that a user decided about elsewhere keep that decision, and if nothing in it is
+    kept then, its representative is, automatically.
+    """
+    named = lambda df, name: member_signature(df, "group_id", F.col("source"), "image").select("signature", F.col("group_id").alias(name))
+    known = named(fresh_members, "fresh_id").join(named(stored_members, "stored_id"), "signature", "left").select("fresh_id", "stored_id")
+    known = saved(known, "reconciled-ids")
+    was = stored.select(F.col("group_id").alias("stored_id"), F.col("state").alias("old_state"), F.col("manual").alias("old_manual"))
+    groups = fresh.withColumnRenamed("group_id", "fresh_id").join(known, "fresh_id").join(was, "stored_id", "left")
+    state = F.when(~F.col("manual"), "resolved").when(F.coalesce("old_manual", F.lit(False)), F.col("old_state")).otherwise("pending")
+    new_id = F.coalesce("stored_id", F.concat(F.lit("new:"), "fresh_id"))
+    groups = saved(groups.select("fresh_id", "stored_id", new_id.alias("group_id"), state.alias("state"), "manual", "representative"), "reconciled-groups")
+
+    old = stored_members.groupBy("source", "image").agg(F.max_by(F.struct("group_id", "action", "decided_by"), "group_id").alias("was"))
+    rows = fresh_members.withColumnRenamed("group_id", "fresh_id").join(groups, "fresh_id").join(old, ["source", "image"], "left")
+    # In a group that stays the decision is its own; in a new one only a user's counts, wherever it was made.
+    user = F.coalesce(F.col("was.decided_by") == "user", F.lit(False))
+    rows = rows.withColumn("action", F.when(user, F.col("was.action")).otherwise(F.col("initial"))).withColumn("decided_by", F.when(user, "user").otherwise("automatic"))
+    empty = rows.where("stored_id IS NULL").groupBy("fresh_id").agg(F.bool_or(F.col("action") == "keep").alias("keeps")).where("NOT keeps").select("fresh_id", F.lit(True).alias("forced"))
+    rows = rows.join(empty, "fresh_id", "left")
+    forced = F.coalesce(F.col("forced") & (F.col("image") == F.col("representative")), F.lit(False))
+    members = rows.select("group_id", "source", "image", F.when(forced, "keep").otherwise(F.col("action")).alias("action"), F.when(forced, "automatic").otherwise(F.col("decided_by")).alias("decided_by"))
+    return groups.select("group_id", "state", "manual"), members
+
+
 def strongest_evidence(edges: DataFrame, group: str, match_type: str, priority: Column, confidence: str) -> DataFrame:
     return edges.groupBy(group).agg(F.min_by(match_type, priority).alias("strongest"), F.max(confidence).alias("confidence"))

@@ -226,6 +226,42 @@ def d15_reconcile(spark, sf):
     return graph.reconcile_groups(named(rows.where("doc_id % 5 <> 0")), named(rows)).drop("signature")
 
 
+REVIEW = f"""WITH {GROUPS}, fm AS (SELECT CAST(grp AS VARCHAR) AS g, doc_id, COUNT(*) OVER (PARTITION BY grp) > 2 AS manual, doc_id = grp AS first FROM members),
+    om AS (SELECT CAST(grp AS VARCHAR) AS g, doc_id, grp % 2 = 0 AS manual, CASE WHEN grp % 3 = 0 THEN 'submitted' ELSE 'pending' END AS state, CASE WHEN doc_id % 4 = 1 THEN 'user' ELSE 'automatic' END AS by_, CASE WHEN doc_id % 4 = 1 THEN 'exclude' ELSE 'keep' END AS action FROM members WHERE doc_id % 5 <> 0),
+    f AS (SELECT g, any_value(manual) AS manual, string_agg(doc_id, ',' ORDER BY doc_id) AS s FROM fm GROUP BY g), o AS (SELECT g, any_value(manual) AS manual, any_value(state) AS state, string_agg(doc_id, ',' ORDER BY doc_id) AS s FROM om GROUP BY g),
+    k AS (SELECT f.g, f.manual, coalesce(o.g, 'new:' || f.g) AS group_id, o.g IS NULL AS fresh, CASE WHEN NOT f.manual THEN 'resolved' WHEN o.manual THEN o.state ELSE 'pending' END AS state FROM f LEFT JOIN o ON o.s = f.s)"""
+
+
+def review(spark, sf):
+    """Stored groups of most members, with decisions, and fresh ones of all."""
+    rows = members(spark, sf)
+    text = F.col("grp").cast("string").alias("group_id")
+    image = (F.lit("import").alias("source"), F.col("doc_id").alias("image"))
+    user = F.col("doc_id") % 4 == 1
+    held = rows.where("doc_id % 5 <> 0")
+    stored_members = held.select(text, *image, F.when(user, "exclude").otherwise("keep").alias("action"), F.when(user, "user").otherwise("automatic").alias("decided_by"))
+    stored = held.select("grp").distinct().select(text, F.when(F.col("grp") % 3 == 0, "submitted").otherwise("pending").alias("state"), (F.col("grp") % 2 == 0).alias("manual"))
+    fresh = rows.groupBy("grp").agg(F.count("*").alias("n")).select(text, (F.col("n") > 2).alias("manual"), F.col("grp").alias("representative"))
+    manual = rows.join(fresh.select(F.col("representative").alias("grp"), "manual"), "grp")
+    initial = graph.initial_action(F.lit(False), F.col("manual"), F.lit(False), F.col("doc_id") == F.col("grp"))
+    return graph.reconciled_review(stored, stored_members, fresh, manual.select(text, *image, initial.alias("initial")))
+
+
+@query("d15_reconciled_groups", f"{REVIEW} SELECT group_id, state, manual FROM k")
+def d15_groups(spark, sf):
+    return review(spark, sf)[0]
+
+
+@query(
+    "d15_reconciled_decisions",
+    f"""{REVIEW}, m AS (SELECT k.group_id, k.fresh, fm.doc_id, fm.first, CASE WHEN om.by_ = 'user' THEN om.action WHEN k.manual OR fm.first THEN 'keep' ELSE 'exclude' END AS action, coalesce(om.by_ = 'user', false) AS user FROM fm JOIN k ON k.g = fm.g LEFT JOIN om ON om.doc_id = fm.doc_id),
+        t AS (SELECT *, fresh AND first AND NOT bool_or(action = 'keep') OVER (PARTITION BY group_id) AS forced FROM m)
+        SELECT group_id, doc_id AS image, CASE WHEN forced THEN 'keep' ELSE action END AS action, CASE WHEN user AND NOT forced THEN 'user' ELSE 'automatic' END AS decided_by FROM t""",
+)
+def d15_decisions(spark, sf):
+    return review(spark, sf)[1].drop("source")
+
+
 MERGE_OLD = "SELECT l_partkey AS a, l_suppkey AS b, MIN(l_orderkey) AS v, 1 AS p FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL"
 MERGE_NEW = "SELECT l_partkey AS a, l_suppkey AS b, MIN(l_orderkey) AS v, CAST(MIN(l_linenumber) % 3 AS INTEGER) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL"
 
@@ -355,6 +391,20 @@ def d20(spark, sf):
     return cover.covered_by_content(docs, "album", "digest")
 
 
+@query(
+    "d20_covered_by_edges",
+    f"""WITH {STARS}, album AS (SELECT doc_id, 'al' || (doc_id % 40) AS album FROM documents WHERE doc_id IN (SELECT doc_id FROM stars UNION SELECT rep FROM stars)), n AS (SELECT album, COUNT(*) AS n FROM album GROUP BY album),
+       e AS (SELECT s.rep, least(a.album, b.album) AS x, greatest(a.album, b.album) AS y FROM stars s JOIN album a ON a.doc_id = s.doc_id JOIN album b ON b.doc_id = s.rep WHERE a.album <> b.album),
+       m AS (SELECT x, y, COUNT(DISTINCT rep) AS m FROM e GROUP BY x, y)
+       SELECT DISTINCT CASE WHEN m = q.n AND p.n >= q.n THEN y ELSE x END AS album FROM m JOIN n p ON p.album = x JOIN n q ON q.album = y WHERE (m = q.n AND p.n >= q.n) OR (m = p.n AND q.n >= p.n)""",
+)
+def d20_edges(spark, sf):
+    """Covers by largest matchings over star edges, which are not all pairs of equal content; in SQL a star's matching is one edge."""
+    edges = stars(spark, sf).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    images = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("album", F.concat(F.lit("al"), (F.col("id") % 40).cast("string")))
+    return cover.covered_albums(edges, images, "id", "album")
+
+
 @query("d21_invalidate_drafts", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'invalidated' ELSE o_orderstatus END AS state FROM orders")
 def d21(spark, sf):
     rows = table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "state")

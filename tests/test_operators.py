@@ -17,7 +17,7 @@ from tessera import schemas
 from tessera.functions import expr as X
 from tessera.functions import paths
 from tessera.functions import states as S
-from tessera.operators import cover, fingerprint, graph, merge, near, paging, planning, verify
+from tessera.operators import cover, fingerprint, graph, matching, merge, near, paging, planning, verify
 from tessera.sources import files, sinks, tree_source
 
 
@@ -245,20 +245,50 @@ def test_length_prefix_tells_fields_apart(spark):
     assert df.select(verify.length_prefixed(F.col("x"), F.col("y"))).distinct().count() == 2
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.sets(st.tuples(st.integers(0, 5), st.integers(10, 15)), min_size=1))
-def test_matching_equals_brute_force(pairs):
-    import pandas as pd
-
-    df = pd.DataFrame([("A", "B", a, b) for a, b in sorted(pairs)], columns=["album_a", "album_b", "image_a", "image_b"])
-    best = 0
-    left = sorted({a for a, _ in pairs})
-    right = sorted({b for _, b in pairs})
-    for perm in itertools.permutations(right + [None] * len(left), len(left)):
-        best = max(best, sum((a, b) in pairs for a, b in zip(left, perm)))
-        if best == min(len(left), len(right)):
-            break
-    assert cover._matching(df)["matched"].iat[0] == best
+def test_matchings_equal_brute_force(spark):
+    """Many random graphs at once, sparse and dense, some of which need long augmenting paths."""
+    rng = random.Random(12)
+    graphs = {k: {(rng.randrange(6), 10 + rng.randrange(6)) for _ in range(rng.choice([2, 6, 9, 14]))} for k in range(60)}
+    # A path that only augmenting by its whole length completes: every left node but the last likes its left neighbour's.
+    graphs[100] = {(k, 100 + k) for k in range(12)} | {(k, 101 + k) for k in range(11)}
+    graphs[101] = {(k, 100 + k) for k in range(11)} | {(k + 1, 100 + k) for k in range(11)}
+    graphs[102] = {(k, 500) for k in range(40)} | {(k, 501) for k in range(3)}
+    edges = [(g, a, b) for g, pairs in graphs.items() for a, b in pairs]
+    found = matching.maximum_matching(spark.createDataFrame(edges + edges[:9], "graph int, left int, right int")).collect()
+    for g, pairs in graphs.items():
+        own = [(r.left, r.right) for r in found if r.graph == g]
+        assert set(own) <= pairs and len({a for a, _ in own}) == len({b for _, b in own}) == len(own)
+        of: dict = {}
+
+        def augment(a, tried):
+            for b in [y for x, y in pairs if x == a and y not in tried]:
+                tried.add(b)
+                if b not in of or augment(of[b], tried):
+                    of[b] = a
+                    return True
+            return False
+
+        assert len(own) == sum(augment(a, set()) for a in {a for a, _ in pairs})
+    assert matching.maximum_matching(spark.createDataFrame([], "graph int, left int, right int")).count() == 0
+
+
+def test_reconcile_keeps_what_was_decided(spark):
+    """Same members: id, state and user decisions stay; changed members: a new group that inherits what users decided."""
+    stored = spark.createDataFrame([("s1", "submitted", True), ("s2", "pending", True), ("s3", "resolved", False), ("s4", "submitted", False), ("s5", "submitted", True)], "group_id string, state string, manual boolean")
+    old = [("s1", 1, "exclude", "user"), ("s1", 2, "keep", "automatic"), ("s2", 3, "exclude", "user"), ("s2", 4, "exclude", "user"), ("s3", 5, "keep", "automatic"), ("s3", 6, "keep", "automatic"), ("s4", 7, "keep", "user"), ("s4", 8, "keep", "automatic"), ("s5", 9, "keep", "user"), ("s5", 10, "keep", "automatic")]
+    stored_members = spark.createDataFrame([(g, "import", i, a, d) for g, i, a, d in old], "group_id string, source string, image long, action string, decided_by string")
+    fresh = spark.createDataFrame([("f1", True, 1), ("f2", False, 3), ("f3", False, 5), ("f4", True, 7), ("f6", True, 20)], "group_id string, manual boolean, representative long")
+    new = [("f1", 1, "keep"), ("f1", 2, "exclude"), ("f2", 3, "exclude"), ("f2", 4, "exclude"), ("f2", 11, "exclude"), ("f3", 5, "keep"), ("f3", 6, "exclude"), ("f4", 7, "exclude"), ("f4", 8, "exclude"), ("f6", 20, "keep"), ("f6", 9, "exclude")]
+    fresh_members = spark.createDataFrame([(g, "import", i, a) for g, i, a in new], "group_id string, source string, image long, initial string")
+    groups, members = graph.reconciled_review(stored, stored_members, fresh, fresh_members)
+    assert rows(groups) == [("new:f2", "resolved", False), ("new:f6", "pending", True), ("s1", "submitted", True), ("s3", "resolved", False), ("s4", "pending", True)]
+    assert rows(members.select("group_id", "image", "action", "decided_by")) == sorted(
+        [
+            ("s1", 1, "exclude", "user"), ("s1", 2, "exclude", "automatic"), ("s3", 5, "keep", "automatic"), ("s3", 6, "exclude", "automatic"), ("s4", 7, "keep", "user"), ("s4", 8, "exclude", "automatic"),
+            ("new:f2", 3, "keep", "automatic"), ("new:f2", 4, "exclude", "user"), ("new:f2", 11, "exclude", "automatic"), ("new:f6", 20, "keep", "automatic"), ("new:f6", 9, "keep", "user"),
+        ],
+        key=repr,
+    )
 
 
 def test_covered_albums(spark):
