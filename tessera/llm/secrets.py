@@ -49,28 +49,40 @@ def _sql(text: str) -> str:
 _NONE = "CAST(array() AS array<struct<s:int,e:int,n:int,h:string>>)"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body with name standing for value, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _scan(values: str, merge: str, identity: str) -> str:
+    """SQL for the running totals of an array named by `values`: at each doubling every total takes in the one before its reach.
+
+    merge is SQL over x and y. That is n log n steps; appending to an array n times would copy it n times.
+    """
+    rounds = f"CASE WHEN size({values}) > 1 THEN char_length(conv(CAST(size({values}) - 1 AS STRING), 10, 2)) ELSE 0 END"
+    doublings = "array(" + ", ".join(str(1 << k) for k in range(31)) + ")"
+    body = merge.replace("y", f"coalesce(get(a, i - k), {identity})")
+    return f"aggregate(slice({doublings}, 1, {rounds}), {values}, (a, k) -> transform(a, (x, i) -> {body}))"
+
+
 def _with_matches(rows: DataFrame, name: str, pattern: str, group: int = 0) -> DataFrame:
     """Adds the array of (s, e, n, h): t's leftmost matches in code points, the length of a group, and the match."""
     p = _sql(pattern)
     pieces = {"g": f"split(t, {p}, -1)", "h": f"regexp_extract_all(t, {p}, 0)", "k": f"regexp_extract_all(t, {p}, {group})"}
     rows = rows.withColumn("__hit", F.expr(f"t RLIKE {p}"))
     rows = rows.withColumns({f"__{c}": F.expr(f"CASE WHEN __hit THEN {sql} END") for c, sql in pieces.items()})
-    found = f"""aggregate(arrays_zip(__g, __h, __k), struct(0 AS at, {_NONE} AS found),
-        (a, x) -> CASE WHEN x.__h IS NULL THEN a ELSE struct(
-            a.at + char_length(x.__g) + char_length(x.__h) AS at,
-            array_append(a.found, struct(a.at + char_length(x.__g) AS s, a.at + char_length(x.__g) + char_length(x.__h) AS e,
-                char_length(x.__k) AS n, x.__h AS h)) AS found) END,
-        a -> a.found)"""
-    return rows.withColumn(name, F.expr(f"coalesce({found}, {_NONE})")).drop("__hit", "__g", "__h", "__k")
+    ends = _let("d", "transform(z.h, (h, i) -> char_length(get(z.g, i)) + char_length(h))", _scan("d", "x + y", "0"))
+    placed = "transform(z.h, (h, i) -> struct(get(e, i) - char_length(h) AS s, get(e, i) AS e, char_length(get(z.k, i)) AS n, h AS h))"
+    found = _let("z", "struct(__g AS g, __h AS h, __k AS k)", _let("e", ends, placed))
+    return rows.withColumn(name, F.expr(f"CASE WHEN __hit THEN {found} ELSE {_NONE} END")).drop("__hit", "__g", "__h", "__k")
 
 
 def _pieces(candidate: str, token: str) -> str:
     """SQL for the tokens of 20 or more characters of a candidate (s, e, n, h), which the pattern covers without gaps."""
-    return f"""aggregate(regexp_extract_all({candidate}.h, {_sql(token)}, 0), struct({candidate}.s AS at, {_NONE} AS found),
-        (a, x) -> struct(a.at + char_length(x) AS at,
-            CASE WHEN char_length(x) >= {LENGTHS[0]} AND x RLIKE '[A-Za-z0-9]' THEN
-                array_append(a.found, struct(a.at AS s, a.at + char_length(x) AS e, char_length(x) AS n, x AS h)) ELSE a.found END AS found),
-        a -> a.found)"""
+    ends = _let("d", "transform(w, x -> char_length(x))", _scan("d", "x + y", "0"))
+    placed = f"transform(w, (x, i) -> struct({candidate}.s + get(e, i) - char_length(x) AS s, {candidate}.s + get(e, i) AS e, char_length(x) AS n, x AS h))"
+    long = f"filter({placed}, q -> q.n >= {LENGTHS[0]} AND q.h RLIKE '[A-Za-z0-9]')"
+    return _let("w", f"regexp_extract_all({candidate}.h, {_sql(token)}, 0)", _let("e", ends, long))
 
 
 def _fitting(rows: DataFrame, name: str) -> DataFrame:
@@ -78,16 +90,27 @@ def _fitting(rows: DataFrame, name: str) -> DataFrame:
     inner = _pieces("c", "[^=]+=+$|[^=]+|=+")
     rows = rows.withColumn(name, F.expr(f"CASE WHEN exists({name}, c -> c.h RLIKE '=[^=]') THEN flatten(transform({name}, c -> CASE WHEN c.h RLIKE '=[^=]' THEN {inner} ELSE array(c) END)) ELSE {name} END"))
     mixed = "(c.h RLIKE '[+/]' AND c.h RLIKE '[_-]')"
-    both = f"array_distinct(concat({_pieces('c', '[^_-]+|[_-]+')}, {_pieces('c', '[^+/]+|[+/]+')}))"
+    both = f"concat({_pieces('c', '[^_-]+|[_-]+')}, {_pieces('c', '[^+/]+|[+/]+')})"
     return rows.withColumn(name, F.expr(f"CASE WHEN exists({name}, c -> {mixed}) THEN flatten(transform({name}, c -> CASE WHEN {mixed} THEN {both} ELSE array(c) END)) ELSE {name} END"))
 
 
 def _merged(spans: str) -> str:
-    """SQL for the sorted spans (s, e) with those that overlap made one: a cut at either separators can give such."""
-    return f"""aggregate(array_sort({spans}), CAST(array() AS array<struct<s:int,e:int>>),
-        (a, x) -> CASE WHEN size(a) > 0 AND x.s < try_element_at(a, -1).e
-            THEN array_append(slice(a, 1, size(a) - 1), struct(try_element_at(a, -1).s AS s, greatest(try_element_at(a, -1).e, x.e) AS e))
-            ELSE array_append(a, struct(x.s AS s, x.e AS e)) END)"""
+    """SQL for the sorted spans (s, e) with those that overlap made one: a cut at either separators can give such.
+
+    A span begins a new one where it begins at or behind all earlier ends; the new one goes to the furthest end before the next.
+    """
+    first = "filter(sequence(0, size(t) - 1), i -> i = 0 OR get(t, i).s >= get(m, i - 1))"
+    taken = "transform(f, (i, j) -> struct(get(t, i).s AS s, get(m, coalesce(get(f, j + 1), size(t)) - 1) AS e))"
+    furthest = _let("d", "transform(t, x -> x.e)", _scan("d", "greatest(x, y)", "0"))
+    merged = _let("t", f"array_sort({spans})", _let("m", furthest, _let("f", first, taken)))
+    return f"CASE WHEN size({spans}) > 0 THEN {merged} ELSE CAST(array() AS array<struct<s:int,e:int>>) END"
+
+
+def _touches(spans: str, candidate: str) -> str:
+    """SQL for whether a candidate touches any of an array's spans, which are in order and apart: by two binary searches."""
+    steps = f"slice(array({', '.join(str(1 << k) for k in reversed(range(26)))}), -greatest(char_length(conv(CAST(size({spans}) AS STRING), 10, 2)), 1), 26)"
+    before = lambda test: f"aggregate({steps}, 0, (p, k) -> p + CASE WHEN p + k <= size({spans}) AND {test} THEN k ELSE 0 END)"
+    return f"({before(f'get({spans}, p + k - 1).s < {candidate}.e')} > {before(f'get({spans}, p + k - 1).e <= {candidate}.s')})"
 
 
 def _upper_tail(z: str) -> str:
@@ -133,9 +156,13 @@ def scanned(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
     for name, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("found", CANDIDATE, 0)):
         rows = _with_matches(rows, name, pattern, group)
     rows = _fitting(rows, "found")
-    base = [f"transform(filter({name}, m -> m.n >= {least}), m -> struct(m.s AS s, {k} AS kind, m.e AS e))" for k, (name, least) in enumerate((("assign", 6), ("access", 20), ("hex", 24)))]
+    for name, least in (("assign", 6), ("access", 20), ("hex", 24)):
+        rows = rows.withColumn(name, F.expr(f"filter({name}, m -> m.n >= {least})"))
+    base = [f"transform({name}, m -> struct(m.s AS s, {k} AS kind, m.e AS e))" for k, name in enumerate(("assign", "access", "hex"))]
     rows = rows.withColumn("base", F.expr(f"sort_array(concat({', '.join(base)}))"))
-    rows = rows.withColumn("found", F.expr("filter(found, m -> NOT exists(base, b -> b.s < m.e AND m.s < b.e))"))
+    free = " OR ".join(_touches(f"b.{name}", "m") for name in ("assign", "access", "hex"))
+    free = _let("b", "struct(assign AS assign, access AS access, hex AS hex)", f"filter(found, m -> NOT ({free}))")
+    rows = rows.withColumn("found", F.expr(f"CASE WHEN size(found) > 0 AND size(base) > 0 THEN {free} ELSE found END"))
     tested = F.expr(f"CASE WHEN size(found) > 0 THEN {_tested('found')} ELSE CAST(array() AS array<struct<s:int,e:int,stratum:int,p:double>>) END")
     return rows.select("__row", "base", tested.alias("tested"))
 
@@ -155,14 +182,18 @@ def _above(row: list[int]) -> list[int]:
     return [sum(row[b:]) for b in range(BINS)]
 
 
-def _random(above: list[int]) -> int:
-    """How many are random, p being uniform then: by the share beyond 1/2 and beyond 3/4; words inflate the first more."""
-    return min(2 * above[BINS // 2], 4 * above[3 * BINS // 4])
+def _random(above: list[int]) -> float:
+    """How many are random, p being uniform then: by the share beyond 1/2, and by that beyond 3/4 where it is clearly less.
+
+    Words inflate the first more, but the second rests on half as many; it counts with its standard error on top.
+    """
+    return min(2 * above[BINS // 2], 4 * (above[3 * BINS // 4] + above[3 * BINS // 4] ** 0.5))
 
 
 def _lowest(above: list[int], limit: float) -> int | None:
+    """The lowest bin from which on the estimated words are within the limit, give or take half a standard error of the count."""
     random = _random(above)
-    return next((b for b in range(1, BINS) if above[b] and 1 - random * (1 - b / BINS) / above[b] <= limit), None)
+    return next((b for b in range(1, BINS) if above[b] and above[b] - random * (1 - b / BINS) <= limit * above[b] + 0.5 * above[b] ** 0.5), None)
 
 
 def cuts(scan: DataFrame, limit: float, least_random: float) -> dict[int, float]:
