@@ -78,6 +78,20 @@ def test_tree_merge_has_its_rounds(spark, parts, fan_in, rounds):
     assert got == sorted((max(range(k, 640, 7)), len(range(k, 640, 7))) for k in range(7))
 
 
+@pytest.mark.parametrize(("parts", "fan_in", "rounds"), [(9, 3, 2), (4, 8, 1)])
+def test_merge_rounds_sort_only_what_arrives(spark, parts, fan_in, rounds):
+    """Runs are stored in order and sent in order: each round has one exchange, and its one sort stands right behind it."""
+    from tessera.llm.common import written
+
+    docs = spark.range(0, 300, 1, parts).select(F.col("id").alias("doc_id"), (F.col("id") % 11).cast("string").alias("text"))
+    merged = exact_dedup.merge_runs(written(exact_dedup.digest_runs(docs, "doc_id", F.col("text")), "runs"), "max", fan_in)
+    lines = [x.strip(" +-:") for x in merged._jdf.queryExecution().executedPlan().toString().splitlines()]
+    sorts = [k for k, x in enumerate(lines) if x.startswith("Sort ")]
+    assert len(sorts) == sum(x.startswith("Exchange") for x in lines) == rounds
+    assert all(lines[k + 1].startswith("Exchange") for k in sorts)
+    assert merged.count() == 11
+
+
 def test_near(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_components(odd, width=2).collect()}
     assert (1, 0, 1, True) in got and (2, 0, 2, True) in got and (7, 0, 7, True) in got  # nothing to compare, linked with nothing
@@ -418,6 +432,36 @@ def _candidates(spark, tested):
     return spark.createDataFrame([([(0, 1, stratum, p)],) for stratum, p in tested], "tested array<struct<s:int,e:int,stratum:int,p:double>>")
 
 
+def test_many_secrets_in_one_text(spark):
+    """Base spans, candidates beside and on them, and cut candidates by the thousand: the places are right, and time follows the number."""
+    import random
+    import string
+    import time
+
+    import brute
+
+    def text(n):
+        rng = random.Random(n)
+        run = lambda k, more="": "".join(rng.choice(string.ascii_letters + string.digits + more) for _ in range(k))
+        parts = []
+        for k in range(n):
+            parts += [f"password = abcdef{k}", run(30, "+/"), f"é {run(24)}=x {run(22)}_{run(21)}+{run(23)}", f"token:{run(30)}", f"{rng.getrandbits(128):032x}"]
+        return "\n".join(parts)
+
+    took = {}
+    for n in (40, 1500, 3000):
+        df = spark.createDataFrame([(1, text(n), "en", "a", 0)], SCHEMA)
+        began = time.time()
+        found = secrets.secrets(df).collect()[0]
+        took[n] = time.time() - began
+        assert [(x.s, x.kind, x.e) for x in found.base] == brute.secret_base(text(n))
+        spans = sorted((x.s, x.e) for x in found.spans if x.kind == 3)
+        assert len(spans) > n and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        base = sorted((x.s, x.e) for x in found.base)
+        assert not any(s < e and a < b for (a, b), (s, e) in zip(spans, base) if max(a, s) < min(b, e))
+    assert took[3000] < 3.2 * took[1500] + 1
+
+
 def test_secret_base_cases(spark):
     import brute
 
@@ -657,4 +701,22 @@ def test_pipeline_stages(odd, spark):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
-        assert stage(spark, odd, "").count() >= 0
+
+
+def test_pipeline_stages_on_odd_rows(odd, spark):
+    """Each stage's stated result for nulls, empty and repeated rows."""
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
+    assert ids(corpus_pipeline.quality_rules(spark, odd, "")) == []  # none has 50 words that are not repeated
+    assert ids(corpus_pipeline.drop_exact_copies(spark, odd, "")) == [0, 2, 4, 5, 6, 7, 8]
+    assert ids(corpus_pipeline.drop_near_copies(spark, odd, "")) == [0, 1, 2, 3, 5, 6, 7, 8]
+    mixed = corpus_pipeline.mix_sources(spark, odd, "")
+    assert mixed.columns == odd.columns
+    taken = [r.doc_id for r in mixed.collect()]
+    # Sources a and null stop at three times their size; b, which has nearly all words, gets what is left.
+    assert (taken.count(4), taken.count(3), taken.count(6), taken.count(5)) == (6, 3, 3, 1)
+    pieces = corpus_pipeline.pack_sequences(spark, odd, "").collect()
+    held = {}
+    for r in pieces:
+        held.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert set(held) == {None, 1, 2, 3, 4, 5, 6, 7, 8} and sum(s == 0 for s, _, _ in held[4]) == 2
+    assert held[1] == held[2] == [(0, 1, 1)] and all(sum(n for _, n, _ in own) == own[0][2] * (2 if i == 4 else 1) for i, own in held.items())
