@@ -9,13 +9,14 @@ from pyspark.errors import PythonException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import digest
 from tessera.functions import expr as X
 from tessera.operators import evidence, fingerprint, near, verify
 from tessera.operators.graph import saved, shared_folder
 from tessera.operators.lane_index import LaneIndex
 from tessera.plans.registry import merkle_sql, query
 from tessera.schemas import TRANSFORMS
-from tessera.sources import files, fixtures, sinks
+from tessera.sources import files, fixtures, png, sinks
 from tessera.sources.tables import table
 from tessera.sources.tree_source import place, write_tree
 
@@ -397,3 +398,28 @@ def d30_images(spark, sf):
     index.remove(stored.where("id % 7 = 0"))
     probes = fingerprint.fingerprints(gray_images(spark, sf)).where("eligible").select("id", F.inline("variants"))
     return near.tied_transforms(index.near(probes, near.recall_radius(256), ["transform"]), ["left_id", "right_id"], "distance", "transform")
+
+
+@query(
+    "d39_fingerprint_probe",
+    """WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey || CASE WHEN s_suppkey % 10 = 5 THEN '.jpg' ELSE '.png' END AS relative_path FROM supplier), xy AS (SELECT x, y FROM range(0, 64) a(x), range(0, 64) b(y)),
+       h AS (SELECT k, sha256(unhex('00000000000000400000000000000040' || string_agg(printf('%02x%02x%02x', (4 * x + k) % 256, (4 * y + k) % 256, (2 * (x + y) + k) % 256), '' ORDER BY y, x))) AS pixel_hash FROM s, xy WHERE k % 5 > 0 GROUP BY k)
+       SELECT relative_path, CASE WHEN k % 5 > 0 THEN 64 END AS width, CASE WHEN k % 5 > 0 THEN 64 END AS height, pixel_hash, CASE WHEN k % 5 > 0 THEN 256 END AS block_bits, CASE WHEN k % 5 > 0 THEN 544 END AS fine_bits,
+         CASE WHEN k % 10 = 0 THEN 'cut or damaged' WHEN k % 10 = 5 THEN 'not a PNG file' END AS error FROM s LEFT JOIN h USING (k)""",
+)
+def d39(spark, sf):
+    """Gradient samples written as image files, some cut short or of another kind, and probed where they lie."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("shift"))
+    k = F.col("id") % 10
+    name = F.concat(F.lit("s"), F.col("id").cast("string"), F.when(k == 5, ".jpg").otherwise(".png"))
+    cut = F.expr("substring(content, 1, octet_length(content) - 20)")
+    root = fresh(spark, "samples")
+    write_tree(png.gradient_samples(rows).select(name.alias("relative_path"), F.when(k == 0, cut).when(k == 5, F.unhex(F.lit("FFD8FFC000110800400040"))).otherwise(F.col("content")).alias("content")), root)
+    bits = lambda c: (8 * F.octet_length(c)).alias(c.replace("hash", "bits"))
+    return png.probe(spark, root).select("relative_path", "width", "height", "pixel_hash", bits("block_hash"), bits("fine_hash"), "error")
+
+
+@query("f18_blake3")
+def f18_blake3(spark, sf):
+    """BLAKE3 of every text; no SQL has it, so it is tested against plain Python and published digests."""
+    return table(spark, sf, "documents").select("doc_id", X.hex_lower(digest.blake3(F.col("text").cast("binary"))).alias("blake3"))
