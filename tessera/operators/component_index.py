@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.operators.graph import connected_components, saved
+from tessera.operators.graph import connected_components, saved, scratch
 from tessera.sources.store import BucketStore
 
 
@@ -34,6 +34,10 @@ class ComponentIndex:
         Edges are undirected and either there or not: adding one again, or removing one that is not there, changes nothing;
         self-edges and edges with a null end are left out. An edge that is both removed and added is there afterwards.
         """
+        with scratch(self.labels.spark):
+            return self._change(added, removed, a, b)
+
+    def _change(self, added: DataFrame, removed: DataFrame | None, a: str, b: str) -> dict[str, int]:
         now = self.labels.version()
         versions = {name: now.marks.get(name, -1) for name in ("edges", "members")}
         self.edges.rollback(versions["edges"])

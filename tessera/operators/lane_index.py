@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.expr import binary_lanes, hamming
-from tessera.operators.graph import saved
+from tessera.operators.graph import saved, scratch
 from tessera.sources.store import BucketStore, Version
 
 #: Appended parts of a bucket after which it is rewritten.
@@ -70,6 +70,10 @@ class LaneIndex:
         batch has id and hash; a null hash (an ineligible image) is known but never found. Repeated equal rows count once; an
         id with two hashes is an error, and nothing is changed then.
         """
+        with scratch(self.rows.spark):
+            return self._upsert(batch)
+
+    def _upsert(self, batch: DataFrame) -> dict[str, int]:
         base = self._base()
         seq = base.number + 1
         fresh = saved(batch.select("id", "hash").distinct(), "index-batch")
@@ -94,6 +98,10 @@ class LaneIndex:
 
     def remove(self, ids: DataFrame) -> int:
         """Takes ids out; the number of those that were there."""
+        with scratch(self.rows.spark):
+            return self._remove(ids)
+
+    def _remove(self, ids: DataFrame) -> int:
         base = self._base()
         old = self.rows.read(self.rows.touched(ids), base).join(ids.select("id").distinct(), "id", "left_semi")
         old = saved(old, "index-removed")

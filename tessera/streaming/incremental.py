@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.operators.graph import saved
+from tessera.operators.graph import saved, scratch
 from tessera.sources.store import BucketStore
 
 #: Appended parts of a bucket of edges after which it is rewritten, and versions that stay for readers of older ones.
@@ -40,6 +40,10 @@ class ExactIndex:
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """Adds a batch; rows with a null key have no duplicates."""
+        with scratch(self.spark):
+            self._merge(batch, batch_id)
+
+    def _merge(self, batch: DataFrame, batch_id: int) -> None:
         done = self._known.version()
         if done.marks.get("batch", -1) >= batch_id:
             return
