@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, mixing, near_dup, packing, quality
-from tessera.llm.common import shared_dir
+from tessera.llm.common import erase, scratch, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,11 +65,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written as Parquet in the shared folder and read again by the next."""
+    """All stages in order, each written as Parquet in the shared folder and read again by the next.
+
+    Once a stage is stored, its input (but for the given table) and all tables that it made on the way are erased, so the folder
+    holds two stages at a time.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        erase(spark, {"before": before}, "before")
+        docs, before = spark.read.parquet(path), [path]
     return docs

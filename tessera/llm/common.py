@@ -48,15 +48,33 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Erases the tables that written() made within it, for work whose result is stored by then. One driver thread at a time."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        erase(spark, {"own": own}, "own")
+
+
 def written(df: DataFrame, name: str, log: dict[str, list[str]] | None = None) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     Lineage ends there: a lost executor costs a reread of files, never a recomputation of what came before,
     and what follows sees one fixed set of rows even where it scans them twice. The folder may be emptied once a
-    query's result is stored; with log, an operator erases tables that nothing will read again itself.
+    query's result is stored; with log, an operator erases tables that nothing will read again itself, and within
+    scratch() all go at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
     with small_batches(spark):
         df.write.parquet(path)
     if log is not None:
