@@ -6,9 +6,9 @@ is one exchange, over (digest, run), and one merge behind it. Every task sends i
 arrives is a row of sorted pieces; Spark's sort there is a natural merge sort, which finds these pieces and merges them in
 passes, and nothing sorts a run again before it is sent. A walk through the merged order then makes neighbours that
 agree on the digest, on a second, unrelated digest and on the byte length one entry with the smallest (or largest) id, so
-no id ever stands for a text that it was not verified against. A digest that a third of all rows share is combined
-in each merged run by a task of its own, from fan_in runs of a partition's rows. Entries are narrow (about 60 bytes), and
-texts are read once and never shuffled.
+no id ever stands for a text that it was not verified against. The first round joins two runs at a time: a digest that
+a third of all rows share comes to a task from two partitions there, and as one entry a run in all later rounds. Entries are
+narrow (about 60 bytes), and texts are read once and never shuffled.
 
 A round costs what one aggregate over all entries costs, and there are log(partitions) / log(fan_in) of them: one
 plain aggregate would be cheaper wherever the digests fit its one exchange, as here; the tree bounds how many sources any
@@ -59,9 +59,10 @@ def merge_runs(runs: DataFrame, keep: str, fan_in: int) -> DataFrame:
     # Null ids lose to any other: a struct of null is the least of all, so it is left out where the smallest wins.
     merged = runs.select("run", *ENTRY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     best = F.max if keep == "max" else lambda c: F.min(F.when(F.col(c)["keep_id"].isNotNull(), F.col(c)))
+    step = 2
     while True:
-        merged = merge_round(merged, best, fan_in)
-        n_runs = -(-n_runs // fan_in)
+        merged = merge_round(merged, best, step)
+        n_runs, step = -(-n_runs // step), fan_in
         if n_runs <= 1:
             return merged.drop("run")
 

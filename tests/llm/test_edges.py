@@ -66,7 +66,7 @@ def test_tree_merge_over_many_runs(spark, fan_in):
     assert got.join(want, F.sha2("text", 256) == F.col("text_sha256")).where("keep_id <> k OR group_size <> n").count() == 0
 
 
-@pytest.mark.parametrize(("parts", "fan_in", "rounds"), [(32, 8, 2), (32, 2, 5), (8, 8, 1), (9, 8, 2)])
+@pytest.mark.parametrize(("parts", "fan_in", "rounds"), [(32, 8, 3), (32, 2, 5), (8, 8, 2), (9, 8, 2), (2, 8, 1)])
 def test_tree_merge_has_its_rounds(spark, parts, fan_in, rounds):
     """Each round is one exchange by (run, digest) between two walks in key order; no hash table takes part."""
     docs = spark.range(0, 640, 1, parts).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("text"))
@@ -78,7 +78,7 @@ def test_tree_merge_has_its_rounds(spark, parts, fan_in, rounds):
     assert got == sorted((max(range(k, 640, 7)), len(range(k, 640, 7))) for k in range(7))
 
 
-@pytest.mark.parametrize(("parts", "fan_in", "rounds"), [(9, 3, 2), (4, 8, 1)])
+@pytest.mark.parametrize(("parts", "fan_in", "rounds"), [(9, 3, 3), (4, 8, 2)])
 def test_merge_rounds_sort_only_what_arrives(spark, parts, fan_in, rounds):
     """Runs are stored in order and sent in order: each round has one exchange, and its one sort stands right behind it."""
     from tessera.llm.common import written
@@ -703,6 +703,21 @@ def test_pipeline_stages(odd, spark):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_pipeline_leaves_its_last_stage_alone(spark):
+    """Inputs of stages and what they made on the way are gone when the pipeline is done; its result can be read again and again."""
+    import os
+
+    from tessera.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() == out.count() > 0
+    left = sorted(set(os.listdir(folder)) - before)
+    assert len(left) == 1 and left[0].startswith("pipeline-")
+    assert [n for n in os.listdir(f"{folder}/{left[0]}") if not n.startswith(".")] == ["4-packing"]
+
+
 def test_pipeline_stages_on_odd_rows(odd, spark):
     """Each stage's stated result for nulls, empty and repeated rows."""
     ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
