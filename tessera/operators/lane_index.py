@@ -21,8 +21,8 @@ from tessera.functions.expr import binary_lanes, hamming
 from tessera.operators.graph import saved, scratch
 from tessera.sources.store import BucketStore, Version
 
-#: Appended parts of a bucket after which it is rewritten.
-MOST_PARTS = 8
+#: Appended parts of a bucket after which it is rewritten, and lookups for each bucket from which on all of them are read.
+MOST_PARTS, MANY_PROBES = 8, 50
 
 
 class LaneIndex:
@@ -127,9 +127,11 @@ class LaneIndex:
         now = self.rows.version()
         keep = carry or []
         asked = self._exploded(probes.select(F.col("id").alias("left_id"), *keep, F.col("hash").alias("left_hash")), "left_hash")
-        asked = asked.withColumn("value", F.explode(F.transform(F.array(*[F.lit(m) for m in _masks(16, flips)]), lambda m: m.bitwiseXOR(F.col("value")))))
         asked = saved(asked.select("left_id", *keep, "left_hash", "lane", "value"), "index-probes")
-        touched = self.postings.touched(asked)
+        masks = _masks(16, flips)
+        many = asked.count() * len(masks) > MANY_PROBES * self.postings.buckets
+        asked = asked.withColumn("value", F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: m.bitwiseXOR(F.col("value")))))
+        touched = None if many else self.postings.touched(asked)
         found = self._live(self.postings.read(touched, self.postings.version(now.marks.get("postings", -1))))
         pairs = asked.join(found.select("lane", "value", F.col("id").alias("right_id"), F.col("hash").alias("right_hash")), ["lane", "value"])
         a, b = binary_lanes(F.col("left_hash"), self.n_bytes), binary_lanes(F.col("right_hash"), self.n_bytes)
