@@ -391,7 +391,7 @@ def d30_images(spark, sf):
     """The library kept as an index: some images came with another's hash and are updated, one in seven is removed, most are skipped."""
     folder = f"{shared_folder(spark)}/lane-index-{uuid.uuid4().hex}"
     stored = saved(fingerprint.fingerprints(library_images(spark, sf)), "library").select("id", F.when(F.col("eligible"), F.col("block_hash")).alias("hash"))
-    index = LaneIndex(spark, folder, 32)
+    index = LaneIndex(spark, folder, 32, buckets=16)
     first = F.when(F.col("id") % 5 == 0, F.unhex(F.sha2(F.col("id").cast("string"), 256))).otherwise(F.col("hash"))
     index.upsert(stored.where("id % 2 = 0").withColumn("hash", first))
     index.upsert(stored)

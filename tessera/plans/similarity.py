@@ -173,7 +173,7 @@ def d12_chains_whole(spark, sf):
 @query("d12_changed_components", f"WITH {STARS} SELECT doc_id AS node, rep AS component FROM stars WHERE doc_id % 5 <> 0 UNION SELECT rep, rep FROM stars WHERE doc_id % 5 <> 0")
 def d12_changed(spark, sf):
     """Components after edges came in two changes and some went: each change reads the components that it touches."""
-    index = ComponentIndex(spark, f"{graph.shared_folder(spark)}/components-{uuid.uuid4().hex}")
+    index = ComponentIndex(spark, f"{graph.shared_folder(spark)}/components-{uuid.uuid4().hex}", buckets=16)
     edges = stars(spark, sf).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     index.change(edges.where("a % 3 > 0"))
     index.change(edges.where("a % 3 = 0"), edges.where("a % 3 > 0 AND a % 5 = 0"))
