@@ -93,7 +93,7 @@ class Folder:
 
 
 class BucketStore:
-    """Rows of a schema by key. buckets is fixed when the store is made: rows over buckets should fit a task."""
+    """Rows of a schema by key. buckets is fixed when the store is made; a change reads at least one whole bucket."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: Sequence[str], buckets: int = 64):
         self.spark, self.schema, self.key, self.buckets = spark, schema, list(key), buckets
@@ -139,7 +139,8 @@ class BucketStore:
         counts are aggregates over all rows (and may use columns that are not stored), taken in the pass that writes.
         """
         name = f"{uuid.uuid4().hex}"
-        dealt = rows.withColumn(BUCKET, self.bucket_of()).repartition(BUCKET)
+        # Adaptive execution splits a bucket that a hot key makes large among tasks, and puts small ones together.
+        dealt = rows.withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET)
         seen = Observation()
         # Observed behind the exchange: tasks of the last stage count once, even if they are tried again.
         dealt = dealt.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (counts or {}).items()])

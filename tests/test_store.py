@@ -37,6 +37,23 @@ def test_untouched_buckets_keep_their_files(spark, table):
     assert rows_of(table) == sorted(want.items())
 
 
+def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    name, size = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 40_000
+    rows = spark.range(60_000).repartition(8).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("part"), F.sha2(F.col("id").cast("string"), 256).alias("node"))
+    made = S.BucketStore(spark, str(tmp_path), rows.schema, ["part"], 8)
+    spark.conf.set(name, str(size))
+    try:
+        got = made.append(rows)
+    finally:
+        spark.conf.unset(name)
+    assert got.counts == {"rows": 60_000}
+    hot = spark.range(1).select(made.bucket_of([F.lit(7).cast("long")])).first()[0]
+    at = made.version(0)
+    files = [n for n in made.folder.names(f"data/{at.buckets[hot][0]}/{S.BUCKET}={hot}") if n.endswith(".parquet")]
+    assert len(files) > 1
+    assert made.read().count() == 60_000 and made.read().where("part = 7").count() == 20_001  # 7 itself too
+
+
 def test_upgrade_keeps_the_stored_row_of_equals(spark, table):
     order = F.col("state").cast("int")
     S.upgrade(table, spark.createDataFrame([(6, "1"), (5, "5"), (5, "9"), (300, "4"), (300, "2")], "id long, state string"), order)
