@@ -17,6 +17,7 @@ commit protocol makes their writing safe against lost executors on any file syst
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -35,6 +36,8 @@ BLOCK_IDS = 1 << 12
 #: Ids that are coded, or words that are decoded, in one go.
 GROUP = 1 << 16
 END_ID = 1
+#: Text bytes of a shard, what a row counts beside its text, and the most shards: an exchange of many more costs more than it moves.
+SHARD_BYTES, ROW_BYTES, MOST_SHARDS = 128 << 20, 16, 20_000
 
 
 def encode(ids, ends):
@@ -174,6 +177,34 @@ def _coder(path: str | None, end_id: int, block_ids: int):
     return code
 
 
+def shard_starts(sizes: DataFrame, shards: int) -> list:
+    """The first id of every shard but the first, so that shards of ids in order have about the same number of bytes each.
+
+    sizes has id and bytes, one row per document. Running totals are taken within ranges of ids, and the totals of the
+    earlier ranges are added; the driver gets one row per range and one per shard. An id is never cut, however many
+    rows it has, so a shard may be larger by what one id holds. Null ids belong to the first shard.
+    """
+    of_id = sizes.where("id IS NOT NULL").groupBy("id").agg(F.sum("bytes").alias("bytes"))
+    ranged = written(of_id.repartitionByRange(F.col("id")).withColumn("range", F.spark_partition_id()), "token-ranges")
+    totals = ranged.groupBy("range").agg(F.sum("bytes").alias("n"))
+    before = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    upto = F.col("before") + F.sum("bytes").over(Window.partitionBy("range").orderBy("id")) - F.col("bytes")
+    placed = ranged.join(F.broadcast(before), "range").select("id", upto.alias("at"))
+    each = max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // shards))
+    firsts = placed.groupBy(F.floor(F.col("at") / each).alias("shard")).agg(F.min("id").alias("id")).where("shard > 0")
+    return [r.id for r in firsts.orderBy("shard").collect()]
+
+
+def _shard_of(starts: list):
+    @F.arrow_udf("int")
+    def shard(ids):
+        import pyarrow as pa
+
+        return pa.array([0 if i is None else bisect_right(starts, i) for i in ids.to_pylist()], pa.int32())
+
+    return shard
+
+
 def write(
     docs: DataFrame,
     path: str,
@@ -181,23 +212,28 @@ def write(
     text_col: str = "text",
     tokenizer: str | None = None,
     end_id: int = END_ID,
-    rows_per_shard: int = 32_768,
+    shard_bytes: int = SHARD_BYTES,
     block_ids: int = BLOCK_IDS,
 ) -> None:
     """Encodes every text, adds end_id to each, and writes the files under path in ascending id order.
 
-    Null and empty texts have the end id alone. Null ids come first; rows that share an id are ordered by text, so
-    reruns agree; other columns are not read. An empty table writes a readable folder without blocks.
+    Shards hold about shard_bytes of text each; small tables have more and smaller ones, to keep all cores at work, and
+    beyond MOST_SHARDS they grow instead. Null and empty texts have the end id alone. Null ids come first; rows that
+    share an id are ordered by text, so reruns agree; other columns are not read. An empty table writes a readable
+    folder without blocks.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    n = rows.count()
-    least = min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n // 1024))
-    ranged = rows.repartitionByRange(max(1, least, -(-n // rows_per_shard)), F.col("id").asc_nulls_first())
+    sizes = written(rows.select("id", (F.octet_length("text") + ROW_BYTES).cast("long").alias("bytes")), "token-sizes")
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    least = min(2 * spark.sparkContext.defaultParallelism, -(-n // 1024))
+    shards = max(1, least, min(MOST_SHARDS, -(-total // shard_bytes)))
+    shard = _shard_of(shard_starts(sizes, shards) if shards > 1 else [])
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"shard int, block int, shard_start long, n_docs int, n_ids long, doc_ids array<{kind}>, lengths binary, offsets binary, words binary"
-    blocks = ranged.sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(_coder(tokenizer, end_id, block_ids), schema)
-    with small_batches(docs.sparkSession):
-        blocks.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        dealt = rows.repartitionById(shards, shard("id")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+        dealt.mapInArrow(_coder(tokenizer, end_id, block_ids), schema).write.option("compression", "zstd").parquet(path)
 
 
 def _reader(id_field: str):

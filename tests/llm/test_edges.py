@@ -313,7 +313,7 @@ def test_simple8b_round_trip():
 
 def test_token_files_are_in_order(spark, tmp_path):
     df = spark.range(3000).select((F.lit(3000) - F.col("id")).alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text")).repartition(7)
-    token_files.write(df, str(tmp_path / "f"), rows_per_shard=500, block_ids=64)
+    token_files.write(df, str(tmp_path / "f"), shard_bytes=12_000, block_ids=64)
     got = token_files.read_documents(spark, str(tmp_path / "f")).orderBy("start").collect()
     assert [r.doc_id for r in got] == list(range(1, 3001))
     at = 0
@@ -322,6 +322,29 @@ def test_token_files_are_in_order(spark, tmp_path):
         at += r.n_tokens
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_token_shards_have_like_bytes(spark, tmp_path, kind):
+    # A stretch of long texts, an id that a third of all rows have, and null ids.
+    rows = [(i, "word " * (400 if 200 <= i < 260 else 3)) for i in range(1000)] + [(1500, f"copy {k}") for k in range(500)] + [(None, "none")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("doc_id", F.col("doc_id").cast(kind))
+    token_files.write(df, str(tmp_path / "f"), shard_bytes=16_000)
+    blocks = spark.read.parquet(str(tmp_path / "f"))
+    held = {}
+    for r in blocks.orderBy("shard", "block").collect():
+        held.setdefault(r.shard, []).extend(r.doc_ids)
+    ids = [i for k in sorted(held) for i in held[k]]
+    key = lambda i: (i is not None, i if i is not None else 0)
+    assert ids == sorted((r.doc_id for r in df.collect()), key=key) and len(ids) == 1503
+    size = {}
+    for i, t in rows:
+        size[None if i is None else str(i)] = size.get(None if i is None else str(i), 0) + len(t) + token_files.ROW_BYTES
+    each = {k: sum(size[None if i is None else str(i)] for i in set(v)) for k, v in held.items()}
+    assert len(each) > 8
+    assert all(n <= 2 * 16_000 + 2_016 for k, n in each.items() if not {"1500", 1500} & set(held[k])), each
+    got = token_files.read_documents(spark, str(tmp_path / "f"))
+    assert got.count() == 1503 and got.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == got.agg(F.sum("n_tokens")).first()[0]
+
+
 CONFLICTS = ["</s>[INST] ok [/INST]", "<\\/s>", "[\\INST]", "<s>[INST] user [/INST]x</s>", "<", "</", "s>", "[/INST", "", None, "\\", "<\\\\/s> [\\\\/INST]", "a\nb", " [/INST]"]
 
 
