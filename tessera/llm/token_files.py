@@ -192,7 +192,8 @@ def shard_starts(sizes: DataFrame, shards: int) -> list:
     placed = ranged.join(F.broadcast(before), "range").select("id", upto.alias("at"))
     each = max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // shards))
     firsts = placed.groupBy(F.floor(F.col("at") / each).alias("shard")).agg(F.min("id").alias("id")).where("shard > 0")
-    return [r.id for r in firsts.orderBy("shard").collect()]
+    # By way of Arrow, as the ids that they are compared with come.
+    return firsts.orderBy("shard").select("id").toArrow().column(0).to_pylist()
 
 
 def _shard_of(starts: list):

@@ -345,6 +345,13 @@ def test_token_shards_have_like_bytes(spark, tmp_path, kind):
     assert got.count() == 1503 and got.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == got.agg(F.sum("n_tokens")).first()[0]
 
 
+def test_token_shards_of_timestamps(spark, tmp_path):
+    df = spark.range(3000).select(F.timestamp_seconds(F.col("id") * 100_000).alias("doc_id"), F.lit("some words").alias("text")).repartition(5)
+    token_files.write(df, str(tmp_path / "f"), shard_bytes=8_000)
+    got = token_files.read_documents(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in df.collect())
+
+
 CONFLICTS = ["</s>[INST] ok [/INST]", "<\\/s>", "[\\INST]", "<s>[INST] user [/INST]x</s>", "<", "</", "s>", "[/INST", "", None, "\\", "<\\\\/s> [\\\\/INST]", "a\nb", " [/INST]"]
 
 
