@@ -9,9 +9,9 @@ Reading has one partition for each folder down to a level, so a large tree is wa
 and in parts: a digest streams through a megabyte at a time, image sizes are found by jumping from header to header, and
 the last lines by reading backwards; bytes_read tells how much that took.
 
-Writing puts everything into a staging folder beside the target. Each file is written under a name of its own attempt,
-its digest taken from the bytes as they pass, forced to disk and renamed; a row that tells size or hash and
-gets others fails its task. When all tasks are done the staging folder is renamed to the target, which must not exist: readers see
+Writing puts everything into a staging folder beside the target, by tasks of about TASK_FILES files dealt by path. Each file
+is written under a name of its own attempt, its digest taken from the bytes as they pass, and renamed; a row that tells size or
+hash and gets others fails its task. What a task wrote is forced to disk at once before it is done. When all tasks are done the staging folder is renamed to the target, which must not exist: readers see
 all of it or nothing. A failed job deletes the staging folder; a task that is tried again writes the same files again.
 
 Local folders (also as file:) are read with the operating system's calls, which tell links from what they point to; other
@@ -25,6 +25,7 @@ import os
 import stat
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -34,6 +35,8 @@ from pyspark.sql.types import StructType
 ENTRY = "relative_path string, kind string, file_size bigint, modified_at timestamp"
 READS = {"": "", "sha256": ", hash string, bytes_read bigint", "size": ", width int, height int, bytes_read bigint", "tail": ", lines array<string>, bytes_read bigint"}
 CHUNK = 1 << 20
+#: Files of a task that writes.
+TASK_FILES = 20_000
 FOLDER, FILE, LINK, SPECIAL = "folder", "file", "link", "special"
 
 
@@ -61,12 +64,28 @@ class Local:
         return open(self.at(path), "rb")
 
     def create(self, path: str):
-        os.makedirs(os.path.dirname(self.at(path)), exist_ok=True)
-        return open(self.at(path), "wb")
-
-    def settle(self, file) -> None:
-        file.flush()
-        os.fsync(file.fileno())
+        try:
+            return open(self.at(path), "wb")
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(self.at(path)), exist_ok=True)
+            return open(self.at(path), "wb")
+
+    @contextmanager
+    def forced(self, folder: str) -> Iterator[None]:
+        """Forces to disk what is written below a folder meanwhile: one call at the end for its file system, which tells write errors."""
+        import ctypes
+
+        self.make(folder)
+        opened = os.open(self.at(folder), os.O_RDONLY)
+        try:
+            yield
+            force = getattr(ctypes.CDLL(None, use_errno=True), "syncfs", None)
+            if force is None:
+                os.sync()
+            elif force(opened):
+                raise OSError(ctypes.get_errno(), os.strerror(ctypes.get_errno()), self.at(folder))
+        finally:
+            os.close(opened)
 
     def make(self, folder: str) -> None:
         os.makedirs(self.at(folder), exist_ok=True)
@@ -110,8 +129,8 @@ class Remote:
         self.fs.create_dir(self.at(path).rpartition("/")[0], recursive=True)
         return self.fs.open_output_stream(self.at(path))
 
-    def settle(self, file) -> None:
-        file.flush()
+    def forced(self, folder: str):
+        return nullcontext()
 
     def make(self, folder: str) -> None:
         self.fs.create_dir(self.at(folder), recursive=True)
@@ -265,26 +284,26 @@ class TreeWriter(DataSourceWriter):
         return place(parent), name
 
     def write(self, rows: Iterator) -> Copied:
+        where, name = self._parent()
+        with where.forced(f"{name}{self.staging}"):
+            return self._written(where, f"{name}{self.staging}", rows)
+
+    def _written(self, where, staging: str, rows: Iterator) -> Copied:
         from hashlib import sha256
 
-        where, name = self._parent()
         files = written = 0
         for row in rows:
             told = dict(zip(self.names, row))
-            path = f"{name}{self.staging}/{checked(told['relative_path'])}"
+            path = f"{staging}/{checked(told['relative_path'])}"
             if told.get("content") is None and told.get("source") is None:
                 where.make(path)
                 continue
             part, seen, size = f"{path}.{uuid.uuid4().hex}.part", sha256(), 0
-            out = where.create(part)
-            try:
+            with where.create(part) as out:
                 for data in chunks(told):
                     seen.update(data)
                     size += len(data)
                     out.write(data)
-                where.settle(out)
-            finally:
-                out.close()
             for what, got in (("size", size), ("hash", seen.hexdigest())):
                 if told.get(what) not in (None, got):
                     raise ValueError(f"{told['relative_path']}: {what} is {got}, expected {told[what]}")
@@ -349,6 +368,8 @@ def entries(spark, root: str, read: str = "", levels: int = 1, lines: int = 200,
 
 
 def write_tree(rows, root: str) -> None:
-    """Writes rows as files under root, which must not be there yet; see the module."""
-    rows.sparkSession.dataSource.register(TreeSource)
-    rows.write.format("tree").mode("append").save(root)
+    """Writes rows as files under root, which must not be there yet; see the module. rows is evaluated twice: it is counted first."""
+    spark = rows.sparkSession
+    spark.dataSource.register(TreeSource)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_FILES))
+    rows.repartition(tasks, "relative_path").write.format("tree").mode("append").save(root)

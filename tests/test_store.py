@@ -165,3 +165,35 @@ def test_components_read_what_they_touch(spark, tmp_path):
         assert sum(now.get(b) != f for b, f in before[name].items()) <= 6
     got = {r.node: r.component for r in index.components().where("node IN (3, 4, 403, 404, 9, 409, 10)").collect()}
     assert got == {3: 3, 4: 3, 403: 3, 404: 3, 10: 10}
+
+
+def test_tree_written_by_many_tasks_and_forced_once_each(spark, tmp_path):
+    """Rows of one partition are dealt to all cores, and a task forces its files to disk together."""
+    from contextlib import contextmanager
+
+    from tessera.sources import tree_source
+
+    rows = spark.range(0, 400, 1, 1).selectExpr("concat('d', id % 3, '/f', id) AS relative_path", "cast(id AS string) AS text").select("relative_path", F.col("text").cast("binary").alias("content"))
+    spark.sparkContext.setJobGroup("tree-write", "")
+    try:
+        tree_source.write_tree(rows, str(tmp_path / "tree"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("tree-write") for s in told.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= spark.sparkContext.defaultParallelism
+    assert tree_source.entries(spark, str(tmp_path / "tree")).where("kind = 'file'").count() == 400
+
+    forced = []
+
+    class Told(tree_source.Local):
+        @contextmanager
+        def forced(self, folder):
+            with super().forced(folder):
+                yield
+            forced.append(sorted(p for p, kind, _, _ in self.entries(f"{folder}/d") if kind == tree_source.FILE))
+
+    writer = tree_source.TreeWriter({"path": str(tmp_path / "one")}, rows.schema)
+    writer._parent = lambda: (Told(str(tmp_path)), "one")
+    assert writer.write(iter([(f"d/{k}", b"x") for k in range(50)])).files == 50
+    assert [len(f) for f in forced] == [50] and not any(p.endswith(".part") for p in forced[0])
