@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ COMPARISON = 1 / 64
 BLOCK, MOST_BALLS, MOST_MASKS = 4096, 64, 4096
 #: Pairs that a task holds before it keeps the nearest of each image.
 HELD_PAIRS = 1 << 20
+#: Pairs that the comparison of two blocks holds before it hands them on.
+FOUND_PAIRS = 1 << 18
 
 
 def _edges(lanes: int, bits: int) -> list[int]:
@@ -87,19 +90,30 @@ def lane_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, rad
 
 
 def _compared(radius: int):
-    def compare(left, right):
-        """Pairs of one cell: at most BLOCK hashes or so a side, in strips."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of one cell: at most BLOCK hashes or so a side, in strips; found pairs go out before they are many."""
         import numpy as np
-        import pyarrow as pa
 
+        cell = pa.Table.from_batches(batches)
+        left, right = (cell.filter(cell.column(f"{side}_hash").is_valid()) for side in ("left", "right"))
         a, b = (t.column(f"{side}_hash").to_numpy().view(np.uint64) for t, side in ((left, "left"), (right, "right")))
-        found = []
-        for at in range(0, len(a), 256):
-            apart = np.bitwise_count(a[at : at + 256, None] ^ b[None, :])
+        found, n = [], 0
+
+        def pairs():
+            i, j, d = (np.concatenate(x) for x in zip(*found))
+            rows = pa.table({"left_id": left.column("left_id").take(pa.array(i)), "right_id": right.column("right_id").take(pa.array(j)), "distance": pa.array(d)})
+            return rows.combine_chunks().to_batches()
+
+        for at in range(0, len(a), 64):
+            apart = np.bitwise_count(a[at : at + 64, None] ^ b[None, :])
             i, j = np.nonzero(apart <= radius)
             found.append((i + at, j, apart[i, j].astype(np.int64)))
-        i, j, d = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
-        return pa.table({"left_id": left.column("left_id").take(pa.array(i)), "right_id": right.column("right_id").take(pa.array(j)), "distance": pa.array(d)})
+            n += len(i)
+            if n >= FOUND_PAIRS:
+                yield from pairs()
+                found, n = [], 0
+        if n:
+            yield from pairs()
 
     return compare
 
@@ -131,12 +145,12 @@ def ball_join(left: DataFrame, right: DataFrame, id_col: str, hash_col: str, rad
     asking = {x.ball: x["count"] for x in l.groupBy("ball").count().collect()}  # as many
     per_ball = lambda n: F.element_at(F.create_map(*[F.lit(v) for k in held for v in (k, max(1, -(-n.get(k, 0) // block)))]), F.col("ball"))
     rows, columns = per_ball(asking), per_ball({k: x.n for k, x in held.items()})
-    own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    own = lambda side, n: F.pmod(F.xxhash64(f"{side}_id", f"{side}_hash"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    l = l.select("left_id", "left_hash", "ball", own("left_id", rows).alias("i"), all_of(columns).alias("j"))  # noqa: E741
-    r = r.select("right_id", "right_hash", "ball", all_of(rows).alias("i"), own("right_id", columns).alias("j"))
+    l = l.select("left_id", "left_hash", "ball", own("left", rows).alias("i"), all_of(columns).alias("j"))  # noqa: E741
+    r = r.select("right_id", "right_hash", "ball", all_of(rows).alias("i"), own("right", columns).alias("j"))
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    cells = l.groupBy("ball", "i", "j").cogroup(r.groupBy("ball", "i", "j"))
+    cells = l.unionByName(r, allowMissingColumns=True).groupBy("ball", "i", "j")
     return cells.applyInArrow(_compared(radius), f"left_id {kind(l, 'left_id')}, right_id {kind(r, 'right_id')}, distance bigint")
 
 
