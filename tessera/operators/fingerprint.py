@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Images, and pixels, that go through the kernels together.
+AT_ONCE, PIXELS_AT_ONCE = 512, 4 << 20
 # Eligibility.
 MIN_STDDEV, MIN_BINS, MIN_EDGE = 8.0, 4, 2.0
 
@@ -101,22 +103,28 @@ def eligible(gray32, block: bytes, fine: bytes) -> bool:
 
 
 def _fingerprints(batches: Iterator) -> Iterator:
+    for batch in batches:
+        # Images of one size go through the kernels as one array, some at a time.
+        for (height, width), own in batch.groupby(["height", "width"], sort=False):
+            step = max(1, min(AT_ONCE, PIXELS_AT_ONCE // max(1, height * width)))
+            for at in range(0, len(own), step):
+                yield _of_one_size(own.iloc[at : at + step], height, width)
+
+
+def _of_one_size(own, height: int, width: int):
     import numpy as np
     import pandas as pd
 
     from tessera.schemas import TRANSFORMS
 
-    for batch in batches:
-        # Images of one size go through the kernels as one array.
-        for (height, width), own in batch.groupby(["height", "width"], sort=False):
-            g = np.stack([np.frombuffer(p, dtype=np.uint8) for p in own["pixels"]]).reshape(-1, height, width)
-            small, large = resized(g, 16), np.rint(resized(g, 32)).astype(np.uint8)
-            blocks = {t: block_hash(transformed(small, t)) for t in TRANSFORMS}
-            fines = {t: double_gradient_hash(transformed(large, t)) for t in TRANSFORMS}
-            variants = [[{"transform": t, "hash": blocks[t][k], "fine_hash": fines[t][k]} for t in TRANSFORMS] for k in range(len(own))]
-            block, fine = blocks["identity"], fines["identity"]
-            fit = [eligible(large[k], block[k], fine[k]) for k in range(len(own))]
-            yield pd.DataFrame({"id": own["id"].array, "block_hash": block, "fine_hash": fine, "variants": variants, "eligible": fit})
+    g = np.stack([np.frombuffer(p, dtype=np.uint8) for p in own["pixels"]]).reshape(-1, height, width)
+    small, large = resized(g, 16), np.rint(resized(g, 32)).astype(np.uint8)
+    blocks = {t: block_hash(transformed(small, t)) for t in TRANSFORMS}
+    fines = {t: double_gradient_hash(transformed(large, t)) for t in TRANSFORMS}
+    variants = [[{"transform": t, "hash": blocks[t][k], "fine_hash": fines[t][k]} for t in TRANSFORMS] for k in range(len(own))]
+    block, fine = blocks["identity"], fines["identity"]
+    fit = [eligible(large[k], block[k], fine[k]) for k in range(len(own))]
+    return pd.DataFrame({"id": own["id"].array, "block_hash": block, "fine_hash": fine, "variants": variants, "eligible": fit})
 
 
 def fingerprints(images: DataFrame) -> DataFrame:

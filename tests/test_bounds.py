@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import near
+from tessera.operators import fingerprint, near
 
 
 def test_pairs_of_equal_hashes_go_out_in_parts(monkeypatch):
@@ -25,3 +27,12 @@ def test_equal_hashes_are_dealt_to_many_cells(spark, monkeypatch):
     rows = spark.range(1000).select("id", F.lit(5).cast("long").alias("hash"))
     cells = near.ball_join(rows, rows, "id", "hash", 20, block=100).collect()
     assert len(cells) == 100 and max(max(c.left_id, c.right_id) for c in cells) < 200
+
+
+def test_images_go_through_the_kernels_some_at_a_time():
+    rng = np.random.default_rng(3)
+    images = pd.DataFrame({"id": range(1300), "width": 8, "height": 8, "pixels": [rng.integers(0, 256, 64, dtype=np.uint8).tobytes() for _ in range(1300)]})
+    found = list(fingerprint._fingerprints(iter([images])))
+    assert [len(f) for f in found] == [512, 512, 276]
+    one = pd.concat(fingerprint._fingerprints(iter([images.iloc[k : k + 1]])).__next__() for k in (0, 511, 512, 1299))
+    assert one.equals(pd.concat(found).iloc[[0, 511, 512, 1299]].set_axis([0] * 4))
