@@ -119,6 +119,11 @@ def k15(spark, sf):
     return sinks.diagnostics(facts, "k", "v")
 
 
+def files_of_three(rows):
+    """Files of each of a stream's three batches: as many as Spark reads the rows in parts, so that no task gets a third of all."""
+    return max(1, rows.rdd.getNumPartitions())
+
+
 @query("streaming_exact_components", "SELECT doc_id, rep FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars, md5(text)) AS rep FROM documents) WHERE doc_id <> rep")
 def streaming(spark, sf):
     """The components' smallest ids after a file stream: equal to one batch over everything, whatever the batches were."""
@@ -127,21 +132,23 @@ def streaming(spark, sf):
 
     docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    docs.repartition(3, F.pmod("doc_id", F.lit(3))).write.parquet(f"{folder}/in")
-    index = detect_stream(spark, f"{folder}/in", docs.schema, "doc_id", {"n_chars": "n_chars", "digest": "md5(text)"}, f"{folder}/checkpoint")
+    files = files_of_three(docs)
+    docs.repartition(3 * files, "doc_id").write.parquet(f"{folder}/in")
+    index = detect_stream(spark, f"{folder}/in", docs.schema, "doc_id", {"n_chars": "n_chars", "digest": "md5(text)"}, f"{folder}/checkpoint", files)
     found = connected_components(index.edges(), "doc_id", "rep")
     return found.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("rep"))
 
 
 @query("streaming_progress", "SELECT 3 AS batches, COUNT(*) AS rows, TRUE AS finished FROM events")
 def streaming_progress(spark, sf):
-    """Batches and rows that the listener was told of a stream over three files."""
+    """Batches and rows that the listener was told of a stream in three batches."""
     from tessera.operators.graph import shared_folder
     from tessera.streaming import progress
 
     folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
     events = table(spark, sf, "events").select("event_id", "ts")
-    events.repartition(3).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    files = files_of_three(events)
+    events.repartition(3 * files).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     return progress.as_rows(spark, progress.watched(writer, spark, f"progress-{uuid.uuid4().hex}"))

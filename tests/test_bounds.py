@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import glob
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import fingerprint, near
+from tessera.operators.graph import shared_folder
+from tessera.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_pairs_of_equal_hashes_go_out_in_parts(monkeypatch):
@@ -36,3 +42,20 @@ def test_images_go_through_the_kernels_some_at_a_time():
     assert [len(f) for f in found] == [512, 512, 276]
     one = pd.concat(fingerprint._fingerprints(iter([images.iloc[k : k + 1]])).__next__() for k in (0, 511, 512, 1299))
     assert one.equals(pd.concat(found).iloc[[0, 511, 512, 1299]].set_axis([0] * 4))
+
+
+def test_streams_have_three_batches_of_many_files(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    written = lambda name: set(glob.glob(f"{shared_folder(spark)}/{name}-*/in/*.parquet"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 8000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        before = written("progress")
+        assert registry.queries()["streaming_progress"](spark, SF).first().batches == 3
+        assert len(written("progress") - before) > 3
+        before = written("stream")
+        registry.queries()["streaming_exact_components"](spark, SF)
+        assert len(written("stream") - before) > 3
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
