@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Images, and pixels, that go through the kernels together.
 AT_ONCE, PIXELS_AT_ONCE = 512, 4 << 20
@@ -58,18 +57,28 @@ def block_hash(gray16):
     return _packed((bands > np.median(bands, axis=-1, keepdims=True)).reshape(*g.shape[:-2], -1))
 
 
-def double_gradient_hash(gray32):
-    """544 bits: signs of horizontal, then vertical, differences over a 17 x 17 reduction (17 x 16 each). A list for a stack.
+def reduced17(gray32):
+    """The 17 x 17 reduction of whole gray levels, in whole units, so that equal cells are equal.
 
-    The reduction of whole gray levels is computed in integers, so equal cells are equal.
+    Sums of integers below 2^53 are exact in floating point too, where products of matrices are much faster.
     """
     import numpy as np
 
-    g = np.asarray(gray32, dtype=np.int64)
-    over = _overlaps(g.shape[-1], 17)
-    g = over @ g @ over.T
-    flat = lambda d: (d > 0).reshape(*g.shape[:-2], -1)
-    return _packed(np.concatenate([flat(np.diff(g, axis=-1)), flat(np.diff(g, axis=-2))], axis=-1))
+    g = np.asarray(gray32, dtype=np.float64)
+    return (_overlaps(g.shape[-2], 17).astype(np.float64) @ g @ _overlaps(g.shape[-1], 17).T.astype(np.float64)).astype(np.int64)
+
+
+def double_gradient_hash(gray32):
+    """544 bits: signs of horizontal, then vertical, differences over a 17 x 17 reduction (17 x 16 each). A list for a stack."""
+    return gradients(reduced17(gray32))
+
+
+def gradients(cells):
+    """The hash of a reduction; that of a transformed image is that of its transformed reduction."""
+    import numpy as np
+
+    flat = lambda d: (d > 0).reshape(*cells.shape[:-2], -1)
+    return _packed(np.concatenate([flat(np.diff(cells, axis=-1)), flat(np.diff(cells, axis=-2))], axis=-1))
 
 
 def _packed(bits):
@@ -79,27 +88,34 @@ def _packed(bits):
     return found.tobytes() if found.ndim == 1 else [row.tobytes() for row in found]
 
 
-def information(hash_: bytes) -> int:
-    ones = sum(b.bit_count() for b in hash_)
-    return min(ones, 8 * len(hash_) - ones)
+def information(hashes: list[bytes]):
+    """Of each hash the ones or the zeros, whichever are fewer."""
+    import numpy as np
+
+    own = np.frombuffer(b"".join(hashes), np.uint8).reshape(len(hashes), -1)
+    ones = np.bitwise_count(own).sum(1, dtype=np.int64)
+    return np.minimum(ones, 8 * own.shape[1] - ones)
 
 
-def eligible(gray32, block: bytes, fine: bytes) -> bool:
-    """Whether a thumbnail has enough contrast, levels, edges and hash information to be compared at all."""
+def eligible(gray32, blocks: list[bytes], fines: list[bytes]):
+    """Whether the thumbnails of a stack have enough contrast, levels, edges and hash information to be compared at all.
+
+    All bounds are compared in integers: a standard deviation of exactly MIN_STDDEV is enough.
+    """
     import numpy as np
 
     g = np.asarray(gray32, dtype=np.int64)
-    if not g.size:
-        return False
-    levels = int((np.bincount(g.reshape(-1) // 16, minlength=16) >= max(g.size // 200, 2)).sum())
-    steps = np.concatenate([np.abs(np.diff(g, axis=1)).reshape(-1), np.abs(np.diff(g, axis=0)).reshape(-1)])
-    return bool(
-        g.std() >= MIN_STDDEV
-        and levels >= MIN_BINS
-        and (steps.mean() if steps.size else 0) >= MIN_EDGE
-        and information(block) >= max(8 * len(block) // 64, 1)
-        and information(fine) >= max(8 * len(fine) // 64, 1)
-    )
+    n = g.shape[-1] * g.shape[-2]
+    if not n:
+        return np.zeros(len(g), bool)
+    contrast = n * (g * g).sum((1, 2)) - g.sum((1, 2)) ** 2 >= MIN_STDDEV**2 * n * n
+    bins = g // 16
+    levels = sum(((bins == k).sum((1, 2)) >= max(n // 200, 2)).astype(np.int64) for k in range(16))
+    steps = sum(np.abs(np.diff(g, axis=k)).sum((1, 2)) for k in (1, 2))
+    n_steps = 2 * n - g.shape[-1] - g.shape[-2]
+    edges = (steps >= MIN_EDGE * n_steps) & (n_steps > 0)
+    told = [information(h) >= max(8 * len(h[0]) // 64, 1) for h in (blocks, fines)]
+    return contrast & (levels >= MIN_BINS) & edges & told[0] & told[1]
 
 
 def _fingerprints(batches: Iterator) -> Iterator:
@@ -112,6 +128,8 @@ def _fingerprints(batches: Iterator) -> Iterator:
 
 
 def _of_one_size(own, height: int, width: int):
+    import hashlib
+
     import numpy as np
     import pandas as pd
 
@@ -120,17 +138,17 @@ def _of_one_size(own, height: int, width: int):
     g = np.stack([np.frombuffer(p, dtype=np.uint8) for p in own["pixels"]]).reshape(-1, height, width)
     small, large = resized(g, 16), np.rint(resized(g, 32)).astype(np.uint8)
     blocks = {t: block_hash(transformed(small, t)) for t in TRANSFORMS}
-    fines = {t: double_gradient_hash(transformed(large, t)) for t in TRANSFORMS}
+    cells = reduced17(large)
+    fines = {t: gradients(transformed(cells, t)) for t in TRANSFORMS}
     variants = [[{"transform": t, "hash": blocks[t][k], "fine_hash": fines[t][k]} for t in TRANSFORMS] for k in range(len(own))]
     block, fine = blocks["identity"], fines["identity"]
-    fit = [eligible(large[k], block[k], fine[k]) for k in range(len(own))]
-    return pd.DataFrame({"id": own["id"].array, "block_hash": block, "fine_hash": fine, "variants": variants, "eligible": fit})
+    size = int(width).to_bytes(8, "big") + int(height).to_bytes(8, "big")
+    digests = [hashlib.sha256(size + p).hexdigest() for p in own["pixels"]]
+    return pd.DataFrame({"id": own["id"].array, "block_hash": block, "fine_hash": fine, "variants": variants, "eligible": eligible(large, block, fine), "pixel_hash": digests})
 
 
 def fingerprints(images: DataFrame) -> DataFrame:
     """images (id, width, height, pixels binary) -> hashes, the eight variants of both, eligibility, pixel digest."""
     kind = images.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, block_hash binary, fine_hash binary, variants array<struct<transform:string,hash:binary,fine_hash:binary>>, eligible boolean"
-    found = images.select("id", "width", "height", "pixels").mapInPandas(_fingerprints, schema)
-    digest = images.select("id", F.sha2(F.concat(F.to_binary(F.lpad(F.hex("width"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("height"), 16, "0"), F.lit("hex")), "pixels"), 256).alias("pixel_hash"))
-    return found.join(digest, "id")
+    schema = f"id {kind}, block_hash binary, fine_hash binary, variants array<struct<transform:string,hash:binary,fine_hash:binary>>, eligible boolean, pixel_hash string"
+    return images.select("id", "width", "height", "pixels").mapInPandas(_fingerprints, schema)

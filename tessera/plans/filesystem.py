@@ -232,10 +232,9 @@ def k17(spark, sf):
 PIXELS = "pixels AS (SELECT vec_id, i, CAST(greatest(0, least(255, floor(CAST(embedding[i + 1] AS DOUBLE) * 64) + 128)) AS INTEGER) AS v FROM (SELECT vec_id, embedding, UNNEST(range(0, 64)) AS i FROM embeddings))"
 
 
-def gray_levels():
-    """The first 64 values of an embedding as gray levels."""
-    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 64).cast("int") + 128))
-    return F.transform(F.slice("embedding", 1, 64), level)
+def gray_level(v):
+    """A value of an embedding as a gray level; its first 64 are an image."""
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 64).cast("int") + 128))
 
 
 def as_images(rows):
@@ -245,7 +244,7 @@ def as_images(rows):
 
 
 def gray_images(spark, sf):
-    return as_images(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), gray_levels().alias("levels")))
+    return as_images(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 64), gray_level).alias("levels")))
 
 
 # The 16 x 16 reduction repeats every pixel twice each way; a quarter of its rows is two rows of pixels.
@@ -362,10 +361,11 @@ def library_images(spark, sf):
     """The turned copies: cell (r, c) comes from the cell that the image's transform takes it from."""
     moves = {"identity": (1, 0, 0, 0, 1, 0), "rot90": (0, -1, 7, 1, 0, 0), "rot180": (-1, 0, 7, 0, -1, 7), "rot270": (0, 1, 0, -1, 0, 7), "flip_h": (1, 0, 0, 0, -1, 7), "flip_v": (-1, 0, 7, 0, 1, 0), "transpose": (0, 1, 0, 1, 0, 0), "transverse": (0, -1, 7, -1, 0, 7)}
     turns = F.array(*[F.array(*[F.lit(8 * (rr * r + rc * c + r0) + (cr * r + cc * c + c0) + 1) for r in range(8) for c in range(8)]) for rr, rc, r0, cr, cc, c0 in (moves[t] for t in TRANSFORMS)])
-    rows = table(spark, sf, "embeddings").select("vec_id", gray_levels().alias("was"), F.element_at(turns, (F.col("vec_id") % 8 + 1).cast("int")).alias("turn"))
-    rows = rows.select("vec_id", F.transform("turn", lambda k: F.element_at("was", k)).alias("levels"))
-    changed = F.when(F.col("vec_id") % 3 == 0, F.concat(F.array(255 - F.element_at("levels", 1)), F.slice("levels", 2, 63))).otherwise(F.col("levels"))
-    return as_images(rows.select((F.col("vec_id") + 1000000).alias("id"), changed.alias("levels")))
+    turn = F.element_at(turns, (F.col("vec_id") % 8 + 1).cast("int"))
+    # One step a cell: an array named first and picked from here would be built anew for each of its cells.
+    level = lambda k, i: gray_level(F.element_at("embedding", k))
+    changed = lambda k, i: F.when((F.col("vec_id") % 3 == 0) & (i == 0), 255 - level(k, i)).otherwise(level(k, i))
+    return as_images(table(spark, sf, "embeddings").select((F.col("vec_id") + 1000000).alias("id"), F.transform(turn, changed).alias("levels")))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import random
 
 import numpy as np
 import pandas as pd
@@ -59,3 +60,63 @@ def test_streams_have_three_batches_of_many_files(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def wide(spark, hashes):
+    return spark.createDataFrame([(k, bytearray(h.to_bytes(32, "big"))) for k, h in enumerate(hashes)], "id int, hash binary")
+
+
+def few_bytes(rng, n):
+    """Hashes whose bytes have two values only, as those of small or plain images have few, some of them near others."""
+    base = [sum(rng.choice((0x0F, 0xF0)) << 8 * k for k in range(32)) for _ in range(n // 2)]
+    return base + [h ^ sum(1 << k for k in rng.sample(range(256), rng.randrange(40))) for h in base]
+
+
+def near_pairs(left, right, radius):
+    return [(a, b, d) for a, x in enumerate(left) for b, y in enumerate(right) if (d := (x ^ y).bit_count()) <= radius]
+
+
+def test_alike_hashes_are_not_joined_by_bytes(spark, monkeypatch):
+    rng = random.Random(5)
+    hashes = few_bytes(rng, 300)
+    df = wide(spark, hashes)
+    monkeypatch.setattr(near, "SQUARE", 70)
+    monkeypatch.setattr(near, "STRIP", 1000)
+    monkeypatch.setattr(near, "FOUND_PAIRS", 50)
+    found = near.binary_join(df, df, "id", "hash", 31, 256)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == near_pairs(hashes, hashes, 31)
+
+
+def test_lanes_and_squares_give_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    hashes = [rng.getrandbits(256) for _ in range(40)]
+    hashes += [h ^ sum(1 << k for k in rng.sample(range(256), rng.randrange(36))) for h in hashes for _ in range(3)]
+    df, want = wide(spark, hashes), near_pairs(hashes, hashes, 31)
+    carried = df.withColumn("name", F.concat(F.lit("x"), F.col("id").cast("string")))
+    for dear, joined in ((1, False), (1000, True)):
+        monkeypatch.setattr(near, "WIDE_COMPARISON", dear)
+        found = near.binary_join(carried, df, "id", "hash", 31, 256, ["name"])
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == joined
+        assert sorted((r.left_id, r.right_id, r.distance) for r in found.collect()) == want
+        assert found.where(F.col("name") != F.concat(F.lit("x"), F.col("left_id").cast("string"))).count() == 0
+    # Values that all hashes share bring all pairs together: lanes are counted, and left.
+    same = spark.createDataFrame([(k, bytearray(32)) for k in range(300)], "left_id int, left_hash binary")
+    monkeypatch.setattr(near, "WIDE_COMPARISON", 16)
+    assert not near.lanes_pay(same, same.toDF("right_id", "right_hash"), 300, 300, 31, 256)
+    spread = [(k, bytearray(rng.getrandbits(256).to_bytes(32, "big"))) for k in range(300)]
+    spread = spark.createDataFrame(spread, "left_id int, left_hash binary")
+    assert near.lanes_pay(spread, spread.toDF("right_id", "right_hash"), 300, 300, 31, 256)
+
+
+def test_no_hashes_have_no_pairs(spark):
+    df, none = wide(spark, [1, 2, 3]), spark.createDataFrame([(7, None), (8, bytearray(31))], "id int, hash binary")
+    for a, b in ((df, none), (none, df), (none, none)):
+        assert near.binary_join(a, b, "id", "hash", 31, 256).count() == 0
+
+
+def test_a_lane_takes_a_bit_of_each_row_and_column():
+    at = near._scattered(256)
+    assert sorted(at.reshape(-1)) == list(range(256))
+    assert all(sorted(lane // 16) == sorted(lane % 16) == list(range(16)) for lane in at)
+    assert sorted(near._scattered(544).reshape(-1)) == list(range(544))
