@@ -2,7 +2,8 @@
 
 A hash of n bytes is cut into lanes of two bytes; of hashes within a radius, at least one lane differs in at most
 radius // lanes bits. The index has one posting (lane, value, id, hash) for each lane of each id, in buckets by (lane,
-value). A probe reads the buckets of its own lanes' values, with that many bits flipped, and no others.
+value). A probe reads the buckets of its own lanes' values, with that many bits flipped, and no others. Probes that are so many
+that they would read all buckets are joined with the ids' hashes instead (near.binary_join).
 
 Changes are appended: new postings, and tombstones where an id had a value that it no longer has; of a posting's
 entries the last one holds. Buckets of many appended parts are rewritten now and then, without what is dead. The ids' hashes
@@ -21,7 +22,7 @@ from tessera.functions.expr import binary_lanes, hamming
 from tessera.operators.graph import saved, scratch
 from tessera.sources.store import BucketStore, Version
 
-#: Appended parts of a bucket after which it is rewritten, and lookups for each bucket from which on all of them are read.
+#: Appended parts of a bucket after which it is rewritten, and lookups for each bucket from which on postings are left aside.
 MOST_PARTS, MANY_PROBES = 8, 50
 
 
@@ -122,17 +123,20 @@ class LaneIndex:
         flips = radius // self.lanes
         if flips > 2:
             raise ValueError(f"a radius of {radius} of {8 * self.n_bytes} bits is too wide for lanes of 16 bits")
-        from tessera.operators.near import _masks
+        from tessera.operators.near import _masks, binary_join
 
         now = self.rows.version()
         keep = carry or []
-        asked = self._exploded(probes.select(F.col("id").alias("left_id"), *keep, F.col("hash").alias("left_hash")), "left_hash")
-        asked = saved(asked.select("left_id", *keep, "left_hash", "lane", "value"), "index-probes")
+        known = saved(probes.select("id", *keep, "hash").where(F.octet_length("hash") == self.n_bytes), "index-probes")
         masks = _masks(16, flips)
-        many = asked.count() * len(masks) > MANY_PROBES * self.postings.buckets
+        if known.count() * self.lanes * len(masks) > MANY_PROBES * self.postings.buckets:
+            # All buckets would be read, and the stored hashes are fewer rows than their postings.
+            found = binary_join(known, self.rows.read(None, now), "id", "hash", radius, 8 * self.n_bytes, keep)
+            return found.select("left_id", *keep, "right_id", "distance")
+        asked = self._exploded(known.select(F.col("id").alias("left_id"), *keep, F.col("hash").alias("left_hash")), "left_hash")
+        asked = asked.select("left_id", *keep, "left_hash", "lane", "value")
         asked = asked.withColumn("value", F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: m.bitwiseXOR(F.col("value")))))
-        touched = None if many else self.postings.touched(asked)
-        found = self._live(self.postings.read(touched, self.postings.version(now.marks.get("postings", -1))))
+        found = self._live(self.postings.read(self.postings.touched(asked), self.postings.version(now.marks.get("postings", -1))))
         pairs = asked.join(found.select("lane", "value", F.col("id").alias("right_id"), F.col("hash").alias("right_hash")), ["lane", "value"])
         a, b = binary_lanes(F.col("left_hash"), self.n_bytes), binary_lanes(F.col("right_hash"), self.n_bytes)
         pairs = pairs.withColumns({"__a": a, "__b": b})

@@ -138,6 +138,28 @@ def test_lane_index_equals_a_rebuild(spark, tmp_path):
     assert 900 in {r.right_id for r in index.near(as_rows(probes), 31).collect()}
 
 
+def test_many_probes_leave_postings_aside(spark, tmp_path, monkeypatch):
+    """Many probes meet the stored hashes, few the postings of their lanes; both find what all pairs give, of the last version."""
+    from tessera.operators import lane_index
+
+    rng = random.Random(12)
+    centres = [rng.getrandbits(256) for _ in range(5)]
+    as_rows = lambda hashes: spark.createDataFrame([(k, bytearray(h.to_bytes(32, "big"))) for k, h in hashes.items()], "id long, hash binary")
+    held = {k: flipped(rng, rng.choice(centres), 30) for k in range(40)}
+    index = LaneIndex(spark, str(tmp_path / "kept"), 32, buckets=4)
+    index.upsert(as_rows(held | {k: rng.getrandbits(256) for k in range(0, 40, 3)}))
+    index.upsert(as_rows(held))
+    index.remove(spark.range(0, 40, 8))
+    probes = {100 + k: flipped(rng, c, 10) for k, c in enumerate(centres)}
+    want = sorted((a, "n", b, d) for a, x in probes.items() for b, y in held.items() if b % 8 and (d := (x ^ y).bit_count()) <= 31)
+    near = lambda: sorted(map(tuple, index.near(as_rows(probes).withColumn("note", F.lit("n")), 31, ["note"]).collect()))
+    monkeypatch.setattr(lane_index, "MANY_PROBES", 1 << 30)
+    assert near() == want and len(want) > 20
+    monkeypatch.setattr(lane_index, "MANY_PROBES", 50)
+    monkeypatch.setattr(index.postings, "read", lambda *a: pytest.fail("read postings"))
+    assert near() == want
+
+
 def test_components_after_random_edits(spark, tmp_path):
     rng = random.Random(4)
     index, held = ComponentIndex(spark, str(tmp_path), buckets=32), set()
